@@ -5,8 +5,12 @@ from __future__ import annotations
 from importlib import import_module
 
 _OPERATORS = {
+    "op1_quality_classifier": "quality",
     "op4_url_filter": "url_filter",
     "op5_line_dedup": "line_dedup",
+    "op6_token_count": "token_count",
+    "op8_tiff_media": "tiff",
+    "op9_decontaminate": "decontaminate",
 }
 
 
