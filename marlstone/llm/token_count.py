@@ -131,6 +131,7 @@ class Transducer:
         others = "".join(sorted(self.single - {SPACE}))
         self.sync = re.compile(f"(?<=[^{SPACE}]){SPACE}|[^{re.escape(others)}{SPACE}]", re.DOTALL)
         self.word = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.words = _Words(self)
         self.clear()
 
     def clear(self) -> None:
