@@ -2,14 +2,14 @@
 
 Texts are cut by the tokenizer's pattern where they lie, in blocks of documents; a block becomes one
 row that holds its distinct words, and for each document the sequence of its words by number. Spark
-then folds the ranked merges over each distinct word: bytes are held as characters of Latin-1, and an
-`aggregate` merges the best-ranked neighbours, leftmost first, until none is left. The rank map is a
-literal: an array of small maps addressed by a hash, as a lookup in one map of 50,000 keys would be
+then folds the ranked merges over the byte array of each distinct word: an `aggregate` merges the
+best-ranked neighbours, leftmost first, until none is left. The rank map is a literal: two arrays
+addressed by the key of a pair of tokens (cuckoo hashing), as a lookup in a map literal would be
 linear. Document ids are then strung together from those of the words. Decoding maps ids to their byte
 pieces by a literal array and concatenates them. Nothing is shuffled; memory is bounded by a block.
 
-The fold copies its arrays at each merge, so words beyond WORD_BYTES are encoded by the same merges
-with a heap instead.
+Words that are one token need no fold. The fold copies its arrays at each merge, so words beyond
+WORD_BYTES are encoded by the same merges with a heap instead.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,10 +31,10 @@ from pyspark.sql.types import StructType
 from marlstone.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-BUCKETS = 1 << 16
 #: Bytes of text in a block; longest word that the fold takes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 WORD_BYTES = 256
+NO_RANK = 65535
 LATIN = "ISO-8859-1"
 
 
@@ -47,49 +46,72 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string, int>>, folded into a literal by the optimizer; a piece's map is at its hash modulo BUCKETS."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        maps[xxhash.xxh64_intdigest(text.encode(), seed=42) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """Ranks of joined pairs of tokens by cuckoo hashing: (a << 16 | b) << 16 | rank, in the first table at its key modulo the table's size or in the second at its."""
+    keys = {ranks[p[:k]] << 16 | ranks[p[k:]]: r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
+    size = 2 * len(keys) | 1
+    while True:
+        tables = [[-1] * size, [-1] * (size + 2)]
+        for entry in (k << 16 | r for k, r in keys.items()):
+            for kick in range(500):
+                t = tables[kick & 1]
+                at = (entry >> 16) % len(t)
+                t[at], entry = entry, t[at]
+                if entry < 0:
+                    break
+            else:
+                break
+        else:
+            return tuple(tables)
+        size += 10
+
+
+class RankMap:
+    """The literal rank map as a column, to be bound to a lambda variable: struct of the two tables."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values()) >= NO_RANK:
+            raise ValueError("ids of more than 16 bits don't fit the pair table")
+        first, second = pair_table(ranks)
+        self.sizes = len(first), len(second)
+        self.literal = F.from_json(F.lit(json.dumps([first, second])), "array<array<bigint>>")
 
-def _rank(ranks: Column, piece: Column) -> Column:
-    return F.try_element_at(F.element_at(ranks, (F.pmod(F.xxhash64(piece), F.lit(BUCKETS)) + 1).cast("int")), piece)
+    def pair(self, tables: Column, a: Column, b: Column) -> Column:
+        """The rank of two neighbouring tokens joined, or null."""
+        key = F.shiftleft(a, 16).bitwiseOR(b)
+        entries = [F.get(F.get(tables, F.lit(t)), (key % F.lit(size)).cast("int")) for t, size in enumerate(self.sizes)]
+        one, two = [(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(65535).cast("bigint"))) for e in entries]
+        return F.when(*one).when(*two)
 
 
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _merge_at(ranks: Column, parts: Column, found: Column, k: Column) -> Column:
-    """The state after merging parts k and k + 1 (from 1); `found` has the rank of each part joined to the next."""
-    n = F.size(parts)
-    piece = F.concat(F.get(parts, k - 1), F.get(parts, k))
-    none = F.array().cast("array<int>")
-    left = F.when(k > 1, F.array(_rank(ranks, F.concat(F.get(parts, k - 2), piece)))).otherwise(none)
-    right = F.when(k + 1 < n, F.array(_rank(ranks, F.concat(piece, F.get(parts, k + 1))))).otherwise(none)
-    return F.struct(F.concat(F.slice(parts, 1, k - 1), F.array(piece), F.slice(parts, k + 2, n)).alias("p"),
-                    F.concat(F.slice(found, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(found, k + 2, n)).alias("r"))
+def encode_word(ranks: RankMap, tables: Column, word: Column) -> Column:
+    """array<bigint> of token ids of a word given as the ids of its single bytes.
 
+    The state is one number for each token: the rank of its join with the next << 40 | its first
+    byte's place << 16 | its id. The least of them is the next merge, leftmost among equal ranks.
+    """
+    wide = lambda n: F.lit(n).cast("bigint")
+    token = lambda e: e.bitwiseAND(wide(0xFFFF))
+    ranked = lambda a, b: F.shiftleft(F.coalesce(ranks.pair(tables, a, b), wide(NO_RANK)), 40)
+    none = F.array().cast("array<bigint>")
 
-def encode_word(ranks: Column, word: Column) -> Column:
-    """array<int> of a word of Latin-1 characters, one for each byte."""
-    parts = F.split(word, "")
+    def merge(s: Column, least: Column, k: Column) -> Column:
+        """Joins the tokens k and k + 1 (from 1); the id of the joined token is its rank."""
+        best, before = F.shiftright(least, 40), F.get(s, k - 2)
+        joined = ranked(best, token(F.get(s, k + 1))).bitwiseOR(least.bitwiseAND(wide(0xFFFFFF0000))).bitwiseOR(best)
+        left = F.when(k > 1, F.array(ranked(token(before), best).bitwiseOR(before.bitwiseAND(wide(0xFFFFFFFFFF))), joined)).otherwise(F.array(joined))
+        return F.concat(F.when(k > 2, F.slice(s, 1, k - 2)).otherwise(none), left, F.slice(s, k + 2, F.size(s)))
 
-    def fold(parts: Column) -> Column:
-        n = F.size(parts)
-        pairs = F.zip_with(F.slice(parts, 1, n - 1), F.slice(parts, 2, n - 1), lambda a, b: _rank(ranks, F.concat(a, b)))
-        start = F.struct(parts.alias("p"), pairs.alias("r"))
-        step = lambda s, _: F.when(F.array_min(s["r"]).isNull(), s).otherwise(_let(F.array_position(s["r"], F.array_min(s["r"])).cast("int"), lambda k: _merge_at(ranks, s["p"], s["r"], k)))
-        merged = F.aggregate(F.sequence(F.lit(2), n), start, step)
-        return F.transform(merged["p"], lambda x: _rank(ranks, x))
+    def step(s: Column, _: Column) -> Column:
+        return _let(F.array_min(s), lambda least: F.when(least >= wide(NO_RANK << 40), s).otherwise(_let(F.array_position(s, least).cast("int"), lambda k: merge(s, least, k))))
 
-    whole = _rank(ranks, word)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(parts, fold))
+    start = F.transform(word, lambda x, i: ranked(x, F.get(word, i + 1)).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x))
+    return F.transform(F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step), token)
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -123,21 +145,26 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Numbers(dict):
-    """Numbers of words in order of appearance; words beyond WORD_BYTES get negative ones."""
+    """Numbers of words in order of appearance; words that are one token, or beyond WORD_BYTES, get negative ones."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.short, self.long = ranks, [], []
+        self.ranks, self.short, self.known = ranks, [], []
 
     def __missing__(self, word: str) -> int:
         data = word.encode()
-        if len(data) > WORD_BYTES:
-            self.long.append(merge_long(data, self.ranks))
-            self[word] = -len(self.long)
+        if data in self.ranks or len(data) > WORD_BYTES:
+            self.known.append([self.ranks[data]] if data in self.ranks else merge_long(data, self.ranks))
+            self[word] = -len(self.known)
         else:
-            self.short.append(data.decode("latin-1"))
+            self.short.append(data)
             self[word] = len(self.short) - 1
         return self[word]
 
+    def bytes_by_id(self, ids: np.ndarray) -> pa.Array:
+        """The words to be folded, as arrays of the ids of their bytes."""
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.short), np.int32, len(self.short)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[np.frombuffer(b"".join(self.short), np.uint8)], pa.int64()))
+
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
@@ -146,7 +173,7 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-_BLOCK = pa.schema([("rows", pa.binary()), ("words", pa.list_(pa.string())), ("long", pa.list_(pa.list_(pa.int32()))), ("numbers", pa.binary()), ("lengths", pa.binary())])
+_BLOCK = pa.schema([("rows", pa.binary()), ("words", pa.list_(pa.list_(pa.int64()))), ("known", pa.list_(pa.list_(pa.int32()))), ("numbers", pa.binary()), ("lengths", pa.binary())])
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -163,6 +190,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(cut)
+        by_byte = np.array([shared.value[bytes([k])] for k in range(256)], np.int64)
         for batch in batches:
             texts, begin = batch.column("b_text"), 0
             while begin < batch.num_rows:
@@ -174,23 +202,25 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                     sequences.append(np.fromiter(map(numbers.__getitem__, found), np.int32))
                     lengths.append(len(sequences[-1]))
                 rows = batch.select(list(keep)).slice(begin, len(lengths))
-                yield pa.RecordBatch.from_pydict({"rows": [_ipc(rows)], "words": [numbers.short], "long": [numbers.long], "numbers": [np.concatenate(sequences).tobytes()], "lengths": [np.array(lengths, np.int32).tobytes()]}, schema=_BLOCK)
+                words = numbers.bytes_by_id(by_byte)
+                yield pa.RecordBatch.from_arrays([pa.array([_ipc(rows)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([numbers.known], pa.list_(pa.list_(pa.int32()))),
+                                                  pa.array([np.concatenate(sequences).tobytes()], pa.binary()), pa.array([np.array(lengths, np.int32).tobytes()], pa.binary())], schema=_BLOCK)
                 begin += len(lengths)
 
     def strung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 numbers, lengths = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in ("numbers", "lengths"))
-                short, long = batch.column("coded")[k].values, batch.column("long")[k].values
+                folded, known = batch.column("coded")[k].values, batch.column("known")[k].values
                 starts, flat = [], []
                 base = 0
-                for part in (short, long):
+                for part in (folded, known):
                     offsets = part.offsets.to_numpy().astype(np.int64) if len(part) else np.zeros(1, np.int64)
                     flat.append(part.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.int32))
                     starts.append(offsets - offsets[0] + base)
                     base += int(offsets[-1] - offsets[0])
                 ids_of = np.concatenate(flat)
-                at = np.where(numbers >= 0, numbers, len(starts[0]) - 1 - numbers)  # long word -1 is the first of the second part
+                at = np.where(numbers >= 0, numbers, len(starts[0]) - 1 - numbers)  # -1 is the first of the second part
                 edges = np.concatenate(starts)
                 first, size = edges[at], edges[at + 1] - edges[at] if len(at) else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(size)])
@@ -200,8 +230,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                 digests = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(digests)], [*keep, "token_ids", "ids_sha256"])
 
-    cut_up = docs.select(*keep, F.col(text_col).alias("b_text")).mapInArrow(blocks, "rows binary, words array<string>, long array<array<int>>, numbers binary, lengths binary")
-    coded = cut_up.select("rows", "long", "numbers", "lengths", _let(rank_literal(ranks), lambda r: F.transform("words", lambda w: encode_word(r, w))).alias("coded"))
+    cut_up = docs.select(*keep, F.col(text_col).alias("b_text")).mapInArrow(blocks, "rows binary, words array<array<bigint>>, known array<array<int>>, numbers binary, lengths binary")
+    ranked = RankMap(ranks)
+    coded = cut_up.select("rows", "known", "numbers", "lengths", _let(ranked.literal, lambda tables: F.transform("words", lambda w: encode_word(ranked, tables, w))).alias("coded"))
     out = StructType([*kept.fields, *StructType.fromDDL("token_ids array<int>, ids_sha256 string").fields])
     return coded.mapInArrow(strung, out)
 

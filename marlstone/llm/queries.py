@@ -10,6 +10,7 @@ _OPERATORS = {
     "op4_url_filter": "url_filter",
     "op5_line_dedup": "line_dedup",
     "op6_token_count": "token_count",
+    "op7_byte_bpe": "byte_bpe",
     "op8_tiff_media": "tiff",
     "op9_decontaminate": "decontaminate",
 }
