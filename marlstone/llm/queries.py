@@ -13,6 +13,7 @@ _OPERATORS = {
     "op7_byte_bpe": "byte_bpe",
     "op8_tiff_media": "tiff",
     "op9_decontaminate": "decontaminate",
+    "op10_html_extraction": "wrapper_html",
 }
 
 
