@@ -6,6 +6,7 @@ from importlib import import_module
 
 _OPERATORS = {
     "op1_quality_classifier": "quality",
+    "op2_license_scan": "license_scan",
     "op3_minhash_dedup": "near_dedup",
     "op4_url_filter": "url_filter",
     "op5_line_dedup": "line_dedup",
