@@ -351,16 +351,16 @@ def value_vote(spark, d):
 
 # Samples of problems.
 
-@_query(f"WITH {b.PROBLEMS} SELECT id, level FROM problems ORDER BY sha256('0:' || id), id LIMIT 50")
+@_query(f"WITH {b.PROBLEMS} SELECT id, coalesce(level, -1) AS level FROM problems ORDER BY sha256('0:' || id), id LIMIT 50")
 def hash_sample(spark, d):
-    return sampling.hash_sample(b.problems(spark, d), 50, 0).select("id", "level")
+    return sampling.hash_sample(b.problems(spark, d), 50, 0).select("id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 @_query(f"""WITH {b.PROBLEMS}, s AS (SELECT coalesce(level, -1) AS k, count(*) AS c FROM problems GROUP BY 1), q AS (SELECT k, c, sum(c) OVER () AS t, (200 * c) // sum(c) OVER () AS base, (200 * c) % sum(c) OVER () AS rest FROM s),
 z AS (SELECT k, CASE WHEN t <= 200 THEN c ELSE base + (row_number() OVER (ORDER BY rest DESC, k) <= 200 - sum(base) OVER ())::INT END AS quota FROM q),
-r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(level, -1) ORDER BY sha256('1:' || id), id) AS p FROM problems) SELECT id, level FROM r JOIN z ON coalesce(level, -1) = k WHERE p <= quota""")
+r AS (SELECT *, row_number() OVER (PARTITION BY coalesce(level, -1) ORDER BY sha256('1:' || id), id) AS p FROM problems) SELECT id, coalesce(level, -1) AS level FROM r JOIN z ON coalesce(level, -1) = k WHERE p <= quota""")
 def stratified_sample(spark, d):
-    return sampling.stratified_sample(b.problems(spark, d), 200, 1).select("id", "level")
+    return sampling.stratified_sample(b.problems(spark, d), 200, 1).select("id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 # Texts.

@@ -57,7 +57,7 @@ def math_train(rows: DataFrame, subject: str) -> DataFrame:
 def aime(rows: DataFrame, year: int) -> DataFrame:
     """From columns idx, problem, answer and, if there is one, url, which names the exam; else numbers beyond 15 are the second exam's."""
     idx = F.col("idx").cast("int")
-    exam = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"AIME_(I{1,2})\b", 1) if "url" in rows.columns else F.lit("")
+    exam = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"AIME_(I{1,2})(?![A-Za-z])", 1) if "url" in rows.columns else F.lit("")
     second = idx > 15
     name = F.when(exam != "", exam).when(second, "II").otherwise("I")
     number = F.when(second, idx - 15).otherwise(idx)

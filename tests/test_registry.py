@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_queries_equal_their_sql(spark):
     import duckdb
+    import numpy as np
     import pandas as pd
 
     from marlstone.plans import queries as q
@@ -25,7 +26,7 @@ def test_queries_equal_their_sql(spark):
 
     def rows(frame):
         frame = frame[sorted(frame.columns)]
-        return sorted(str([None if pd.isna(v) else round(v, 9) if isinstance(v, float) else v.item() if hasattr(v, "item") else v for v in r]) for r in frame.itertuples(index=False))
+        return sorted(str([None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float, np.number)) else str(v) for v in r]) for r in frame.itertuples(index=False))
 
     for name in ("dedupe_latest_success", "main_table", "judge_metrics", "vote_curve", "stratified_sample", "greedy_dedupe", "puct_select", "rate_limit_schedule"):
         assert rows(q.queries()[name](spark, SF).toPandas()) == rows(con.sql(q.oracle_sql()[name]).df()), name
