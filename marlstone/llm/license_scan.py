@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import table
+from marlstone.llm.common import table, tidy
 from marlstone.llm.decontaminate import words
 
 THRESHOLD = 0.9
@@ -93,9 +93,11 @@ class Templates:
             known = [b for b in pairs if b in self.index]
             if known and (hit := self.best(pairs)):
                 found.append((k, k, hit[1], hit[0]))
-            if pairs and len(known) >= LIKE * len(pairs) or run and k < len(lines) and not ws:
+            if pairs and len(known) >= LIKE * len(pairs) or run and k < len(lines) and not pairs:
                 run.append(k)
             elif run:
+                while len(units[run[-1]]) < 2:  # lines of a word or none only continue a run
+                    run.pop()
                 self._add(found, units, run[0], run[-1])
                 run = []
         if len(lines) > 1 and sum(map(len, units)) - 1 <= 64 * self.largest:
@@ -113,6 +115,7 @@ def _map(docs: DataFrame, keep: tuple[str, ...], text_col: str, fields: str, kin
     """rows_of(matches) gives the rows for one document."""
     schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(fields).fields])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, threshold)
         for batch in batches:

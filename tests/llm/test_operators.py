@@ -1,0 +1,349 @@
+"""Each operator against brute force, a library or an exact round trip, with nulls, empty and long texts, repeats and empty tables."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts, source=lambda k: "s", extra=False):
+    rows = [(k, t, "en", source(k), len(t or "")) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    # names that the operators use themselves
+    return df.withColumns({c: F.lit("x") for c in ("n", "fp", "key", "score", "kept", "tk", "host", "ld_bad2", "rows", "words")}) if extra else df
+
+
+def prose(rng, n, vocabulary=3000):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def odd_texts():
+    return [None, "", " ", "\n\n", "one", "a b c d", "a b c d", "é ß 日本 😀", "x" * 5000, "\x00\x1c\x85", "word " * 3000]
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# Quality.
+
+def test_quality_learns_from_positives_and_unlabelled_text(spark):
+    from marlstone.llm import quality
+
+    rng = random.Random(1)
+    good = [prose(rng, 60) + "." for _ in range(300)]
+    bad = ["SPAM!! " * rng.randrange(20, 60) for _ in range(120)]
+    docs = documents(spark, good + bad + odd_texts(), extra=True)
+    labels = spark.createDataFrame([(k, int(k < 300), 0) for k in range(0, 420, 2)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    rows = {r.doc_id: r for r in quality.score_documents(docs, model).collect()}
+    assert len(rows) == 420 + len(odd_texts())
+    assert np.mean([rows[k].predicted == (k < 300) for k in range(1, 420, 2)]) > 0.95
+    assert all(0 <= r.score <= 1 for r in rows.values())
+    assert quality.score_documents(empty(spark), model).count() == 0
+    nothing = quality.train(empty(spark), labels.limit(0))
+    assert {r.score for r in quality.score_documents(docs, nothing).collect()} == {quality.DEFAULT_PRIOR}
+
+
+def test_risk_gradient_matches_differences():
+    from marlstone.llm.quality import risk_gradient
+
+    zp, zu = np.array([0.3, -1.0]), np.array([2.0, 1.5, -0.2])
+    _, gp, gu = risk_gradient(zp, zu, 0.4)
+    for z, g, k in ((zp, gp, 0), (zu, gu, 1)):
+        for i in range(len(z)):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            a, b = (risk_gradient(x, zu, 0.4)[0] if k == 0 else risk_gradient(zp, x, 0.4)[0] for x in (up, down))
+            assert abs((a - b) / 2e-6 - g[i]) < 1e-5
+
+
+# Licences.
+
+def test_license_scan_finds_lines_runs_and_whole_texts(spark):
+    from marlstone.llm import license_scan as ls
+
+    mit = next(t for n, t in ls.TEMPLATES if n == "mit" and len(t) > 100)
+    wrapped = mit.replace(", ", ",\n")
+    texts = ["prose\nReleased under the MIT License.\nmore", "intro of a file\n" + wrapped + "\ncode follows here", "Released under the BSD Licence", *odd_texts()]
+    docs = documents(spark, texts, extra=True)
+    got = {r.doc_id: r for r in ls.scan_licenses(docs).collect()}
+    assert (got[0].license, got[0].n_matches) == ("mit", 1) and got[1].license == "mit" and got[2].license is None
+    assert len(got) == len(texts) and all(r.n_matches == 0 for k, r in got.items() if k > 2)
+    spans = {(r.doc_id, r.first_line) for r in ls.license_spans(docs).collect()}
+    assert spans == {(0, 1), (1, 1)}
+    assert ls.scan_licenses(empty(spark)).count() == 0
+
+
+def test_license_bounds_drop_no_match():
+    from marlstone.llm import license_scan as ls
+
+    rng, known = random.Random(2), ls.Templates(ls.TEMPLATES)
+    for _, text in ls.TEMPLATES:
+        for _ in range(20):
+            ws = [w for w in ls.words(text.encode()) if rng.random() > 0.05]
+            unit = ls.bigrams(ws)
+            brute = max(2 * len(unit & s) / (len(unit) + len(s)) for s in (ls.bigrams(ls.words(t.encode())) for _, t in ls.TEMPLATES)) if unit else 0
+            found = known.best(unit)
+            assert (found[0] if found else 0) == (brute if brute >= ls.THRESHOLD else 0)
+
+
+# Near duplicates.
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k)) for k in range(len(texts))}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    from marlstone.llm import near_dedup
+
+    rng, texts = random.Random(3), []
+    for _ in range(12):
+        base = prose(rng, rng.randrange(30, 200)).split()
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [prose(rng, 50) for _ in range(20)] + odd_texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(documents(spark, texts, extra=True)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_near_duplicates_with_null_ids_repeats_and_nothing(spark):
+    from marlstone.llm import near_dedup
+
+    rows = [(None, "a b c d e f", "", "", 0), (5, "a b c d e f", "", "", 0), (5, "a b c d e f", "", "", 0), (7, "x", "", "", 0), (None, "y", "", "", 0)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == sorted([(None, 5, False), (5, 5, True), (5, 5, True), (7, 7, True), (None, None, True)], key=str)
+    assert near_dedup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_sketch_fills_and_estimates():
+    from marlstone.llm.near_dedup import T, sketch
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 60, 3000):
+        assert sketch(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))).max() < np.iinfo(np.uint64).max
+    common, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (800, 100, 100))
+    same = (sketch(np.concatenate([common, a])) == sketch(np.concatenate([common, b]))).sum() / T
+    assert abs(same - 0.8) < 0.15
+
+
+# Urls.
+
+def test_url_filter_equals_a_scan_of_all_rules(spark):
+    from marlstone.llm import url_filter as uf
+
+    rng = random.Random(5)
+    hosts = ["com", "example.com", "www.example.com", "a.b.example.net", "example.net", "x.org", "community.org", "EXAMPLE.com", "xexample.com", ""]
+    paths = ["", "/", "/en/", "/en/7", "/en/712?x#y", "/de/8", "/de/9", "/es/1", "?q=/en/", "#/en/"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(200)] + [None, "", "no scheme/en/", "://", "http://a://b/en/"]
+    pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.filter_urls(pages, uf.RULES).collect()}
+    for k, u in enumerate(urls):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h), len(p), h + p, a) for a, h, p in uf.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[k] == (host, path, *((max(fits)[2], max(fits)[3]) if fits else (None, "allow"))), u
+    assert uf.filter_urls(pages.limit(0), uf.RULES).count() == 0 and uf.filter_urls(pages, []).count() == len(urls)
+
+
+# Lines.
+
+def test_line_dedup_drops_lines_by_site(spark, monkeypatch):
+    from marlstone.llm import line_dedup as ld
+
+    texts = [f"menu\nbody {k}\n\n" + ("rare" if k < 3 else "x") for k in range(30)] + [None, "", "menu"]
+    docs = documents(spark, texts, source=lambda k: None if k % 2 else "a", extra=True)
+    for bound in (ld.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(ld, "BROADCAST_BYTES", bound)
+        got = {r.doc_id: r for r in ld.drop_boilerplate(docs).collect()}
+        assert len(got) == len(texts)
+        assert got[0].text == "body 0\n\nrare" and got[9].text == "body 9\n" and got[9].ld_dropped == 2
+        assert got[30].text is None and got[31].text == "" and got[32].text == ""
+    assert ld.drop_boilerplate(empty(spark)).count() == 0
+
+
+# Tokens.
+
+ALPHABET = ["a", "b", "the", "ing", "th", " ", "  ", "\n", "\t", "é", "▁", "😀", "\x00", "<s>", "日", "本", "1", "2024", "//", "--", "ß"]
+
+
+def test_token_counts_equal_the_library(spark):
+    import sentencepiece
+
+    from marlstone.llm import token_count as tc
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(800)] + ["the quick" * 2000 + " " * 9000 + "x" * 9999, *odd_texts()]
+    path = public_tokenizers.path(tc.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r.doc_id: r for r in tc.count_tokens(documents(spark, texts, extra=True), path).collect()}
+    assert [got[k].n_tokens for k in range(len(texts))] == [len(library.encode(t or "")) for t in texts]
+    assert [got[k].n_bytes for k in range(len(texts))] == [len((t or "").encode()) for t in texts]
+
+
+def test_chunk_maps_compose_to_the_whole():
+    from marlstone.llm import token_count as tc
+
+    machine, rng = tc.Transducer(tc.Vocabulary.load(public_tokenizers.path(tc.MODEL))), random.Random(7)
+    for _ in range(50):
+        text = "".join(rng.choice(ALPHABET) for _ in range(80)).replace(" ", tc.SPACE)
+        size = rng.randrange(1, 9)
+        maps = [machine.chunk_map(text[k:k + size]) for k in range(0, len(text), size)]
+        for k, m in enumerate(machine.scan(maps)):
+            state, n = machine.run(machine.start, m.head)
+            n += m.tail[1] if m.tail else 0
+            assert n == machine.run(machine.start, text[:(k + 1) * size])[1]
+
+
+def test_byte_bpe_equals_the_library_and_round_trips(spark):
+    import tiktoken
+
+    from marlstone.llm import byte_bpe as bb
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([*ALPHABET, "'s", "’", "٣", "½", "\x1c", "　"]) for _ in range(rng.randrange(60))) for _ in range(300)] + ["ab" * 4000, *odd_texts()]
+    path = public_tokenizers.path(bb.RANKS)
+    ranks = bb.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = documents(spark, texts, extra=True)
+    got = {r.doc_id: r for r in bb.round_trip(docs, path, public_tokenizers.PATTERN).collect()}
+    for k, t in enumerate(texts):
+        ids = library.encode_ordinary(t or "")
+        assert (got[k].n_tokens, got[k].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bb.round_trip(empty(spark), path, public_tokenizers.PATTERN).count() == 0
+
+
+# Media.
+
+@pytest.mark.parametrize("compression", [1, 5, 8, 32773])
+@pytest.mark.parametrize("predictor", [1, 2])
+@pytest.mark.parametrize("tile", [None, (16, 32)])
+def test_tiff_round_trip(compression, predictor, tile):
+    from marlstone.llm import tiff
+
+    rng = np.random.default_rng(9)
+    for order in "<>":
+        for kind in (np.uint8, np.uint16):
+            pages = [rng.integers(0, 200, shape).astype(kind) for shape in ((70, 64, 1), (1, 1, 3), (33, 100, 3))]
+            got = list(tiff.read_pages(tiff.write_tiff(pages, compression, predictor, 16, tile, order)))
+            assert [p.pixels for p in got] == [p.tobytes() for p in pages]
+
+
+def test_tiff_pages_and_digests(spark):
+    import zlib
+
+    from marlstone.llm import tiff
+
+    file = tiff.write_tiff([np.ones((4, 4), np.uint8), np.zeros((2, 2), np.uint8)])
+    files = spark.createDataFrame([(1, bytearray(file)), (2, None), (3, bytearray(b"II")), (4, bytearray(file[:-8])), (5, bytearray(b""))], "id long, data binary")
+    rows = [(r.id, r.page, r.error is None) for r in tiff.tiff_pages(files, "id", "data").collect()]
+    assert rows[:2] == [(1, 0, True), (1, 1, True)] and {r[0] for r in rows if not r[2]} == {3, 4, 5}
+    for t in odd_texts():
+        data = (t or "").encode()
+        padded = data + bytes(-len(data) % 64 if data else 64)
+        n, size, sha, crc, *_ = tiff._digests(data)
+        assert (n, size, sha, crc) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+# Decontamination.
+
+def test_decontamination_equals_brute_force(spark):
+    from marlstone.llm import decontaminate as dc
+
+    rng = random.Random(10)
+    items = [prose(rng, n, 40) for n in (13, 20, 5, 1, 30)] + ["", None]
+    texts = []
+    for _ in range(40):
+        ws = prose(rng, rng.randrange(5, 120), 40).split()
+        item = (rng.choice(items[:5])).split()
+        at = rng.randrange(len(ws))
+        texts.append(" ".join([*ws[:at], *item[rng.randrange(3):], *ws[at:]]).upper())
+    texts += odd_texts()
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r for r in dc.match_benchmark(documents(spark, texts, extra=True), bench, block_bytes=2000).collect()}
+    windows = {}
+    for k, t in enumerate(items):
+        ws = dc.words((t or "").encode())
+        for i in range(max(1, len(ws) - 12) if ws else 0):
+            windows.setdefault(tuple(ws[i:i + 13]), set()).add(str(k))
+    for k, t in enumerate(texts):
+        ws, hit, found = dc.words((t or "").encode()), set(), set()
+        for w, names in windows.items():
+            for i in range(len(ws) - len(w) + 1):
+                if tuple(ws[i:i + len(w)]) == w:
+                    hit.update(range(i, i + len(w)))
+                    found |= names
+        r = got[k]
+        assert (r.n_words, r.n_hit, r.n_items) == (len(ws), len(hit), len(found))
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(ws))
+    assert dc.match_benchmark(empty(spark), bench).count() == 0
+    assert dc.match_benchmark(documents(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_proximity_matches():
+    from marlstone.llm import decontaminate as dc
+
+    part = dc.make_part([("1", [b"a", b"b", b"c"])])
+    index = dc.Index([[b"c", b"x", b"a", b"b"], [b"a", b"x", b"x", b"b", b"c"], [b"a", b"b"]], part)
+    assert index.near(part, 4) == [(0, 0)] and index.near(part, 5) == [(0, 0), (0, 1)]
+
+
+# Pages.
+
+def test_html_extraction(spark):
+    from marlstone.llm import wrapper_html as wh
+
+    page = "<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><ul><li>Menu</ul></nav><article><h1>Head &amp; more {k}</h1><p>one <b>t</b>wo<br>three<p>four {k}</p><div class='comments'><p>no</p></div></article><aside>no</aside><footer>no</footer></body></html>"
+    pages = [("http://a.com/" + str(k), page.replace("{k}", str(k))) for k in range(6)]
+    pages += [("http://b.com/1", "<div class=ad>x</div><p>plain"), (None, None), ("x", ""), ("http://a.com/9", "<div>" * 3000 + "deep"), ("http://c.com", "a < b <c"), ("http://a.com/1", "<p title='")]
+    df = spark.createDataFrame([(k, u, h, "w") for k, (u, h) in enumerate(pages)], "page_id long, url string, html string, w_key string")
+    for bound in (wh.BROADCAST_BYTES, -1):
+        wh.BROADCAST_BYTES, kept = bound, wh.BROADCAST_BYTES
+        got = {r.page_id: r.text for r in wh.extract_main_text(df).collect()}
+        wh.BROADCAST_BYTES = kept
+        assert [got[k] for k in range(6)] == [f"Head & more {k}\none two three\nfour {k}" for k in range(6)]
+        assert (got[6], got[7], got[8], got[9]) == ("plain", "", "", "deep") and len(got) == len(pages)
+    assert wh.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_wrappers_generalise():
+    from marlstone.llm import wrapper_html as wh
+
+    a, b = (wh.infer(wh.parse(h)) for h in ("<h1>x</h1><p>1<p>2", "<p>3<div>d</div>"))
+    w = wh.align(a, b)
+    assert [(i[3], i[1], i[2]) for i in w] == [("h1", 1, 0), ("p", 0, 1), ("div", 1, 0)]
+    group = wh.infer(wh.parse("<h2>a</h2><p>b</p><h2>c</h2><p>d</p>"))
+    assert [i[0] for i in group] == ["g"] and [x[3] for x in group[0][2]] == ["h2", "p"]
+    many = wh.align([["e", 0, 0, f"x{k}", 0, []] for k in range(200)], [["e", 0, 0, f"y{k}", 0, []] for k in range(200)])
+    assert many[0][0] == "g" and len(many[0][2]) == 400
