@@ -7,7 +7,9 @@ set of more than T log T elements needs about one pass, not T as with plain MinH
 concentration of the estimate. Two coordinates are equal with the sets' Jaccard similarity.
 
 Documents of equal shingle sets are one class, so copies cost one row each. The classes that share a
-band are not paired with each other: each is paired with the smallest class of that band. Pairs whose
+band are not paired with each other at first. Each band has a centre, the class that meets most others
+over all its bands, as the source of many copies does where copies differ more from each other; a class
+is paired with the few centres that it shares most bands with. Pairs whose
 sketches agree in too few coordinates to be similar by any likely chance go; the others are verified on
 their full shingle sets. Verified links give components. Only where a band's classes lie in several
 components after that, pairs of classes from different components remain, and they are verified in the
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Written, doc_columns, table
+from marlstone.llm.common import Written, doc_columns, table, tidy
 from marlstone.llm.components import connected_components
 
 SHINGLE = 5
@@ -33,8 +35,10 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 T = BANDS * ROWS
-#: Equal coordinates (of T, by 8 bits each) from which a pair is verified: at similarity 0.75 fewer come 6 standard deviations below the mean.
-MIN_EQUAL = T // 2
+#: Equal coordinates (of T, by 8 bits each) from which a pair is verified; at similarity 0.75 there are 96, and fewer than these come 4.7 standard deviations below.
+MIN_EQUAL = 73
+#: Centres that a class is verified against at first; what they leave in several components is verified pair by pair.
+CENTRES = 3
 #: Bytes of a written key list up to which it is broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -56,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -100,6 +104,7 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return _mix((coordinates.reshape(BANDS, ROWS) * _ROW).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
+@tidy
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks, sizes, coarse, keys = [], [], [], []
@@ -118,6 +123,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(coarse, pa.list_(pa.int8())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tk", "fp", "n", "sketch", "bands"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
@@ -170,13 +176,20 @@ class _Job:
         return out
 
     def components(self) -> Written:
-        centres = Written(self.band_rows().groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("members")).where("members > 1"), "centres")
-        members = Written(self.band_rows().join(centres.df, "key").select("key", F.col("fp").alias("a"), "b", "members"), "members")
-        star = Written(self.alike(members.df.where("a <> b").select("a", "b").distinct()), "star")
+        shared = Written(self.band_rows().groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+        members = Written(self.band_rows().join(shared.df, "key").select("key", F.col("fp").alias("a"), "members"), "members")
+        # the class that meets most others is the likeliest source of the copies in its bands
+        weights = Written(members.df.groupBy("a").agg(F.sum("members").alias("weight")), "weights")
+        centres = Written(members.df.join(weights.df, "a").groupBy("key").agg(F.max(F.struct("weight", F.col("a").alias("b"))).alias("centre")), "centres")
+        # a class meets at most BANDS centres; those that it shares most bands with are the most similar
+        met = members.df.join(centres.df, "key").select("a", "centre.b", "centre.weight").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("bands"), F.max("weight").alias("weight"))
+        ranked = met.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("bands", "weight", "b")), asc=False).alias("met"))
+        nearest = ranked.select("a", F.explode(F.slice("met", 1, CENTRES)).alias("c")).select("a", "c.b")
+        star = Written(self.alike(nearest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "star")
         links = self.verified(star)
         found = connected_components(links.df)
-        # bands of three classes or more that lie in several components: the pairs besides those with the centre
-        m = members.df.where("members > 2").select("key", "a").join(found.df.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        # bands whose classes lie in several components: all pairs of those that may be similar, besides the ones verified
+        m = members.df.select("key", "a").join(found.df.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
         m = Written(m, "members")
         split = Written(m.df.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "split")
         if split.df.limit(1).count():
@@ -194,7 +207,7 @@ class _Job:
                 found = joined
             rest.drop()
             more.drop()
-        for w in (centres, members, star, links, m, split):
+        for w in (shared, weights, centres, members, star, links, m, split):
             w.drop()
         return found
 
