@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import doc_columns, table
+from marlstone.llm.common import doc_columns, table, tidy
 
 WINDOW = 13
 #: Share of a document's words in matches from which it counts as contaminated: 1 / SHARE.
@@ -201,6 +201,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
                 pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, i in found], pa.string()),
                 pa.array([hit > 0 and SHARE * hit >= n for n, (hit, _) in zip(lengths, found)], pa.bool_())]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("c_text").cast(pa.binary())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import doc_columns, table
+from marlstone.llm.common import doc_columns, table, tidy
 
 #: Bounds of the sample that the classifier is fitted on.
 MAX_POSITIVE = 20_000
@@ -126,6 +126,7 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)), F.lit(HELD_OUT_FOLD))
 
 
+@tidy
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = feature_matrix(batch.column("text").cast(pa.binary()).to_pylist())
@@ -158,6 +159,7 @@ def score_documents(docs: DataFrame, model: Classifier, keep: tuple[str, ...] =
     shared = spark.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = shared.value.scores(feature_matrix(batch.column("q_text").cast(pa.binary()).to_pylist()))

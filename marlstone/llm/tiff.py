@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
+from marlstone.llm.common import table, tidy
 
 # Fixed values of the format.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -263,6 +263,7 @@ def tiff_pages(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
     schema = StructType([files.schema[id_col], *StructType.fromDDL(PAGE_SCHEMA).fields])
     names = schema.names[1:]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, kind = batch.column(0), batch.column(1)
@@ -316,6 +317,7 @@ def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = StructType([docs.schema["doc_id"], *fields.fields])
     kinds = [pa.string() if f.dataType.simpleString() == "string" else pa.int64() for f in fields]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_digests(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]

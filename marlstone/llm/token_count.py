@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
+from marlstone.llm.common import table, tidy
 
 MODEL = "piece_bpe_32k.model"
 MAX_TOKENS = 4096
@@ -240,6 +240,7 @@ def count_tokens(docs: DataFrame, model_path: str, max_tokens: int = MAX_TOKENS,
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(model_path))  # a vocabulary file's size
     out = docs.select(id_col).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _MACHINES.get(model_path) or _MACHINES.setdefault(model_path, Transducer(vocabulary.value))
         for batch in batches:
