@@ -28,13 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import table
+from marlstone.llm.common import table, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block; longest word that the fold takes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 WORD_BYTES = 256
 NO_RANK = 65535
+#: Bounds of the texts whose words are folded beforehand, so that later blocks fold only what those lack; they bound what is broadcast.
+COMMON_TEXTS, COMMON_CHARS = 4000, 20_000
+#: Documents strung together at a time.
+STRUNG = 256
 LATIN = "ISO-8859-1"
 
 
@@ -115,10 +119,10 @@ def encode_word(ranks: RankMap, tables: Column, word: Column) -> Column:
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of array<int>; null for null. An id beyond the vocabulary is an error."""
+    """The bytes of array<int>; null for null. Ids beyond the vocabulary have no bytes."""
     by_id = {rank: piece.decode("latin-1") for piece, rank in ranks.items()}
     pieces = F.from_json(F.lit(json.dumps([by_id.get(k) for k in range(max(by_id) + 1)])), "array<string>")
-    joined = _let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), ""))
+    joined = _let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))
     return F.encode(joined, LATIN)
 
 
@@ -144,15 +148,35 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[k:end[k]]] for k in range(n) if alive[k]]
 
 
+class CommonWords:
+    """Words with their ids, the ids of all in one array."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        new = [k for k, w in enumerate(words) if w not in self.numbers]
+        sizes = np.diff(ends)[new]
+        starts = ends[:-1][new] - ends[0]
+        steps = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids[np.repeat(starts - steps[:-1], sizes) + np.arange(steps[-1])].astype(np.int32)])
+        self.numbers.update(zip((words[k] for k in new), range(len(self.numbers), len(self.numbers) + len(new))))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + steps[1:]])
+
+
 class _Numbers(dict):
-    """Numbers of words in order of appearance; words that are one token, or beyond WORD_BYTES, get negative ones."""
+    """Numbers of words in order of appearance; words that are one token, folded before, or beyond WORD_BYTES, get negative ones."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.short, self.known = ranks, [], []
+    def __init__(self, ranks: dict[bytes, int], common: CommonWords):
+        self.ranks, self.common, self.short, self.known = ranks, common, [], []
 
     def __missing__(self, word: str) -> int:
         data = word.encode()
-        if data in self.ranks or len(data) > WORD_BYTES:
+        if (k := self.common.numbers.get(word)) is not None:
+            self.known.append(self.common.ids[self.common.ends[k]:self.common.ends[k + 1]])
+            self[word] = -len(self.known)
+        elif data in self.ranks or len(data) > WORD_BYTES:
             self.known.append([self.ranks[data]] if data in self.ranks else merge_long(data, self.ranks))
             self[word] = -len(self.known)
         else:
@@ -176,37 +200,68 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
 _BLOCK = pa.schema([("rows", pa.binary()), ("words", pa.list_(pa.list_(pa.int64()))), ("known", pa.list_(pa.list_(pa.int32()))), ("numbers", pa.binary()), ("lengths", pa.binary())])
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns in `keep`, token_ids array<int> and ids_sha256 for every row; null and empty texts have no tokens.
+_BLOCK_FIELDS = "rows binary, words array<array<bigint>>, known array<array<int>>, numbers binary, lengths binary"
 
-    Each match of the pattern is encoded by itself, without special tokens. ids_sha256 is of the ids as
-    little-endian unsigned 32-bit integers.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)  # a vocabulary file's size
-    kept = docs.select(*keep).schema
+
+def _blocks(docs: DataFrame, shared, common, pattern: str, keep: list[str], block_bytes: int) -> DataFrame:
+    """One row for each block of documents: the kept columns, the words to be folded, the words that are known, and the documents' words by number."""
     # white space as Unicode has it, not as Python
     cut = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(cut)
         by_byte = np.array([shared.value[bytes([k])] for k in range(256)], np.int64)
         for batch in batches:
             texts, begin = batch.column("b_text"), 0
             while begin < batch.num_rows:
-                numbers, sequences, lengths, size = _Numbers(shared.value), [], [], 0
+                numbers, sequences, lengths, size = _Numbers(shared.value, common.value if common else CommonWords()), [], [], 0
                 while begin + len(lengths) < batch.num_rows and size < block_bytes:
                     text = texts[begin + len(lengths)].as_py() or ""
                     size += len(text)
                     found = (m.group() for m in compiled.finditer(text)) if len(text) > 1 << 20 else compiled.findall(text)
                     sequences.append(np.fromiter(map(numbers.__getitem__, found), np.int32))
                     lengths.append(len(sequences[-1]))
-                rows = batch.select(list(keep)).slice(begin, len(lengths))
+                rows = batch.select(keep).slice(begin, len(lengths))
                 words = numbers.bytes_by_id(by_byte)
                 yield pa.RecordBatch.from_arrays([pa.array([_ipc(rows)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([numbers.known], pa.list_(pa.list_(pa.int32()))),
                                                   pa.array([np.concatenate(sequences).tobytes()], pa.binary()), pa.array([np.array(lengths, np.int32).tobytes()], pa.binary())], schema=_BLOCK)
                 begin += len(lengths)
 
+    return docs.mapInArrow(run, _BLOCK_FIELDS)
+
+
+def common_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared, pattern: str, text_col: str = "text") -> CommonWords:
+    """Words of a bounded number of bounded texts with their ids, folded by Spark; it only saves folding them again."""
+    few = docs.select(F.col(text_col).alias("b_text")).where(F.length(text_col) <= COMMON_CHARS).limit(COMMON_TEXTS).repartition(6)
+    got = _blocks(few, shared, None, pattern, [], BLOCK_BYTES).select(F.col("words").cast("array<array<int>>").alias("words"), folded.cast("array<array<int>>").alias("coded")).toArrow()
+    byte_of = np.zeros(max(ranks.values()) + 1, np.uint8)
+    for k in range(256):
+        byte_of[ranks[bytes([k])]] = k
+    out = CommonWords()
+    for words, coded in zip(got["words"], got["coded"]):
+        if len(words):
+            ends = words.values.offsets.to_numpy()
+            data = byte_of[words.values.flatten().to_numpy()].tobytes()
+            ends = ends - ends[0]
+            out.add([data[a:b].decode() for a, b in zip(ends[:-1], ends[1:])], coded.values.flatten().to_numpy(), coded.values.offsets.to_numpy().astype(np.int64))
+    return out
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns in `keep`, token_ids array<int> and ids_sha256 for every row; null and empty texts have no tokens.
+
+    Each match of the pattern is encoded by itself, without special tokens. ids_sha256 is of the ids as
+    little-endian unsigned 32-bit integers. Repeated rows stay repeated; other columns aren't read.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(ranks)  # a vocabulary file's size
+    kept = docs.select(*keep).schema
+    ranked = RankMap(ranks)
+    folded = _let(ranked.literal, lambda tables: F.transform("words", lambda w: encode_word(ranked, tables, w)))
+    common = spark.sparkContext.broadcast(common_words(docs, ranks, folded, shared, pattern, text_col))
+
+    @tidy
     def strung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -222,17 +277,20 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                 ids_of = np.concatenate(flat)
                 at = np.where(numbers >= 0, numbers, len(starts[0]) - 1 - numbers)  # -1 is the first of the second part
                 edges = np.concatenate(starts)
-                first, size = edges[at], edges[at + 1] - edges[at] if len(at) else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                ids = ids_of[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-                offsets = ends[np.concatenate([[0], np.cumsum(lengths)])]
                 rows = pa.ipc.open_stream(batch.column("rows")[k].as_py()).read_all().combine_chunks().to_batches()[0]
-                digests = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(digests)], [*keep, "token_ids", "ids_sha256"])
-
-    cut_up = docs.select(*keep, F.col(text_col).alias("b_text")).mapInArrow(blocks, "rows binary, words array<array<bigint>>, known array<array<int>>, numbers binary, lengths binary")
-    ranked = RankMap(ranks)
-    coded = cut_up.select("rows", "known", "numbers", "lengths", _let(ranked.literal, lambda tables: F.transform("words", lambda w: encode_word(ranked, tables, w))).alias("coded"))
+                places = np.concatenate([[0], np.cumsum(lengths)])
+                for begin in range(0, len(lengths), STRUNG):
+                    end = min(begin + STRUNG, len(lengths))
+                    here = at[places[begin]:places[end]]
+                    first, size = edges[here], edges[here + 1] - edges[here]
+                    ends = np.concatenate([[0], np.cumsum(size)])
+                    ids = ids_of[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+                    offsets = ends[places[begin:end + 1] - places[begin]]
+                    digests = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
+                    yield pa.RecordBatch.from_arrays([*rows.slice(begin, end - begin).columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(digests)], [*keep, "token_ids", "ids_sha256"])
+
+    cut_up = _blocks(docs.select(*keep, F.col(text_col).alias("b_text")), shared, common, pattern, list(keep), block_bytes)
+    coded = cut_up.select("rows", "known", "numbers", "lengths", folded.alias("coded"))
     out = StructType([*kept.fields, *StructType.fromDDL("token_ids array<int>, ids_sha256 string").fields])
     return coded.mapInArrow(strung, out)
 
