@@ -338,7 +338,7 @@ def best_of_n(spark, d):
 SELECT problem_id, 'sc' AS method, c.size AS n, w.answer, c.tokens, 0.0::DOUBLE AS usd FROM c JOIN h USING (problem_id) LEFT JOIN w USING (problem_id, size) WHERE c.size <= have
 UNION ALL SELECT problem_id, 'bon', size, bo.answer, c.tokens, round(u * size / have, 12) FROM bo JOIN c USING (problem_id, size) JOIN h USING (problem_id) WHERE size <= have""")
 def expand_curves(spark, d):
-    return votes.expand_curves(b.samples(spark, d), _SIZES).select("problem_id", "method", "n", "answer", "tokens", F.round("usd", 9).alias("usd"))
+    return votes.expand_curves(b.samples(spark, d), _SIZES).select("problem_id", "method", "n", "answer", "tokens", F.round("usd", 12).alias("usd"))
 
 
 @_query(f"""WITH {b.TREE}, g AS (SELECT tree_id, lower(regexp_replace(final_answer, '\\s+', '', 'g')) AS norm, sum(N * value) AS score, sum(N)::BIGINT AS visits FROM tree WHERE terminal GROUP BY ALL)
