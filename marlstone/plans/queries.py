@@ -395,6 +395,34 @@ def greedy_dedupe(spark, d):
     return _first_lines(spark, d).select("doc_id", F.array_join(candidates.greedy_mapping(F.col("c")), ",").alias("mapping"))
 
 
+# The three above hold to the first lines, as their SQL does; these take every line of each text.
+
+_ALL_LINES = "lines AS (SELECT doc_id, p::INT AS p, ls[p] AS x FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+
+
+def _lines(spark, d):
+    return b.table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("c"))
+
+
+@_query(f"WITH {_ALL_LINES} SELECT doc_id, p, md5({_NSTEP}) AS digest FROM lines")
+def normalize_step_whole(spark, d):
+    return _lines(spark, d).select("doc_id", F.posexplode("c").alias("p", "x")).select("doc_id", (F.col("p") + 1).alias("p"), F.md5(text.normalize_step(F.col("x"))).alias("digest"))
+
+
+@_query(f"""WITH {_ALL_LINES}, t AS (SELECT doc_id, p, list_distinct(list_filter(string_split_regex({_NSTEP}, {_WS}), lambda w: w <> '')) AS k FROM lines)
+SELECT a.doc_id, a.p, round(CASE WHEN len(a.k) + len(z.k) = 0 THEN 1.0 ELSE len(list_intersect(a.k, z.k)) / (len(a.k) + len(z.k) - len(list_intersect(a.k, z.k)))::DOUBLE END, 6) AS similarity FROM t a JOIN t z ON a.doc_id = z.doc_id AND z.p = a.p + 1""")
+def jaccard_neighbours(spark, d):
+    """Each line with the next one."""
+    pairs = F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("x"), F.slice("c", 2, F.size("c") - 1).alias("y"))
+    f = _lines(spark, d).where(F.size("c") >= 2).select("doc_id", F.posexplode(pairs).alias("p", "pair"))
+    return f.select("doc_id", (F.col("p") + 1).alias("p"), F.round(text.jaccard(text.normalize_step(F.col("pair.x")), text.normalize_step(F.col("pair.y"))), 6).alias("similarity"))
+
+
+@_query()
+def greedy_dedupe_whole(spark, d):
+    return _lines(spark, d).select("doc_id", F.array_join(candidates.greedy_mapping(F.col("c")), ",").alias("mapping"))
+
+
 @_query("WITH t AS (SELECT conv_id, list(text ORDER BY turn, text) AS s FROM conversations GROUP BY conv_id) SELECT conv_id::VARCHAR AS problem_id, md5(array_to_string(list_transform(s, lambda x, i: 'Step ' || i || ': ' || regexp_replace(x, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10)), '')) AS digest FROM t")
 def format_steps(spark, d):
     return b.traces(spark, d).select("problem_id", F.md5(text.format_steps(F.col("steps"))).alias("digest"))

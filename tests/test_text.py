@@ -79,3 +79,44 @@ def test_probabilities(spark):
     assert one(probability.least_step_score(arr(), F.lit(0))) == 0.5
     with pytest.raises(Exception, match="not a score"):
         one(probability.least_step_score(arr(1), F.lit(2)))
+
+
+def test_whole_texts_are_normalised_and_deduplicated(spark, tmp_path):
+    import hashlib
+
+    from marlstone.plans import queries as q
+
+    lines = ["Step 1: Add  the two.", "b c", "", "d e f", "g", "add the two", "h i j k l m n o p q", "B  C;", "h i j k l m n o p q r", "G.", "s"]
+    texts = ["\n".join(lines), "\n".join(lines[::-1]), "one", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = {"Step 1: Add  the two.": "add the two", "B  C;": "b c", "G.": "g"}
+
+    def brute(ls):
+        kept, mapping = [], []
+        for n in (norm.get(x, x) for x in ls):
+            at = next((k for k, m in enumerate(kept) if m == n or len(set(m.split()) & set(n.split())) >= 0.9 * len(set(m.split()) | set(n.split()))), None)
+            mapping.append(-1 if not n else at if at is not None else len(kept))
+            if n and at is None:
+                kept.append(n)
+        return mapping
+
+    got = {r.doc_id: r.mapping for r in q.queries()["greedy_dedupe_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else ",".join(map(str, brute(t.split("\n")))) for k, t in enumerate(texts)}
+    assert got[0] == "0,1,-1,2,3,0,4,1,4,3,5"
+    digests = {(r.doc_id, r.p): r.digest for r in q.queries()["normalize_step_whole"](spark, str(tmp_path)).collect()}
+    assert digests == {(k, p): hashlib.md5(norm.get(x, x).encode()).hexdigest() for k, t in enumerate(texts) if t is not None for p, x in enumerate(t.split("\n"), 1)}
+    pairs = {(r.doc_id, r.p): r.similarity for r in q.queries()["jaccard_neighbours"](spark, str(tmp_path)).collect()}
+    assert len(pairs) == 20 and pairs[(0, 8)] == 0 and pairs[(1, 9)] == 0
+
+
+def test_whole_text_queries_equal_their_sql(spark):
+    import duckdb
+
+    from marlstone.plans import queries as q
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    for name in ("normalize_step_whole", "jaccard_neighbours"):
+        got = sorted(tuple(r) for r in q.queries()[name](spark, d).collect())
+        assert got == sorted(con.sql(q.oracle_sql()[name]).fetchall()) and len(got) > 500, name
