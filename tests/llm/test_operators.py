@@ -347,3 +347,20 @@ def test_wrappers_generalise():
     assert [i[0] for i in group] == ["g"] and [x[3] for x in group[0][2]] == ["h2", "p"]
     many = wh.align([["e", 0, 0, f"x{k}", 0, []] for k in range(200)], [["e", 0, 0, f"y{k}", 0, []] for k in range(200)])
     assert many[0][0] == "g" and len(many[0][2]) == 400
+
+
+def test_template_texts_are_a_share_of_different_pages(spark):
+    from marlstone.llm import wrapper_html as wh
+
+    copies = [("http://a.com", "<h1>One</h1><p>the only page</p>")] * 12
+    cells = [("http://b.com", "<h1>Two</h1><table><tr>" + "<td>0</td>" * 12 + "</tr></table>")]
+    few = [("http://c.com", f"<h1>Page {k}</h1><div>All the same</div><p>text {k}</p>") for k in range(3)]
+    half = [("http://d.com", f"<h1>Page {k}</h1>" + "<div>Sometimes</div>" * (k < 2) + f"<p>text {k}</p>") for k in range(4)] + [("http://d.com", "<h1>Page 0</h1><div>Sometimes</div><p>text 0</p>")] * 20
+    long = [("http://e.com", f"<h1>Page {k}</h1><div>{'notice ' * 60}</div><p>text {k}</p>") for k in range(300)]
+    pages = [*copies, *cells, *few, *half, *long]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wh.extract_main_text(df).collect()}
+    assert all(got[k] == "One\nthe only page" for k in range(12)) and got[12] == "\n".join(["Two", *["0"] * 12])
+    assert [got[13 + k] for k in range(3)] == [f"Page {k}\ntext {k}" for k in range(3)]
+    assert [got[16 + k] for k in range(4)] == ["Page 0\nSometimes\ntext 0", "Page 1\nSometimes\ntext 1", "Page 2\ntext 2", "Page 3\ntext 3"] and got[39] == got[16]
+    assert [got[40 + k] for k in range(300)] == [f"Page {k}\ntext {k}" for k in range(300)]
