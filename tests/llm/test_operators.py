@@ -364,3 +364,14 @@ def test_template_texts_are_a_share_of_different_pages(spark):
     assert [got[13 + k] for k in range(3)] == [f"Page {k}\ntext {k}" for k in range(3)]
     assert [got[16 + k] for k in range(4)] == ["Page 0\nSometimes\ntext 0", "Page 1\nSometimes\ntext 1", "Page 2\ntext 2", "Page 3\ntext 3"] and got[39] == got[16]
     assert [got[40 + k] for k in range(300)] == [f"Page {k}\ntext {k}" for k in range(300)]
+
+
+def test_wrappers_choose_the_slots_of_articles(spark):
+    from marlstone.llm import wrapper_html as wh
+
+    page = "<body><article><h1>Head {k}</h1><div>Buy our tea</div><section><p>body {k}<p>all say so</section><span>Read <b>on</b></span></article><div>outside</div></body>"
+    pages = [("http://a.com", page.replace("{k}", str(k))) for k in range(5)] + [("http://b.com", page.replace("{k}", "x"))] * 3
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in wh.extract_main_text(df).collect()}
+    assert [got[k] for k in range(5)] == [f"Head {k}\nbody {k}\nall say so" for k in range(5)]
+    assert got[5] == got[6] == got[7] == "Head x\nBuy our tea\nbody x\nall say so\nRead on"
