@@ -1,16 +1,19 @@
 """Licence scans: normalised text is compared with licence templates by the Dice coefficient over word bigrams.
 
-Of a text, three kinds of unit are compared: each line, each run of lines that consist mostly of
-bigrams of templates, and the whole text. A unit of n distinct bigrams can reach the coefficient t with
+Of a text, these units are compared: each line, each run of lines that consist mostly of bigrams of
+templates, each window of lines in such a run, and the whole text. A unit of n distinct bigrams can reach the coefficient t with
 a template of m only if t / (2 - t) <= n / m <= (2 - t) / t, so templates are held by size and those
 outside the bounds are never compared; of the rest, an index from bigrams to templates finds those that
-share any. One narrow pass, no shuffle.
+share any. Windows are found by going backwards over a run's lines with its distinct bigrams in the
+order in which they are first met from the line on: a window ends at one of the first few, as a window
+of more distinct bigrams than the largest template allows can't match. One narrow pass, no shuffle.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,14 +101,69 @@ class Templates:
             elif run:
                 while len(units[run[-1]]) < 2:  # lines of a word or none only continue a run
                     run.pop()
+                for first, last in self._windows(units, run[0], run[-1]):
+                    self._add(found, units, first, last)
                 self._add(found, units, run[0], run[-1])
                 run = []
-        if len(lines) > 1 and sum(map(len, units)) - 1 <= 64 * self.largest:
-            self._add(found, units, 0, len(lines) - 1)
+        self._add(found, units, 0, len(lines) - 1)
         return found
 
+    def _windows(self, units: list[list[bytes]], first: int, last: int) -> list[tuple[int, int]]:
+        """Windows of lines that match a template: the best by coefficient, then the shortest, that don't overlap, in order."""
+        if last <= first:
+            return []
+        lines = [k for k in range(first, last + 1) for _ in units[k]]
+        ws = [w for k in range(first, last + 1) for w in units[k]]
+        pairs = list(zip(ws, ws[1:]))
+        inside = Counter(k for b in set(pairs) if b in self.index for k in self.index[b])
+        possible = {k for k, c in inside.items() if c >= self.bounds[k][0] - 1e-9}
+        if not possible:
+            return []
+        largest = max(self.bounds[k][1] for k in possible)
+        # distinct bigrams of the lines from here on with the line each first ends in, the nearest last
+        ends: dict[tuple[bytes, bytes], int] = {}
+        found: list[tuple[float, int, int]] = []
+        at = len(pairs) - 1
+        while at >= 0:
+            line = lines[at]
+            while at >= 0 and lines[at] == line:
+                ends.pop(pairs[at], None)
+                ends[pairs[at]] = lines[at + 1]
+                at -= 1
+            n, shared, end = 0, dict.fromkeys(possible, 0), line
+            for b, e in chain(reversed(ends.items()), ((None, last + 1),)):
+                if e != end:
+                    hits = [2 * c / (n + self.sizes[k]) for k, c in shared.items() if 2 * c >= self.threshold * (n + self.sizes[k])]
+                    if hits and end > line:
+                        found.append((max(hits), line, end))
+                    end = e
+                n += 1
+                if n > largest:
+                    break
+                for k in self.index.get(b, ()):
+                    if k in shared:
+                        shared[k] += 1
+        taken: list[tuple[int, int]] = []
+        used = bytearray(last + 1 - first)
+        for _, i, j in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if not any(used[i - first:j + 1 - first]):
+                used[i - first:j + 1 - first] = b"\1" * (j + 1 - i)
+                taken.append((i, j))
+        return sorted(taken)
+
+    def _bigrams(self, units: list[list[bytes]], first: int, last: int) -> set[tuple[bytes, bytes]]:
+        """Those of the lines as one text, as far as there are not too many for any template."""
+        out: set[tuple[bytes, bytes]] = set()
+        before: list[bytes] = []
+        for ws in units[first:last + 1]:
+            out.update(zip(before + ws, (before + ws)[1:]))
+            if len(out) > self.largest:
+                break
+            before = ws[-1:] or before
+        return out
+
     def _add(self, found: list, units: list[list[bytes]], first: int, last: int) -> None:
-        hit = self.best(bigrams([w for ws in units[first:last + 1] for w in ws])) if last > first else None
+        hit = self.best(self._bigrams(units, first, last)) if last > first else None
         inner = [x for x in found if first <= x[0] and x[1] <= last]
         if hit and all(hit[0] >= x[3] for x in inner):
             found[:] = [x for x in found if x not in inner] + [(first, last, hit[1], hit[0])]

@@ -96,6 +96,44 @@ def test_license_bounds_drop_no_match():
             assert (found[0] if found else 0) == (brute if brute >= ls.THRESHOLD else 0)
 
 
+def test_license_scan_finds_neighbouring_texts():
+    from marlstone.llm import license_scan as ls
+
+    rng, known = random.Random(3), ls.Templates(ls.TEMPLATES)
+    full = [(n, t) for n, t in ls.TEMPLATES if len(ls.words(t.encode())) > 40]
+
+    def wrap(text):
+        ws, out = text.split(), []
+        while ws:
+            n = rng.randrange(6, 14)
+            out.append(" ".join(ws[:n]))
+            ws = ws[n:]
+        return out
+
+    for a, x in full:
+        for b, y in full:
+            if {a, b} == {"bsd-2-clause", "bsd-3-clause"}:  # one contains most of the other
+                continue
+            for gap in ([], ["", ""]):
+                got = {name for _, _, name, dice in known.scan("\n".join(["prose before it", *wrap(x), *gap, *wrap(y), "and after it"]).encode()) if dice >= ls.THRESHOLD}
+                assert {a, b} <= got, (a, b, got)
+    # windows are those of brute force
+    for _ in range(6):
+        lines = [w for _ in range(2) for w in wrap(" ".join(w for w in rng.choice(full)[1].split() if rng.random() > 0.02))]
+        lines.insert(rng.randrange(len(lines)), "")
+        lines += [lines[0]] * 3
+        units = [ls.words(w.encode()) for w in lines]
+        every = [(-h[0], j - i, i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if (h := known.best(ls.bigrams([w for ws in units[i:j + 1] for w in ws])))]
+        taken = []
+        for _, _, i, j in sorted(every):
+            if all(j < p or q < i for p, q in taken):
+                taken.append((i, j))
+        assert known._windows(units, 0, len(lines) - 1) == sorted(taken) and taken
+    # a long text of few distinct bigrams is compared as a whole
+    mit = next(t for n, t in full if n == "mit")
+    assert known.scan("\n".join([mit] * 300).encode()) != [] and {x[2] for x in known.scan("\n".join(("filler " * 3 + mit).split() * 100).encode())} == {"mit"}
+
+
 # Near duplicates.
 
 def brute_components(texts):
