@@ -5,7 +5,8 @@ each term of the benchmark, the sorted positions where it occurs (terms that no
 be in no match and only take up a position). Every benchmark window then starts from the list of its
 rarest term in the block, and is intersected with the offset-adjusted lists of its other terms, from
 rare to frequent, all windows of a step at once. What survives all steps is an exact phrase match.
-Proximity matches (all terms within a span, in any order) use the same lists.
+Proximity matches (all terms within a span, in any order) use the same lists; `benchmark_matches` returns
+both kinds with their places. The postings of a block are used where they are made and aren't stored.
 
 Blocks are made where the data lies: nothing is shuffled, no document meets another, and a block's
 memory is bounded by its size. The benchmark is cut into parts of a bounded number of words; each part
@@ -122,7 +123,14 @@ class Index:
         return live[row], start
 
     def near(self, part: Part, span: int) -> list[tuple[int, int]]:
-        """(window, document) where all terms of a window lie within `span` words, in any order; found around its rarest term."""
+        """(window, document) where all terms of a window lie within `span` words, in any order."""
+        return list(dict.fromkeys((w, d) for w, d, _ in self.near_at(part, span)))
+
+    def near_at(self, part: Part, span: int) -> list[tuple[int, int, int]]:
+        """(window, document, place in it) of each word from which on `span` words have all terms of a window, the word being one of them; found around its rarest term.
+
+        Gaps between documents have to be `span` - 1 words at least.
+        """
         out = []
         for w in range(len(part.terms)):
             terms = np.unique(part.terms[w][part.terms[w] >= 0])
@@ -132,17 +140,15 @@ class Index:
                 continue
             hit = set()
             for p in lists[0]:
-                d = int(np.searchsorted(self.starts, p, "right")) - 1
-                if d in hit:
-                    continue
                 around = [x[np.searchsorted(x, p - span + 1):np.searchsorted(x, p + span)] for x in lists]
                 if any(not len(x) for x in around):
                     continue
                 for begin in np.unique(np.concatenate(around)):
                     if begin <= p < begin + span and all(((x >= begin) & (x < begin + span)).any() for x in around):
-                        hit.add(d)
-                        break
-            out += [(w, d) for d in sorted(hit)]
+                        hit.add(int(begin))
+            for begin in sorted(hit):
+                d = int(np.searchsorted(self.starts, begin, "right")) - 1
+                out.append((w, d, begin - int(self.starts[d])))
         return out
 
 
@@ -218,6 +224,49 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     return docs.select(*keep, F.col(text_col).alias("c_text")).mapInArrow(run, schema)
 
 
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, span: int = 2 * WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns in `keep`, item, start and kind: one row for each match of an item's windows in a row's text.
+
+    `start` counts words from 0. Kind `phrase` is an exact occurrence of a window, `near` a word from
+    which on `span` words have all terms of a window in any order, the word being one of them; a phrase
+    not longer than the span is a near match too. Windows, nulls and repeats are as in `match_benchmark`.
+    """
+    from pyspark.sql.types import StructType
+
+    spark = docs.sparkSession
+    parts = [spark.sparkContext.broadcast(p) for p in benchmark_parts(benchmark)]
+    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL("item string, start long, kind string").fields])
+
+    def results(documents: list[list[bytes]]) -> list[tuple[int, str, int, str]]:
+        found = set()
+        for part in (p.value for p in parts):
+            index = Index(documents, part, max(WINDOW, span))
+            window, at = index.phrases(part)
+            doc = np.searchsorted(index.starts, at, "right") - 1
+            matches = [(w, d, s, "phrase") for w, d, s in zip(window.tolist(), doc.tolist(), (at - index.starts[doc]).tolist())]
+            matches += [(w, d, s, "near") for w, d, s in index.near_at(part, span)]
+            found.update((d, item, s, kind) for w, d, s, kind in matches for item in part.items[w])
+        return sorted(found)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("c_text").cast(pa.binary())
+            begin = 0
+            while begin < batch.num_rows:
+                block, size = [], 0
+                while begin + len(block) < batch.num_rows and size < block_bytes:
+                    text = texts[begin + len(block)].as_py()
+                    size += len(text or b"")
+                    block.append(words(text))
+                rows = results(block)
+                at = pa.array([begin + r[0] for r in rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), *(pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.string()), (2, pa.int64()), (3, pa.string())))], schema.names)
+                begin += len(block)
+
+    return docs.select(*keep, F.col(text_col).alias("c_text")).mapInArrow(run, schema)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -413,3 +413,28 @@ def test_wrappers_choose_the_slots_of_articles(spark):
     got = {r.page_id: r.text for r in wh.extract_main_text(df).collect()}
     assert [got[k] for k in range(5)] == [f"Head {k}\nbody {k}\nall say so" for k in range(5)]
     assert got[5] == got[6] == got[7] == "Head x\nBuy our tea\nbody x\nall say so\nRead on"
+
+
+# Places of benchmark items.
+
+def test_benchmark_matches_give_phrases_and_proximity(spark):
+    from marlstone.llm import decontaminate as dc
+
+    rng = random.Random(5)
+    words = lambda n, v: [f"w{rng.randrange(v)}" for _ in range(n)]
+    items = {"1": words(dc.WINDOW + 2, 400), "2": ["q", "r", "s"], "3": ["q", "r", "s"], "4": []}
+    texts = [words(30, 400) + items["1"] + words(10, 400), ["x", "s", "y", "r", "z", "q", "u", "q", "r", "s"], ["q"], ["r", "s"], items["1"][::-1], [], words(40, 6) + ["q", "s", "s", "r"]]
+    docs = documents(spark, [" ".join(t) for t in texts] + [None])
+    benchmark = spark.createDataFrame([(int(k), " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    for span in (5, 2 * dc.WINDOW):
+        want = set()
+        for item, ws in items.items():
+            for k in range(max(1, len(ws) - dc.WINDOW + 1) if ws else 0):
+                window = ws[k:k + dc.WINDOW]
+                for d, t in enumerate(texts):
+                    want |= {(d, item, s, "phrase") for s in range(len(t)) if t[s:s + len(window)] == window}
+                    want |= {(d, item, s, "near") for s in range(len(t)) if t[s] in window and set(window) <= set(t[s:s + span])}
+        for bound in (dc.BLOCK_BYTES, 1):
+            got = [tuple(r) for r in dc.benchmark_matches(docs, benchmark, span, block_bytes=bound).collect()]
+            assert sorted(got) == sorted(want) and {k for *_, k in want} == {"phrase", "near"}
+    assert dc.benchmark_matches(empty(spark), benchmark).count() == 0
