@@ -111,8 +111,8 @@ def by_depth(rows: DataFrame, aggregates: dict[str, Column], buckets: list[tuple
     return labels.join(found, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, n_boot: int = N_BOOT, seed: int = 0, score: str = "score", label: str = "label", soft: str = "soft") -> DataFrame:
-    """(b, auroc, brier) of draws of whole clusters; a cluster drawn twice weighs twice instead of being copied.
+def cluster_bootstrap(rows: DataFrame, cluster: str, n_boot: int = N_BOOT, seed: int = 0, score: str = "score", label: str = "label", soft: str = "soft", n_bins: int = N_BINS) -> DataFrame:
+    """(b, auroc, brier, ece) of draws of whole clusters; a cluster drawn twice weighs twice instead of being copied.
 
     The rows of a draw are sums by cluster and score, which are joined with the clusters' weights.
     """
@@ -120,12 +120,13 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, n_boot: int = N_BOOT, seed:
     drawn = resample(clusters, [cluster], [], n_boot, seed)
     weights = drawn.join(numbered(clusters, [cluster], []).select(cluster, "i"), "i").select(cluster, "b", "weight")
     positive = (F.col(label).cast("double") > 0.5).cast("long")
-    sums = rows.groupBy(cluster, F.col(score).alias("s")).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"), F.count("*").alias("c"), F.sum(F.pow(F.col(score) - F.col(soft), 2)).alias("err"))
+    sums = rows.groupBy(cluster, F.col(score).alias("s")).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"), F.count("*").alias("c"), F.sum(F.pow(F.col(score) - F.col(soft), 2)).alias("err"), F.sum(F.col(score) - F.col(soft)).alias("gap"))
     joined = sums.join(F.broadcast(weights) if n_boot <= 10_000 else weights, cluster)
-    by_score = joined.groupBy("b", "s").agg(F.sum(F.col("p") * F.col("weight")).alias("pos"), F.sum(F.col("q") * F.col("weight")).alias("neg"), F.sum(F.col("err") * F.col("weight")).alias("err"), F.sum(F.col("c") * F.col("weight")).alias("c"))
+    by_score = joined.groupBy("b", "s").agg(F.sum(F.col("p") * F.col("weight")).alias("pos"), F.sum(F.col("q") * F.col("weight")).alias("neg"), F.sum(F.col("err") * F.col("weight")).alias("err"), F.sum(F.col("c") * F.col("weight")).alias("c"), F.sum(F.col("gap") * F.col("weight")).alias("gap"))
+    gaps = [F.abs(F.coalesce(F.sum(F.when(bin_index(F.col("s"), n_bins) == k, F.col("gap"))), F.lit(0.0))) for k in range(n_bins)]
     below = F.sum("neg").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
     return by_score.withColumn("area", F.col("pos") * (below + F.col("neg") / 2)).groupBy("b").agg(
-        F.try_divide(F.sum("area"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"), (F.sum("err") / F.sum("c")).alias("brier"))
+        F.try_divide(F.sum("area"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"), (F.sum("err") / F.sum("c")).alias("brier"), (sum(gaps[1:], gaps[0]) / F.sum("c")).alias("ece"))
 
 
 def judge_metrics(rows: DataFrame, groups: list[str], cluster: str = "problem_id") -> DataFrame:
