@@ -19,17 +19,27 @@ def majority_curve(samples: DataFrame, sizes: list[int], keys: tuple[str, ...] =
     Answers are grouped by their normal form, null and blank ones don't vote; most votes win, then the
     answer that came first, whose own spelling is returned.
     """
-    taken = _sizes(samples, sizes).withColumn("norm", norm(F.col("answer")))
-    groups = taken.where("norm <> ''").groupBy(*keys, "size", "norm").agg(F.count("*").alias("votes"), F.min("i").alias("first"), F.min_by("answer", "i").alias("answer"))
-    won = groups.groupBy(*keys, "size").agg(F.max_by(F.struct("answer", "votes"), F.struct("votes", -F.col("first"))).alias("w")).select(*keys, "size", "w.answer", "w.votes")
-    cost = taken.groupBy(*keys, "size").agg(F.sum("tokens").alias("tokens"))
-    return cost.join(won, [*keys, "size"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+    return majority_vote(_sizes(samples, sizes), (*keys, "size"), norm)
+
+
+def majority_vote(samples: DataFrame, keys: tuple[str, ...] = ("problem_id",), norm=normalize_answer) -> DataFrame:
+    """(keys, answer, votes, tokens): as `majority_curve`, over all samples."""
+    taken = samples.withColumn("norm", norm(F.col("answer")))
+    groups = taken.where("norm <> ''").groupBy(*keys, "norm").agg(F.count("*").alias("votes"), F.min("i").alias("first"), F.min_by("answer", "i").alias("answer"))
+    won = groups.groupBy(*keys).agg(F.max_by(F.struct("answer", "votes"), F.struct("votes", -F.col("first"))).alias("w")).select(*keys, "w.answer", "w.votes")
+    cost = taken.groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
+    return cost.join(won, list(keys), "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
 
 
 def best_of_curve(samples: DataFrame, sizes: list[int], keys: tuple[str, ...] = ("problem_id",)) -> DataFrame:
     """(keys, size, answer, score, tokens): the answer (null perhaps) of the best-scored of the first `size` samples, the earliest among equals."""
+    return best_of(_sizes(samples, sizes), (*keys, "size"))
+
+
+def best_of(samples: DataFrame, keys: tuple[str, ...] = ("problem_id",)) -> DataFrame:
+    """(keys, answer, score, tokens): as `best_of_curve`, over all samples."""
     best = F.max_by(F.struct("answer", "score"), F.struct("score", -F.col("i")))
-    return _sizes(samples, sizes).groupBy(*keys, "size").agg(best.alias("b"), F.sum("tokens").alias("tokens")).select(*keys, "size", "b.answer", "b.score", "tokens")
+    return samples.groupBy(*keys).agg(best.alias("b"), F.sum("tokens").alias("tokens")).select(*keys, "b.answer", "b.score", "tokens")
 
 
 def expand_curves(samples: DataFrame, sizes: list[int], keys: tuple[str, ...] = ("problem_id",)) -> DataFrame:

@@ -334,6 +334,20 @@ def best_of_n(spark, d):
     return votes.best_of_curve(b.samples(spark, d), [5]).select("problem_id", "answer", "score")
 
 
+# The votes above hold to the first samples, as their SQL does; these take all samples of a problem.
+
+@_query(f"""WITH {b.SAMPLES}, g AS (SELECT problem_id, lower(answer) AS norm, count(*) AS votes, min(i) AS f, arg_min(answer, i) AS answer FROM samples WHERE answer IS NOT NULL GROUP BY ALL),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY votes DESC, f) AS rn FROM g) WHERE rn = 1)
+SELECT p.problem_id, w.answer, coalesce(votes, 0) AS votes FROM (SELECT DISTINCT problem_id FROM samples) p LEFT JOIN w ON p.problem_id = w.problem_id""")
+def majority_vote_all(spark, d):
+    return votes.majority_vote(b.samples(spark, d)).select("problem_id", "answer", "votes")
+
+
+@_query(f"WITH {b.SAMPLES} SELECT problem_id, answer, score FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, i) AS rn FROM samples) WHERE rn = 1")
+def best_of_all(spark, d):
+    return votes.best_of(b.samples(spark, d)).select("problem_id", "answer", "score")
+
+
 @_query(_VOTE + ", " + _BEST + """, h AS (SELECT problem_id, count(*) AS have, sum(usd) AS u FROM samples GROUP BY problem_id)
 SELECT problem_id, 'sc' AS method, c.size AS n, w.answer, c.tokens, 0.0::DOUBLE AS usd FROM c JOIN h USING (problem_id) LEFT JOIN w USING (problem_id, size) WHERE c.size <= have
 UNION ALL SELECT problem_id, 'bon', size, bo.answer, c.tokens, round(u * size / have, 12) FROM bo JOIN c USING (problem_id, size) JOIN h USING (problem_id) WHERE size <= have""")

@@ -186,3 +186,22 @@ def test_cluster_bootstrap_draws_ece(spark):
             gaps[min(9, int(s * 10))] = gaps.get(min(9, int(s * 10)), 0) + w.get(p, 0) * (s - soft)
             n += w.get(p, 0)
         assert abs(draws[b].ece - sum(map(abs, gaps.values())) / n) < 1e-12
+
+
+def test_votes_over_all_samples(spark):
+    import duckdb
+
+    from marlstone.operators import votes
+    from marlstone.plans import queries as q
+
+    rows = [("p", k, a, s, 1, 0.0) for k, (a, s) in enumerate([("1", 0.2), ("1", 0.1), ("2", 0.3), (None, 0.1), ("3", 0.2), ("2", 0.1), ("2", 0.9), ("4", 0.9)])] + [("q", 0, None, 0.5, 1, 0.0)]
+    df = spark.createDataFrame(rows, "problem_id string, i int, answer string, score double, tokens int, usd double")
+    assert {(r.problem_id, r.answer, r.votes, r.tokens) for r in votes.majority_vote(df).collect()} == {("p", "2", 3, 8), ("q", None, 0, 1)}
+    assert {(r.problem_id, r.answer, r.score, r.tokens) for r in votes.best_of(df).collect()} == {("p", "2", 0.9, 8), ("q", None, 0.5, 1)}
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "customer", "part", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    for name in ("majority_vote_all", "best_of_all", "majority_vote", "best_of_n", "vote_curve", "bon_curve"):
+        got = {tuple(str(x) for x in r) for r in q.queries()[name](spark, d).collect()}
+        assert got == {tuple(str(x) for x in r) for r in con.sql(q.oracle_sql()[name]).fetchall()} and got, name
