@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.byte_bpe import stage_byte_bpe
-from marlstone.llm.common import Written, doc_columns, table
+from marlstone.llm.common import Written, doc_columns, drop_after, table
 from marlstone.llm.decontaminate import stage_decontaminate
 from marlstone.llm.line_dedup import stage_line_dedup
 from marlstone.llm.near_dedup import stage_near_dedup
@@ -24,9 +24,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = doc_columns(table(spark, sf_dir, "documents"))
+    docs, before = doc_columns(table(spark, sf_dir, "documents")), []
     for name, stage in STAGES[:-1]:
-        docs = Written(stage(spark, docs, sf_dir), f"stage-{name}").df
+        mark = len(Written.left)
+        after = Written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_after(mark, after)
+        for w in before:
+            w.drop()
+        docs, before = after.df, [after]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -6,10 +6,12 @@ then folds the ranked merges over the byte array of each distinct word: an `aggr
 best-ranked neighbours, leftmost first, until none is left. The rank map is a literal: two arrays
 addressed by the key of a pair of tokens (cuckoo hashing), as a lookup in a map literal would be
 linear. Document ids are then strung together from those of the words. Decoding maps ids to their byte
-pieces by a literal array and concatenates them. Nothing is shuffled; memory is bounded by a block.
+pieces by a literal array and concatenates them (as Latin-1 strings, one character a byte, since Spark
+joins arrays of strings only). Memory is bounded by a block, and nothing is shuffled.
 
-Words that are one token need no fold. The fold copies its arrays at each merge, so words beyond
-WORD_BYTES are encoded by the same merges with a heap instead.
+Words that are one token need no fold, and the words of a bounded sample of texts are folded once
+beforehand, as most words of a block are among them. The fold copies its arrays at each merge, so words
+beyond WORD_BYTES are encoded by the same merges with a heap instead.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,14 @@ from pyspark.sql.types import StructType
 from marlstone.llm.common import table, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of text in a block; longest word that the fold takes.
-BLOCK_BYTES = 12 << 20
+#: Characters of text in a block; longest word that the fold takes.
+BLOCK_CHARS = 8 << 20
 WORD_BYTES = 256
 NO_RANK = 65535
-#: Bounds of the texts whose words are folded beforehand, so that later blocks fold only what those lack; they bound what is broadcast.
-COMMON_TEXTS, COMMON_CHARS = 4000, 20_000
+#: About how many texts, and of what length at most, give the words that are folded beforehand; so what is broadcast is bounded.
+COMMON_TEXTS, COMMON_CHARS = 12_000, 16_000
+#: Entry of the rank map where no pair is.
+VACANT = 1 << 62
 #: Documents strung together at a time.
 STRUNG = 256
 LATIN = "ISO-8859-1"
@@ -55,13 +59,13 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     keys = {ranks[p[:k]] << 16 | ranks[p[k:]]: r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
     size = 2 * len(keys) | 1
     while True:
-        tables = [[-1] * size, [-1] * (size + 2)]
+        tables = [[VACANT] * size, [VACANT] * (size + 2)]
         for entry in (k << 16 | r for k, r in keys.items()):
             for kick in range(500):
                 t = tables[kick & 1]
                 at = (entry >> 16) % len(t)
                 t[at], entry = entry, t[at]
-                if entry < 0:
+                if entry == VACANT:
                     break
             else:
                 break
@@ -81,11 +85,13 @@ class RankMap:
         self.literal = F.from_json(F.lit(json.dumps([first, second])), "array<array<bigint>>")
 
     def pair(self, tables: Column, a: Column, b: Column) -> Column:
-        """The rank of two neighbouring tokens joined, or null."""
+        """The rank of two neighbouring tokens joined, or NO_RANK; b may be null.
+
+        An entry XOR the key leaves the rank if the entry is the key's, and more than any rank if not.
+        """
         key = F.shiftleft(a, 16).bitwiseOR(b)
-        entries = [F.get(F.get(tables, F.lit(t)), (key % F.lit(size)).cast("int")) for t, size in enumerate(self.sizes)]
-        one, two = [(F.shiftright(e, 16) == key, e.bitwiseAND(F.lit(65535).cast("bigint"))) for e in entries]
-        return F.when(*one).when(*two)
+        entries = [tables[t][key % F.lit(size)].bitwiseXOR(F.shiftleft(key, 16)) for t, size in enumerate(self.sizes)]
+        return F.least(*entries, F.lit(NO_RANK).cast("bigint"))
 
 
 def _let(value: Column, body) -> Column:
@@ -101,7 +107,7 @@ def encode_word(ranks: RankMap, tables: Column, word: Column) -> Column:
     """
     wide = lambda n: F.lit(n).cast("bigint")
     token = lambda e: e.bitwiseAND(wide(0xFFFF))
-    ranked = lambda a, b: F.shiftleft(F.coalesce(ranks.pair(tables, a, b), wide(NO_RANK)), 40)
+    ranked = lambda a, b: F.shiftleft(ranks.pair(tables, a, b), 40)
     none = F.array().cast("array<bigint>")
 
     def merge(s: Column, least: Column, k: Column) -> Column:
@@ -148,41 +154,39 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[k:end[k]]] for k in range(n) if alive[k]]
 
 
-class CommonWords:
-    """Words with their ids, the ids of all in one array."""
+class Known:
+    """The ids of words that are known beforehand, those folded for it and after them one for each token, all in one array."""
 
-    def __init__(self):
-        self.numbers: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.vocabulary = max(ranks.values()) + 1
+        self.ids, self.edges = np.arange(self.vocabulary, dtype=np.int32), np.arange(self.vocabulary + 1, dtype=np.int64)
 
-    def add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        new = [k for k, w in enumerate(words) if w not in self.numbers]
-        sizes = np.diff(ends)[new]
-        starts = ends[:-1][new] - ends[0]
-        steps = np.concatenate([[0], np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, ids[np.repeat(starts - steps[:-1], sizes) + np.arange(steps[-1])].astype(np.int32)])
-        self.numbers.update(zip((words[k] for k in new), range(len(self.numbers), len(self.numbers) + len(new))))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + steps[1:]])
+    def put(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """`ids` are those of the folded words one after the other."""
+        self.ids = np.concatenate([ids.astype(np.int32), self.ids])
+        self.edges = np.concatenate([[0], np.cumsum(np.concatenate([sizes, np.ones(self.vocabulary, np.int64)]))])
 
 
 class _Numbers(dict):
-    """Numbers of words in order of appearance; words that are one token, folded before, or beyond WORD_BYTES, get negative ones."""
+    """Numbers of a block's words in order of appearance; known words get -1 - their number there, words beyond WORD_BYTES go on from these."""
 
-    def __init__(self, ranks: dict[bytes, int], common: CommonWords):
-        self.ranks, self.common, self.short, self.known = ranks, common, [], []
+    def __init__(self, ranks: dict[bytes, int], known: dict[str, int], vocabulary: int):
+        self.ranks, self.known, self.base, self.vocabulary, self.short, self.long = ranks, known, len(known), vocabulary, [], []
 
     def __missing__(self, word: str) -> int:
-        data = word.encode()
-        if (k := self.common.numbers.get(word)) is not None:
-            self.known.append(self.common.ids[self.common.ends[k]:self.common.ends[k + 1]])
-            self[word] = -len(self.known)
-        elif data in self.ranks or len(data) > WORD_BYTES:
-            self.known.append([self.ranks[data]] if data in self.ranks else merge_long(data, self.ranks))
-            self[word] = -len(self.known)
-        else:
-            self.short.append(data)
-            self[word] = len(self.short) - 1
-        return self[word]
+        if (k := self.known.get(word)) is None:
+            data = word.encode()
+            if (rank := self.ranks.get(data)) is not None:
+                k = self.base + rank
+            elif len(data) > WORD_BYTES:
+                self.long.append(merge_long(data, self.ranks))
+                k = self.base + self.vocabulary + len(self.long) - 1
+            else:
+                self.short.append(data)
+                self[word] = len(self.short) - 1
+                return len(self.short) - 1
+        self[word] = -1 - k
+        return -1 - k
 
     def bytes_by_id(self, ids: np.ndarray) -> pa.Array:
         """The words to be folded, as arrays of the ids of their bytes."""
@@ -197,58 +201,91 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-_BLOCK = pa.schema([("rows", pa.binary()), ("words", pa.list_(pa.list_(pa.int64()))), ("known", pa.list_(pa.list_(pa.int32()))), ("numbers", pa.binary()), ("lengths", pa.binary())])
+_BLOCK = pa.schema([("rows", pa.binary()), ("words", pa.list_(pa.list_(pa.int64()))), ("long", pa.list_(pa.list_(pa.int32()))), ("numbers", pa.binary()), ("lengths", pa.binary())])
+
 
+_BLOCK_FIELDS = "rows binary, words array<array<bigint>>, long array<array<int>>, numbers binary, lengths binary"
 
-_BLOCK_FIELDS = "rows binary, words array<array<bigint>>, known array<array<int>>, numbers binary, lengths binary"
 
+#: Numbers of known words in a Python worker, by the name of what was broadcast; kept for later tasks.
+_KNOWN: dict[str, dict[str, int]] = {}
 
-def _blocks(docs: DataFrame, shared, common, pattern: str, keep: list[str], block_bytes: int) -> DataFrame:
-    """One row for each block of documents: the kept columns, the words to be folded, the words that are known, and the documents' words by number."""
+
+def _known_numbers(name: str, words) -> dict[str, int]:
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name] = {w: k for k, w in enumerate(words.value)}
+    return _KNOWN[name]
+
+
+def _blocks(docs: DataFrame, shared, words: list[str], pattern: str, keep: list[str], block_chars: int) -> DataFrame:
+    """One row for each block of documents: the kept columns, the words to be folded, the ids of long words, and the documents' words by number."""
     # white space as Unicode has it, not as Python
+    name, given = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(words)
     cut = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(cut)
         by_byte = np.array([shared.value[bytes([k])] for k in range(256)], np.int64)
+        known, vocabulary = _known_numbers(name, given), max(shared.value.values()) + 1
         for batch in batches:
             texts, begin = batch.column("b_text"), 0
             while begin < batch.num_rows:
-                numbers, sequences, lengths, size = _Numbers(shared.value, common.value if common else CommonWords()), [], [], 0
-                while begin + len(lengths) < batch.num_rows and size < block_bytes:
+                numbers, sequences, lengths, size = _Numbers(shared.value, known, vocabulary), [], [], 0
+                while begin + len(lengths) < batch.num_rows and size < block_chars:
                     text = texts[begin + len(lengths)].as_py() or ""
                     size += len(text)
                     found = (m.group() for m in compiled.finditer(text)) if len(text) > 1 << 20 else compiled.findall(text)
                     sequences.append(np.fromiter(map(numbers.__getitem__, found), np.int32))
                     lengths.append(len(sequences[-1]))
                 rows = batch.select(keep).slice(begin, len(lengths))
-                words = numbers.bytes_by_id(by_byte)
-                yield pa.RecordBatch.from_arrays([pa.array([_ipc(rows)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([numbers.known], pa.list_(pa.list_(pa.int32()))),
+                short = numbers.bytes_by_id(by_byte)
+                out = pa.RecordBatch.from_arrays([pa.array([_ipc(rows)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short), pa.array([numbers.long], pa.list_(pa.list_(pa.int32()))),
                                                   pa.array([np.concatenate(sequences).tobytes()], pa.binary()), pa.array([np.array(lengths, np.int32).tobytes()], pa.binary())], schema=_BLOCK)
                 begin += len(lengths)
+                del numbers, sequences, short
+                yield out
 
     return docs.mapInArrow(run, _BLOCK_FIELDS)
 
 
-def common_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared, pattern: str, text_col: str = "text") -> CommonWords:
-    """Words of a bounded number of bounded texts with their ids, folded by Spark; it only saves folding them again."""
-    few = docs.select(F.col(text_col).alias("b_text")).where(F.length(text_col) <= COMMON_CHARS).limit(COMMON_TEXTS).repartition(6)
-    got = _blocks(few, shared, None, pattern, [], BLOCK_BYTES).select(F.col("words").cast("array<array<int>>").alias("words"), folded.cast("array<array<int>>").alias("coded")).toArrow()
-    byte_of = np.zeros(max(ranks.values()) + 1, np.uint8)
+def known_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared, pattern: str, text_col: str = "text") -> tuple[list[str], Known]:
+    """The words of about COMMON_TEXTS texts, chosen by their hash, with the ids that Spark folds; it only saves folding them in each block."""
+    out = Known(ranks)
+    share = min(1.0, COMMON_TEXTS / max(1, docs.count()))
+    few = docs.select(F.col(text_col).alias("b_text")).where(F.length("b_text") <= COMMON_CHARS).where(F.pmod(F.xxhash64("b_text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    got = _blocks(few, shared, [], pattern, [], BLOCK_CHARS).select(F.col("words").cast("array<array<int>>").alias("words"), folded.cast("array<array<int>>").alias("coded")).toArrow()
+    byte_of = np.zeros(out.vocabulary, np.uint8)
     for k in range(256):
         byte_of[ranks[bytes([k])]] = k
-    out = CommonWords()
+    numbers: dict[str, int] = {}
+    ids, sizes = [], []
     for words, coded in zip(got["words"], got["coded"]):
         if len(words):
             ends = words.values.offsets.to_numpy()
             data = byte_of[words.values.flatten().to_numpy()].tobytes()
             ends = ends - ends[0]
-            out.add([data[a:b].decode() for a, b in zip(ends[:-1], ends[1:])], coded.values.flatten().to_numpy(), coded.values.offsets.to_numpy().astype(np.int64))
-    return out
-
-
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            here = [data[a:b].decode() for a, b in zip(ends[:-1], ends[1:])]
+            new = [k for k, w in enumerate(here) if w not in numbers]
+            numbers.update(zip((here[k] for k in new), range(len(numbers), len(numbers) + len(new))))
+            edges, flat = coded.values.offsets.to_numpy().astype(np.int64), coded.values.flatten().to_numpy()
+            edges = edges - edges[0]
+            ids.append(_strung(flat, edges, np.array(new, np.int64))[0])
+            sizes.append(np.diff(edges)[new])
+    if ids:
+        out.put(np.concatenate(ids), np.concatenate(sizes))
+    return list(numbers), out
+
+
+def _strung(ids: np.ndarray, edges: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words `numbers` one after the other, and where each begins; `ids` from edges[k] to edges[k + 1] are those of word k."""
+    first, size = edges[numbers], edges[numbers + 1] - edges[numbers]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return ids[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The columns in `keep`, token_ids array<int> and ids_sha256 for every row; null and empty texts have no tokens.
 
     Each match of the pattern is encoded by itself, without special tokens. ids_sha256 is of the ids as
@@ -259,38 +296,33 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
     kept = docs.select(*keep).schema
     ranked = RankMap(ranks)
     folded = _let(ranked.literal, lambda tables: F.transform("words", lambda w: encode_word(ranked, tables, w)))
-    common = spark.sparkContext.broadcast(common_words(docs, ranks, folded, shared, pattern, text_col))
+    words, ids_known = known_words(docs, ranks, folded, shared, pattern, text_col)
+    known = spark.sparkContext.broadcast(ids_known)
 
     @tidy
     def strung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 numbers, lengths = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in ("numbers", "lengths"))
-                folded, known = batch.column("coded")[k].values, batch.column("known")[k].values
-                starts, flat = [], []
-                base = 0
-                for part in (folded, known):
+                flat, edges = [known.value.ids], [known.value.edges]
+                for part in (batch.column("long")[k].values, batch.column("coded")[k].values):
                     offsets = part.offsets.to_numpy().astype(np.int64) if len(part) else np.zeros(1, np.int64)
                     flat.append(part.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.int32))
-                    starts.append(offsets - offsets[0] + base)
-                    base += int(offsets[-1] - offsets[0])
-                ids_of = np.concatenate(flat)
-                at = np.where(numbers >= 0, numbers, len(starts[0]) - 1 - numbers)  # -1 is the first of the second part
-                edges = np.concatenate(starts)
+                    edges.append(offsets[1:] - offsets[0] + edges[-1][-1])
+                folded_from = sum(map(len, edges[:-1])) - 1
+                ids_of, edges = np.concatenate(flat), np.concatenate(edges)
                 rows = pa.ipc.open_stream(batch.column("rows")[k].as_py()).read_all().combine_chunks().to_batches()[0]
                 places = np.concatenate([[0], np.cumsum(lengths)])
                 for begin in range(0, len(lengths), STRUNG):
                     end = min(begin + STRUNG, len(lengths))
-                    here = at[places[begin]:places[end]]
-                    first, size = edges[here], edges[here + 1] - edges[here]
-                    ends = np.concatenate([[0], np.cumsum(size)])
-                    ids = ids_of[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+                    here = numbers[places[begin]:places[end]].astype(np.int64)
+                    ids, ends = _strung(ids_of, edges, np.where(here >= 0, here + folded_from, -1 - here))
                     offsets = ends[places[begin:end + 1] - places[begin]]
                     digests = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
                     yield pa.RecordBatch.from_arrays([*rows.slice(begin, end - begin).columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(digests)], [*keep, "token_ids", "ids_sha256"])
 
-    cut_up = _blocks(docs.select(*keep, F.col(text_col).alias("b_text")), shared, common, pattern, list(keep), block_bytes)
-    coded = cut_up.select("rows", "known", "numbers", "lengths", folded.alias("coded"))
+    cut_up = _blocks(docs.select(*keep, F.col(text_col).alias("b_text")), shared, words, pattern, list(keep), block_chars)
+    coded = cut_up.select("rows", "long", "numbers", "lengths", folded.alias("coded"))
     out = StructType([*kept.fields, *StructType.fromDDL("token_ids array<int>, ids_sha256 string").fields])
     return coded.mapInArrow(strung, out)
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.shared import Written, drop_after, shared_dir  # noqa: F401
+
 #: The columns of `documents`, which every filtering stage returns.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,40 +31,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables; a folder of our own only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-class Written:
-    """A table written to the shared folder: its lineage is cut and any executor can read it again."""
-
-    def __init__(self, df: DataFrame, label: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def bytes(self) -> int:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Gives memory back to the system after a partition, as Python workers stay for later stages."""
     @wraps(run)

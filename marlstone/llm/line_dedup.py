@@ -4,7 +4,8 @@ For each host, the number of pages that contain a line is divided by the number
 lines beyond a ratio are boilerplate and go. Counting groups by (host, hash of the line) after a
 partial aggregation, so neither a hot host nor a hot line meets in one task. A host has at most
 (mean number of lines) / ratio boilerplate lines, so the list of them is short; it is joined to the
-pages by host, broadcast only if its written size is below a bound, and by (host, salt) beyond.
+pages by host, broadcast only if its written size is below a bound, and by (host, salt) beyond. Of that
+list a page first takes what it has itself, by hashing, and then tells its lines by those.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _lines(text: Column) -> Column:
 
 
 def _line_key(line: Column) -> Column:
-    """96 bits of two hashes; the line itself isn't shuffled."""
+    """96 bits of two hashes; the line itself isn't shuffled. Counts are told apart by both, a host's listed lines by the first."""
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
@@ -39,7 +40,11 @@ def boilerplate_lines(pages: DataFrame, host_col: str = "source", text_col: str
     lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != ""), _line_key))).alias("k"))
     counts = lines.groupBy("host", F.col("k.a").alias("line_a"), F.col("k.b").alias("line_b")).agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    return counts.join(totals, counts["host"].eqNullSafe(totals["host"])).drop(totals["host"]).where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
+    # by host and a part of the line's hash, as a host may have most lines
+    counts = counts.withColumn("part", F.pmod("line_a", F.lit(SALTS)))
+    totals = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    joined = counts.join(totals, counts["host"].eqNullSafe(totals["host"]) & (counts["part"] == totals["part"])).drop(totals["host"]).drop("part")
+    return joined.where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
 
 
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -50,21 +55,25 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     names, except ld_lines and ld_dropped, which are replaced.
     """
     pages = pages.drop("ld_lines", "ld_dropped")
-    found = Written(boilerplate_lines(pages, host_col, text_col, ratio, min_pages).groupBy("host").agg(F.collect_set(F.struct(F.col("line_a").alias("a"), F.col("line_b").alias("b"))).alias("ld_bad")), "boilerplate")
-    rules = found.df.withColumnRenamed("host", "ld_host")
+    names = pages.columns
+    found = Written(boilerplate_lines(pages, host_col, text_col, ratio, min_pages).groupBy("host").agg(F.collect_set("line_a").alias("bad")), "boilerplate")
+    # the row's own columns stay in a struct, apart from those of this operator
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    text, host = F.col("row")[text_col], F.col("row")[host_col]
     if found.bytes() <= BROADCAST_BYTES:
-        joined = pages.join(F.broadcast(rules), pages[host_col].eqNullSafe(rules["ld_host"]), "left")
+        joined = rows.join(F.broadcast(found.df), host.eqNullSafe(F.col("host")), "left")
     else:
-        salted = pages.withColumn("ld_salt", F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int"))
-        rules = rules.withColumn("ld_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(rules, salted[host_col].eqNullSafe(rules["ld_host"]) & (salted["ld_salt"] == rules["ld_s"]), "left").drop("ld_salt", "ld_s")
-    lines = _lines(F.col(text_col))
-    keep = F.when(F.col("ld_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("ld_bad"), _line_key(x))))
-    return (joined.withColumn("ld_keep", keep)
-            .withColumn("ld_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-            .withColumn("ld_dropped", (F.size(lines) - F.size("ld_keep")).cast("long"))
-            .withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join("ld_keep", "\n")))
-            .drop("ld_keep", "ld_bad", "ld_host"))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        rules = found.df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(rules, host.eqNullSafe(F.col("host")) & (F.col("salt") == F.col("part")), "left")
+    lines = _lines(text)
+    mine = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), "bad")
+    joined = joined.withColumn("bad", F.when(F.col("bad").isNotNull(), mine))
+    keep = F.when(F.coalesce(F.size("bad"), F.lit(0)) <= 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("bad", F.xxhash64(x))))
+    joined = joined.withColumn("keep", keep)
+    kept_text = F.when(text.isNotNull(), F.array_join("keep", "\n"))
+    return joined.select(*[(kept_text if c == text_col else F.col("row")[c]).alias(c) for c in names],
+                         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("ld_lines"), (F.size(lines) - F.size("keep")).cast("long").alias("ld_dropped"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

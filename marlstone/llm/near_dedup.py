@@ -11,9 +11,15 @@ band are not paired with each other at first. Each band has a centre, the class
 over all its bands, as the source of many copies does where copies differ more from each other; a class
 is paired with the few centres that it shares most bands with. Pairs whose
 sketches agree in too few coordinates to be similar by any likely chance go; the others are verified on
-their full shingle sets. Verified links give components. Only where a band's classes lie in several
-components after that, pairs of classes from different components remain, and they are verified in the
-same way, so no link that banding can see is lost.
+their full shingle sets. Verified links give components. Where a band's classes lie in several
+components after that, pairs of classes from different components remain. In bands of a few classes
+they are listed. In crowded bands the classes x of a centre c are written as what they lack of it (A) and
+add to it (B). x is linked to c iff w(x) = 4|A| + 3|B| <= |c|, and x to y iff the two share at least
+(w(x) + w(y) - |c|) / 7 elements of A and B; as one of a remaining pair isn't linked to c, that is more than
+w(y) / 7 of the other's. So the two meet in a short prefix of these elements by rising frequency, of which
+copies changed in different places share nothing, and a join over the prefixes finds every linked pair
+without listing the others. Classes that share less than half with the centre are joined by prefixes of
+their full sets. So no link that banding can see is lost, and no group is paired with itself.
 """
 
 from __future__ import annotations
@@ -39,6 +45,10 @@ T = BANDS * ROWS
 MIN_EQUAL = 73
 #: Centres that a class is verified against at first; what they leave in several components is verified pair by pair.
 CENTRES = 3
+#: Classes of a band up to which its remaining pairs are listed; beyond it they are found by prefixes, with the same links.
+FEW = 32
+#: Members of a centre that meet one copy of the centre's set.
+SHARE_OF_CENTRE = 2000
 #: Bytes of a written key list up to which it is broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -159,22 +169,62 @@ class _Job:
         side = lambda k: c.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"))).select("a", "b")
 
-    def verified(self, pairs: Written) -> Written:
-        """The pairs (a, b) that are linked by their full sets; only the texts of classes in a pair are read into sets, one of each class."""
-        ids = pairs.df.select(F.col("a").alias("fp")).unionByName(pairs.df.select(F.col("b").alias("fp"))).distinct()
-        wanted = Written(self.classes.df.join(ids, "fp", "left_semi").select("rep", "tk").distinct(), "wanted")
+    def sets(self, ids: DataFrame) -> Written:
+        """(fp, elements) of the classes `ids` (fp); of each class one text is read."""
+        wanted = Written(self.classes.df.join(ids.distinct(), "fp", "left_semi").select("rep", "tk").distinct(), "wanted")
         picked = self.docs.withColumn("tk", _text_key(F.col("text"))).alias("d").join(_small(wanted).alias("w"), (F.col("d.tk") == F.col("w.tk")) & F.col("d.doc_id").eqNullSafe(F.col("w.rep")), "left_semi")
-        sets = Written(picked.select("text").mapInArrow(_sets, "fp binary, elements array<long>"), "sets")
-        one = sets.df.groupBy("fp").agg(F.first("elements").alias("elements")) if sets.df.count() > wanted.df.count() else sets.df
-        side = lambda k: one.select(F.col("fp").alias(k), F.col("elements").alias(f"e{k}"))
+        read = Written(picked.select("text").mapInArrow(_sets, "fp binary, elements array<long>"), "sets")
+        if read.df.count() > wanted.df.count():  # repeated rows
+            once = Written(read.df.groupBy("fp").agg(F.first("elements").alias("elements")), "sets")
+            read.drop()
+            read = once
+        wanted.drop()
+        return read
+
+    def verified(self, pairs: Written) -> Written:
+        """The pairs (a, b) that are linked by their full sets; only classes in a pair are read into sets."""
+        sets = self.sets(pairs.df.select(F.col("a").alias("fp")).unionByName(pairs.df.select(F.col("b").alias("fp"))))
+        side = lambda k: sets.df.select(F.col("fp").alias(k), F.col("elements").alias(f"e{k}"))
         both = pairs.df.join(side("b"), "b").join(side("a"), "a")
         common = F.size(F.array_intersect("ea", "eb"))
         linked = both.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.size("ea") + F.size("eb") - F.col("common"))).select("a", "b")
         out = Written(linked, "linked")
         sets.drop()
-        wanted.drop()
         return out
 
+    def met_in_prefixes(self, groups: Written) -> tuple[Written, Written]:
+        """Of groups (c, x, root), x a class of the centre c: links (a, b) between classes and centres, and pairs (a, b) of different roots that hold every other linked pair of a group."""
+        sets = self.sets(groups.df.select(F.col("x").alias("fp")).unionByName(groups.df.select(F.col("c").alias("fp"))))
+        shares = groups.df.groupBy("c").agg(F.ceil(F.count("*") / SHARE_OF_CENTRE).cast("int").alias("shares"))
+        centre = sets.df.withColumnRenamed("fp", "c").join(shares, "c").select("c", F.col("elements").alias("ec"), F.explode(F.sequence(F.lit(1), "shares")).alias("share"))
+        member = groups.df.join(shares, "c").withColumn("share", F.pmod(F.xxhash64("x"), "shares").cast("int") + 1).drop("shares").join(sets.df.withColumnRenamed("fp", "x"), "x")
+        lacks, adds = F.array_except("ec", "elements"), F.array_except("elements", "ec")
+        near = 2 * (F.size("ec") - F.col("a")) >= F.size("ec") + F.col("b")
+        told = (member.join(centre, ["c", "share"]).withColumn("lacks", lacks).withColumn("adds", adds).withColumn("a", F.size("lacks")).withColumn("b", F.size("adds"))
+                .withColumn("w", 4 * F.col("a") + 3 * F.col("b")).withColumn("nc", F.size("ec")).withColumn("near", near)
+                .select("c", "x", "root", "w", "nc", "near", F.size("elements").alias("n"), F.when(F.col("near"), F.concat("lacks", "adds")).alias("delta"), "elements"))
+        told = Written(told, "told")
+        links = Written(told.df.where("w <= nc and x <> c").select(F.greatest("x", "c").alias("a"), F.least("x", "c").alias("b")).distinct(), "linked")
+        # near the centre: by what a class lacks and adds
+        state = F.struct("root", "w", "nc", F.size("delta").alias("n"))
+        rare = _rare(told.df.where("near").select("c", "x", state.alias("s"), "delta"), "delta")
+        prefix = lambda df, t: _prefix(df, F.col("s.n") - t + 1)
+        apart = F.col("s.w") > F.col("s.nc")
+        own = F.floor(F.col("s.w") / 7) + 1
+        against_linked = F.greatest(F.lit(1), F.ceil((F.col("s.w") - F.col("s.nc")) / 7))
+        loose, held = prefix(rare.df.where(apart), own), prefix(rare.df.where(~apart), own)
+        found = [_meet(loose, loose, F.col("p.x") < F.col("q.x")), _meet(held, prefix(rare.df.where(apart), against_linked), F.lit(True))]
+        # far from it: by the full sets
+        far = told.df.where("not near").select("c").distinct()
+        whole = told.df.join(far, "c", "left_semi").select("c", "x", F.struct("root", "near", "n").alias("s"), "elements")
+        of_sets = _rare(whole, "elements", F.max(~F.col("s.near")))
+        prefixes = Written(_prefix(of_sets.df, F.col("s.n") - F.ceil(F.col("s.n") * PERCENT / 100) + 1), "prefixes")
+        found.append(_meet(prefixes.df.where("not s.near"), prefixes.df, F.col("q.s.near") | (F.col("p.x") < F.col("q.x"))))
+        pairs = Written(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "pairs")
+        for w in (sets, told, rare, of_sets, prefixes):
+            w.drop()
+        return links, pairs
+
     def components(self) -> Written:
         shared = Written(self.band_rows().groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
         members = Written(self.band_rows().join(shared.df, "key").select("key", F.col("fp").alias("a"), "members"), "members")
@@ -188,30 +238,51 @@ class _Job:
         star = Written(self.alike(nearest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "star")
         links = self.verified(star)
         found = connected_components(links.df)
-        # bands whose classes lie in several components: all pairs of those that may be similar, besides the ones verified
-        m = members.df.select("key", "a").join(found.df.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        # bands whose classes lie in several components
+        m = members.df.select("key", "a", "members").join(found.df.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
         m = Written(m, "members")
-        split = Written(m.df.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "split")
+        split = Written(m.df.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("members").alias("members")).where("low <> high").select("key", "members"), "split")
         if split.df.limit(1).count():
             c = self.classes.df.select(F.col("fp").alias("a"), "n", "sketch")
-            rest = Written(m.df.join(split.df, "key", "left_semi").join(c, "a"), "rest")
+            rest = Written(m.df.drop("members").join(split.df.where(F.col("members") <= FEW), "key", "left_semi").join(c, "a"), "rest")
             x, y = rest.df.alias("x"), rest.df.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch")))
-            pairs = pairs.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct()
+            few = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch")))
+            few = few.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct()
+            crowded = m.df.drop("members").join(split.df.where(F.col("members") > FEW), "key", "left_semi").join(centres.df.select("key", F.col("centre.b").alias("c")), "key")
+            groups = Written(crowded.select("c", F.col("a").alias("x"), "root").distinct(), "groups")
+            direct, met = self.met_in_prefixes(groups)
+            pairs = few.unionByName(self.alike(met.df)).distinct()
             more = Written(pairs.join(star.df, ["a", "b"], "left_anti"), "more")
-            if more.df.limit(1).count():
-                extra = self.verified(more)
-                joined = connected_components(links.df.unionByName(extra.df))
-                found.drop()
-                extra.drop()
-                found = joined
-            rest.drop()
-            more.drop()
+            extra = self.verified(more)
+            joined = connected_components(links.df.unionByName(extra.df).unionByName(direct.df))
+            found.drop()
+            found = joined
+            for w in (rest, groups, direct, met, more, extra):
+                w.drop()
         for w in (shared, weights, centres, members, star, links, m, split):
             w.drop()
         return found
 
 
+def _rare(rows: DataFrame, elements: str, wanted: Column | None = None) -> Written:
+    """rows (c, x, s, elements) -> (c, x, s, found): the elements that at least two rows of a centre have (and for which the aggregate `wanted` holds), rising by how many have them."""
+    each = rows.select("c", "x", "s", F.explode(elements).alias("e"))
+    counts = each.groupBy("c", "e").agg(F.count("*").alias("f"), (F.lit(True) if wanted is None else wanted).alias("wanted")).where("f > 1 and wanted").select("c", "e", "f")
+    return Written(each.join(counts, ["c", "e"]).groupBy("c", "x", "s").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("found")), "rare")
+
+
+def _prefix(rare: DataFrame, length: Column) -> DataFrame:
+    """(c, x, s, e) of the first `length` elements of each row, those that `rare` left out (s.n counts them) being the first."""
+    left = length.cast("int") - (F.col("s.n") - F.size("found"))
+    return rare.select("c", "x", "s", F.explode(F.slice("found.e", F.lit(1), F.greatest(F.lit(0), left))).alias("e"))
+
+
+def _meet(p: DataFrame, q: DataFrame, condition: Column) -> DataFrame:
+    """Pairs (a, b) of different roots that have an element of a centre in both."""
+    both = p.alias("p").join(q.alias("q"), (F.col("p.c") == F.col("q.c")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.s.root") != F.col("q.s.root")) & condition)
+    return both.select(F.greatest("p.x", "q.x").alias("a"), F.least("p.x", "q.x").alias("b"))
+
+
 def _may_link(n1: Column, n2: Column, s1: Column, s2: Column) -> Column:
     sizes = 100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)
     equal = F.aggregate(F.zip_with(s1, s2, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda acc, v: acc + v)

@@ -33,7 +33,8 @@ MODEL = "piece_bpe_32k.model"
 MAX_TOKENS = 4096
 CHUNK = 4096
 #: Bounds of the compiled tables in one Python worker; reaching one clears them and changes no result.
-MAX_STATES, MAX_WORDS, MAX_PAIRS, WORD_CHARS = 200_000, 400_000, 1_000_000, 64
+MAX_STATES, MAX_WORDS, MAX_PAIRS, MAX_ENDS, WORD_CHARS = 300_000, 400_000, 1_000_000, 200_000, 64
+NEVER = 1 << 62
 SPACE = "▁"
 
 
@@ -127,7 +128,8 @@ class Transducer:
         if any(c not in self.single for p in self.ranks for c in p) or any(SPACE in p.lstrip(SPACE) for p in self.ranks):
             raise ValueError("a piece has a character that is no piece, or a space after another character")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+        self.grown: dict[str, tuple[tuple, tuple] | None] = {}
+        self.ends: dict[str, tuple[tuple, int]] = {}
         others = "".join(sorted(self.single - {SPACE}))
         self.sync = re.compile(f"(?<=[^{SPACE}]){SPACE}|[^{re.escape(others)}{SPACE}]", re.DOTALL)
         self.word = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -148,40 +150,71 @@ class Transducer:
             k = best[1]
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
 
-    def follows(self, a: str | None, b: str) -> bool:
-        """Whether b may come after a (None: at a start)."""
-        if a is None:
-            if b not in self.alone:
-                self.alone[b] = self.merge(b) == [b]
-            return self.alone[b]
-        if (a, b) not in self.pairs:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return self.pairs[a, b]
+    def growth(self, token: str) -> tuple[tuple, tuple] | None:
+        """How a token comes about alone: (rank of the next merge, last part until then), and the same with the first part; None if its encoding isn't itself."""
+        if token not in self.grown:
+            parts, left, right = list(token), [], []
+            while len(parts) > 1:
+                rank, k = min(((self.ranks[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in self.ranks), default=(NEVER, 0))
+                if rank == NEVER:
+                    break
+                left.append((rank, parts[-1]))
+                right.append((rank, parts[0]))
+                parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            self.grown[token] = ((*left, (NEVER, token)), (*right, (NEVER, token))) if len(parts) == 1 else None
+        return self.grown[token]
+
+    def follows(self, a: str, b: str) -> bool:
+        """Whether a and b, each its own encoding, stay apart in that of a + b: no merge over their border comes up while both grow."""
+        if (a, b) in self.pairs:
+            return self.pairs[a, b]
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        left, right, rank_of = self.growth(a)[0], self.growth(b)[1], self.ranks.get
+        i = j = 0
+        while True:
+            (next_left, x), (next_right, y) = left[i], right[j]
+            over = rank_of(x + y, NEVER)
+            if over < next_left and over <= next_right:
+                break
+            if next_left <= next_right:
+                if next_left == NEVER:
+                    break
+                i += 1
+            else:
+                j += 1
+        apart = self.pairs[a, b] = over == NEVER
+        return apart
+
+    def endings(self, text: str) -> tuple[tuple, int]:
+        """(size, token) of the tokens that may end here, longest first, and how much of the text a piece may still continue."""
+        if text not in self.ends:
+            if len(self.ends) >= MAX_ENDS:
+                self.ends.clear()
+            tokens = tuple((size, text[-size:]) for size in range(len(text), 0, -1) if text[-size:] in self.ranks and self.growth(text[-size:]))
+            self.ends[text] = tokens, next(k for k in range(len(text), -1, -1) if k == 0 or text[-k:] in self.prefixes)
+        return self.ends[text]
 
     def compile(self, state: State, char: str) -> tuple[State, int]:
         if char not in self.single:
             return self.start, len(char.encode())
         if char == SPACE and state.suffix and state.suffix[-1] != SPACE:
             return self.start[char]
-        text = state.suffix + char
-        for size in range(len(text), 0, -1):  # the longest token that may end here
-            token = text[-size:]
-            before = state.last[-size]
-            if token in self.ranks and self.follows(None, token) and (before is None or self.follows(before, token)):
+        text, last, counts, pairs = state.suffix + char, state.last, state.counts, self.pairs
+        tokens, keep = self.endings(text)
+        for size, token in tokens:  # the longest that agrees with the token before it
+            before = last[-size]
+            if before is None or (pairs[before, token] if (before, token) in pairs else self.follows(before, token)):
                 break
         else:
             raise AssertionError(f"no encoding of {text!r}")
-        added = state.counts[-size] + 1
-        keep = next(k for k in range(len(text), -1, -1) if k == 0 or text[-k:] in self.prefixes)
-        last = (*state.last, token)[-keep - 1:]
-        counts = (*(c - added for c in state.counts), 0)[-keep - 1:]
+        added = counts[-size] + 1
         suffix = text[len(text) - keep:]
-        key = (suffix, last, counts)
-        if key not in self.states:
-            self.states[key] = State(self, suffix, last, counts)
-        return self.states[key], added
+        key = (suffix, (*last[len(last) - keep:], token), (*(c - added for c in counts[len(counts) - keep:]), 0))
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, *key)
+        return found, added
 
     def run(self, state: State, text: str) -> tuple[State, int]:
         n = 0
@@ -214,12 +247,6 @@ class Transducer:
             step *= 2
         return maps
 
-    def reduce(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The last map of the scan alone, by a balanced tree."""
-        while len(maps) > 1:
-            maps = [self.compose(maps[k], maps[k + 1]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        return maps[0]
-
     def count(self, text: str) -> int:
         """The number of tokens of a whole text."""
         if not text:
@@ -227,13 +254,18 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             self.clear()
         text = (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
-        whole = self.reduce([self.chunk_map(text[k:k + CHUNK]) for k in range(0, len(text), CHUNK)])
+        whole = self.scan([self.chunk_map(text[k:k + CHUNK]) for k in range(0, len(text), CHUNK)])[-1]
         return self.run(self.start, whole.head)[1] + (whole.tail[1] if whole.tail else 0)
 
 
 _MACHINES: dict[str, Transducer] = {}
 
 
+def _machine(model_path: str, vocabulary) -> Transducer:
+    """The worker's transducer, kept with what it has compiled for later tasks."""
+    return _MACHINES.get(model_path) or _MACHINES.setdefault(model_path, Transducer(vocabulary.value))
+
+
 def count_tokens(docs: DataFrame, model_path: str, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, n_bytes (UTF-8), n_tokens, over_limit. Null texts count as empty; other columns aren't read."""
     spark = docs.sparkSession
@@ -242,7 +274,7 @@ def count_tokens(docs: DataFrame, model_path: str, max_tokens: int = MAX_TOKENS,
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _MACHINES.get(model_path) or _MACHINES.setdefault(model_path, Transducer(vocabulary.value))
+        machine = _machine(model_path, vocabulary)
         for batch in batches:
             texts = batch.column("t_text")
             counts = [machine.count(t.as_py() or "") for t in texts]

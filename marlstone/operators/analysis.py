@@ -19,30 +19,67 @@ def method_rank(method: Column, order: tuple[str, ...] = METHOD_ORDER) -> Column
     return F.when(place == 0, len(order) + 1).otherwise(place)
 
 
-def points(rows: DataFrame, keys: tuple[str, ...] = ("method",)) -> DataFrame:
-    """(keys, n, n_errors, accuracy, mean_tokens, usd); error rows count as wrong and as spent."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(failed(F.col("error"))).alias("n_errors"), stats.accuracy(F.col("correct")).alias("accuracy"), F.avg(compute_tokens(rows)).alias("mean_tokens"), F.sum("usd").alias("usd"))
+#: Methods that no baseline is matched with.
+UNMATCHED = ("c31b",)
 
 
-def points_with_intervals(rows: DataFrame, order: list[str], keys: tuple[str, ...] = ("method",), n_boot: int = stats.N_BOOT, seed: int = 0) -> DataFrame:
-    interval = stats.accuracy_interval(rows, list(keys), order, n_boot=n_boot, seed=seed).select(*keys, "lo", "hi")
-    return points(rows, keys).join(interval, list(keys), "left").orderBy(method_rank(F.col(keys[0])), *keys, "mean_tokens")
+def with_method_id(rows: DataFrame) -> DataFrame:
+    """The rows with `method_id`, the method where there is none."""
+    have = [F.col("method_id")] if "method_id" in rows.columns else []
+    return rows.withColumn("method_id", F.coalesce(*have, F.col("method")))
 
 
-def summary(rows: DataFrame, keys: tuple[str, ...] = ("method",)) -> DataFrame:
-    more = rows.groupBy(*keys).agg(F.percentile(compute_tokens(rows), F.lit(0.5)).alias("median_tokens"), F.avg("usd").alias("mean_usd"))
-    return points(rows, keys).join(more, list(keys))
+def _of(rows: DataFrame, name: str) -> Column:
+    """A number of each row, 0 where it is missing."""
+    return F.coalesce(F.col(name), F.lit(0)) if name in rows.columns else F.lit(0)
 
 
-def accuracy_by(rows: DataFrame, key: str, keys: tuple[str, ...] = ("method",)) -> DataFrame:
-    """(keys, key, n, accuracy); rows without the key are left out."""
-    return rows.where(F.col(key).isNotNull()).groupBy(*keys, key).agg(F.count("*").alias("n"), stats.accuracy(F.col("correct")).alias("accuracy"))
+def points(rows: DataFrame, keys: tuple[str, ...] = ("method_id",)) -> DataFrame:
+    """(keys, method, n, n_errors, accuracy, mean_tokens, mean_wall_time, usd); error rows count as wrong and as spent."""
+    rows = with_method_id(rows)
+    return rows.groupBy(*keys).agg(F.min("method").alias("method"), F.count("*").alias("n"), F.count_if(failed(F.col("error"))).alias("n_errors"), stats.accuracy(F.col("correct")).alias("accuracy"), F.avg(compute_tokens(rows)).alias("mean_tokens"),
+                                   F.avg(_of(rows, "wall_time")).alias("mean_wall_time"), F.sum(_of(rows, "usd")).alias("usd"))
 
 
-def cutoff_split(rows: DataFrame, cutoff_year: int) -> DataFrame:
+def points_with_intervals(rows: DataFrame, keys: tuple[str, ...] = ("method_id",), n_boot: int = stats.N_BOOT, seed: int = 0) -> DataFrame:
+    """`points` with lo and hi of the accuracy."""
+    rows = with_method_id(rows)
+    interval = stats.accuracy_interval(rows, list(keys), n_boot=n_boot, seed=seed).select(*keys, "lo", "hi")
+    return points(rows, keys).join(interval, list(keys), "left")
+
+
+def in_display_order(table: DataFrame) -> DataFrame:
+    return table.orderBy(method_rank(F.col("method")), "method", "mean_tokens", "method_id")
+
+
+def summary(rows: DataFrame, n_boot: int = stats.N_BOOT, seed: int = 0) -> DataFrame:
+    """Points by method_id with intervals, the median of tokens, and totals and means of prompt tokens, judge calls, dollars and seconds.
+
+    The median is exact: it holds the distinct token counts of a method, which are few beside its rows.
+    """
+    rows = with_method_id(rows)
+    both = lambda name: (F.sum(_of(rows, name)).alias(f"{name}_total"), F.avg(_of(rows, name)).alias(f"{name}_mean"))
+    more = rows.groupBy("method_id").agg(F.percentile(compute_tokens(rows), F.lit(0.5)).alias("median_tokens"), F.avg(_of(rows, "prompt_tokens")).alias("mean_prompt_tokens"), *both("calls"), *both("usd"), *both("wall_time"))
+    return points_with_intervals(rows, n_boot=n_boot, seed=seed).drop("usd", "mean_wall_time").join(more, "method_id")
+
+
+def accuracy_by(rows: DataFrame, key: str, keys: tuple[str, ...] = ("method_id",), n_boot: int | None = stats.N_BOOT, seed: int = 0) -> DataFrame:
+    """(keys, key, n, accuracy, lo, hi); rows without the key are left out. Without draws there are no lo and hi."""
+    rows = with_method_id(rows).where(F.col(key).isNotNull())
+    if n_boot:
+        return stats.accuracy_interval(rows, [*keys, key], n_boot=n_boot, seed=seed)
+    return rows.groupBy(*keys, key).agg(F.count("*").alias("n"), stats.accuracy(F.col("correct")).alias("accuracy"))
+
+
+def math_only(rows: DataFrame) -> DataFrame:
+    """Rows of the problem sets that have levels."""
+    return rows.where(F.col("source").startswith("math"))
+
+
+def cutoff_split(rows: DataFrame, cutoff_year: int, n_boot: int | None = stats.N_BOOT) -> DataFrame:
     """Accuracy before and from the cutoff year, of rows with a year in their source or id."""
     year = year_of(F.col("source"), F.col("problem_id"))
-    return accuracy_by(rows.withColumn("after_cutoff", year >= cutoff_year), "after_cutoff")
+    return accuracy_by(rows.withColumn("after_cutoff", year >= cutoff_year), "after_cutoff", n_boot=n_boot)
 
 
 def top_compute(rows: DataFrame) -> DataFrame:
@@ -72,6 +109,13 @@ def paired(rows: DataFrame, baseline: str, check: bool = False) -> DataFrame:
     return rows.where(F.col("method") != baseline).select("method", "problem_id", F.col("correct").alias("a")).join(base, "problem_id")
 
 
+def paired_with(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """(method_id, vs, problem_id, a, b) of each method of `matches` (method_id, vs) with the one it is matched with."""
+    rows = with_method_id(rows)
+    a = rows.select("method_id", "problem_id", F.col("correct").alias("a")).join(F.broadcast(matches), "method_id")  # a row for each method
+    return a.join(rows.select(F.col("method_id").alias("vs"), "problem_id", F.col("correct").alias("b")), ["vs", "problem_id"])
+
+
 def nearest_by_compute(targets: DataFrame, baselines: DataFrame) -> DataFrame:
     """(method_id, nearest): the baseline whose tokens are nearest on a log scale; one row for each method on either side, which is what may be broadcast here."""
     other = F.broadcast(baselines.where("tokens > 0").select(F.col("method_id").alias("other_id"), F.col("tokens").alias("other_tokens")))
@@ -79,12 +123,21 @@ def nearest_by_compute(targets: DataFrame, baselines: DataFrame) -> DataFrame:
     return pairs.groupBy("method_id").agg(F.min_by("other_id", F.struct(log_distance(F.col("tokens"), F.col("other_tokens")), "other_id")).alias("nearest"))
 
 
-def main_table(rows: DataFrame, baseline: str, n_boot: int = stats.N_BOOT, seed: int = 0) -> DataFrame:
-    """Points with the paired difference from the baseline and the ratio of compute; the baseline's own row has no difference."""
-    p = points(rows)
-    base = F.broadcast(p.where(F.col("method") == baseline).select(F.col("mean_tokens").alias("base_tokens")))  # one row
-    diff = stats.paired_difference(paired(rows, baseline), ["method"], ["problem_id"], n_boot, seed).drop("n")
-    return p.join(base, F.lit(True)).withColumn("compute_ratio", F.try_divide("mean_tokens", "base_tokens")).join(diff, "method", "left")
+def main_table(rows: DataFrame, baseline: str = "sc", n_boot: int = stats.N_BOOT, seed: int = 0) -> DataFrame:
+    """Points by method_id with intervals, and the paired difference from the variant of the baseline that is nearest in compute.
+
+    vs, diff, diff_lo, diff_hi, p_value and compute_ratio are null for the baseline's own rows, for
+    UNMATCHED methods, and where no baseline has tokens. Give rows that are cheap to read again (a
+    written table): points, matches and pairs each read them.
+    """
+    rows = with_method_id(rows)
+    p = points_with_intervals(rows, n_boot=n_boot, seed=seed)
+    cost = points(rows).select("method_id", "method", F.col("mean_tokens").alias("tokens"))
+    base = cost.where(F.col("method") == baseline)
+    near = nearest_by_compute(cost.where((F.col("method") != baseline) & ~F.col("method").isin(*UNMATCHED)), base).withColumnRenamed("nearest", "vs")
+    diff = stats.paired_difference(paired_with(rows, near), ["method_id", "vs"], n_boot=n_boot, seed=seed).select("method_id", "vs", "diff", F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi"), "p_value")
+    matched = diff.join(base.select(F.col("method_id").alias("vs"), F.col("tokens").alias("vs_tokens")), "vs")
+    return p.join(matched, "method_id", "left").withColumn("compute_ratio", F.try_divide("mean_tokens", "vs_tokens")).drop("vs_tokens")
 
 
 def completion_labels(samples: DataFrame) -> DataFrame:

@@ -17,8 +17,14 @@ def greedy_mapping(candidates: Column, jaccard_min: float | None = 0.9) -> Colum
     start = F.struct(F.array().cast("array<struct<norm:string,toks:array<string>>>").alias("kept"), F.array().cast("array<int>").alias("mapping"))
 
     def step(s: Column, x: Column) -> Column:
-        same = F.transform(s["kept"], lambda k: (k["norm"] == x["norm"]) | ((jaccard_of(k["toks"], x["toks"]) >= jaccard_min) if jaccard_min is not None else F.lit(False)))
-        at = F.array_position(same, True).cast("int")
+        def alike(k: Column) -> Column:
+            if jaccard_min is None:
+                return k["norm"] == x["norm"]
+            # sets of too different sizes aren't compared
+            m, n = F.size(k["toks"]), F.size(x["toks"])
+            return F.when(F.try_divide(F.least(m, n), F.greatest(m, n)) >= jaccard_min, (k["norm"] == x["norm"]) | (jaccard_of(k["toks"], x["toks"]) >= jaccard_min)).otherwise(False)
+
+        at = F.array_position(F.transform(s["kept"], alike), True).cast("int")
         return (F.when(x["norm"] == "", F.struct(s["kept"].alias("kept"), F.array_append(s["mapping"], F.lit(-1)).alias("mapping")))
                 .when(at > 0, F.struct(s["kept"].alias("kept"), F.array_append(s["mapping"], at - 1).alias("mapping")))
                 .otherwise(F.struct(F.array_append(s["kept"], x).alias("kept"), F.array_append(s["mapping"], F.size(s["kept"])).alias("mapping"))))

@@ -48,9 +48,10 @@ def merge_runs(runs: list[DataFrame], keys: tuple[str, ...] = ("problem_id", "me
 
 
 def mixed_protocols(rows: DataFrame) -> DataFrame:
-    """(method, n_protocols) of methods with more than one protocol hash, else configuration hash, else ''."""
-    have = [F.col(c) for c in ("protocol_hash", "config_hash") if c in rows.columns]
-    return rows.groupBy("method").agg(F.countDistinct(F.coalesce(*have, F.lit(""))).alias("n_protocols")).where("n_protocols > 1")
+    """(method_id, n_protocols) of method ids (methods where there is none) with more than one protocol hash, else configuration hash, else ''; an empty hash is a missing one."""
+    have = [F.when(F.col(c) != "", F.col(c)) for c in ("protocol_hash", "config_hash") if c in rows.columns]
+    ids = [F.col(c) for c in ("method_id", "method") if c in rows.columns]
+    return rows.groupBy(F.coalesce(*ids).alias("method_id")).agg(F.countDistinct(F.coalesce(*have, F.lit(""))).alias("n_protocols")).where("n_protocols > 1")
 
 
 def resume(items: DataFrame, done: DataFrame, keys: tuple[str, ...], retry_errors: bool = False) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.probability import bin_index
-from marlstone.functions.text import uniform_index
 
 #: Inclusive depth buckets.
 BUCKETS = [(1, 2), (3, 5), (6, 9), (10, None)]
@@ -22,27 +21,31 @@ def accuracy(correct: Column) -> Column:
     return F.avg(correct.cast("double"))
 
 
-def numbered(values: DataFrame, order: list[str], groups: list[str]) -> DataFrame:
-    """`i` from 0 within each group by `order`, and the group's size `n`."""
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    return values.withColumn("i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(w))
+#: Lanes of one digest, and 65536 times the probability that a Poisson count of mean 1 is at most 0, 1, 2, ...
+LANES = 8
+POISSON = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
 
 
-def resample(values: DataFrame, order: list[str], groups: list[str], n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
-    """Weights of a bootstrap: (groups, b, i, weight) for the rows drawn at least once in draw b.
+def draws(rows: DataFrame, cluster: str, n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
+    """The rows with the draws `b` that have them and their `weight` in each.
 
-    Draw b takes as many rows as the group has, the i-th by a hash of (seed, b, i), so the draws are the
-    same for any partitioning. Rows are only drawn by number; no value is carried through the draws.
+    How often a draw takes a cluster is a Poisson count of mean 1 from a hash of (seed, draw, cluster), so
+    draws are the same for any order and partitioning, rows need no numbers, and nothing is shuffled or
+    gathered: sums over a draw are combined in each partition before they meet.
     """
-    rows = numbered(values, order, groups).select(*groups, "i", "n")
-    drawn = rows.select(*groups, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    return drawn.select(*groups, "b", uniform_index(F.lit(seed), F.col("b"), F.col("i"), F.col("n")).alias("i")).groupBy(*groups, "b", "i").agg(F.count("*").alias("weight"))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    blocks = rows.select(*names, F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // LANES))).alias("boot_block"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("boot_block").cast("string"), F.col(cluster).cast("string")))
+    lane = lambda k: F.conv(F.substring(F.col("boot_digest"), 4 * k + 1, 4), 16, 10).cast("int")
+    weight = lambda u: sum(((u >= t).cast("int") for t in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+    lanes = blocks.withColumn("boot_digest", digest).select(*names, "boot_block", F.posexplode(F.array(*[lane(k) for k in range(LANES)])).alias("boot_lane", "boot_u"))
+    return lanes.where((F.col("boot_u") >= POISSON[0]) & (F.col("boot_block") * LANES + F.col("boot_lane") < n_boot)).select(*names, (F.col("boot_block") * LANES + F.col("boot_lane")).alias("b"), weight(F.col("boot_u")).alias("weight"))
 
 
-def bootstrap_means(values: DataFrame, value: str, order: list[str], groups: list[str], n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
-    """(groups, b, mean) of each draw."""
-    rows = numbered(values, order, groups).select(*groups, "i", F.col(value).cast("double").alias("x"))
-    return resample(values, order, groups, n_boot, seed).join(rows, [*groups, "i"]).groupBy(*groups, "b").agg((F.sum(F.col("weight") * F.col("x")) / F.sum(F.when(F.col("x").isNotNull(), F.col("weight")))).alias("mean"))
+def bootstrap_means(values: DataFrame, value: str, groups: list[str], cluster: str, n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
+    """(groups, b, mean) of each draw of clusters; a draw without any row has none."""
+    sums = values.where(F.col(value).isNotNull()).groupBy(*groups, cluster).agg(F.sum(F.col(value).cast("double")).alias("x"), F.count("*").alias("n"))
+    return draws(sums, cluster, n_boot, seed).groupBy(*groups, "b").agg((F.sum(F.col("weight") * F.col("x")) / F.sum(F.col("weight") * F.col("n"))).alias("mean"))
 
 
 def percentile_interval(draws: DataFrame, value: str, groups: list[str], alpha: float = ALPHA) -> DataFrame:
@@ -51,19 +54,20 @@ def percentile_interval(draws: DataFrame, value: str, groups: list[str], alpha:
     return draws.where(F.col(value).isNotNull()).groupBy(*groups).agg(at.alias("p")).select(*groups, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
-def accuracy_interval(rows: DataFrame, groups: list[str], order: list[str], value: str = "correct", n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
+def accuracy_interval(rows: DataFrame, groups: list[str], cluster: str = "problem_id", value: str = "correct", n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
     """(groups, n, accuracy, lo, hi)."""
     exact = rows.groupBy(*groups).agg(F.count("*").alias("n"), accuracy(F.col(value)).alias("accuracy"))
-    return exact.join(percentile_interval(bootstrap_means(rows, value, order, groups, n_boot, seed), "mean", groups), groups, "left")
+    return exact.join(percentile_interval(bootstrap_means(rows, value, groups, cluster, n_boot, seed), "mean", groups), groups, "left")
 
 
-def paired_difference(pairs: DataFrame, groups: list[str], order: list[str], n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
+def paired_difference(pairs: DataFrame, groups: list[str], cluster: str = "problem_id", n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
     """(groups, diff, lo, hi, p_value, n) of columns a and b of the same problems."""
     d = pairs.withColumn("d", F.col("a").cast("double") - F.col("b").cast("double"))
-    draws = bootstrap_means(d, "d", order, groups, n_boot, seed)
-    sides = draws.groupBy(*groups).agg(F.avg((F.col("mean") <= 0).cast("double")).alias("below"), F.avg((F.col("mean") >= 0).cast("double")).alias("above"))
+    means = bootstrap_means(d, "d", groups, cluster, n_boot, seed)
+    at = F.percentile("mean", F.array(F.lit(ALPHA / 2), F.lit(1 - ALPHA / 2)))
+    ends = means.groupBy(*groups).agg(at.alias("p"), F.avg((F.col("mean") <= 0).cast("double")).alias("below"), F.avg((F.col("mean") >= 0).cast("double")).alias("above"))
     exact = d.groupBy(*groups).agg(F.avg("d").alias("diff"), F.count("*").alias("n"))
-    return exact.join(percentile_interval(draws, "mean", groups), groups).join(sides, groups).select(*groups, "diff", "lo", "hi", F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p_value"), "n")
+    return exact.join(ends, groups).select(*groups, "diff", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p_value"), "n")
 
 
 def auroc(rows: DataFrame, groups: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -111,30 +115,61 @@ def by_depth(rows: DataFrame, aggregates: dict[str, Column], buckets: list[tuple
     return labels.join(found, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, n_boot: int = N_BOOT, seed: int = 0, score: str = "score", label: str = "label", soft: str = "soft", n_bins: int = N_BINS) -> DataFrame:
-    """(b, auroc, brier, ece) of draws of whole clusters; a cluster drawn twice weighs twice instead of being copied.
+def cluster_bootstrap(rows: DataFrame, cluster: str, groups: list[str] | tuple[str, ...] = (), n_boot: int = N_BOOT, seed: int = 0, score: str = "score", label: str = "label", soft: str = "soft", n_bins: int = N_BINS) -> DataFrame:
+    """(groups, b, auroc, brier, ece) of draws of whole clusters; a cluster drawn twice weighs twice instead of being copied.
 
-    The rows of a draw are sums by cluster and score, which are joined with the clusters' weights.
+    Rows collapse to sums by cluster and score before they are drawn.
     """
-    clusters = rows.select(cluster).distinct()
-    drawn = resample(clusters, [cluster], [], n_boot, seed)
-    weights = drawn.join(numbered(clusters, [cluster], []).select(cluster, "i"), "i").select(cluster, "b", "weight")
     positive = (F.col(label).cast("double") > 0.5).cast("long")
-    sums = rows.groupBy(cluster, F.col(score).alias("s")).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"), F.count("*").alias("c"), F.sum(F.pow(F.col(score) - F.col(soft), 2)).alias("err"), F.sum(F.col(score) - F.col(soft)).alias("gap"))
-    joined = sums.join(F.broadcast(weights) if n_boot <= 10_000 else weights, cluster)
-    by_score = joined.groupBy("b", "s").agg(F.sum(F.col("p") * F.col("weight")).alias("pos"), F.sum(F.col("q") * F.col("weight")).alias("neg"), F.sum(F.col("err") * F.col("weight")).alias("err"), F.sum(F.col("c") * F.col("weight")).alias("c"), F.sum(F.col("gap") * F.col("weight")).alias("gap"))
+    sums = rows.groupBy(*groups, cluster, F.col(score).alias("s")).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"), F.count("*").alias("c"), F.sum(F.pow(F.col(score) - F.col(soft), 2)).alias("err"), F.sum(F.col(score) - F.col(soft)).alias("gap"))
+    total = lambda c: F.sum(F.col(c) * F.col("weight"))
+    by_score = draws(sums, cluster, n_boot, seed).groupBy(*groups, "b", "s").agg(total("p").alias("pos"), total("q").alias("neg"), total("err").alias("err"), total("c").alias("c"), total("gap").alias("gap"))
     gaps = [F.abs(F.coalesce(F.sum(F.when(bin_index(F.col("s"), n_bins) == k, F.col("gap"))), F.lit(0.0))) for k in range(n_bins)]
-    below = F.sum("neg").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-    return by_score.withColumn("area", F.col("pos") * (below + F.col("neg") / 2)).groupBy("b").agg(
+    below = F.sum("neg").over(Window.partitionBy(*groups, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
+    return by_score.withColumn("area", F.col("pos") * (below + F.col("neg") / 2)).groupBy(*groups, "b").agg(
         F.try_divide(F.sum("area"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"), (F.sum("err") / F.sum("c")).alias("brier"), (sum(gaps[1:], gaps[0]) / F.sum("c")).alias("ece"))
 
 
+def interval_columns(draws_: DataFrame, names: tuple[str, ...], groups: list[str] | tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:
+    """(groups, x_lo, x_hi for each name) of the draws, undefined ones left out."""
+    ends = draws_.groupBy(*groups).agg(*[F.percentile(n, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias(n) for n in names])
+    return ends.select(*groups, *[F.col(n)[k].alias(f"{n}_{end}") for n in names for k, end in enumerate(("lo", "hi"))])
+
+
 def judge_metrics(rows: DataFrame, groups: list[str], cluster: str = "problem_id") -> DataFrame:
     """(groups, n, n_problems, auroc, brier, ece) of columns score, label, soft."""
     plain = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.countDistinct(cluster).alias("n_problems"), brier().alias("brier"))
     return plain.join(auroc(rows, groups), groups).join(ece(rows, groups), groups) if groups else plain.crossJoin(auroc(rows, groups)).crossJoin(ece(rows, groups))
 
 
+def judge_report(rows: DataFrame, groups: list[str], cluster: str = "problem_id", n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
+    """`judge_metrics` with intervals of each by draws of whole clusters, the verdict, the thresholds its interval leaves open, and why there is none where all labels are alike."""
+    ends = interval_columns(cluster_bootstrap(rows, cluster, groups, n_boot, seed), ("auroc", "brier", "ece"), groups)
+    positive = F.sum((F.col("label").cast("double") > 0.5).cast("long"))
+    classes = rows.groupBy(*groups).agg(positive.alias("n_positive"))
+    metrics = judge_metrics(rows, groups, cluster)
+    out = metrics.join(ends, groups).join(classes, groups) if groups else metrics.crossJoin(ends).crossJoin(classes)
+    return out.withColumn("verdict", decide(F.col("auroc"))).withColumn("open_thresholds", straddles(F.col("auroc_lo"), F.col("auroc_hi"))).withColumn("reason", one_class(F.col("n_positive"), F.col("n")))
+
+
+def depth_metrics(rows: DataFrame, buckets: list[tuple[int, int | None]] = BUCKETS) -> DataFrame:
+    """(bucket, n, positives, auroc, ece) for all depth buckets, also empty ones."""
+    found = rows.withColumn("bucket", bucket_of(F.col("depth"), buckets)).where("bucket is not null")
+    positive = F.sum((F.col("label").cast("double") > 0.5).cast("long"))
+    return by_depth(rows, {"positives": positive}, buckets).withColumn("positives", F.coalesce("positives", F.lit(0))).join(auroc(found, ["bucket"]), "bucket", "left").join(ece(found, ["bucket"]), "bucket", "left")
+
+
+def one_class(n_positive: Column, n: Column) -> Column:
+    """Why AUROC is undefined, or null where it isn't."""
+    which = F.when(n_positive == n, "correct").when(n_positive == 0, "incorrect")
+    return F.when(n > 0, F.concat(F.lit("all "), n.cast("string"), F.lit(" scored prefixes are "), which))
+
+
+def spread(rows: DataFrame, metric: str = "auroc") -> DataFrame:
+    """One row: the number of variants with the metric, its least, its largest and their difference."""
+    return rows.agg(F.count(metric).alias("n_variants"), F.min(metric).alias("least"), F.max(metric).alias("largest"), (F.max(metric) - F.min(metric)).alias("spread"))
+
+
 def label_stats(rows: DataFrame) -> DataFrame:
     """One row: n, share of hard positives, mean soft label, share of terminal labels, and six bins of the soft label (0, up to 1/4, 1/2, 3/4, below 1, 1)."""
     s = F.col("soft")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.probability import puct_score, q_effective, q_value
 from marlstone.functions.text import preview
-
-MAX_LEVELS = 200
+from marlstone.sources.shared import Written
 
 
 def scored_children(nodes: DataFrame, c_puct: float = 1.5, unvisited: float = 0.0) -> DataFrame:
@@ -29,16 +30,19 @@ def most_visited_children(nodes: DataFrame) -> DataFrame:
 
 
 def walk(nodes: DataFrame, best: DataFrame) -> DataFrame:
-    """(tree_id, depth, node_id): from the root along `best` to a terminal node or a leaf, by a recursive query over all trees at once."""
-    spark = nodes.sparkSession
-    roots = nodes.where("parent_id is null").select("tree_id", "node_id", "terminal")
-    steps = best.join(nodes.select("tree_id", "node_id", "terminal"), ["tree_id", "node_id"])
-    return spark.sql(f"""
-        WITH RECURSIVE path(tree_id, depth, node_id, terminal) MAX RECURSION LEVEL {MAX_LEVELS} AS (
-          SELECT tree_id, 0, node_id, terminal FROM {{roots}}
-          UNION ALL
-          SELECT p.tree_id, p.depth + 1, s.node_id, s.terminal FROM path p JOIN {{steps}} s ON s.tree_id = p.tree_id AND s.parent_id = p.node_id WHERE NOT p.terminal)
-        SELECT tree_id, depth, node_id FROM path""", roots=roots, steps=steps)
+    """(tree_id, depth, node_id): from the root along `best` to a terminal node or a leaf, a level of all trees at a time.
+
+    The steps are written once; a level joins them with the paths that are still open, one row for each tree.
+    """
+    steps = Written(best.join(nodes.select("tree_id", "node_id", "terminal"), ["tree_id", "node_id"]).select("tree_id", F.col("parent_id").alias("at"), F.col("node_id").alias("next"), F.col("terminal").alias("ends")), "steps")
+    level, levels = Written(nodes.where("parent_id is null").select("tree_id", F.lit(0).alias("depth"), "node_id", "terminal"), "paths"), []
+    while level.df.limit(1).count():
+        levels.append(level.df)
+        open_ = level.df.where("not terminal")
+        level = Written(open_.join(steps.df, (open_["tree_id"] == steps.df["tree_id"]) & (open_["node_id"] == F.col("at"))).select(open_["tree_id"], (F.col("depth") + 1).alias("depth"), F.col("next").alias("node_id"), F.col("ends").alias("terminal")), "paths")
+    levels.append(level.df)
+    steps.drop()
+    return reduce(DataFrame.unionByName, levels).drop("terminal")
 
 
 def most_visited_path(nodes: DataFrame) -> DataFrame:
@@ -49,6 +53,20 @@ def selection_path(nodes: DataFrame, c_puct: float = 1.5) -> DataFrame:
     return walk(nodes, select_children(nodes, c_puct))
 
 
+def paths_to_root(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(tree_id, node_id of the leaf, path from the root to it, value) of `leaves` (tree_id, node_id, value)."""
+    up = Written(nodes.select("tree_id", F.col("node_id").alias("at"), "parent_id"), "up")
+    level, done = Written(leaves.select("tree_id", "node_id", F.array("node_id").alias("path"), F.col("node_id").alias("at"), "value"), "paths"), []
+    while level.df.limit(1).count():
+        step = Written(level.df.join(up.df, ["tree_id", "at"]), "paths")
+        level.drop()
+        done.append(step.df.where("parent_id is null").select("tree_id", "node_id", "path", "value"))
+        level = Written(step.df.where("parent_id is not null").select("tree_id", "node_id", F.concat(F.array("parent_id"), "path").alias("path"), F.col("parent_id").alias("at"), "value"), "paths")
+    done.append(level.df.select("tree_id", "node_id", "path", "value"))
+    up.drop()
+    return reduce(DataFrame.unionByName, done)
+
+
 def backup(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """Adds the simulations of `paths` (tree_id, nodes of the path, value): a visit and the value for each node on a path. Sums commute, so a batch is exact."""
     added = paths.select("tree_id", F.explode("path").alias("node_id"), "value").groupBy("tree_id", "node_id").agg(F.count("*").alias("dn"), F.sum("value").alias("dw"))
@@ -60,21 +78,20 @@ def tree_counts(nodes: DataFrame) -> DataFrame:
 
 
 def positions(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, at): the places of a node's ancestors and its own, which order a tree in preorder."""
-    spark = nodes.sparkSession
-    slim = nodes.select("tree_id", "node_id", "parent_id", F.col("child_pos").cast("int").alias("child_pos"))
-    return spark.sql(f"""
-        WITH RECURSIVE walk(tree_id, node_id, at) MAX RECURSION LEVEL {MAX_LEVELS} AS (
-          SELECT tree_id, node_id, array(0) FROM {{nodes}} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.tree_id, c.node_id, array_append(w.at, c.child_pos) FROM walk w JOIN {{nodes}} c ON c.tree_id = w.tree_id AND c.parent_id = w.node_id)
-        SELECT * FROM walk""", nodes=slim)
+    """(tree_id, node_id, at): the places of a node's ancestors and its own, which order a tree in preorder; a level of all trees at a time."""
+    slim = Written(nodes.select("tree_id", "node_id", "parent_id", F.col("child_pos").cast("int").alias("child_pos")), "nodes")
+    level, levels = Written(slim.df.where("parent_id is null").select("tree_id", "node_id", F.array(F.lit(0)).alias("at")), "places"), []
+    while level.df.limit(1).count():
+        levels.append(level.df)
+        above = level.df.withColumnRenamed("node_id", "parent_id")
+        level = Written(slim.df.join(above, ["tree_id", "parent_id"]).select("tree_id", "node_id", F.array_append("at", F.col("child_pos")).alias("at")), "places")
+    levels.append(level.df)
+    slim.drop()
+    return reduce(DataFrame.unionByName, levels)
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, pre): numbers from 0 in preorder within each tree."""
-    from pyspark.sql import Window
-
     return positions(nodes).withColumn("pre", F.row_number().over(Window.partitionBy("tree_id").orderBy("at")) - 1).drop("at")
 
 

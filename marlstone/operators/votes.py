@@ -14,21 +14,26 @@ def _sizes(samples: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def majority_curve(samples: DataFrame, sizes: list[int], keys: tuple[str, ...] = ("problem_id",), norm=normalize_answer) -> DataFrame:
-    """(keys, size, answer, votes, tokens): the vote of the first `size` samples and what they cost.
+    """(keys, size, answer, votes, tokens): the vote of the first `size` samples and what they cost, for sizes that have a sample.
 
     Answers are grouped by their normal form, null and blank ones don't vote; most votes win, then the
-    answer that came first, whose own spelling is returned.
+    answer that came first, whose own spelling is returned. Each sample is normalised and counted once
+    for all sizes: its group comes first at the same sample in each size that has the group.
     """
-    return majority_vote(_sizes(samples, sizes), (*keys, "size"), norm)
+    in_size = [F.col("i") < n for n in sizes]
+    groups = samples.groupBy(*keys, norm(F.col("answer")).alias("norm")).agg(F.min("i").alias("first"), F.min_by("answer", "i").alias("answer"), F.array(*[F.count_if(c) for c in in_size]).alias("votes"),
+                                                                             F.array(*[F.sum(F.when(c, F.col("tokens"))) for c in in_size]).alias("tokens"))
+    best = lambda k: F.max_by(F.struct("answer", F.col("votes")[k].alias("votes")), F.when((F.col("norm") != "") & (F.col("votes")[k] > 0), F.struct(F.col("votes")[k], -F.col("first"))))
+    every = [F.struct(F.lit(n).alias("size"), best(k).alias("won"), F.sum(F.col("tokens")[k]).alias("tokens"), F.sum(F.col("votes")[k]).alias("taken")) for k, n in enumerate(sizes)]
+    sized = groups.groupBy(*keys).agg(F.array(*every).alias("sizes")).select(*keys, F.explode("sizes").alias("s")).where("s.taken > 0")
+    return sized.select(*keys, "s.size", "s.won.answer", F.coalesce("s.won.votes", F.lit(0)).alias("votes"), "s.tokens")
 
 
 def majority_vote(samples: DataFrame, keys: tuple[str, ...] = ("problem_id",), norm=normalize_answer) -> DataFrame:
     """(keys, answer, votes, tokens): as `majority_curve`, over all samples."""
-    taken = samples.withColumn("norm", norm(F.col("answer")))
-    groups = taken.where("norm <> ''").groupBy(*keys, "norm").agg(F.count("*").alias("votes"), F.min("i").alias("first"), F.min_by("answer", "i").alias("answer"))
-    won = groups.groupBy(*keys).agg(F.max_by(F.struct("answer", "votes"), F.struct("votes", -F.col("first"))).alias("w")).select(*keys, "w.answer", "w.votes")
-    cost = taken.groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
-    return cost.join(won, list(keys), "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+    groups = samples.groupBy(*keys, norm(F.col("answer")).alias("norm")).agg(F.count("*").alias("votes"), F.min("i").alias("first"), F.min_by("answer", "i").alias("answer"), F.sum("tokens").alias("tokens"))
+    won = F.max_by(F.struct("answer", "votes"), F.when(F.col("norm") != "", F.struct("votes", -F.col("first"))))
+    return groups.groupBy(*keys).agg(won.alias("w"), F.sum("tokens").alias("tokens")).select(*keys, "w.answer", F.coalesce("w.votes", F.lit(0)).alias("votes"), "tokens")
 
 
 def best_of_curve(samples: DataFrame, sizes: list[int], keys: tuple[str, ...] = ("problem_id",)) -> DataFrame:
@@ -49,6 +54,30 @@ def expand_curves(samples: DataFrame, sizes: list[int], keys: tuple[str, ...] =
     return both.join(count, list(keys)).where("size <= have").select(*keys, "method", F.col("size").alias("n"), "answer", "tokens", F.when(F.col("method") == "bon", F.col("all_usd") * F.col("size") / F.col("have")).otherwise(F.lit(0.0)).alias("usd"))
 
 
+def expand_rows(rows: DataFrame, sizes: list[int], grade) -> DataFrame:
+    """Result rows with each sampled one replaced by a row for each size not beyond its samples; other rows, and those with an error, pass through.
+
+    Needs method, answer, gold, correct, error, compute_tokens, usd and `samples` (array of structs answer, score,
+    tokens in order, null for other methods). Derived rows have method_id `method[n=size]`, `derived_from` (the row's
+    own method_id) and no samples, are graded anew by grade(answer, gold), and share out the dollars of `bon` by size.
+    """
+    from marlstone.operators.analysis import with_method_id
+    from marlstone.operators.rows import failed
+
+    rows = with_method_id(rows)
+    sampled = F.col("method").isin("sc", "bon") & F.col("samples").isNotNull() & ~failed(F.col("error"))
+    rest = rows.where(~F.coalesce(sampled, F.lit(False))).withColumn("derived_from", F.lit(None).cast("string")).drop("samples")
+    keys = ("problem_id", "method_id")
+    one = rows.where(sampled).select(*keys, "method", F.size("samples").alias("have"), F.posexplode("samples").alias("i", "s")).select(*keys, "method", "have", "i", "s.answer", "s.score", "s.tokens")
+    taken = one.where(f"have >= {min(sizes)}")
+    curve = majority_curve(taken.where("method = 'sc'"), sizes, keys).drop("votes").unionByName(best_of_curve(taken.where("method = 'bon'"), sizes, keys).drop("score"))
+    curve = curve.select(*keys, "size", F.col("answer").alias("new_answer"), F.col("tokens").alias("new_tokens"))
+    made = rows.where(sampled).join(curve, list(keys)).where(F.col("size") <= F.size("samples")).withColumn("derived_from", F.col("method_id"))
+    made = made.withColumn("answer", F.col("new_answer")).withColumn("compute_tokens", F.col("new_tokens")).withColumn("correct", grade(F.col("answer"), F.col("gold")))
+    made = made.withColumn("usd", F.when(F.col("method") == "bon", F.col("usd") * F.col("size") / F.size("samples")).otherwise(F.col("usd"))).withColumn("method_id", F.concat("method", F.lit("[n="), F.col("size").cast("string"), F.lit("]")))
+    return rest.unionByName(made.select(*rest.columns))
+
+
 def value_vote(leaves: DataFrame, norm=normalize_answer) -> DataFrame:
     """(tree_id, answer, score, visits, node_id): of terminal leaves with an answer, a value and visits.
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import answers, probability, text
-from marlstone.operators import analysis, budget, candidates, rows, sampling, search, stats, tree, votes
+from marlstone.operators import analysis, budget, candidates, experiments, rows, sampling, search, stats, tree, votes
 from marlstone.plans import bindings as b
+from marlstone.sources.shared import Written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-BOOT = 100
+BOOT = stats.N_BOOT
 
 
 def _query(sql: str | None = None):
@@ -68,10 +69,10 @@ def shard_assignment(spark, d):
     return b.table(spark, d, "customer").select(F.col("c_name").alias("problem_id"), text.shard_of(F.col("c_name"), 4).cast("int").alias("shard"))
 
 
-@_query(f"WITH {b.RESULT_ROWS} SELECT method, count(DISTINCT protocol_hash || parity::VARCHAR) AS n_protocols FROM result_rows GROUP BY method HAVING count(DISTINCT protocol_hash || parity::VARCHAR) > 1")
+@_query(f"WITH {b.RESULT_ROWS}, h AS (SELECT method || '[' || (k % 2) || ']' AS method_id, CASE WHEN k % 5 = 0 THEN 'configuration' ELSE protocol_hash || parity::VARCHAR END AS hash FROM result_rows) SELECT method_id, count(DISTINCT hash) AS n_protocols FROM h GROUP BY method_id HAVING count(DISTINCT hash) > 1")
 def mixed_protocol_check(spark, d):
-    r = b.result_rows(spark, d).withColumn("protocol_hash", F.concat("protocol_hash", F.col("parity").cast("string")))
-    return rows.mixed_protocols(r)
+    r = b.result_rows(spark, d).withColumn("protocol_hash", F.when(F.col("k") % 5 != 0, F.concat("protocol_hash", F.col("parity").cast("string"))).otherwise(""))
+    return rows.mixed_protocols(_variants(r, 2).withColumn("config_hash", F.lit("configuration")))
 
 
 @_query(f"WITH {b.RESULT_ROWS} SELECT problem_id, count(*) AS n FROM result_rows GROUP BY problem_id HAVING count(*) > 1")
@@ -108,33 +109,67 @@ def id_set_diff(spark, d):
 
 # Analysis by method.
 
-_POINTS = "count(*) AS n, count(*) FILTER (coalesce(error, '') <> '') AS n_errors, round(avg(correct::INT), 6) AS accuracy, round(avg(compute_tokens), 6) AS mean_tokens, round(sum(usd), 9) AS usd"
+def _variants(r: DataFrame, n: int = 4) -> DataFrame:
+    return r.withColumn("method_id", F.concat("method", F.lit("["), (F.col("k") % n).cast("string"), F.lit("]")))
 
 
-@_query(f"WITH {b.LATEST} SELECT method, {_POINTS} FROM latest GROUP BY method")
+_IDS = "ids AS (SELECT *, method || '[' || (k % 4) || ']' AS method_id, k % 7 / 8.0::DOUBLE AS wall_time, (5 + k)::BIGINT AS prompt_tokens, (k % 3)::BIGINT AS calls FROM latest)"
+
+
+def _fields(r: DataFrame) -> DataFrame:
+    return _variants(r).withColumn("wall_time", F.col("k") % 7 / 8.0).withColumn("prompt_tokens", (F.col("k") + 5).cast("long")).withColumn("calls", (F.col("k") % 3).cast("long"))
+
+
+def _weights(cluster: str, seed: int = 0) -> str:
+    """Of a row with `blk` (of 8 draws) and `lane`: how often draw 8 * blk + lane has its cluster."""
+    u = f"('0x' || substr(md5('{seed}|' || blk || '|' || {cluster}), 4 * lane + 1, 4))::INT"
+    return "(" + " + ".join(f"({u} >= {t})::INT" for t in stats.POISSON) + ")"
+
+
+def _draws(g: str, source: str = "vals", cluster: str = "problem_id", sums: str = "sum(w * x) / sum(w) AS mean", name: str = "means") -> str:
+    """A row for each draw and group, of `source` with the groups, the cluster and what the sums need."""
+    return f"""{name} AS (SELECT {g + ', ' if g else ''}b, {sums} FROM (SELECT z.*, 8 * blk + lane AS b, {_weights('z.' + cluster)} AS w FROM {source} z, range({(BOOT + 7) // 8}) r(blk), range(8) l(lane)) WHERE w > 0 AND b < {BOOT} GROUP BY ALL)"""
+
+
+def _interval(x: str = "mean", lo: str = "lo", hi: str = "hi") -> str:
+    return f"round(quantile_cont({x}, 0.025), 6) AS {lo}, round(quantile_cont({x}, 0.975), 6) AS {hi}"
+
+
+_POINTS = "min(method) AS method, count(*) AS n, count(*) FILTER (coalesce(error, '') <> '') AS n_errors, round(avg(correct::INT), 6) AS accuracy, round(avg(compute_tokens), 6) AS mean_tokens, round(avg(wall_time), 6) AS mean_wall_time, round(sum(usd), 9) AS usd"
+_CI = f"vals AS (SELECT method_id, problem_id, correct::INT AS x FROM ids), {_draws('method_id')}, ci AS (SELECT method_id, {_interval()} FROM means GROUP BY method_id)"
+
+
+@_query(f"WITH {b.LATEST}, {_IDS}, {_CI} SELECT p.*, lo, hi FROM (SELECT method_id, {_POINTS} FROM ids GROUP BY method_id) p JOIN ci USING (method_id)")
 def method_points(spark, d):
-    return analysis.points(latest(spark, d)).select("method", "n", "n_errors", *r6("accuracy", "mean_tokens"), F.round("usd", 9).alias("usd"))
+    return analysis.in_display_order(analysis.points_with_intervals(_fields(Written(latest(spark, d), "latest").df))).select("method_id", "method", "n", "n_errors", *r6("accuracy", "mean_tokens", "mean_wall_time"), F.round("usd", 9).alias("usd"), *r6("lo", "hi"))
 
 
-@_query(f"WITH {b.LATEST} SELECT method, {_POINTS}, round(quantile_cont(compute_tokens, 0.5), 6) AS median_tokens, round(avg(usd), 9) AS mean_usd FROM latest GROUP BY method")
+@_query(f"WITH {b.LATEST}, {_IDS}, {_CI} SELECT ids.method_id, min(method) AS method, count(*) AS n, count(*) FILTER (coalesce(error, '') <> '') AS n_errors, round(avg(correct::INT), 6) AS accuracy, any_value(lo) AS lo, any_value(hi) AS hi, round(avg(compute_tokens), 6) AS mean_tokens, round(quantile_cont(compute_tokens, 0.5), 6) AS median_tokens, "
+        "round(avg(prompt_tokens), 6) AS mean_prompt_tokens, sum(calls)::BIGINT AS calls_total, round(avg(calls), 6) AS calls_mean, round(sum(usd), 9) AS usd_total, round(avg(usd), 9) AS usd_mean, round(sum(wall_time), 6) AS wall_time_total, round(avg(wall_time), 6) AS wall_time_mean FROM ids JOIN ci USING (method_id) GROUP BY ids.method_id")
 def summary(spark, d):
-    return analysis.summary(latest(spark, d)).select("method", "n", "n_errors", *r6("accuracy", "mean_tokens"), F.round("usd", 9).alias("usd"), *r6("median_tokens"), F.round("mean_usd", 9).alias("mean_usd"))
+    out = analysis.summary(_fields(Written(latest(spark, d), "latest").df))
+    return out.select("method_id", "method", "n", "n_errors", *r6("accuracy", "lo", "hi", "mean_tokens", "median_tokens", "mean_prompt_tokens"), F.col("calls_total").cast("long").alias("calls_total"), *r6("calls_mean"), *[F.round(c, 9).alias(c) for c in ("usd_total", "usd_mean")], *r6("wall_time_total", "wall_time_mean"))
 
 
-@_query(f"WITH {b.LATEST} SELECT method, level, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM latest WHERE source LIKE 'math%' GROUP BY method, level")
+def _by(key: str, name: str, where: str) -> str:
+    vals = f"vals AS (SELECT method AS method_id, {key} AS {name}, problem_id, correct::INT AS x FROM latest WHERE {where})"
+    exact = f"(SELECT method_id, {name}, count(*) AS n, avg(x) AS accuracy FROM vals GROUP BY ALL)"
+    return f"{vals}, {_draws(f'method_id, {name}')} SELECT v.method_id, v.{name}, any_value(v.n) AS n, round(any_value(v.accuracy), 6) AS accuracy, {_interval()} FROM means JOIN {exact} v USING (method_id, {name}) GROUP BY v.method_id, v.{name}"
+
+
+@_query(f"WITH {b.LATEST}, " + _by("level", "level", "source LIKE 'math%'"))
 def accuracy_by_level(spark, d):
-    return analysis.accuracy_by(latest(spark, d).where(F.col("source").startswith("math")), "level").select("method", "level", "n", *r6("accuracy"))
+    return analysis.accuracy_by(analysis.math_only(latest(spark, d)), "level").select("method_id", "level", "n", *r6("accuracy", "lo", "hi"))
 
 
-@_query(f"WITH {b.LATEST} SELECT method, regexp_extract(source, '(19|20)[0-9][0-9]')::INT >= 2024 AS after_cutoff, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM latest WHERE source LIKE 'aime%' GROUP BY ALL")
+@_query(f"WITH {b.LATEST}, " + _by("regexp_extract(source, '(19|20)[0-9][0-9]')::INT >= 2024", "after_cutoff", "source LIKE 'aime%'"))
 def cutoff_split(spark, d):
-    return analysis.cutoff_split(latest(spark, d), 2024).select("method", "after_cutoff", "n", *r6("accuracy"))
+    return analysis.cutoff_split(latest(spark, d), 2024).select("method_id", "after_cutoff", "n", *r6("accuracy", "lo", "hi"))
 
 
 @_query(f"WITH {b.LATEST}, g AS (SELECT method, method || '[' || (k % 4) || ']' AS method_id, avg(compute_tokens) AS t FROM latest GROUP BY ALL) SELECT method, method_id FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY t DESC, method_id DESC) AS rn FROM g) WHERE rn = 1")
 def top_compute(spark, d):
-    r = latest(spark, d).withColumn("method_id", F.concat("method", F.lit("["), (F.col("k") % 4).cast("string"), F.lit("]")))
-    return analysis.top_compute(r)
+    return analysis.top_compute(_variants(latest(spark, d)))
 
 
 @_query(f"WITH {b.LATEST} SELECT (1 << (k % 4))::INT AS n_sims, round(avg(compute_tokens), 6) AS mean_tokens FROM latest WHERE method = 'click' GROUP BY 1")
@@ -153,41 +188,40 @@ def search_diagnostics(spark, d):
     return analysis.diagnostics(r, ["nodes"]).select("method", "n", *r6("mean_nodes"), "max_nodes", F.col("with_nodes").alias("with_stats"))
 
 
-_IDX = "(('0x' || substr(md5('0|' || b || '|' || i), 1, 8))::BIGINT % n)"
-_DRAWS = f"""num AS (SELECT {{g}}, x, row_number() OVER (PARTITION BY {{g}} ORDER BY {{o}}) - 1 AS i, count(*) OVER (PARTITION BY {{g}}) AS n FROM vals),
-dr AS (SELECT {{g}}, b, {_IDX} AS j FROM num, range({BOOT}) t(b)), means AS (SELECT dr.{{g}}, b, avg(x) AS mean FROM dr JOIN num ON dr.{{g}} = num.{{g}} AND dr.j = num.i GROUP BY ALL)"""
-
-
-@_query(f"WITH {b.LATEST}, vals AS (SELECT method, problem_id, correct::INT AS x FROM latest), {_DRAWS.format(g='method', o='problem_id')} "
-        "SELECT means.method, any_value(a.n) AS n, round(any_value(a.accuracy), 6) AS accuracy, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM means JOIN (SELECT method, count(*) AS n, avg(correct::INT) AS accuracy FROM latest GROUP BY method) a USING (method) GROUP BY means.method")
+@_query(f"WITH {b.LATEST}, vals AS (SELECT method, problem_id, correct::INT AS x FROM latest), {_draws('method')} "
+        f"SELECT means.method, any_value(a.n) AS n, round(any_value(a.accuracy), 6) AS accuracy, {_interval()} FROM means JOIN (SELECT method, count(*) AS n, avg(x) AS accuracy FROM vals GROUP BY method) a USING (method) GROUP BY means.method")
 def bootstrap_accuracy_ci(spark, d):
-    return stats.accuracy_interval(latest(spark, d), ["method"], ["problem_id"], n_boot=BOOT).select("method", "n", *r6("accuracy", "lo", "hi"))
+    return stats.accuracy_interval(Written(latest(spark, d), "latest").df, ["method"]).select("method", "n", *r6("accuracy", "lo", "hi"))
 
 
-_PAIRS = "vals AS (SELECT a.method, a.problem_id, a.correct::INT - z.correct::INT AS x FROM latest a JOIN latest z ON a.problem_id = z.problem_id AND z.method = 'click' WHERE a.method <> 'click')"
-_PAIRED = "SELECT method, round(any_value(v.diff), 6) AS diff, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, round(least(1, 2 * least(avg((mean <= 0)::INT), avg((mean >= 0)::INT))), 6) AS p_value, any_value(v.n) AS n FROM means JOIN (SELECT method, avg(x) AS diff, count(*) AS n FROM vals GROUP BY method) v USING (method) GROUP BY method"
+def _paired(g: str) -> str:
+    return f"SELECT {g}, round(any_value(v.diff), 6) AS diff, {_interval()}, round(least(1, 2 * least(avg((mean <= 0)::INT), avg((mean >= 0)::INT))), 6) AS p_value, any_value(v.n) AS n FROM means JOIN (SELECT {g}, avg(x) AS diff, count(*) AS n FROM vals GROUP BY ALL) v USING ({g}) GROUP BY {g}"
 
 
-@_query(f"WITH {b.LATEST}, {_PAIRS}, {_DRAWS.format(g='method', o='problem_id')} {_PAIRED}")
+@_query(f"WITH {b.LATEST}, vals AS (SELECT a.method, a.problem_id, a.correct::INT - z.correct::INT AS x FROM latest a JOIN latest z ON a.problem_id = z.problem_id AND z.method = 'click' WHERE a.method <> 'click'), {_draws('method')} {_paired('method')}")
 def paired_diff(spark, d):
-    pairs = analysis.paired(latest(spark, d), "click")
-    return stats.paired_difference(pairs, ["method"], ["problem_id"], BOOT).select("method", *r6("diff", "lo", "hi", "p_value"), "n")
+    pairs = analysis.paired(Written(latest(spark, d), "latest").df, "click")
+    return stats.paired_difference(pairs, ["method"]).select("method", *r6("diff", "lo", "hi", "p_value"), "n")
 
 
-_COST = "cost AS (SELECT method || '[' || (k % 4) || ']' AS method_id, method, avg(compute_tokens) AS t FROM latest GROUP BY ALL)"
+_COST = "cost AS (SELECT method_id, method, avg(compute_tokens) AS t FROM ids GROUP BY ALL)"
+_NEAREST = "near AS (SELECT a.method_id, arg_min(z.method_id, (abs(ln(a.t) - ln(z.t)), z.method_id)) AS nearest FROM cost a, cost z WHERE a.method <> 'click' AND z.method = 'click' GROUP BY a.method_id)"
 
 
-@_query(f"WITH {b.LATEST}, {_COST} SELECT a.method_id, arg_min(z.method_id, (abs(ln(a.t) - ln(z.t)), z.method_id)) AS nearest FROM cost a, cost z WHERE a.method <> 'click' AND z.method = 'click' GROUP BY a.method_id")
+@_query(f"WITH {b.LATEST}, {_IDS}, {_COST}, {_NEAREST} FROM near")
 def nearest_by_compute(spark, d):
-    r = latest(spark, d).withColumn("method_id", F.concat("method", F.lit("["), (F.col("k") % 4).cast("string"), F.lit("]")))
-    cost = r.groupBy("method_id", "method").agg(F.avg("compute_tokens").alias("tokens"))
+    cost = _variants(latest(spark, d)).groupBy("method_id", "method").agg(F.avg("compute_tokens").alias("tokens"))
     return analysis.nearest_by_compute(cost.where("method <> 'click'"), cost.where("method = 'click'"))
 
 
-@_query(f"WITH {b.LATEST}, {_PAIRS}, {_DRAWS.format(g='method', o='problem_id')}, pd AS ({_PAIRED}), base AS (SELECT avg(compute_tokens) AS t FROM latest WHERE method = 'click') "
-        "SELECT l.method, count(*) AS n, round(avg(l.correct::INT), 6) AS accuracy, round(avg(l.compute_tokens) / (SELECT t FROM base), 6) AS compute_ratio, any_value(pd.diff) AS diff, any_value(pd.lo) AS lo, any_value(pd.hi) AS hi, any_value(pd.p_value) AS p_value FROM latest l LEFT JOIN pd ON l.method = pd.method GROUP BY l.method")
+# A variant of `own` has other problems than one of `click`; the pairs are those that both have.
+@_query(f"""WITH {b.LATEST}, {_IDS}, {_COST}, {_NEAREST}, {_CI.replace('vals ', 'cvals ').replace(' FROM vals z', ' FROM cvals z').replace('means', 'cmeans')},
+vals AS (SELECT near.method_id, a.problem_id, a.correct::INT - z.correct::INT AS x FROM near JOIN ids a ON a.method_id = near.method_id JOIN ids z ON z.method_id = near.nearest AND z.problem_id = a.problem_id), {_draws('method_id')}, pd AS ({_paired('method_id')})
+SELECT p.*, ci.lo, ci.hi, CASE WHEN pd.method_id IS NOT NULL THEN near.nearest END AS vs, pd.diff, pd.lo AS diff_lo, pd.hi AS diff_hi, pd.p_value, CASE WHEN pd.method_id IS NOT NULL THEN round(c.t / cb.t, 6) END AS compute_ratio
+FROM (SELECT method_id, {_POINTS} FROM ids GROUP BY method_id) p JOIN ci USING (method_id) JOIN cost c USING (method_id) LEFT JOIN near USING (method_id) LEFT JOIN cost cb ON cb.method_id = near.nearest LEFT JOIN pd ON pd.method_id = p.method_id""")
 def main_table(spark, d):
-    return analysis.main_table(latest(spark, d), "click", BOOT).select("method", "n", *r6("accuracy", "compute_ratio", "diff", "lo", "hi", "p_value"))
+    t = analysis.main_table(Written(_fields(latest(spark, d)), "latest").df, "click")
+    return t.select("method_id", "method", "n", "n_errors", *r6("accuracy", "mean_tokens", "mean_wall_time"), F.round("usd", 9).alias("usd"), *r6("lo", "hi"), "vs", *r6("diff", "diff_lo", "diff_hi", "p_value", "compute_ratio"))
 
 
 # Calibration.
@@ -266,16 +300,47 @@ def cost_latency(spark, d):
     return stats.cost_latency(b.scored(spark, d)).select(*r6("usd"), "calls", "hits", F.round("usd_per_call", 9).alias("usd_per_call"), *r6("p50", "p95"))
 
 
-@_query(f"""WITH {b.SCORED}, cl AS (SELECT problem_id, row_number() OVER (ORDER BY problem_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT problem_id FROM scored)),
-dr AS (SELECT b, {_IDX} AS j FROM cl, range({BOOT}) t(b)), w AS (SELECT b, problem_id, count(*) AS w FROM dr JOIN cl ON dr.j = cl.i GROUP BY ALL),
-bys AS (SELECT b, score, sum(w * label::INT) AS pos, sum(w * (1 - label::INT)) AS neg, sum(w * pow(score - soft, 2)) AS err, sum(w) AS c FROM scored JOIN w USING (problem_id) GROUP BY ALL),
-cum AS (SELECT *, sum(neg) OVER (PARTITION BY b ORDER BY score) - neg AS below FROM bys),
-m AS (SELECT b, CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) END AS auroc, sum(err) / sum(c) AS brier FROM cum GROUP BY b)
-SELECT round(quantile_cont(auroc, 0.025), 6) AS auroc_lo, round(quantile_cont(auroc, 0.975), 6) AS auroc_hi, round(quantile_cont(brier, 0.025), 6) AS brier_lo, round(quantile_cont(brier, 0.975), 6) AS brier_hi FROM m""")
+def _cluster(g: str) -> str:
+    """Draws of whole problems: b, auroc, brier, ece by `g`."""
+    k = f"{g}, " if g else ""
+    sums = "sum(w * label::INT) AS pos, sum(w * (1 - label::INT)) AS neg, sum(w * pow(score - soft, 2)) AS err, sum(w) AS c, sum(w * (score - soft)) AS gap"
+    return f"""{_draws(k + 'score', 'scored', sums=sums, name='bys0')}, cum0 AS (SELECT *, sum(neg) OVER (PARTITION BY {k}b ORDER BY score) - neg AS below FROM bys0),
+m AS (SELECT {k}b, CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) END AS auroc, sum(err) / sum(c) AS brier FROM cum0 GROUP BY ALL),
+me AS (SELECT {k}b, sum(abs(gap)) / sum(c) AS ece FROM (SELECT {k}b, least(9, greatest(0, floor(score * 10)::INT)) AS bin, sum(gap) AS gap, sum(c) AS c FROM bys0 GROUP BY ALL) GROUP BY ALL),
+ends AS (SELECT {k}{_interval('auroc', 'auroc_lo', 'auroc_hi')}, {_interval('brier', 'brier_lo', 'brier_hi')}, {_interval('ece', 'ece_lo', 'ece_hi')} FROM m JOIN me USING ({k}b) GROUP BY ALL)"""
+
+
+_ENDS = ("auroc_lo", "auroc_hi", "brier_lo", "brier_hi", "ece_lo", "ece_hi")
+
+
+@_query(f"WITH {b.SCORED}, {_cluster('')} FROM ends")
 def cluster_bootstrap(spark, d):
-    m = stats.cluster_bootstrap(b.scored(spark, d), "problem_id", BOOT)
-    at = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
-    return m.agg(at("auroc").alias("a"), at("brier").alias("c")).select(*[F.round(F.col(k)[i], 6).alias(f"{n}_{e}") for k, n in (("a", "auroc"), ("c", "brier")) for i, e in enumerate(("lo", "hi"))])
+    return stats.interval_columns(stats.cluster_bootstrap(Written(b.scored(spark, d), "scored").df, "problem_id"), ("auroc", "brier", "ece")).select(*r6(*_ENDS))
+
+
+def _report(g: str) -> str:
+    return (f"WITH {b.SCORED}, {_AUC.format(g=g)}, {_ECE.format(g=g)}, {_PLAIN.format(g=g)}, {_cluster(g)}, ps AS (SELECT {g}, sum(label::INT) AS n_positive FROM scored GROUP BY ALL) SELECT {g}, n, n_problems, round(auroc, 6) AS auroc, round(brier, 6) AS brier, round(ece, 6) AS ece, {', '.join(_ENDS)}, n_positive::BIGINT AS n_positive, "
+            "CASE WHEN auroc IS NULL THEN 'UNAVAILABLE' WHEN auroc >= 0.75 THEN 'GO' WHEN auroc >= 0.65 THEN 'PARTIAL' ELSE 'NO-GO' END AS verdict, concat_ws(',', CASE WHEN auroc_lo < 0.65 AND 0.65 <= auroc_hi THEN '0.65' END, CASE WHEN auroc_lo < 0.75 AND 0.75 <= auroc_hi THEN '0.75' END) AS open_thresholds, "
+            f"CASE WHEN n_positive = n THEN 'all ' || n || ' scored prefixes are correct' WHEN n_positive = 0 THEN 'all ' || n || ' scored prefixes are incorrect' END AS reason FROM pl JOIN auc USING ({g}) JOIN ec USING ({g}) JOIN ends USING ({g}) JOIN ps USING ({g})")
+
+
+@_query(_report("variant"))
+def judge_report(spark, d):
+    out = stats.judge_report(Written(b.scored(spark, d), "scored").df, ["variant"])
+    return out.select("variant", "n", "n_problems", *r6("auroc", "brier", "ece"), *r6(*_ENDS), "n_positive", "verdict", "open_thresholds", "reason")
+
+
+@_query(f"WITH {b.SCORED}, {_AUC.format(g='variant')} SELECT count(auroc) AS n_variants, round(min(auroc), 6) AS least, round(max(auroc), 6) AS largest, round(max(auroc) - min(auroc), 6) AS spread FROM auc")
+def sensitivity_spread(spark, d):
+    return stats.spread(stats.auroc(b.scored(spark, d), ["variant"])).select("n_variants", *r6("least", "largest", "spread"))
+
+
+_BUCKETED = "bk(bucket, lo, hi) AS (VALUES ('1-2', 1, 2), ('3-5', 3, 5), ('6-9', 6, 9), ('10+', 10, 1000000)), sb AS (SELECT bucket, s.* FROM scored s JOIN bk ON depth BETWEEN lo AND hi)"
+
+
+@_query(f"WITH {b.SCORED}, {_BUCKETED}, {_AUC.format(g='bucket').replace('FROM scored', 'FROM sb')}, {_ECE.format(g='bucket').replace('FROM scored', 'FROM sb')} SELECT bk.bucket, coalesce(n, 0) AS n, coalesce(p, 0)::BIGINT AS positives, round(auroc, 6) AS auroc, round(ece, 6) AS ece FROM bk LEFT JOIN (SELECT bucket, count(*) AS n, sum(label::INT) AS p FROM sb GROUP BY bucket) USING (bucket) LEFT JOIN auc USING (bucket) LEFT JOIN ec USING (bucket)")
+def depth_metrics(spark, d):
+    return stats.depth_metrics(b.scored(spark, d)).select("bucket", "n", "positives", *r6("auroc", "ece"))
 
 
 # Prefixes and labels.
@@ -319,9 +384,11 @@ def vote_curve(spark, d):
     return votes.majority_curve(b.samples(spark, d), _SIZES).select("problem_id", "size", "answer", "votes", "tokens")
 
 
-@_query(_VOTE + " SELECT c.problem_id, w.answer, coalesce(votes, 0) AS votes FROM c LEFT JOIN w ON c.problem_id = w.problem_id AND c.size = w.size WHERE c.size = 5")
+@_query(f"""WITH {b.SAMPLES}, g AS (SELECT problem_id, lower(answer) AS norm, count(*) AS votes, min(i) AS f, arg_min(answer, i) AS answer FROM samples WHERE answer IS NOT NULL GROUP BY ALL),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY votes DESC, f) AS rn FROM g) WHERE rn = 1)
+SELECT p.problem_id, w.answer, coalesce(votes, 0) AS votes FROM (SELECT DISTINCT problem_id FROM samples) p LEFT JOIN w ON p.problem_id = w.problem_id""")
 def majority_vote(spark, d):
-    return votes.majority_curve(b.samples(spark, d), [5]).select("problem_id", "answer", "votes")
+    return votes.majority_vote(b.samples(spark, d)).select("problem_id", "answer", "votes")
 
 
 @_query(_VOTE + ", " + _BEST + " SELECT problem_id, size, bo.answer, bo.score, c.tokens FROM bo JOIN c USING (problem_id, size)")
@@ -329,22 +396,8 @@ def bon_curve(spark, d):
     return votes.best_of_curve(b.samples(spark, d), _SIZES).select("problem_id", "size", "answer", "score", "tokens")
 
 
-@_query(_VOTE + ", " + _BEST + " SELECT problem_id, answer, score FROM bo WHERE size = 5")
-def best_of_n(spark, d):
-    return votes.best_of_curve(b.samples(spark, d), [5]).select("problem_id", "answer", "score")
-
-
-# The votes above hold to the first samples, as their SQL does; these take all samples of a problem.
-
-@_query(f"""WITH {b.SAMPLES}, g AS (SELECT problem_id, lower(answer) AS norm, count(*) AS votes, min(i) AS f, arg_min(answer, i) AS answer FROM samples WHERE answer IS NOT NULL GROUP BY ALL),
-w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY votes DESC, f) AS rn FROM g) WHERE rn = 1)
-SELECT p.problem_id, w.answer, coalesce(votes, 0) AS votes FROM (SELECT DISTINCT problem_id FROM samples) p LEFT JOIN w ON p.problem_id = w.problem_id""")
-def majority_vote_all(spark, d):
-    return votes.majority_vote(b.samples(spark, d)).select("problem_id", "answer", "votes")
-
-
 @_query(f"WITH {b.SAMPLES} SELECT problem_id, answer, score FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, i) AS rn FROM samples) WHERE rn = 1")
-def best_of_all(spark, d):
+def best_of_n(spark, d):
     return votes.best_of(b.samples(spark, d)).select("problem_id", "answer", "score")
 
 
@@ -381,59 +434,31 @@ def stratified_sample(spark, d):
 
 _WS = r"'[ \t\n\r]+'"
 _NSTEP = rf"trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(x), '^\s*step\s*\d+\s*[:.)]\s*', ''), {_WS}, ' ', 'g')), '[.;,]+$', ''))"
-_LINES = f"lines AS (SELECT doc_id, p::INT AS p, string_split(text, chr(10))[p] AS x FROM (SELECT doc_id, text, unnest(range(1, least(5, len(string_split(text, chr(10)))) + 1)) AS p FROM documents))"
-
-
-def _first_lines(spark, d):
-    return b.table(spark, d, "documents").select("doc_id", F.slice(F.split("text", "\n"), 1, 5).alias("c"))
-
-
-@_query(f"WITH {_LINES} SELECT doc_id, p, md5({_NSTEP}) AS digest FROM lines")
-def normalize_step(spark, d):
-    return _first_lines(spark, d).select("doc_id", F.posexplode("c").alias("p", "x")).select("doc_id", (F.col("p") + 1).alias("p"), F.md5(text.normalize_step(F.col("x"))).alias("digest"))
-
-
-@_query(f"""WITH {_LINES}, t AS (SELECT doc_id, p, list_distinct(list_filter(string_split_regex({_NSTEP}, {_WS}), lambda w: w <> '')) AS k FROM lines WHERE p <= 2)
-SELECT a.doc_id, round(CASE WHEN len(a.k) + len(z.k) = 0 THEN 1.0 ELSE len(list_intersect(a.k, z.k)) / (len(a.k) + len(z.k) - len(list_intersect(a.k, z.k)))::DOUBLE END, 6) AS similarity FROM t a JOIN t z ON a.doc_id = z.doc_id AND a.p = 1 AND z.p = 2""")
-def jaccard_pairs(spark, d):
-    f = _first_lines(spark, d).where(F.size("c") >= 2)
-    return f.select("doc_id", F.round(text.jaccard(text.normalize_step(F.get("c", F.lit(0))), text.normalize_step(F.get("c", F.lit(1)))), 6).alias("similarity"))
-
-
-@_query(f"""WITH RECURSIVE {_LINES}, t AS (SELECT doc_id, p, n, list_distinct(list_filter(string_split_regex(n, {_WS}), lambda w: w <> '')) AS k FROM (SELECT doc_id, p, {_NSTEP} AS n FROM lines)),
-f AS (SELECT doc_id, 0 AS p, CAST([] AS STRUCT(n VARCHAR, k VARCHAR[])[]) AS kept, CAST([] AS INT[]) AS mapping FROM (SELECT DISTINCT doc_id FROM t)
-UNION ALL SELECT f.doc_id, f.p + 1, CASE WHEN t.n <> '' AND h = 0 THEN list_append(kept, {{'n': t.n, 'k': t.k}}) ELSE kept END, list_append(mapping, CASE WHEN t.n = '' THEN -1 WHEN h > 0 THEN h - 1 ELSE len(kept) END::INT)
-  FROM f JOIN t ON t.doc_id = f.doc_id AND t.p = f.p + 1, LATERAL (SELECT coalesce(list_position(list_transform(kept, lambda s: s.n = t.n OR len(list_intersect(s.k, t.k)) >= 0.9 * (len(s.k) + len(t.k) - len(list_intersect(s.k, t.k)))), true), 0) AS h) q)
-SELECT doc_id, array_to_string(arg_max(mapping, p), ',') AS mapping FROM f GROUP BY doc_id""")
-def greedy_dedupe(spark, d):
-    return _first_lines(spark, d).select("doc_id", F.array_join(candidates.greedy_mapping(F.col("c")), ",").alias("mapping"))
-
-
-# The three above hold to the first lines, as their SQL does; these take every line of each text.
-
-_ALL_LINES = "lines AS (SELECT doc_id, p::INT AS p, ls[p] AS x FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
+_LINES = "lines AS (SELECT doc_id, p::INT AS p, ls[p] AS x FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"
 
 
 def _lines(spark, d):
     return b.table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("c"))
 
 
-@_query(f"WITH {_ALL_LINES} SELECT doc_id, p, md5({_NSTEP}) AS digest FROM lines")
-def normalize_step_whole(spark, d):
+@_query(f"WITH {_LINES} SELECT doc_id, p, md5({_NSTEP}) AS digest FROM lines")
+def normalize_step(spark, d):
     return _lines(spark, d).select("doc_id", F.posexplode("c").alias("p", "x")).select("doc_id", (F.col("p") + 1).alias("p"), F.md5(text.normalize_step(F.col("x"))).alias("digest"))
 
 
-@_query(f"""WITH {_ALL_LINES}, t AS (SELECT doc_id, p, list_distinct(list_filter(string_split_regex({_NSTEP}, {_WS}), lambda w: w <> '')) AS k FROM lines)
+@_query(f"""WITH {_LINES}, t AS (SELECT doc_id, p, list_distinct(list_filter(string_split_regex({_NSTEP}, {_WS}), lambda w: w <> '')) AS k FROM lines)
 SELECT a.doc_id, a.p, round(CASE WHEN len(a.k) + len(z.k) = 0 THEN 1.0 ELSE len(list_intersect(a.k, z.k)) / (len(a.k) + len(z.k) - len(list_intersect(a.k, z.k)))::DOUBLE END, 6) AS similarity FROM t a JOIN t z ON a.doc_id = z.doc_id AND z.p = a.p + 1""")
-def jaccard_neighbours(spark, d):
+def jaccard_pairs(spark, d):
     """Each line with the next one."""
-    pairs = F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("x"), F.slice("c", 2, F.size("c") - 1).alias("y"))
-    f = _lines(spark, d).where(F.size("c") >= 2).select("doc_id", F.posexplode(pairs).alias("p", "pair"))
-    return f.select("doc_id", (F.col("p") + 1).alias("p"), F.round(text.jaccard(text.normalize_step(F.col("pair.x")), text.normalize_step(F.col("pair.y"))), 6).alias("similarity"))
+    forms = _lines(spark, d).select("doc_id", F.transform("c", lambda x: text.tokens(text.normalize_step(x))).alias("t"))
+    pairs = F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("x"), F.slice("t", 2, F.size("t") - 1).alias("y"))
+    f = forms.where(F.size("t") >= 2).select("doc_id", F.posexplode(pairs).alias("p", "pair"))
+    return f.select("doc_id", (F.col("p") + 1).alias("p"), F.round(text.jaccard_of(F.col("pair.x"), F.col("pair.y")), 6).alias("similarity"))
 
 
+# A fold over all lines of a text; a recursive query in SQL takes too long on whole texts, so a test holds it against brute force.
 @_query()
-def greedy_dedupe_whole(spark, d):
+def greedy_dedupe(spark, d):
     return _lines(spark, d).select("doc_id", F.array_join(candidates.greedy_mapping(F.col("c")), ",").alias("mapping"))
 
 
@@ -508,7 +533,7 @@ def puct_select(spark, d):
 path AS (SELECT tree_id, 0 AS depth, node_id, terminal FROM tree WHERE parent_id IS NULL UNION ALL SELECT p.tree_id, p.depth + 1, s.node_id, s.terminal FROM path p JOIN best s ON s.tree_id = p.tree_id AND s.parent_id = p.node_id WHERE NOT p.terminal)
 SELECT tree_id, depth, node_id FROM path""")
 def most_visited_path(spark, d):
-    return tree.most_visited_path(b.tree(spark, d))
+    return tree.most_visited_path(Written(b.tree(spark, d), "tree").df)
 
 
 @_query(f"WITH {b.TREE} SELECT tree_id, count(*) AS n_nodes, count(*) FILTER (terminal) AS n_terminals, max(depth)::INT AS max_depth FROM tree GROUP BY tree_id")
@@ -527,11 +552,15 @@ def terminal_leaves(spark, d):
     return tree.terminal_leaves(b.tree(spark, d)).withColumn("value", F.round("value", 4))
 
 
-@_query(f"""WITH {b.TREE}, paths AS (SELECT o.tree_id, unnest([o.node_id, o.parent_id]) AS node_id, o.value FROM tree o WHERE o.terminal AND o.value > 0.5), a AS (SELECT tree_id, node_id, count(*) AS dn, sum(value) AS dw FROM paths GROUP BY ALL)
-SELECT tree_id, node_id, N + coalesce(dn, 0) AS N, round(W + coalesce(dw, 0), 4) AS W FROM tree LEFT JOIN a USING (tree_id, node_id)""")
+@_query(f"""WITH {b.TREE}, t AS MATERIALIZED (SELECT tree_id, node_id, parent_id, N, W, value, terminal FROM tree), l AS (SELECT tree_id, node_id, parent_id, value FROM t WHERE terminal AND value > 0.5),
+c AS (SELECT l.tree_id, l.node_id AS n3, l.parent_id AS n2, t.parent_id AS n1, l.value FROM l JOIN t ON t.tree_id = l.tree_id AND t.node_id = l.parent_id),
+p AS (SELECT c.*, t.parent_id AS n0 FROM c JOIN t ON t.tree_id = c.tree_id AND t.node_id = c.n1),
+a AS (SELECT tree_id, node_id, count(*) AS dn, sum(value) AS dw FROM (SELECT tree_id, unnest([n0, n1, n2, n3]) AS node_id, value FROM p) GROUP BY ALL)
+SELECT tree_id, node_id, N + coalesce(dn, 0) AS N, round(W + coalesce(dw, 0), 4) AS W FROM t LEFT JOIN a USING (tree_id, node_id)""")
 def backup(spark, d):
-    t = b.tree(spark, d)
-    paths = t.where("terminal and value > 0.5").select("tree_id", F.array("node_id", "parent_id").alias("path"), "value")
+    """A simulation for each leaf of a value above 0.5, along its whole path."""
+    t = Written(b.tree(spark, d), "tree").df
+    paths = tree.paths_to_root(t, t.where("terminal and value > 0.5").select("tree_id", "node_id", "value"))
     return tree.backup(t, paths).select("tree_id", "node_id", "N", F.round("W", 4).alias("W"))
 
 
@@ -623,3 +652,99 @@ def search_answers(spark, d):
     p = b.table(spark, d, "supplier").select(F.col("s_name").alias("problem_id"), F.concat(F.lit("Reach 13 for "), "s_name").alias("question"))
     nodes = search.search_all(p, search.SearchSettings(n_simulations=32, k=3)).withColumnRenamed("problem_id", "tree_id")
     return votes.value_vote(nodes, F.trim).select("tree_id", "answer", F.round("score", 6).alias("score"), "visits")
+
+
+# Methods over problems, on the toy generator: samples are hashes of (seed, problem, sample, step).
+
+_TOY = """WITH RECURSIVE toyp AS (SELECT s_name AS problem_id, (13 + s_suppkey % 3)::VARCHAR AS gold, s_suppkey % 7 = 0 AS down FROM supplier),
+roll AS (SELECT problem_id, i, 0 AS j, 0 AS total FROM toyp, range(8) r(i) UNION ALL SELECT problem_id, i, j + 1, total + [5, 2, 1][1 + ('0x' || substr(md5('0|' || problem_id || '|' || i || '|' || j), 1, 8))::BIGINT % 3] FROM roll WHERE total < 13),
+smp AS (SELECT problem_id, i, j * 8 AS tokens, total::VARCHAR AS answer, CASE WHEN total = 13 THEN 0.95 ELSE 0.05 END AS score, down FROM roll JOIN toyp USING (problem_id) WHERE total >= 13)"""
+
+
+def _toy_problems(spark, d) -> DataFrame:
+    s = b.table(spark, d, "supplier")
+    return s.select(F.col("s_name").alias("problem_id"), F.concat(F.lit("Reach 13 for "), "s_name").alias("question"), (F.col("s_suppkey") % 3 + 13).cast("string").alias("answer"), (F.col("s_suppkey") % 7 == 0).alias("down"))
+
+
+def _toy(spark, d, method) -> DataFrame:
+    return experiments.run_method(method, _toy_problems(spark, d)).select("problem_id", "method_id", "answer", "correct", "error", "compute_tokens")
+
+
+def _generator():
+    return experiments.toy_generator(fails=F.col("down"))
+
+
+def _row_sql(method_id: str, tail: str) -> str:
+    return _TOY + tail + f""" SELECT p.problem_id, '{method_id}' AS method_id, CASE WHEN NOT p.down THEN o.answer END AS answer, NOT p.down AND coalesce(o.answer = p.gold, false) AS correct, CASE WHEN p.down THEN 'the generator failed' END AS error, CASE WHEN p.down THEN 0 ELSE o.tokens END::BIGINT AS compute_tokens FROM toyp p LEFT JOIN o USING (problem_id)"""
+
+
+_SC = """, v AS (SELECT problem_id, answer, count(*) AS votes, min(i) AS f FROM smp WHERE i < 5 GROUP BY ALL), o AS (SELECT problem_id, answer, (SELECT sum(tokens) FROM smp z WHERE z.problem_id = q.problem_id AND z.i < 5) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY votes DESC, f) AS rn FROM v) q WHERE rn = 1)"""
+
+
+@_query(_row_sql("cot", ", o AS (SELECT problem_id, '15' AS answer, 24 AS tokens FROM toyp)"))
+def cot_method(spark, d):
+    return _toy(spark, d, experiments.greedy_method(_generator()))
+
+
+@_query(_row_sql("sc[n=5]", _SC))
+def sc_method(spark, d):
+    return _toy(spark, d, experiments.vote_method(_generator(), 5, 8))
+
+
+@_query(_row_sql("bon[n=5]", ", o AS (SELECT problem_id, answer, sum(tokens) OVER (PARTITION BY problem_id) AS tokens, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, i) AS rn FROM smp WHERE i < 5 QUALIFY rn = 1)"))
+def bon_method(spark, d):
+    return _toy(spark, d, experiments.best_method(_generator(), experiments.toy_judge, 5, 8))
+
+
+@_query(_row_sql("sc[n=5]", _SC).replace("FROM toyp p LEFT JOIN", "FROM (SELECT * FROM toyp WHERE ('0x' || substr(sha256(problem_id), 64, 1))::INT % 2 = 1 AND (substr(problem_id, -1) <> '3' OR down)) p LEFT JOIN"))
+def run_method(spark, d):
+    """Shard 1 of 2, after a run that has a row for each problem whose name ends in 3, with errors to be tried again."""
+    method, p = experiments.vote_method(_generator(), 5, 8), _toy_problems(spark, d)
+    before = experiments.run_method(method, p.where(F.col("problem_id").endswith("3")))
+    return experiments.run_method(method, p, before, (1, 2), retry_errors=True).select("problem_id", "method_id", "answer", "correct", "error", "compute_tokens")
+
+
+@_query(_TOY + """, g AS (SELECT s.problem_id, s.i, z.size, answer, tokens, score FROM smp s, (VALUES (1), (3), (8)) z(size) WHERE i < z.size AND NOT s.down),
+sc AS (SELECT problem_id, size, answer FROM (SELECT *, row_number() OVER (PARTITION BY problem_id, size ORDER BY votes DESC, f) AS rn FROM (SELECT problem_id, size, answer, count(*) AS votes, min(i) AS f FROM g GROUP BY ALL)) WHERE rn = 1),
+bo AS (SELECT problem_id, size, answer FROM g QUALIFY row_number() OVER (PARTITION BY problem_id, size ORDER BY score DESC, i) = 1), t AS (SELECT problem_id, size, sum(tokens)::BIGINT AS tokens FROM g GROUP BY ALL)
+SELECT problem_id, 'sc[n=' || size || ']' AS method_id, answer, answer = gold AS correct, tokens AS compute_tokens, 'sc[n=8]' AS derived_from, 1.0::DOUBLE AS usd FROM sc JOIN t USING (problem_id, size) JOIN toyp USING (problem_id)
+UNION ALL SELECT problem_id, 'bon[n=' || size || ']', answer, answer = gold, tokens, 'bon[n=8]', size / 8.0::DOUBLE FROM bo JOIN t USING (problem_id, size) JOIN toyp USING (problem_id)
+UNION ALL SELECT problem_id, m, NULL, false, 0, NULL, 1.0 FROM toyp, (VALUES ('sc[n=8]'), ('bon[n=8]')) v(m) WHERE down
+UNION ALL SELECT problem_id, 'cot', CASE WHEN NOT down THEN '15' END, NOT down AND gold = '15', CASE WHEN down THEN 0 ELSE 24 END, NULL, 1.0 FROM toyp""")
+def expand_sampled_rows(spark, d):
+    p, g = _toy_problems(spark, d), _generator()
+    runs = [experiments.run_method(m, p) for m in (experiments.vote_method(g, 8), experiments.best_method(g, experiments.toy_judge, 8), experiments.greedy_method(g))]
+    r = runs[0].unionByName(runs[1]).unionByName(runs[2]).withColumn("usd", F.lit(1.0))
+    return votes.expand_rows(r, [1, 3, 8], answers.is_equivalent).select("problem_id", "method_id", "answer", "correct", F.col("compute_tokens").cast("long").alias("compute_tokens"), "derived_from", "usd")
+
+
+@_query(_TOY + " SELECT s.problem_id, (tokens / 8)::INT AS n_steps, answer AS final_answer, answer = gold AS trace_correct FROM smp s JOIN toyp USING (problem_id) WHERE i = 0 AND NOT s.down")
+def pilot_traces(spark, d):
+    p = _toy_problems(spark, d)
+    return experiments.pilot_traces(_generator()(p, 1, 0.7).where("error is null"), p).select("problem_id", "n_steps", "final_answer", "trace_correct")
+
+
+@_query(_TOY + """, steps AS (SELECT problem_id, j AS depth, total FROM roll WHERE i = 0 AND j > 0) SELECT problem_id || '#' || depth AS prefix_id, CASE WHEN total > 13 THEN 0.1 ELSE 0.9 END AS score FROM steps JOIN toyp USING (problem_id) WHERE NOT down""")
+def pilot_scores(spark, d):
+    p = _toy_problems(spark, d)
+    t = experiments.pilot_traces(_generator()(p, 1, 0.7).where("error is null"), p)
+    return experiments.pilot_scores(sampling.prefix_steps(sampling.prefixes(t, 20), t))
+
+
+@_query(_TOY + """, pre AS (SELECT problem_id, j AS depth, total FROM roll WHERE i = 0 AND j > 0) SELECT pre.problem_id || '#' || depth AS prefix_id, CASE WHEN total >= 13 THEN 0 ELSE 8 END::BIGINT AS n_samples, CASE WHEN total >= 13 THEN (total::VARCHAR = gold)::INT ELSE k END::BIGINT AS n_correct,
+CASE WHEN total >= 13 THEN 'terminal' ELSE 'completions' END AS label_source FROM pre JOIN toyp USING (problem_id) JOIN (SELECT problem_id, count(*) FILTER (s.answer = gold) AS k FROM smp s JOIN toyp USING (problem_id) GROUP BY problem_id) USING (problem_id) WHERE NOT down""")
+def pilot_labels(spark, d):
+    """Prefixes of the first sample; all eight samples stand in as completions of each."""
+    p, g = _toy_problems(spark, d), _generator()
+    t = experiments.pilot_traces(g(p, 1, 0.7).where("error is null"), p)
+    prefixes_ = sampling.prefix_steps(sampling.prefixes(t, 20), t)
+    completions = prefixes_.select("prefix_id", "problem_id").join(g(p, 8, 0.7).select("problem_id", "answer", "tokens"), "problem_id").drop("problem_id")
+    return experiments.pilot_labels(prefixes_, completions, p).select("prefix_id", "n_samples", "n_correct", "label_source")
+
+
+@_query("SELECT o_custkey AS problem_id, count(*) FILTER (o_orderkey % 3 = 0) AS generator_calls, coalesce(sum(o_orderkey % 50) FILTER (o_orderkey % 3 = 0), 0)::BIGINT AS prompt_tokens, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0) AS judge_calls, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 = 0) AS judge_cache_hits, "
+        "coalesce(sum(o_orderkey % 50) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0), 0)::BIGINT AS judge_tokens FROM orders GROUP BY o_custkey")
+def ledger(spark, d):
+    o = F.col("o_orderkey")
+    calls = b.table(spark, d, "orders").select(F.col("o_custkey").alias("problem_id"), F.when(o % 3 == 0, "generator").otherwise("judge").alias("kind"), (o % 4 == 0).alias("cache_hit"), (o % 50).cast("long").alias("prompt_tokens"), F.lit(8).cast("long").alias("completion_tokens"), F.lit(0.5).alias("usd"))
+    return experiments.ledger(calls).select("problem_id", "generator_calls", "prompt_tokens", "judge_calls", "judge_cache_hits", "judge_tokens")

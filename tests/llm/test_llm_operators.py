@@ -174,6 +174,54 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def matrix_components(texts):
+    """brute_components by the matrix of all intersections."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    number = {}
+    ones = np.zeros((len(sets), sum(map(len, sets))), np.float32)
+    for k, s in enumerate(sets):
+        ones[k, [number.setdefault(e, len(number)) for e in s]] = 1
+    ones = ones[:, :len(number)]
+    common, n = ones @ ones.T, ones.sum(1)
+    root = np.arange(len(sets))
+    link = (100 * common >= 75 * (n[:, None] + n - common)) & (n[:, None] > 0) & (n > 0)
+    while True:
+        least = np.where(link, root, len(sets)).min(1)
+        after = np.minimum(root, least)
+        if (after == root).all():
+            return {k: (int(n[k]), int(root[k])) for k in range(len(sets))}
+        root = after
+
+
+def crowd(rng, n):
+    """Copies of one text around the threshold, longer and shorter ones, chains of copies of copies, and texts that share a passage only."""
+    base, texts = prose(rng, 150).split(), []
+    for k in range(n):
+        copy = list(rng.choice(texts).split() if k % 5 == 4 else base)
+        for _ in range(rng.randrange(0, 10)):
+            at = rng.randrange(len(copy))
+            copy[at:at + 1] = [[f"z{rng.randrange(10**6)}"], [], [copy[at], f"y{rng.randrange(300)}"]][0 if k % 3 else rng.randrange(3)]
+        texts.append(" ".join(copy))
+    passage = prose(rng, 60)
+    return texts + [f"{prose(rng, rng.randrange(20, 90))} {passage} {prose(rng, rng.randrange(5, 60))}" for _ in range(n // 2)] + [passage]
+
+
+def test_crowded_bands_equal_brute_force(spark, monkeypatch):
+    from marlstone.llm import near_dedup
+
+    texts = crowd(random.Random(11), 1000)
+    want = matrix_components(texts)
+    made = []
+    monkeypatch.setattr(near_dedup._Job, "verified", lambda self, pairs, run=near_dedup._Job.verified: made.append(pairs.df.count()) or run(self, pairs))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == want
+    singles = sum(k == c for k, (_, c) in want.items())
+    assert 300 < singles < len(texts) and max(made) < 12 * len(texts)  # far from the 500,000 pairs of the copies
+
+
 def test_near_duplicates_with_null_ids_repeats_and_nothing(spark):
     from marlstone.llm import near_dedup
 
@@ -384,7 +432,43 @@ def test_wrappers_generalise():
     group = wh.infer(wh.parse("<h2>a</h2><p>b</p><h2>c</h2><p>d</p>"))
     assert [i[0] for i in group] == ["g"] and [x[3] for x in group[0][2]] == ["h2", "p"]
     many = wh.align([["e", 0, 0, f"x{k}", 0, []] for k in range(200)], [["e", 0, 0, f"y{k}", 0, []] for k in range(200)])
-    assert many[0][0] == "g" and len(many[0][2]) == 400
+    assert len(many) == 400 and all(i[1] for i in many)
+
+
+def test_wrappers_match_what_they_are_made_of():
+    from functools import reduce
+
+    from marlstone.llm import wrapper_html as wh
+
+    def expression(items):
+        return "".join(f"(?:(?:{expression(i[2]) if i[0] == 'g' else '#' if i[0] == 't' else i[3]}){'+' if i[0] == 'g' or i[0] == 'e' and i[2] else ''}){'?' if i[1] else ''}" for i in items)
+
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    rng = random.Random(12)
+    for _ in range(200):
+        pages = ["".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 5))]
+        wrapper = reduce(wh.align, [wh.fold([["e", 0, 0, x, 0, []] for x in page]) for page in pages])
+        assert all(re.fullmatch(expression(wrapper), page) for page in pages), (pages, expression(wrapper))
+        a, b = list(pages[0]), list(pages[-1][::-1])
+        places = wh.common(a, b)
+        assert len(places) == longest(a, b) and all(a[i] == b[j] for i, j in places) and places == sorted(set(places)) and len({j for _, j in places}) == len(places)
+
+
+def test_html_words_and_depth(spark):
+    from marlstone.llm import wrapper_html as wh
+
+    article = "<article><p class='ad-hoc'>one</p><p id='side-effects'>two</p><p class='form-factor lead'>three</p><p class='top ad-slot'>no</p><p class='siteHeader'>no</p><p>four</p></article>"
+    deep = "<div>" * 3000 + "<nav>MENU</nav><form>FORM</form><p>text</p>" + "</div>" * 3000
+    menu = "<div>" * 3000 + "<article><p>inside</p><ul class=menu><li>no</ul></article>" + "</div>" * 3000 + "outside"
+    df = spark.createDataFrame([(k, "http://a.com", h) for k, h in enumerate((article, deep, menu, "<b>" * 9000 + "x", "<li>" * 5000))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wh.extract_main_text(df).collect()}
+    assert got == {0: "one\ntwo\nthree\nfour", 1: "text", 2: "inside", 3: "x", 4: ""}
 
 
 def test_template_texts_are_a_share_of_different_pages(spark):
