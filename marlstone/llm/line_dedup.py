@@ -42,7 +42,7 @@ def boilerplate_lines(pages: DataFrame, host_col: str = "source", text_col: str
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     # by host and a part of the line's hash, as a host may have most lines
     counts = counts.withColumn("part", F.pmod("line_a", F.lit(SALTS)))
-    totals = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    totals = totals.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     joined = counts.join(totals, counts["host"].eqNullSafe(totals["host"]) & (counts["part"] == totals["part"])).drop(totals["host"]).drop("part")
     return joined.where(F.col("n_pages") > F.lit(ratio) * F.col("host_pages"))
 
