@@ -255,7 +255,8 @@ def known_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared
     out = Known(ranks)
     share = min(1.0, COMMON_TEXTS / max(1, docs.count()))
     few = docs.select(F.col(text_col).alias("b_text")).where(F.length("b_text") <= COMMON_CHARS).where(F.pmod(F.xxhash64("b_text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    got = _blocks(few, shared, [], pattern, [], BLOCK_CHARS).select(F.col("words").cast("array<array<int>>").alias("words"), folded.cast("array<array<int>>").alias("coded")).toArrow()
+    got = _blocks(few, shared, [], pattern, [], BLOCK_CHARS).select("words", folded.alias("coded"))
+    got = got.select(*[F.col(c).cast("array<array<int>>").alias(c) for c in ("words", "coded")]).toArrow()
     byte_of = np.zeros(out.vocabulary, np.uint8)
     for k in range(256):
         byte_of[ranks[bytes([k])]] = k
@@ -304,11 +305,12 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
         for batch in batches:
             for k in range(batch.num_rows):
                 numbers, lengths = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in ("numbers", "lengths"))
-                flat, edges = [known.value.ids], [known.value.edges]
+                flat, edges, total = [known.value.ids], [known.value.edges], known.value.edges[-1]
                 for part in (batch.column("long")[k].values, batch.column("coded")[k].values):
                     offsets = part.offsets.to_numpy().astype(np.int64) if len(part) else np.zeros(1, np.int64)
                     flat.append(part.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.int32))
-                    edges.append(offsets[1:] - offsets[0] + edges[-1][-1])
+                    edges.append(offsets[1:] - offsets[0] + total)
+                    total += offsets[-1] - offsets[0]
                 folded_from = sum(map(len, edges[:-1])) - 1
                 ids_of, edges = np.concatenate(flat), np.concatenate(edges)
                 rows = pa.ipc.open_stream(batch.column("rows")[k].as_py()).read_all().combine_chunks().to_batches()[0]
