@@ -39,7 +39,8 @@ def walk(nodes: DataFrame, best: DataFrame) -> DataFrame:
     while level.df.limit(1).count():
         levels.append(level.df)
         open_ = level.df.where("not terminal")
-        level = Written(open_.join(steps.df, (open_["tree_id"] == steps.df["tree_id"]) & (open_["node_id"] == F.col("at"))).select(open_["tree_id"], (F.col("depth") + 1).alias("depth"), F.col("next").alias("node_id"), F.col("ends").alias("terminal")), "paths")
+        on = steps.df
+        level = Written(open_.join(on, (open_["tree_id"] == on["tree_id"]) & (open_["node_id"] == F.col("at"))).select(open_["tree_id"], (F.col("depth") + 1).alias("depth"), F.col("next").alias("node_id"), F.col("ends").alias("terminal")), "paths")
     levels.append(level.df)
     steps.drop()
     return reduce(DataFrame.unionByName, levels).drop("terminal")

@@ -42,10 +42,10 @@ def test_calibration(spark):
 
 def test_bootstrap_is_the_same_for_any_partitioning(spark):
     df = spark.range(40).select(F.lit("g").alias("g"), "id", (F.col("id") % 3 == 0).alias("correct"))
-    a, b = (stats.accuracy_interval(df.repartition(n), ["g"], ["id"], n_boot=60).first() for n in (1, 8))
+    a, b = (stats.accuracy_interval(df.repartition(n), ["g"], "id", n_boot=60).first() for n in (1, 8))
     assert a == b and a.lo < a.accuracy < a.hi
     pairs = df.select("g", "id", F.lit(True).alias("a"), F.lit(False).alias("b"))
-    d = stats.paired_difference(pairs, ["g"], ["id"], 50).first()
+    d = stats.paired_difference(pairs, ["g"], "id", 50).first()
     assert (d["diff"], d.lo, d.hi, d.p_value, d.n) == (1.0, 1.0, 1.0, 0.0, 40)
 
 
@@ -175,10 +175,10 @@ def test_cluster_bootstrap_draws_ece(spark):
     rng = random.Random(4)
     rows = [(f"p{k % 7}", rng.choice([0.0, 0.05, 0.31, 0.34, 0.72, 1.0]), rng.random() > 0.5, rng.random()) for k in range(60)]
     df = spark.createDataFrame(rows, "problem_id string, score double, label boolean, soft double").cache()
-    draws = {r.b: r for r in stats.cluster_bootstrap(df, "problem_id", 20).collect()}
+    draws = {r.b: r for r in stats.cluster_bootstrap(df, "problem_id", n_boot=20).collect()}
     weights = {}
-    for r in stats.resample(df.select("problem_id").distinct(), ["problem_id"], [], 20).collect():
-        weights.setdefault(r.b, {})[f"p{r.i}"] = r.weight
+    for r in stats.draws(df.select("problem_id").distinct(), "problem_id", 20).collect():
+        weights.setdefault(r.b, {})[r.problem_id] = r.weight
     assert len(draws) == 20
     for b, w in weights.items():
         gaps, n = {}, 0
@@ -202,6 +202,6 @@ def test_votes_over_all_samples(spark):
     con = duckdb.connect()
     for name in ("orders", "lineitem", "customer", "part", "events"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
-    for name in ("majority_vote_all", "best_of_all", "majority_vote", "best_of_n", "vote_curve", "bon_curve"):
+    for name in ("majority_vote", "best_of_n", "vote_curve", "bon_curve"):
         got = {tuple(str(x) for x in r) for r in q.queries()[name](spark, d).collect()}
         assert got == {tuple(str(x) for x in r) for r in con.sql(q.oracle_sql()[name]).fetchall()} and got, name

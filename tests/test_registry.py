@@ -28,5 +28,5 @@ def test_queries_equal_their_sql(spark):
         frame = frame[sorted(frame.columns)]
         return sorted(str([None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float, np.number)) else str(v) for v in r]) for r in frame.itertuples(index=False))
 
-    for name in ("dedupe_latest_success", "main_table", "judge_metrics", "vote_curve", "stratified_sample", "greedy_dedupe", "puct_select", "rate_limit_schedule"):
+    for name in ("dedupe_latest_success", "main_table", "judge_metrics", "vote_curve", "stratified_sample", "normalize_step", "jaccard_pairs", "most_visited_path", "backup", "puct_select", "rate_limit_schedule"):
         assert rows(q.queries()[name](spark, SF).toPandas()) == rows(con.sql(q.oracle_sql()[name]).df()), name

@@ -114,12 +114,12 @@ def test_whole_texts_are_normalised_and_deduplicated(spark, tmp_path):
                 kept.append(n)
         return mapping
 
-    got = {r.doc_id: r.mapping for r in q.queries()["greedy_dedupe_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.mapping for r in q.queries()["greedy_dedupe"](spark, str(tmp_path)).collect()}
     assert got == {k: None if t is None else ",".join(map(str, brute(t.split("\n")))) for k, t in enumerate(texts)}
     assert got[0] == "0,1,-1,2,3,0,4,1,4,3,5"
-    digests = {(r.doc_id, r.p): r.digest for r in q.queries()["normalize_step_whole"](spark, str(tmp_path)).collect()}
+    digests = {(r.doc_id, r.p): r.digest for r in q.queries()["normalize_step"](spark, str(tmp_path)).collect()}
     assert digests == {(k, p): hashlib.md5(norm.get(x, x).encode()).hexdigest() for k, t in enumerate(texts) if t is not None for p, x in enumerate(t.split("\n"), 1)}
-    pairs = {(r.doc_id, r.p): r.similarity for r in q.queries()["jaccard_neighbours"](spark, str(tmp_path)).collect()}
+    pairs = {(r.doc_id, r.p): r.similarity for r in q.queries()["jaccard_pairs"](spark, str(tmp_path)).collect()}
     assert len(pairs) == 20 and pairs[(0, 8)] == 0 and pairs[(1, 9)] == 0
 
 
@@ -131,6 +131,6 @@ def test_whole_text_queries_equal_their_sql(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
-    for name in ("normalize_step_whole", "jaccard_neighbours"):
+    for name in ("normalize_step", "jaccard_pairs"):
         got = sorted(tuple(r) for r in q.queries()[name](spark, d).collect())
         assert got == sorted(con.sql(q.oracle_sql()[name]).fetchall()) and len(got) > 500, name
