@@ -251,10 +251,13 @@ def _blocks(docs: DataFrame, shared, words: list[str], pattern: str, keep: list[
 
 
 def known_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared, pattern: str, text_col: str = "text") -> tuple[list[str], Known]:
-    """The words of about COMMON_TEXTS texts, chosen by their hash, with the ids that Spark folds; it only saves folding them in each block."""
+    """The words of about COMMON_TEXTS different texts, chosen by their hash, with the ids that Spark folds; it only saves folding them in each block.
+
+    Copies share a hash, so texts are made distinct, map-side first; a group of copies counts once in what reaches the driver.
+    """
     out = Known(ranks)
     share = min(1.0, COMMON_TEXTS / max(1, docs.count()))
-    few = docs.select(F.col(text_col).alias("b_text")).where(F.length("b_text") <= COMMON_CHARS).where(F.pmod(F.xxhash64("b_text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    few = docs.select(F.col(text_col).alias("b_text")).where(F.length("b_text") <= COMMON_CHARS).where(F.pmod(F.xxhash64("b_text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct()
     got = _blocks(few, shared, [], pattern, [], BLOCK_CHARS).select("words", folded.alias("coded"))
     got = got.select(*[F.col(c).cast("array<array<int>>").alias(c) for c in ("words", "coded")]).toArrow()
     byte_of = np.zeros(out.vocabulary, np.uint8)
