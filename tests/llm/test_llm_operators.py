@@ -329,6 +329,16 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark):
     assert bb.round_trip(empty(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_folds_copies_once_beforehand(spark, monkeypatch):
+    from marlstone.llm import byte_bpe as bb
+
+    seen, blocks = [], bb._blocks
+    monkeypatch.setattr(bb, "_blocks", lambda docs, *rest: (seen.append(docs.count()), blocks(docs, *rest))[1])
+    path = public_tokenizers.path(bb.RANKS)
+    got = bb.round_trip(documents(spark, ["thereto qwxz"] * 300 + ["another text"]), path, public_tokenizers.PATTERN).collect()
+    assert seen == [2, 301] and len(got) == 301 and len({r.ids_sha256 for r in got}) == 2
+
+
 # Media.
 
 @pytest.mark.parametrize("compression", [1, 5, 8, 32773])
