@@ -15,6 +15,7 @@ _OPERATORS = {
     "op8_tiff_media": "tiff",
     "op9_decontaminate": "decontaminate",
     "op10_html_extraction": "wrapper_html",
+    "op11_filter_audit": "filter_audit",
 }
 
 
