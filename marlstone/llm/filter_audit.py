@@ -28,6 +28,8 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Bytes of different texts that a block keeps before it sends them on.
 BLOCK_BYTES = 32 << 20
+#: Bytes of all texts for each task that texts are routed to; a task keeps its share of the different ones.
+TASK_BYTES = 64 << 20
 #: Label classes that are counted beside each mask: all, quality = 1, toxic = 1.
 CLASSES = 3
 
@@ -109,7 +111,8 @@ def masks(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("part")).rdd
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     settled = rows.mapPartitions(_blocks).partitionBy(n).mapPartitions(_settle)
     return spark.createDataFrame(settled, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part string, mask int, n long")
 
