@@ -16,6 +16,7 @@ _OPERATORS = {
     "op9_decontaminate": "decontaminate",
     "op10_html_extraction": "wrapper_html",
     "op11_filter_audit": "filter_audit",
+    "op12_simhash_dedup": "simhash_dedup",
 }
 
 
