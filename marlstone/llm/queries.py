@@ -17,6 +17,7 @@ _OPERATORS = {
     "op10_html_extraction": "wrapper_html",
     "op11_filter_audit": "filter_audit",
     "op12_simhash_dedup": "simhash_dedup",
+    "op13_phrase_collocations": "phrases",
 }
 
 
