@@ -37,8 +37,8 @@ TOP = 2000
 #: Keys of a perfect hash that is sent to the executors as one.
 PART = 4_000_000
 #: Words of a block of the corpus, and keys that a task holds before it sends them on.
-BLOCK_WORDS = 1 << 18
-HELD_KEYS = 1 << 22
+BLOCK_WORDS = 1 << 17
+HELD_KEYS = 1 << 20
 #: Slots of a chunk of counts, and chunks that a task holds.
 CHUNK = 1 << 14
 HELD_CHUNKS = 256
@@ -136,7 +136,13 @@ def compact(s1: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.where(covered, s1, -1)[keep], found[keep]
 
 
-def _ints(value: bytes, kind: type = np.int32) -> np.ndarray:
+def _arrays(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[pa.Buffer, ...]]:
+    """The binary values of each row, without copies."""
+    for row in zip(*(batch.column(c) for c in names), strict=True):
+        yield tuple(x.as_buffer() for x in row)
+
+
+def _ints(value: pa.Buffer, kind: type = np.int32) -> np.ndarray:
     return np.frombuffer(value, kind)
 
 
@@ -156,7 +162,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
             counts.setdefault(lang, Counter()).update(tokens(text.as_py()))
-            if sum(map(len, counts.values())) > 500_000:
+            if sum(map(len, counts.values())) > 200_000:
                 yield rows()
                 counts.clear()
     yield rows()
@@ -206,23 +212,23 @@ def _looked_up(k: int, of, share: int, shares: int, offset: int) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: PerfectHash = of.value
         for batch in batches:
-            for s1, prior, found in zip(*(batch.column(c).to_pylist() for c in ("s1", "prior", "found")), strict=True):
+            for s1, prior, found in _arrays(batch, "s1", "prior", "found"):
                 if k == 1:
                     keys = _ints(s1, _U)
                     at = np.flatnonzero(keys)
                     keys, size = keys[at], len(keys)
                 else:
-                    s1, prior_ = _ints(s1), _ints(prior)
-                    size = len(s1)
-                    at, keys = phrase_keys(s1, prior_, k)
-                slots = _ints(found).copy() if found else np.full(size, -1, np.int32)
+                    own = _ints(s1)
+                    at, keys = phrase_keys(own, _ints(prior), k)
+                    size = len(own)
+                slots = _ints(found).copy() if found.size else np.full(size, -1, np.int32)
                 mine = np.arange(len(keys)) if shares == 1 else np.flatnonzero(_share(keys, shares) == share)
                 got = part.lookup(keys[mine])
                 slots[at[mine][got >= 0]] = got[got >= 0] + offset
                 if share < shares - 1:
-                    out = (s1 if k == 1 else s1.tobytes(), prior, slots.tobytes())
+                    out = (s1.to_pybytes(), prior.to_pybytes(), slots.tobytes())
                 else:
-                    words, slots = compact(slots if k == 1 else s1, slots, k)
+                    words, slots = compact(slots if k == 1 else own, slots, k)
                     if not len(slots):
                         continue
                     out = (words.tobytes(), slots.tobytes(), b"")
@@ -247,7 +253,10 @@ def _dealt(k: int, least: int, shards: int) -> Callable[[Iterator[pa.RecordBatch
         held, n = [], 0
 
         def rows() -> pa.RecordBatch:
-            keys, counts = _merged(held, [np.ones(len(x), np.int32) for x in held], least)
+            keys = np.concatenate(held)
+            keys.sort()
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, counts = keys[edge], np.minimum(np.diff(edge, append=len(keys)), least).astype(np.int32)
             shard = _share(keys, shards)
             order = np.argsort(shard, kind="stable")
             edge = np.flatnonzero(np.diff(shard[order], prepend=-1))
@@ -255,7 +264,7 @@ def _dealt(k: int, least: int, shards: int) -> Callable[[Iterator[pa.RecordBatch
             return _batch(shard[order][edge].tolist(), [keys[p].tobytes() for p in parts], [counts[p].tobytes() for p in parts], names=["shard", "keys", "counts"], kinds=[pa.int32(), pa.binary(), pa.binary()])
 
         for batch in batches:
-            for s1, prior in zip(batch.column("s1").to_pylist(), batch.column("prior").to_pylist(), strict=True):
+            for s1, prior in _arrays(batch, "s1", "prior"):
                 keys = phrase_keys(_ints(s1), _ints(prior), k)[1]
                 if len(keys):
                     held.append(keys)
@@ -275,11 +284,11 @@ def _survivors(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, n = [], [], 0
         for batch in batches:
-            for a, b in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for a, b in _arrays(batch, "keys", "counts"):
                 keys.append(_ints(a, _U))
                 counts.append(_ints(b))
                 n += len(keys[-1])
-                if n > 2 * max(HELD_KEYS, len(keys[0])):
+                if n > 2 * max(4 * HELD_KEYS, len(keys[0])):
                     a, b = _merged(keys, counts, least)
                     keys, counts, n = [a], [b], len(a)
         if keys:
@@ -318,7 +327,7 @@ def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of a level -> (chunk, counts): arrays of the counts of CHUNK slots."""
     chunks: dict[int, np.ndarray] = {}
     for batch in batches:
-        for prior in batch.column("prior").to_pylist():
+        for prior, in _arrays(batch, "prior"):
             slots = np.sort(_ints(prior))
             slots = slots[np.searchsorted(slots, 0):].astype(np.int64)
             edges = np.flatnonzero(np.diff(slots // CHUNK, prepend=-1))
@@ -340,7 +349,7 @@ def _chunk_rows(chunks: dict[int, np.ndarray]) -> pa.RecordBatch:
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunks: dict[int, np.ndarray] = {}
     for batch in batches:
-        for c, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+        for c, (counts,) in zip(batch.column("chunk").to_pylist(), _arrays(batch, "counts"), strict=True):
             chunks[c] = chunks[c] + _ints(counts, np.int64) if c in chunks else _ints(counts, np.int64)
     if chunks:
         yield _chunk_rows(chunks)
@@ -348,7 +357,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chunk_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for c, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+        for c, (counts,) in zip(batch.column("chunk").to_pylist(), _arrays(batch, "counts"), strict=True):
             a = _ints(counts, np.int64)
             at = np.flatnonzero(a)
             yield pa.RecordBatch.from_arrays([pa.array(at + c * CHUNK), pa.array(a[at])], ["slot", "f"])
@@ -363,7 +372,7 @@ class _Search:
         self.words = Written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).select("lang", F.col("word").cast("string").alias("word"), "n"), "words")
         self.langs = Written(self.words.df.groupBy("lang").agg(F.sum("n").alias("total")), "langs")
         total = self.langs.df.agg(F.sum("total")).first()[0] or 0
-        self.shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // HELD_KEYS))
+        self.shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * HELD_KEYS)))
         self.salt, tried = "", 0
         while True:
             n, different, zero = self.words.df.agg(F.count("*"), F.count_distinct(self.word_key()), F.max(self.word_key() == 0)).first()
