@@ -109,9 +109,19 @@ def paired(rows: DataFrame, baseline: str, check: bool = False) -> DataFrame:
     return rows.where(F.col("method") != baseline).select("method", "problem_id", F.col("correct").alias("a")).join(base, "problem_id")
 
 
-def paired_with(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """(method_id, vs, problem_id, a, b) of each method of `matches` (method_id, vs) with the one it is matched with."""
+def paired_with(rows: DataFrame, matches: DataFrame, common: bool = False) -> DataFrame:
+    """(method_id, vs, problem_id, a, b) of each method of `matches` (method_id, vs) with the one it is matched with.
+
+    Methods that were run on different problems are an error; with `common`, they are compared over the problems that both have.
+    """
     rows = with_method_id(rows)
+    if not common:
+        own = rows.select("method_id", "problem_id").distinct()
+        sides = [own.join(F.broadcast(matches), "method_id").select("method_id", "vs", "problem_id", F.lit(1).alias("side")), own.withColumnRenamed("method_id", "vs").join(F.broadcast(matches), "vs").select("method_id", "vs", "problem_id", F.lit(-1).alias("side"))]
+        odd = sides[0].unionByName(sides[1]).groupBy("method_id", "vs", "problem_id").agg(F.sum("side").alias("side")).where("side <> 0").groupBy("method_id", "vs").agg(F.count_if(F.col("side") > 0).alias("added"), F.count_if(F.col("side") < 0).alias("missing"))
+        found = odd.orderBy("method_id", "vs").limit(5).collect()  # for the message
+        if found:
+            raise ValueError("methods were run on different problems: " + "; ".join(f"{r.method_id} against {r.vs}: +{r.added}/-{r.missing}" for r in found))
     a = rows.select("method_id", "problem_id", F.col("correct").alias("a")).join(F.broadcast(matches), "method_id")  # a row for each method
     return a.join(rows.select(F.col("method_id").alias("vs"), "problem_id", F.col("correct").alias("b")), ["vs", "problem_id"])
 
@@ -123,8 +133,8 @@ def nearest_by_compute(targets: DataFrame, baselines: DataFrame) -> DataFrame:
     return pairs.groupBy("method_id").agg(F.min_by("other_id", F.struct(log_distance(F.col("tokens"), F.col("other_tokens")), "other_id")).alias("nearest"))
 
 
-def main_table(rows: DataFrame, baseline: str = "sc", n_boot: int = stats.N_BOOT, seed: int = 0) -> DataFrame:
-    """Points by method_id with intervals, and the paired difference from the variant of the baseline that is nearest in compute.
+def main_table(rows: DataFrame, baseline: str = "sc", n_boot: int = stats.N_BOOT, seed: int = 0, common: bool = False) -> DataFrame:
+    """Points by method_id with intervals, and the paired difference from the variant of the baseline that is nearest in compute; both have to be over the same problems, unless `common` says that those of both are enough.
 
     vs, diff, diff_lo, diff_hi, p_value and compute_ratio are null for the baseline's own rows, for
     UNMATCHED methods, and where no baseline has tokens. Give rows that are cheap to read again (a
@@ -135,7 +145,7 @@ def main_table(rows: DataFrame, baseline: str = "sc", n_boot: int = stats.N_BOOT
     cost = points(rows).select("method_id", "method", F.col("mean_tokens").alias("tokens"))
     base = cost.where(F.col("method") == baseline)
     near = nearest_by_compute(cost.where((F.col("method") != baseline) & ~F.col("method").isin(*UNMATCHED)), base).withColumnRenamed("nearest", "vs")
-    diff = stats.paired_difference(paired_with(rows, near), ["method_id", "vs"], n_boot=n_boot, seed=seed).select("method_id", "vs", "diff", F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi"), "p_value")
+    diff = stats.paired_difference(paired_with(rows, near, common), ["method_id", "vs"], n_boot=n_boot, seed=seed).select("method_id", "vs", "diff", F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi"), "p_value")
     matched = diff.join(base.select(F.col("method_id").alias("vs"), F.col("tokens").alias("vs_tokens")), "vs")
     return p.join(matched, "method_id", "left").withColumn("compute_ratio", F.try_divide("mean_tokens", "vs_tokens")).drop("vs_tokens")
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.probability import bin_index
+from marlstone.operators import resample
 
 #: Inclusive depth buckets.
 BUCKETS = [(1, 2), (3, 5), (6, 9), (10, None)]
-N_BOOT, ALPHA, N_BINS = 1000, 0.05, 10
+N_BOOT, ALPHA, N_BINS = resample.N_BOOT, 0.05, 10
 GO, PARTIAL = 0.75, 0.65
 
 
@@ -21,31 +22,10 @@ def accuracy(correct: Column) -> Column:
     return F.avg(correct.cast("double"))
 
 
-#: Lanes of one digest, and 65536 times the probability that a Poisson count of mean 1 is at most 0, 1, 2, ...
-LANES = 8
-POISSON = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
-
-
-def draws(rows: DataFrame, cluster: str, n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
-    """The rows with the draws `b` that have them and their `weight` in each.
-
-    How often a draw takes a cluster is a Poisson count of mean 1 from a hash of (seed, draw, cluster), so
-    draws are the same for any order and partitioning, rows need no numbers, and nothing is shuffled or
-    gathered: sums over a draw are combined in each partition before they meet.
-    """
-    names = [F.col(f"`{c}`") for c in rows.columns]
-    blocks = rows.select(*names, F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // LANES))).alias("boot_block"))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("boot_block").cast("string"), F.col(cluster).cast("string")))
-    lane = lambda k: F.conv(F.substring(F.col("boot_digest"), 4 * k + 1, 4), 16, 10).cast("int")
-    weight = lambda u: sum(((u >= t).cast("int") for t in POISSON[1:]), (u >= POISSON[0]).cast("int"))
-    lanes = blocks.withColumn("boot_digest", digest).select(*names, "boot_block", F.posexplode(F.array(*[lane(k) for k in range(LANES)])).alias("boot_lane", "boot_u"))
-    return lanes.where((F.col("boot_u") >= POISSON[0]) & (F.col("boot_block") * LANES + F.col("boot_lane") < n_boot)).select(*names, (F.col("boot_block") * LANES + F.col("boot_lane")).alias("b"), weight(F.col("boot_u")).alias("weight"))
-
-
 def bootstrap_means(values: DataFrame, value: str, groups: list[str], cluster: str, n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
-    """(groups, b, mean) of each draw of clusters; a draw without any row has none."""
-    sums = values.where(F.col(value).isNotNull()).groupBy(*groups, cluster).agg(F.sum(F.col(value).cast("double")).alias("x"), F.count("*").alias("n"))
-    return draws(sums, cluster, n_boot, seed).groupBy(*groups, "b").agg((F.sum(F.col("weight") * F.col("x")) / F.sum(F.col("weight") * F.col("n"))).alias("mean"))
+    """(groups, b, mean) of each draw of clusters with replacement, as many as there are."""
+    x = F.col(value).cast("double")
+    return resample.bootstrap(values.where(x.isNotNull()), {"x": x, "n": F.lit(1)}, F.col("x") / F.col("n"), groups, cluster, n_boot, seed, "mean")
 
 
 def percentile_interval(draws: DataFrame, value: str, groups: list[str], alpha: float = ALPHA) -> DataFrame:
@@ -54,10 +34,18 @@ def percentile_interval(draws: DataFrame, value: str, groups: list[str], alpha:
     return draws.where(F.col(value).isNotNull()).groupBy(*groups).agg(at.alias("p")).select(*groups, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 
 
+def _side_by_side(keys: list[str], *tables: DataFrame) -> DataFrame:
+    """The columns of tables that have a row for each key, null keys included."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out.groupBy(*keys).agg(*[F.max(c).alias(c) for c in out.columns if c not in keys])
+
+
 def accuracy_interval(rows: DataFrame, groups: list[str], cluster: str = "problem_id", value: str = "correct", n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
     """(groups, n, accuracy, lo, hi)."""
     exact = rows.groupBy(*groups).agg(F.count("*").alias("n"), accuracy(F.col(value)).alias("accuracy"))
-    return exact.join(percentile_interval(bootstrap_means(rows, value, groups, cluster, n_boot, seed), "mean", groups), groups, "left")
+    return _side_by_side(groups, exact, percentile_interval(bootstrap_means(rows, value, groups, cluster, n_boot, seed), "mean", groups))
 
 
 def paired_difference(pairs: DataFrame, groups: list[str], cluster: str = "problem_id", n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
@@ -70,17 +58,7 @@ def paired_difference(pairs: DataFrame, groups: list[str], cluster: str = "probl
     return exact.join(ends, groups).select(*groups, "diff", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p_value"), "n")
 
 
-def auroc(rows: DataFrame, groups: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """(groups, auroc): positives are labels above 0.5, ties count half, null where one class is missing.
-
-    Rows collapse to distinct scores before the cumulative sum, so the window is over scores, not rows.
-    """
-    positive = (F.col(label).cast("double") > 0.5).cast("long")
-    by_score = rows.groupBy(*groups, F.col(score).alias("s")).agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    below = F.sum("neg").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-    area = by_score.withColumn("area", F.col("pos") * (below + F.col("neg") / 2))
-    return area.groupBy(*groups).agg(F.try_divide(F.sum("area"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
+auroc = resample.auroc
 
 
 def brier(score: str = "score", soft: str = "soft") -> Column:
@@ -116,18 +94,12 @@ def by_depth(rows: DataFrame, aggregates: dict[str, Column], buckets: list[tuple
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, groups: list[str] | tuple[str, ...] = (), n_boot: int = N_BOOT, seed: int = 0, score: str = "score", label: str = "label", soft: str = "soft", n_bins: int = N_BINS) -> DataFrame:
-    """(groups, b, auroc, brier, ece) of draws of whole clusters; a cluster drawn twice weighs twice instead of being copied.
-
-    Rows collapse to sums by cluster and score before they are drawn.
-    """
-    positive = (F.col(label).cast("double") > 0.5).cast("long")
-    sums = rows.groupBy(*groups, cluster, F.col(score).alias("s")).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"), F.count("*").alias("c"), F.sum(F.pow(F.col(score) - F.col(soft), 2)).alias("err"), F.sum(F.col(score) - F.col(soft)).alias("gap"))
-    total = lambda c: F.sum(F.col(c) * F.col("weight"))
-    by_score = draws(sums, cluster, n_boot, seed).groupBy(*groups, "b", "s").agg(total("p").alias("pos"), total("q").alias("neg"), total("err").alias("err"), total("c").alias("c"), total("gap").alias("gap"))
-    gaps = [F.abs(F.coalesce(F.sum(F.when(bin_index(F.col("s"), n_bins) == k, F.col("gap"))), F.lit(0.0))) for k in range(n_bins)]
-    below = F.sum("neg").over(Window.partitionBy(*groups, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("neg")
-    return by_score.withColumn("area", F.col("pos") * (below + F.col("neg") / 2)).groupBy(*groups, "b").agg(
-        F.try_divide(F.sum("area"), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"), (F.sum("err") / F.sum("c")).alias("brier"), (sum(gaps[1:], gaps[0]) / F.sum("c")).alias("ece"))
+    """(groups, b, auroc, brier, ece) of draws of whole clusters; a cluster drawn twice weighs twice instead of being copied. Brier and ECE are functions of sums; AUROC goes by the scores in order, sorted once for all draws."""
+    gap = F.col(score) - F.col(soft)
+    sums = {"c": F.lit(1), "err": gap * gap} | {f"g{k}": F.when(bin_index(F.col(score), n_bins) == k, gap) for k in range(n_bins)}
+    gaps = [F.abs(f"g{k}") for k in range(n_bins)]
+    both = resample.draw_sums(rows, sums, groups, cluster, n_boot, seed).select(*groups, "b", (F.col("err") / F.col("c")).alias("brier"), (sum(gaps[1:], gaps[0]) / F.col("c")).alias("ece"))
+    return _side_by_side([*groups, "b"], resample.bootstrap_auroc(rows, groups, cluster, score, label, n_boot, seed), both)
 
 
 def interval_columns(draws_: DataFrame, names: tuple[str, ...], groups: list[str] | tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:

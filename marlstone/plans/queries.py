@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import answers, probability, text
-from marlstone.operators import analysis, budget, candidates, experiments, rows, sampling, search, stats, tree, votes
+from marlstone.operators import analysis, budget, candidates, experiments, resample, rows, sampling, search, stats, tree, votes
 from marlstone.plans import bindings as b
 from marlstone.sources.shared import Written
 
@@ -22,7 +22,7 @@ def _query(sql: str | None = None):
         name = f.__name__.rstrip("_")
         _QUERIES[name] = f
         if sql:
-            _SQL[name] = sql
+            _SQL[name] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if "boot_rank" in sql else sql
         return f
 
     return register
@@ -120,15 +120,30 @@ def _fields(r: DataFrame) -> DataFrame:
     return _variants(r).withColumn("wall_time", F.col("k") % 7 / 8.0).withColumn("prompt_tokens", (F.col("k") + 5).cast("long")).withColumn("calls", (F.col("k") % 3).cast("long"))
 
 
-def _weights(cluster: str, seed: int = 0) -> str:
-    """Of a row with `blk` (of 8 draws) and `lane`: how often draw 8 * blk + lane has its cluster."""
-    u = f"('0x' || substr(md5('{seed}|' || blk || '|' || {cluster}), 4 * lane + 1, 4))::INT"
-    return "(" + " + ".join(f"({u} >= {t})::INT" for t in stats.POISSON) + ")"
+def _mix(x: str, y: str) -> str:
+    """Columns y1, y2, y of the 32-bit finalizer of the column x."""
+    a, c = resample.FINAL
+    return f"((xor({x}, {x} >> 16) * {a}::UBIGINT) & 4294967295) AS {y}1, ((xor({y}1, {y}1 >> 13) * {c}::UBIGINT) & 4294967295) AS {y}2, xor({y}2, {y}2 >> 16) AS {y}"
 
 
-def _draws(g: str, source: str = "vals", cluster: str = "problem_id", sums: str = "sum(w * x) / sum(w) AS mean", name: str = "means") -> str:
-    """A row for each draw and group, of `source` with the groups, the cluster and what the sums need."""
-    return f"""{name} AS (SELECT {g + ', ' if g else ''}b, {sums} FROM (SELECT z.*, 8 * blk + lane AS b, {_weights('z.' + cluster)} AS w FROM {source} z, range({(BOOT + 7) // 8}) r(blk), range(8) l(lane)) WHERE w > 0 AND b < {BOOT} GROUP BY ALL)"""
+def _draws(g: str, source: str = "vals", cluster: str = "problem_id", sums: str = "sum(w * x) / sum(w) AS mean", name: str = "means", by: str = "", seed: int = 0) -> str:
+    """A row for each draw and group (and `by`), of `source` with the groups, the cluster and what the sums need; w is how often the draw has the row's cluster.
+
+    A draw's n are split by ranks: of those that fall on lo..hi, each goes to the lower half if its hash is below that half's share.
+    """
+    s, b_, lo, hi = resample.MIX
+    one = f"{g}, " if g else ""
+    part = f"PARTITION BY {g} " if g else ""
+    return f"""{name}_r AS (SELECT *, max(boot_rank + 1) OVER ({part}) AS boot_n FROM (SELECT z.*, dense_rank() OVER ({part}ORDER BY {cluster}) - 1 AS boot_rank FROM {source} z)),
+{name}_t(n, b, lo, hi, c) AS (
+  SELECT n, b, 0::UBIGINT, n, n FROM (SELECT DISTINCT boot_n::UBIGINT AS n FROM {name}_r), (SELECT r.range::UBIGINT AS b FROM range({BOOT}) r)
+  UNION ALL
+  SELECT n, b, if(k = 0, lo, mid), if(k = 0, mid, hi), if(k = 0, l, c - l) FROM (
+    SELECT n, b, lo, hi, c, (lo + hi) // 2 AS mid, (count(*) FILTER (u * (hi - lo) < ((((lo + hi) // 2) - lo) << 32)))::UBIGINT AS l FROM (
+      SELECT n, b, lo, hi, c, ((key + j * {s}::UBIGINT) & 4294967295) AS v, {_mix('v', 'u')} FROM (
+        SELECT n, b, lo, hi, c, unnest(range(c::BIGINT))::UBIGINT AS j, (({seed * s}::UBIGINT + b * {b_}::UBIGINT + lo * {lo}::UBIGINT + hi * {hi}::UBIGINT) & 4294967295) AS h, {_mix('h', 'key')} FROM {name}_t WHERE hi - lo > 1))
+    GROUP BY n, b, lo, hi, c), (VALUES (0), (1)) q(k) WHERE if(k = 0, l, c - l) > 0),
+{name} AS (SELECT {one}b{', ' + by if by else ''}, {sums} FROM (SELECT r.*, t.b::INT AS b, t.c::BIGINT AS w FROM {name}_r r JOIN {name}_t t ON t.n = r.boot_n AND t.lo = r.boot_rank AND t.hi = r.boot_rank + 1) GROUP BY ALL)"""
 
 
 def _interval(x: str = "mean", lo: str = "lo", hi: str = "hi") -> str:
@@ -194,6 +209,25 @@ def bootstrap_accuracy_ci(spark, d):
     return stats.accuracy_interval(Written(latest(spark, d), "latest").df, ["method"]).select("method", "n", *r6("accuracy", "lo", "hi"))
 
 
+@_query(f"WITH {b.LATEST}, vals AS (SELECT method, problem_id, compute_tokens::DOUBLE AS x FROM latest), {_draws('method', sums='list_concat_all AS mean').split('means AS (')[0].rstrip().rstrip(',')}, "
+        f"copied AS (SELECT method, b, x, unnest(range(c::BIGINT)) FROM means_r r JOIN means_t t ON t.n = r.boot_n AND t.lo = r.boot_rank AND t.hi = r.boot_rank + 1), means AS (SELECT method, b, quantile_cont(x, 0.5) AS mean FROM copied GROUP BY ALL) "
+        f"SELECT method, any_value(a.m) AS median, {_interval()} FROM means JOIN (SELECT method, round(quantile_cont(x, 0.5), 6) AS m FROM vals GROUP BY method) a USING (method) GROUP BY method")
+def bootstrap_median(spark, d):
+    r = Written(latest(spark, d), "latest").df
+    ends = stats.percentile_interval(resample.bootstrap_quantile(r, "compute_tokens", 0.5, ["method"], "problem_id"), "value", ["method"])
+    return r.groupBy("method").agg(F.percentile("compute_tokens", F.lit(0.5)).alias("median")).join(ends, "method").select("method", *r6("median", "lo", "hi"))
+
+
+@_query(f"WITH {b.SCORED}, {_draws('variant', 'scored', sums='sum(w) AS n, sum(w * score) AS x, sum(w * soft) AS y, sum(w * score * score) AS xx, sum(w * soft * soft) AS yy, sum(w * score * soft) AS xy', name='sums')}, means AS (SELECT variant, (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) AS mean FROM sums) "
+        f"SELECT variant, any_value(c) AS correlation, {_interval()} FROM means JOIN (SELECT variant, round(corr(score, soft), 6) AS c FROM scored GROUP BY variant) USING (variant) GROUP BY variant")
+def bootstrap_correlation(spark, d):
+    s = Written(b.scored(spark, d), "scored").df
+    x, y = F.col("score"), F.col("soft")
+    sums = {"n": F.lit(1), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+    draws = resample.bootstrap(s, sums, F.try_divide(F.expr("n * xy - x * y"), F.sqrt(F.expr("(n * xx - x * x) * (n * yy - y * y)"))), ["variant"], "problem_id")
+    return s.groupBy("variant").agg(F.corr("score", "soft").alias("correlation")).join(stats.percentile_interval(draws, "value", ["variant"]), "variant").select("variant", *r6("correlation", "lo", "hi"))
+
+
 def _paired(g: str) -> str:
     return f"SELECT {g}, round(any_value(v.diff), 6) AS diff, {_interval()}, round(least(1, 2 * least(avg((mean <= 0)::INT), avg((mean >= 0)::INT))), 6) AS p_value, any_value(v.n) AS n FROM means JOIN (SELECT {g}, avg(x) AS diff, count(*) AS n FROM vals GROUP BY ALL) v USING ({g}) GROUP BY {g}"
 
@@ -214,13 +248,13 @@ def nearest_by_compute(spark, d):
     return analysis.nearest_by_compute(cost.where("method <> 'click'"), cost.where("method = 'click'"))
 
 
-# A variant of `own` has other problems than one of `click`; the pairs are those that both have.
-@_query(f"""WITH {b.LATEST}, {_IDS}, {_COST}, {_NEAREST}, {_CI.replace('vals ', 'cvals ').replace(' FROM vals z', ' FROM cvals z').replace('means', 'cmeans')},
+# A variant has other problems than one of `click`; the pairs are those that both have, as `common` asks.
+@_query(f"""WITH {b.LATEST}, {_IDS}, {_COST}, {_NEAREST}, cvals AS (SELECT method_id, problem_id, correct::INT AS x FROM ids), {_draws('method_id', 'cvals', name='cmeans')}, ci AS (SELECT method_id, {_interval()} FROM cmeans GROUP BY method_id),
 vals AS (SELECT near.method_id, a.problem_id, a.correct::INT - z.correct::INT AS x FROM near JOIN ids a ON a.method_id = near.method_id JOIN ids z ON z.method_id = near.nearest AND z.problem_id = a.problem_id), {_draws('method_id')}, pd AS ({_paired('method_id')})
 SELECT p.*, ci.lo, ci.hi, CASE WHEN pd.method_id IS NOT NULL THEN near.nearest END AS vs, pd.diff, pd.lo AS diff_lo, pd.hi AS diff_hi, pd.p_value, CASE WHEN pd.method_id IS NOT NULL THEN round(c.t / cb.t, 6) END AS compute_ratio
 FROM (SELECT method_id, {_POINTS} FROM ids GROUP BY method_id) p JOIN ci USING (method_id) JOIN cost c USING (method_id) LEFT JOIN near USING (method_id) LEFT JOIN cost cb ON cb.method_id = near.nearest LEFT JOIN pd ON pd.method_id = p.method_id""")
 def main_table(spark, d):
-    t = analysis.main_table(Written(_fields(latest(spark, d)), "latest").df, "click")
+    t = analysis.main_table(Written(_fields(latest(spark, d)), "latest").df, "click", common=True)
     return t.select("method_id", "method", "n", "n_errors", *r6("accuracy", "mean_tokens", "mean_wall_time"), F.round("usd", 9).alias("usd"), *r6("lo", "hi"), "vs", *r6("diff", "diff_lo", "diff_hi", "p_value", "compute_ratio"))
 
 
@@ -304,7 +338,7 @@ def _cluster(g: str) -> str:
     """Draws of whole problems: b, auroc, brier, ece by `g`."""
     k = f"{g}, " if g else ""
     sums = "sum(w * label::INT) AS pos, sum(w * (1 - label::INT)) AS neg, sum(w * pow(score - soft, 2)) AS err, sum(w) AS c, sum(w * (score - soft)) AS gap"
-    return f"""{_draws(k + 'score', 'scored', sums=sums, name='bys0')}, cum0 AS (SELECT *, sum(neg) OVER (PARTITION BY {k}b ORDER BY score) - neg AS below FROM bys0),
+    return f"""{_draws(g, 'scored', sums=sums, name='bys0', by='score')}, cum0 AS (SELECT *, sum(neg) OVER (PARTITION BY {k}b ORDER BY score) - neg AS below FROM bys0),
 m AS (SELECT {k}b, CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)) END AS auroc, sum(err) / sum(c) AS brier FROM cum0 GROUP BY ALL),
 me AS (SELECT {k}b, sum(abs(gap)) / sum(c) AS ece FROM (SELECT {k}b, least(9, greatest(0, floor(score * 10)::INT)) AS bin, sum(gap) AS gap, sum(c) AS c FROM bys0 GROUP BY ALL) GROUP BY ALL),
 ends AS (SELECT {k}{_interval('auroc', 'auroc_lo', 'auroc_hi')}, {_interval('brier', 'brier_lo', 'brier_hi')}, {_interval('ece', 'ece_lo', 'ece_hi')} FROM m JOIN me USING ({k}b) GROUP BY ALL)"""

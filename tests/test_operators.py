@@ -167,27 +167,6 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in spark.table("acc").collect()) == [1, 2]
 
 
-def test_cluster_bootstrap_draws_ece(spark):
-    import random
-
-    from marlstone.operators import stats
-
-    rng = random.Random(4)
-    rows = [(f"p{k % 7}", rng.choice([0.0, 0.05, 0.31, 0.34, 0.72, 1.0]), rng.random() > 0.5, rng.random()) for k in range(60)]
-    df = spark.createDataFrame(rows, "problem_id string, score double, label boolean, soft double").cache()
-    draws = {r.b: r for r in stats.cluster_bootstrap(df, "problem_id", n_boot=20).collect()}
-    weights = {}
-    for r in stats.draws(df.select("problem_id").distinct(), "problem_id", 20).collect():
-        weights.setdefault(r.b, {})[r.problem_id] = r.weight
-    assert len(draws) == 20
-    for b, w in weights.items():
-        gaps, n = {}, 0
-        for p, s, _, soft in rows:
-            gaps[min(9, int(s * 10))] = gaps.get(min(9, int(s * 10)), 0) + w.get(p, 0) * (s - soft)
-            n += w.get(p, 0)
-        assert abs(draws[b].ece - sum(map(abs, gaps.values())) / n) < 1e-12
-
-
 def test_votes_over_all_samples(spark):
     import duckdb
 
