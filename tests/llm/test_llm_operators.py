@@ -509,6 +509,44 @@ def test_wrappers_choose_the_slots_of_articles(spark):
     assert got[5] == got[6] == got[7] == "Head x\nBuy our tea\nbody x\nall say so\nRead on"
 
 
+def test_articles_are_never_lost(spark):
+    from marlstone.llm import wrapper_html as wh
+
+    same = [("http://a.com", f"<nav>m{k}</nav><article><h1>Same title</h1><p>Same body.</p></article>") for k in range(9)]
+    near = [("http://b.com", f"<main><div>{k} May</div><h1>Title</h1><div>{'the same text ' * 30}</div><div>{'and this one ' * 20}</div></main><div>menu</div>") for k in range(9)]
+    plain = [("http://c.com", f"<div class=nav>{k}</div><div>Only text here</div>") for k in range(9)]
+    menus = [("http://d.com", f"<div>Start</div><div>{'body ' * 5}{k}</div><div>Imprint</div>") for k in range(9)]
+    advert = [("http://e.com", f"<article><h2>Ingredients</h2><div>{'text ' * 20}{k}</div><div>Subscribe to our channel today</div><div>{k} {'more ' * 20}</div></article>") for k in range(4)]
+    pages = same + near + plain + menus + advert
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    got = [r.text for r in wh.extract_main_text(df).orderBy("page_id").collect()]
+    assert got[:9] == ["Same title\nSame body."] * 9
+    assert got[9:18] == [f"{k} May\nTitle\n{('the same text ' * 30).strip()}\n{('and this one ' * 20).strip()}" for k in range(9)]
+    assert got[18:27] == ["Only text here"] * 9
+    assert got[27:36] == [f"{'body ' * 5}{k}" for k in range(9)]
+    assert got[36:] == [f"Ingredients\n{'text ' * 20}{k}\n{k} {('more ' * 20).strip()}" for k in range(4)]
+
+
+def test_wide_pages_align_in_bounded_time():
+    import time
+
+    from marlstone.llm import wrapper_html as wh
+
+    rng = random.Random(3)
+    wide = ["".join(f"<{t}>text {rng.randrange(50)}</{t}>" for t in (rng.choice(["p", "h2", "ul", "pre", "h3"]) for _ in range(20_000))) for _ in range(3)]
+    began = time.time()
+    found: list = [[], []]
+    for html in wide:
+        found = wh.add_page(found, html)
+    settled = wh.Level(wh.settle(found[1], found[0]))
+    texts = [wh.extract(wh.parse(html), settled) for html in wide]
+    assert time.time() - began < 20
+    # what goes is only what other pages have too, and never all
+    for html, text in zip(wide, texts):
+        plain = wh.extract(wh.parse(html)).split("\n")
+        assert text and set(text.split("\n")) <= set(plain)
+
+
 # Places of benchmark items.
 
 def test_benchmark_matches_give_phrases_and_proximity(spark):
