@@ -1,71 +1,49 @@
 """Methods run over problems: generators and judges as functions of DataFrames, methods, resumable runs, pilot stages.
 
 A generator gives sampled solutions, a judge scores of solutions; both map a DataFrame to a DataFrame,
-so a run is one plan over all problems. The toy generator and judge need no model and no Python: each
-draw is a hash of (seed, problem, sample, step), which any engine and any partitioning gives alike.
+so a run is one plan over all problems. A model is called by whoever gives such a function; here are those
+that serve what is stored: samples of an earlier run, and the scores that came with them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from marlstone.functions import answers, text
 from marlstone.operators import rows as result_rows
 from marlstone.operators import votes
-from marlstone.operators.search import INCREMENTS, ON_COURSE, ASTRAY, RIGHT, TARGET, WRONG, SearchSettings, search_all
 from marlstone.sources import tables
+from marlstone.sources.shared import Written
 
-#: Tokens that a toy step counts as.
-STEP_TOKENS = 8
-
-Generator = Callable[[DataFrame, int, float], DataFrame]  # problems, samples, temperature -> problem_id, i, steps, solution, answer, tokens
+Generator = Callable[[DataFrame, int, float], DataFrame]  # problems, samples, temperature -> problem_id, i, solution, answer, tokens, error; a score if there is one
 Judge = Callable[[DataFrame], DataFrame]  # samples -> the samples with a score
 
 
-def toy_generator(seed: int = 0, fails: Column | None = None) -> Generator:
-    """Adds 5, 2 or 1 until the target is met or passed; always 5 at temperature 0. Problems for which `fails` holds have an `error` and no steps."""
-    most = -(-TARGET // min(INCREMENTS))
+def stored_generator(samples: DataFrame) -> Generator:
+    """Serves the first n of stored samples (problem_id, i, answer, tokens; solution and score if there are any).
+
+    A problem with fewer than n fails, as a vote of fewer would be another method; one without any does, too.
+    """
+    more = [c for c in ("solution", "score") if c in samples.columns]
 
     def generate(problems: DataFrame, n: int, temperature: float) -> DataFrame:
-        drawn = problems.select("problem_id", (F.lit(False) if fails is None else fails).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-        digest = lambda j: F.md5(F.concat_ws("|", F.lit(str(seed)), "problem_id", F.col("i").cast("string"), j.cast("string")))
-        pick = lambda j: F.conv(F.substring(digest(j), 1, 8), 16, 10).cast("long") % len(INCREMENTS)
-        choices = F.array(*[F.lit(x) for x in INCREMENTS])
-        add = lambda j: F.lit(INCREMENTS[0]) if temperature == 0 else choices[pick(j)]
-        totals = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.array(F.lit(0)), lambda t, j: F.when(t[F.size(t) - 1] >= TARGET, t).otherwise(F.array_append(t, t[F.size(t) - 1] + add(j))))
-        told = drawn.withColumn("totals", totals).withColumn("answer", F.col("totals")[F.size("totals") - 1].cast("string"))
-        steps = F.transform(F.sequence(F.lit(1), F.size("totals") - 1), lambda k: _toy_step(F.col("totals")[k - 1], F.col("totals")[k]))
-        error = F.when(F.col("down"), "the generator failed")
-        out = told.withColumn("steps", F.when(~F.col("down"), steps)).withColumn("answer", F.when(~F.col("down"), F.col("answer")))
-        return out.select("problem_id", "i", "steps", F.regexp_replace(text.format_steps(F.col("steps")), r"\s+$", "").alias("solution"), "answer", F.coalesce(F.size("steps") * STEP_TOKENS, F.lit(0)).cast("long").alias("tokens"), error.alias("error"))
+        wanted = samples.where(F.col("i").between(0, n - 1)).select("problem_id", "i", "answer", "tokens", *more)
+        have = wanted.groupBy("problem_id").agg(F.count_distinct("i").alias("have"))
+        todo = problems.select("problem_id").join(have, "problem_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+        short = todo.where(F.col("have") < n).select("problem_id", F.lit(0).alias("i"), F.concat(F.col("have").cast("string"), F.lit(f" stored samples, fewer than {n}")).alias("error"))
+        full = todo.where(F.col("have") >= n).drop("have").join(wanted, "problem_id").withColumn("error", F.lit(None).cast("string"))
+        return full.unionByName(short, allowMissingColumns=True).withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("long"))
 
     return generate
 
 
-def _toy_step(before: Column, after: Column) -> Column:
-    plain = F.concat(F.lit("add "), (after - before).cast("string"), F.lit(" -> "), after.cast("string"))
-    return F.when(after >= TARGET, F.concat(plain, F.lit(". \\boxed{"), after.cast("string"), F.lit("}"))).otherwise(plain)
-
-
-def toy_judge(samples: DataFrame) -> DataFrame:
-    """The samples with `score`: how surely their answer meets the target."""
-    return samples.withColumn("score", F.when(F.col("answer") == str(TARGET), RIGHT).otherwise(WRONG))
-
-
-def uniform_judge(samples: DataFrame, value: float = 0.5) -> DataFrame:
-    """Says the same of every sample."""
-    return samples.withColumn("score", F.lit(value))
-
-
-def hybrid_priors(priors: Column, value: Column) -> Column:
-    """The priors of one judge with the value of another."""
-    return F.struct(priors.alias("priors"), value.alias("value"))
+def stored_judge(samples: DataFrame) -> DataFrame:
+    """Samples that come with their scores."""
+    return samples.withColumn("score", F.col("score").cast("double"))
 
 
 @dataclass(frozen=True)
@@ -117,29 +95,20 @@ def best_method(generate: Generator, judge: Judge, n: int, m: int | None = None,
     return Method("bon", {"n": str(n)}, solve)
 
 
-def search_method(settings: SearchSettings = SearchSettings(), name: str = "tz") -> Method:
-    """The answer that the values of the tree's leaves vote for; a step costs STEP_TOKENS."""
-    def solve(problems: DataFrame) -> DataFrame:
-        nodes = search_all(problems, settings).withColumnRenamed("problem_id", "tree_id")
-        vote = votes.value_vote(nodes, F.trim).select("tree_id", "answer")
-        cost = nodes.groupBy("tree_id").agg((F.count_if(F.col("depth") > 0) * STEP_TOKENS).alias("compute_tokens"), F.min("error").alias("error"))
-        return cost.join(vote, "tree_id", "left").select(F.col("tree_id").alias("problem_id"), "answer", "compute_tokens", "error", F.lit(None).cast(_NO_SAMPLES).alias("samples"))
-
-    return Method(name, {"n_simulations": str(settings.n_simulations)}, solve)
-
-
-def build_methods(specs: list[str], generate: Generator | None, judge: Judge | None, settings: SearchSettings = SearchSettings()) -> tuple[list[Method], dict[str, str]]:
-    """Methods of specs like `cot`, `sc:4/16` and `tz`, and for those that can't be run the reason; an unknown one is an error."""
+def build_methods(specs: list[str], generate: Generator | None, judge: Judge | None) -> tuple[list[Method], dict[str, str]]:
+    """Methods of specs like `cot` and `sc:4/16`, and for those that can't be run the reason; an unknown one is an error."""
     made, skipped = [], {}
     for spec in specs:
         found = result_rows.parse_method(spec)
         name = found["name"]
-        if name != "tz" and generate is None or name in ("c31b", "tz_self", "tz_prm"):
-            skipped[spec] = "no generator" if generate is None else f"no backend for {name}"
+        if name not in ("cot", "sc", "bon"):
+            skipped[spec] = f"no backend for {name}"
+        elif generate is None:
+            skipped[spec] = "no generator"
         elif name == "bon" and judge is None:
             skipped[spec] = "no judge"
         else:
-            made.append(search_method(settings) if name == "tz" else greedy_method(generate) if name == "cot" else vote_method(generate, found["n"], found["m"]) if name == "sc" else best_method(generate, judge, found["n"], found["m"]))
+            made.append(greedy_method(generate) if name == "cot" else vote_method(generate, found["n"], found["m"]) if name == "sc" else best_method(generate, judge, found["n"], found["m"]))
     return made, skipped
 
 
@@ -162,48 +131,33 @@ def run_method(method: Method, problems: DataFrame, done: DataFrame | None = Non
                       (error.isNull() & F.coalesce(grade(F.col("answer"), F.col("gold")), F.lit(False))).alias("correct"), error.alias("error"), F.coalesce("compute_tokens", F.lit(0)).cast("long").alias("compute_tokens"), "samples")
 
 
-def run_methods(methods: list[Method], problems: DataFrame, path: str, shard: tuple[int, int] | None = None, retry_errors: bool = False, token_cap: int | None = None) -> tuple[DataFrame, str | None]:
-    """Runs the methods one after another, appends each one's rows to the JSON lines at `path`, and gives the last success of each (problem, method), and why the run stopped if it did.
+def run_methods(methods: list[Method], problems: DataFrame, path: str, shard: tuple[int, int] | None = None, retry_errors: bool = False, token_cap: int | None = None, blocks: int = 8) -> tuple[DataFrame, str | None]:
+    """Runs the methods one after another, each over `blocks` parts of the problems by hash, appends the rows of a part to the JSON lines at `path` when it is done, and gives the last success of each (problem, method), and why the run stopped if it did.
 
-    Rows that are there already aren't run again. The run stops after the method that takes the tokens spent beyond the cap.
+    Rows that are there already aren't run again. The run stops after the part that takes the tokens spent beyond
+    the cap, those of earlier runs included; so a cap is exceeded by one part at most. `seq` numbers the parts written.
     """
     spark = problems.sparkSession
     if problems.groupBy("problem_id").count().where("count > 1").limit(1).count():
         raise ValueError("a problem id occurs twice")
+    seq, spent = tables.read_jsonl(spark, path, ROW_FIELDS).agg(F.coalesce(F.max("seq"), F.lit(0)), F.coalesce(F.sum("compute_tokens"), F.lit(0))).first()
     stopped = None
-    for method in methods:
-        done = tables.read_jsonl(spark, path, ROW_FIELDS)
-        new = run_method(method, problems, done, shard, retry_errors).withColumn("seq", F.unix_micros(F.current_timestamp()))
-        tables.append_jsonl(new.select(*done.columns), path)
-        if token_cap is not None:
-            spent = tables.read_jsonl(spark, path, ROW_FIELDS).agg(F.sum("compute_tokens")).first()[0] or 0
-            if spent > token_cap:
-                stopped = f"{spent} tokens spent, of {token_cap}"
-                break
+    for method, block in ((m, k) for m in methods for k in range(blocks)):
+        if token_cap is not None and spent > token_cap:
+            stopped = f"{spent} tokens spent, of {token_cap}"
+            break
+        seq += 1
+        part = problems.where(F.pmod(F.xxhash64("problem_id"), F.lit(blocks)) == block)
+        new = Written(run_method(method, part, tables.read_jsonl(spark, path, ROW_FIELDS), shard, retry_errors).withColumn("seq", F.lit(seq).cast("long")), "rows")
+        spent += new.df.agg(F.coalesce(F.sum("compute_tokens"), F.lit(0))).first()[0]
+        tables.append_jsonl(new.df, path)
+        new.drop()
     return result_rows.latest_success(tables.read_jsonl(spark, path, ROW_FIELDS), ("problem_id", "method_id")), stopped
 
 
 ROW_FIELDS = f"seq long, problem_id string, method string, method_id string, params map<string,string>, gold string, answer string, correct boolean, error string, compute_tokens long, samples {_NO_SAMPLES}"
 
 
-def resumable_map(items: DataFrame, work: Callable[[dict], dict], schema: str, done: DataFrame | None = None, keys: tuple[str, ...] = ("id",), retry_errors: bool = False) -> DataFrame:
-    """work(item) for the items that `done` has no row for: the columns of `schema` and `error`; an item that fails has its keys and an error."""
-    todo = items if done is None else result_rows.resume(items, done, keys, retry_errors)
-    out = StructType([*[f for f in todo.schema.fields if f.name in keys], *StructType.fromDDL(schema).fields, *StructType.fromDDL("error string").fields])
-
-    def one(item: dict) -> dict:
-        try:
-            return work(item) | {k: item[k] for k in keys} | {"error": None}
-        except Exception as e:  # noqa: BLE001  an item's failure is a row
-            return {k: item[k] for k in keys} | {"error": f"{type(e).__name__}: {e}"[:4000]}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([one(x) for x in batch.to_dict("records")], columns=out.names)
-
-    return todo.mapInPandas(run, out)
-
-
 # Pilot stages.
 
 def pilot_traces(samples: DataFrame, problems: DataFrame) -> DataFrame:
@@ -225,20 +179,18 @@ def pilot_labels(prefixes: DataFrame, completions: DataFrame, gold: DataFrame) -
     return terminal.unionByName(sampled)
 
 
-def pilot_scores(prefixes: DataFrame) -> DataFrame:
-    """(prefix_id, score) by the toy judge: whether the target can still be met after the steps; scores are checked to lie in [0, 1]."""
-    total = F.coalesce(F.regexp_extract(F.element_at("steps", -1), r"->\s*(-?\d+)", 1).try_cast("int"), F.lit(0))
-    return prefixes.select("prefix_id", checked_score(F.when(total > TARGET, ASTRAY).otherwise(ON_COURSE)).alias("score"))
+def checked_scores(rows: DataFrame, score: str = "score") -> DataFrame:
+    """The rows with a null score and an `error` where a score is missing, undefined or outside [0, 1]; an error that a row has stays."""
+    x = F.col(score).cast("double")
+    good = F.coalesce(x.between(0, 1) & ~F.isnan(x), F.lit(False))
+    told = F.concat(F.lit("not a score: "), F.coalesce(F.col(score).cast("string"), F.lit("null")))
+    before = [F.col("error")] if "error" in rows.columns else []
+    return rows.withColumn("error", F.coalesce(*before, F.when(~good, told))).withColumn(score, F.when(good, x))
 
 
-def checked_score(score: Column) -> Column:
-    """The score; one outside [0, 1] or undefined is an error."""
-    return F.when(score.between(0, 1) & ~F.isnan(score), score).otherwise(F.raise_error(F.concat(F.lit("not a score: "), F.coalesce(score.cast("string"), F.lit("null")))).cast("double"))
-
-
-def merge_pilot(destination: DataFrame, source: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The destination's rows and those of the source whose keys it doesn't have."""
-    return destination.unionByName(source.join(destination.select(*keys).distinct(), list(keys), "left_anti"), allowMissingColumns=True)
+def merge_pilot(destination: DataFrame, sources: list[DataFrame], keys: tuple[str, ...], seq: str = "seq") -> DataFrame:
+    """One row for each key of all runs: the last success, else the last error. Sources count in their order and the destination last; within a run the larger `seq` is later."""
+    return result_rows.latest_success(result_rows.union_runs([*sources, destination]).withColumn("arrival", F.struct("run_no", seq)), keys, seq="arrival").drop("arrival", "run_no")
 
 
 def prefixes_of_problems(rows: DataFrame, problems: DataFrame) -> DataFrame:
@@ -248,9 +200,21 @@ def prefixes_of_problems(rows: DataFrame, problems: DataFrame) -> DataFrame:
 
 
 def ledger(calls: DataFrame, groups: tuple[str, ...] = ("problem_id",)) -> DataFrame:
-    """What calls cost by group: generator calls, tokens and dollars, and judge calls, cache hits, tokens and dollars; a hit costs nothing but a count."""
+    """What calls cost by group: generator calls, tokens and dollars, judge calls, cache hits, tokens and dollars, and what searches did: expansions and terminal leaves in sum, depth at most. A hit costs nothing but a count."""
+    told = lambda c: F.col(c) if c in calls.columns else F.lit(None)
     generator, judge = F.col("kind") == "generator", F.col("kind") == "judge"
     paid = judge & ~F.coalesce("cache_hit", F.lit(False))
     total = lambda c, v: F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0))
     return calls.groupBy(*groups).agg(F.count_if(generator).alias("generator_calls"), total(generator, "prompt_tokens").alias("prompt_tokens"), total(generator, "completion_tokens").alias("completion_tokens"), total(generator, "usd").alias("generator_usd"),
-                                      F.count_if(paid).alias("judge_calls"), F.count_if(judge & F.coalesce("cache_hit", F.lit(False))).alias("judge_cache_hits"), total(paid, "prompt_tokens").alias("judge_tokens"), total(paid, "usd").alias("judge_usd"))
+                                      F.count_if(paid).alias("judge_calls"), F.count_if(judge & F.coalesce("cache_hit", F.lit(False))).alias("judge_cache_hits"), total(paid, "prompt_tokens").alias("judge_tokens"), total(paid, "usd").alias("judge_usd"),
+                                      F.coalesce(F.sum(told("expansions")), F.lit(0)).alias("expansions"), F.coalesce(F.sum(told("terminal_leaves")), F.lit(0)).alias("terminal_leaves"), F.coalesce(F.max(told("depth")), F.lit(0)).alias("max_depth"))
+
+
+#: What a smoke run has to show: problems solved at least, judge calls and dollars at most.
+SMOKE_SOLVED, SMOKE_CALLS, SMOKE_USD = 1, 20, 0.01
+
+
+def smoke_summary(rows: DataFrame) -> DataFrame:
+    """One row of rows (correct, calls, usd): solved, calls, usd and whether the run passed."""
+    out = rows.agg(F.count_if("correct").alias("solved"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
+    return out.withColumn("passed", (F.col("solved") >= SMOKE_SOLVED) & (F.col("calls") <= SMOKE_CALLS) & (F.col("usd") <= SMOKE_USD))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import algebra, answers, probability, text
-from marlstone.operators import analysis, budget, candidates, experiments, resample, rows, sampling, search, stats, tree, votes
+from marlstone.operators import analysis, budget, candidates, experiments, resample, rows, sampling, stats, tree, votes
 from marlstone.plans import bindings as b
 from marlstone.sources.shared import Written
 
@@ -689,111 +689,126 @@ def cost_estimate(spark, d):
 
 # Search.
 
-@_query()
-def search_toy(spark, d):
-    """A search for each supplier as a problem, on the toy backend."""
-    p = b.table(spark, d, "supplier").select(F.col("s_name").alias("problem_id"), F.concat(F.lit("Reach 13 for "), "s_name").alias("question"))
-    return search.search_all(p, search.SearchSettings(n_simulations=16, k=3)).select("problem_id", "node_id", "parent_id", "depth", "step", F.round("prior", 6).alias("prior"), "N", F.round("W", 6).alias("W"), "terminal", "final_answer")
-
-
-@_query()
-def search_answers(spark, d):
-    p = b.table(spark, d, "supplier").select(F.col("s_name").alias("problem_id"), F.concat(F.lit("Reach 13 for "), "s_name").alias("question"))
-    nodes = search.search_all(p, search.SearchSettings(n_simulations=32, k=3)).withColumnRenamed("problem_id", "tree_id")
-    return votes.value_vote(nodes, F.trim).select("tree_id", "answer", F.round("score", 6).alias("score"), "visits")
+# Methods over problems, from stored samples: orders are problems, their lines samples.
 
+_STORED = f"""WITH {b.SAMPLES}, toyp AS (SELECT o_orderkey AS problem_id, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'R' END AS gold FROM orders), hv AS (SELECT problem_id, count(*) AS have FROM samples GROUP BY problem_id)"""
 
-# Methods over problems, on the toy generator: samples are hashes of (seed, problem, sample, step).
 
-_TOY = """WITH RECURSIVE toyp AS (SELECT s_name AS problem_id, (13 + s_suppkey % 3)::VARCHAR AS gold, s_suppkey % 7 = 0 AS down FROM supplier),
-roll AS (SELECT problem_id, i, 0 AS j, 0 AS total FROM toyp, range(8) r(i) UNION ALL SELECT problem_id, i, j + 1, total + [5, 2, 1][1 + ('0x' || substr(md5('0|' || problem_id || '|' || i || '|' || j), 1, 8))::BIGINT % 3] FROM roll WHERE total < 13),
-smp AS (SELECT problem_id, i, j * 8 AS tokens, total::VARCHAR AS answer, CASE WHEN total = 13 THEN 0.95 ELSE 0.05 END AS score, down FROM roll JOIN toyp USING (problem_id) WHERE total >= 13)"""
+def _stored_problems(spark, d) -> DataFrame:
+    o = b.table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("problem_id"), F.concat(F.lit("Order of "), F.col("o_custkey").cast("string")).alias("question"), F.when(F.col("o_custkey") % 2 == 0, "A").otherwise("R").alias("answer"))
 
 
-def _toy_problems(spark, d) -> DataFrame:
-    s = b.table(spark, d, "supplier")
-    return s.select(F.col("s_name").alias("problem_id"), F.concat(F.lit("Reach 13 for "), "s_name").alias("question"), (F.col("s_suppkey") % 3 + 13).cast("string").alias("answer"), (F.col("s_suppkey") % 7 == 0).alias("down"))
+def _stored(spark, d):
+    return experiments.stored_generator(b.samples(spark, d))
 
 
-def _toy(spark, d, method) -> DataFrame:
-    return experiments.run_method(method, _toy_problems(spark, d)).select("problem_id", "method_id", "answer", "correct", "error", "compute_tokens")
+def _run(spark, d, method) -> DataFrame:
+    return experiments.run_method(method, _stored_problems(spark, d)).select("problem_id", "method_id", "answer", "correct", "error", "compute_tokens")
 
 
-def _generator():
-    return experiments.toy_generator(fails=F.col("down"))
+def _row_sql(method_id: str, n: int, tail: str, where: str = "true") -> str:
+    short = f"coalesce(have, 0) < {n}"
+    return _STORED + tail + f""" SELECT p.problem_id, '{method_id}' AS method_id, CASE WHEN NOT ({short}) THEN o.answer END AS answer, NOT ({short}) AND coalesce(o.answer = p.gold, false) AS correct,
+CASE WHEN {short} THEN coalesce(have, 0) || ' stored samples, fewer than {n}' END AS error, CASE WHEN {short} THEN 0 ELSE o.tokens END::BIGINT AS compute_tokens FROM toyp p LEFT JOIN hv USING (problem_id) LEFT JOIN o USING (problem_id) WHERE {where}"""
 
 
-def _row_sql(method_id: str, tail: str) -> str:
-    return _TOY + tail + f""" SELECT p.problem_id, '{method_id}' AS method_id, CASE WHEN NOT p.down THEN o.answer END AS answer, NOT p.down AND coalesce(o.answer = p.gold, false) AS correct, CASE WHEN p.down THEN 'the generator failed' END AS error, CASE WHEN p.down THEN 0 ELSE o.tokens END::BIGINT AS compute_tokens FROM toyp p LEFT JOIN o USING (problem_id)"""
+def _vote_sql(n: int) -> str:
+    return f", v AS (SELECT problem_id, answer, count(*) AS votes, min(i) AS f FROM samples WHERE i < {n} AND answer IS NOT NULL GROUP BY ALL), w AS (SELECT problem_id, answer FROM v QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY votes DESC, f) = 1), o AS (SELECT problem_id, any_value(w.answer) AS answer, sum(tokens) AS tokens FROM samples LEFT JOIN w USING (problem_id) WHERE i < {n} GROUP BY problem_id)"
 
 
-_SC = """, v AS (SELECT problem_id, answer, count(*) AS votes, min(i) AS f FROM smp WHERE i < 5 GROUP BY ALL), o AS (SELECT problem_id, answer, (SELECT sum(tokens) FROM smp z WHERE z.problem_id = q.problem_id AND z.i < 5) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY votes DESC, f) AS rn FROM v) q WHERE rn = 1)"""
+def _best_sql(n: int) -> str:
+    return f", o AS (SELECT problem_id, answer, sum(tokens) OVER (PARTITION BY problem_id) AS tokens FROM samples WHERE i < {n} QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, i) = 1)"
 
 
-@_query(_row_sql("cot", ", o AS (SELECT problem_id, '15' AS answer, 24 AS tokens FROM toyp)"))
+@_query(_row_sql("cot", 1, ", o AS (SELECT problem_id, answer, tokens FROM samples WHERE i = 0)"))
 def cot_method(spark, d):
-    return _toy(spark, d, experiments.greedy_method(_generator()))
+    return _run(spark, d, experiments.greedy_method(_stored(spark, d)))
 
 
-@_query(_row_sql("sc[n=5]", _SC))
+@_query(_row_sql("sc[n=3]", 3, _vote_sql(3)))
 def sc_method(spark, d):
-    return _toy(spark, d, experiments.vote_method(_generator(), 5, 8))
+    return _run(spark, d, experiments.vote_method(_stored(spark, d), 3))
 
 
-@_query(_row_sql("bon[n=5]", ", o AS (SELECT problem_id, answer, sum(tokens) OVER (PARTITION BY problem_id) AS tokens, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, i) AS rn FROM smp WHERE i < 5 QUALIFY rn = 1)"))
+@_query(_row_sql("bon[n=3]", 3, _best_sql(3)))
 def bon_method(spark, d):
-    return _toy(spark, d, experiments.best_method(_generator(), experiments.toy_judge, 5, 8))
+    return _run(spark, d, experiments.best_method(_stored(spark, d), experiments.stored_judge, 3))
 
 
-@_query(_row_sql("sc[n=5]", _SC).replace("FROM toyp p LEFT JOIN", "FROM (SELECT * FROM toyp WHERE ('0x' || substr(sha256(problem_id), 64, 1))::INT % 2 = 1 AND (substr(problem_id, -1) <> '3' OR down)) p LEFT JOIN"))
+@_query(_row_sql("sc[n=3]", 3, _vote_sql(3), "('0x' || substr(sha256(problem_id::VARCHAR), 64, 1))::INT % 2 = 1 AND (problem_id % 3 <> 0 OR coalesce(have, 0) < 3)"))
 def run_method(spark, d):
-    """Shard 1 of 2, after a run that has a row for each problem whose name ends in 3, with errors to be tried again."""
-    method, p = experiments.vote_method(_generator(), 5, 8), _toy_problems(spark, d)
-    before = experiments.run_method(method, p.where(F.col("problem_id").endswith("3")))
-    return experiments.run_method(method, p, before, (1, 2), retry_errors=True).select("problem_id", "method_id", "answer", "correct", "error", "compute_tokens")
+    """Shard 1 of 2, after a run over each third problem, with errors to be tried again."""
+    method, p = experiments.vote_method(_stored(spark, d), 3), _stored_problems(spark, d)
+    p = p.withColumn("problem_id", F.col("problem_id").cast("string"))
+    before = experiments.run_method(method, p.where("problem_id % 3 = 0"))
+    return experiments.run_method(method, p, before, (1, 2), retry_errors=True).select(F.col("problem_id").cast("long").alias("problem_id"), "method_id", "answer", "correct", "error", "compute_tokens")
 
 
-@_query(_TOY + """, g AS (SELECT s.problem_id, s.i, z.size, answer, tokens, score FROM smp s, (VALUES (1), (3), (8)) z(size) WHERE i < z.size AND NOT s.down),
-sc AS (SELECT problem_id, size, answer FROM (SELECT *, row_number() OVER (PARTITION BY problem_id, size ORDER BY votes DESC, f) AS rn FROM (SELECT problem_id, size, answer, count(*) AS votes, min(i) AS f FROM g GROUP BY ALL)) WHERE rn = 1),
+@_query(_STORED + """, g AS (SELECT s.problem_id, s.i, z.size, answer, tokens, score FROM samples s JOIN hv USING (problem_id), (VALUES (1), (2), (3)) z(size) WHERE i < z.size AND have >= 3),
+sc AS (SELECT problem_id, size, answer FROM (SELECT problem_id, size, answer, count(*) AS votes, min(i) AS f FROM g WHERE answer IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY problem_id, size ORDER BY votes DESC, f) = 1),
 bo AS (SELECT problem_id, size, answer FROM g QUALIFY row_number() OVER (PARTITION BY problem_id, size ORDER BY score DESC, i) = 1), t AS (SELECT problem_id, size, sum(tokens)::BIGINT AS tokens FROM g GROUP BY ALL)
-SELECT problem_id, 'sc[n=' || size || ']' AS method_id, answer, answer = gold AS correct, tokens AS compute_tokens, 'sc[n=8]' AS derived_from, 1.0::DOUBLE AS usd FROM sc JOIN t USING (problem_id, size) JOIN toyp USING (problem_id)
-UNION ALL SELECT problem_id, 'bon[n=' || size || ']', answer, answer = gold, tokens, 'bon[n=8]', size / 8.0::DOUBLE FROM bo JOIN t USING (problem_id, size) JOIN toyp USING (problem_id)
-UNION ALL SELECT problem_id, m, NULL, false, 0, NULL, 1.0 FROM toyp, (VALUES ('sc[n=8]'), ('bon[n=8]')) v(m) WHERE down
-UNION ALL SELECT problem_id, 'cot', CASE WHEN NOT down THEN '15' END, NOT down AND gold = '15', CASE WHEN down THEN 0 ELSE 24 END, NULL, 1.0 FROM toyp""")
+SELECT problem_id, 'sc[n=' || size || ']' AS method_id, answer, coalesce(answer = gold, false) AS correct, tokens AS compute_tokens, 'sc[n=3]' AS derived_from, 1.0::DOUBLE AS usd FROM t LEFT JOIN sc USING (problem_id, size) JOIN toyp USING (problem_id)
+UNION ALL SELECT problem_id, 'bon[n=' || size || ']', answer, coalesce(answer = gold, false), tokens, 'bon[n=3]', round(size / 3.0::DOUBLE, 6) FROM bo JOIN t USING (problem_id, size) JOIN toyp USING (problem_id)
+UNION ALL SELECT problem_id, m, NULL, false, 0, NULL, 1.0 FROM toyp LEFT JOIN hv USING (problem_id), (VALUES ('sc[n=3]'), ('bon[n=3]')) v(m) WHERE coalesce(have, 0) < 3
+UNION ALL SELECT problem_id, 'cot', s.answer, coalesce(s.answer = gold, false), coalesce(tokens, 0), NULL, 1.0 FROM toyp LEFT JOIN (SELECT * FROM samples WHERE i = 0) s USING (problem_id)""")
 def expand_sampled_rows(spark, d):
-    p, g = _toy_problems(spark, d), _generator()
-    runs = [experiments.run_method(m, p) for m in (experiments.vote_method(g, 8), experiments.best_method(g, experiments.toy_judge, 8), experiments.greedy_method(g))]
-    r = runs[0].unionByName(runs[1]).unionByName(runs[2]).withColumn("usd", F.lit(1.0))
-    return votes.expand_rows(r, [1, 3, 8], answers.is_equivalent).select("problem_id", "method_id", "answer", "correct", F.col("compute_tokens").cast("long").alias("compute_tokens"), "derived_from", "usd")
+    p, g = _stored_problems(spark, d), _stored(spark, d)
+    runs = [experiments.run_method(m, p) for m in (experiments.vote_method(g, 3), experiments.best_method(g, experiments.stored_judge, 3), experiments.greedy_method(g))]
+    r = Written(runs[0].unionByName(runs[1]).unionByName(runs[2]).withColumn("usd", F.lit(1.0)), "runs").df
+    return votes.expand_rows(r, [1, 2, 3], answers.is_equivalent).select("problem_id", "method_id", "answer", "correct", F.col("compute_tokens").cast("long").alias("compute_tokens"), "derived_from", F.round("usd", 6).alias("usd"))
 
 
-@_query(_TOY + " SELECT s.problem_id, (tokens / 8)::INT AS n_steps, answer AS final_answer, answer = gold AS trace_correct FROM smp s JOIN toyp USING (problem_id) WHERE i = 0 AND NOT s.down")
-def pilot_traces(spark, d):
-    p = _toy_problems(spark, d)
-    return experiments.pilot_traces(_generator()(p, 1, 0.7).where("error is null"), p).select("problem_id", "n_steps", "final_answer", "trace_correct")
+# A conversation is a solution whose answer, in a box, is how many turns it has.
+_SOLVED = f"WITH {b.TRACES}, sol AS (SELECT problem_id, n_steps, n_steps::VARCHAR AS final_answer, (n_steps + n_steps % 3 % 2)::VARCHAR AS gold FROM traces)"
+
 
+def _solutions(spark, d) -> tuple[DataFrame, DataFrame]:
+    t = b.traces(spark, d)
+    n = F.col("n_steps").cast("string")
+    told = F.concat(F.regexp_replace(text.format_steps(F.col("steps")), r"\s+$", ""), F.lit(" \\boxed{"), n, F.lit("}"))
+    problems_ = t.select("problem_id", (F.col("n_steps") + F.col("n_steps") % 3 % 2).cast("string").alias("answer"))
+    return t.select("problem_id", F.lit(0).alias("i"), told.alias("solution"), F.lit(None).cast("string").alias("error")), problems_
 
-@_query(_TOY + """, steps AS (SELECT problem_id, j AS depth, total FROM roll WHERE i = 0 AND j > 0) SELECT problem_id || '#' || depth AS prefix_id, CASE WHEN total > 13 THEN 0.1 ELSE 0.9 END AS score FROM steps JOIN toyp USING (problem_id) WHERE NOT down""")
-def pilot_scores(spark, d):
-    p = _toy_problems(spark, d)
-    t = experiments.pilot_traces(_generator()(p, 1, 0.7).where("error is null"), p)
-    return experiments.pilot_scores(sampling.prefix_steps(sampling.prefixes(t, 20), t))
 
+@_query(_SOLVED + " SELECT problem_id, n_steps, final_answer, final_answer = gold AS trace_correct FROM sol")
+def pilot_traces(spark, d):
+    return experiments.pilot_traces(*_solutions(spark, d)).select("problem_id", "n_steps", "final_answer", "trace_correct")
 
-@_query(_TOY + """, pre AS (SELECT problem_id, j AS depth, total FROM roll WHERE i = 0 AND j > 0) SELECT pre.problem_id || '#' || depth AS prefix_id, CASE WHEN total >= 13 THEN 0 ELSE 8 END::BIGINT AS n_samples, CASE WHEN total >= 13 THEN (total::VARCHAR = gold)::INT ELSE k END::BIGINT AS n_correct,
-CASE WHEN total >= 13 THEN 'terminal' ELSE 'completions' END AS label_source FROM pre JOIN toyp USING (problem_id) JOIN (SELECT problem_id, count(*) FILTER (s.answer = gold) AS k FROM smp s JOIN toyp USING (problem_id) GROUP BY problem_id) USING (problem_id) WHERE NOT down""")
+
+@_query(_SOLVED + """, pre AS (SELECT problem_id, n_steps, gold, unnest(range(1, n_steps + 1))::INT AS depth FROM sol), left_ AS (SELECT problem_id, depth, count(*) AS n, count(*) FILTER (length(c.text) % 10 < 5) AS k FROM pre JOIN conversations c ON c.conv_id::VARCHAR = problem_id AND c.turn >= depth GROUP BY ALL)
+SELECT problem_id || '#' || depth AS prefix_id, CASE WHEN depth = n_steps THEN 0 ELSE n END::BIGINT AS n_samples, CASE WHEN depth = n_steps THEN (n_steps::VARCHAR = gold)::INT ELSE k END::BIGINT AS n_correct, CASE WHEN depth = n_steps THEN 'terminal' ELSE 'completions' END AS label_source FROM pre LEFT JOIN left_ USING (problem_id, depth) WHERE depth = n_steps OR n IS NOT NULL""")
 def pilot_labels(spark, d):
-    """Prefixes of the first sample; all eight samples stand in as completions of each."""
-    p, g = _toy_problems(spark, d), _generator()
-    t = experiments.pilot_traces(g(p, 1, 0.7).where("error is null"), p)
-    prefixes_ = sampling.prefix_steps(sampling.prefixes(t, 20), t)
-    completions = prefixes_.select("prefix_id", "problem_id").join(g(p, 8, 0.7).select("problem_id", "answer", "tokens"), "problem_id").drop("problem_id")
-    return experiments.pilot_labels(prefixes_, completions, p).select("prefix_id", "n_samples", "n_correct", "label_source")
+    """Prefixes of each solution; the turns from the prefix on stand in as its completions, right where their length ends in a digit below 5."""
+    solutions, problems_ = _solutions(spark, d)
+    t = experiments.pilot_traces(solutions, problems_)
+    prefixes_ = sampling.prefix_steps(sampling.prefixes(t, 1 << 20), t)
+    turns = b.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("problem_id"), "turn", (F.length("text") % 10 < 5).alias("good"), F.length("text").cast("long").alias("tokens"))
+    completions = prefixes_.select("prefix_id", "problem_id", "depth").join(turns, "problem_id").where("turn >= depth").join(problems_, "problem_id").select("prefix_id", F.when(F.col("good"), F.col("answer")).otherwise("none").alias("answer"), "tokens")
+    return experiments.pilot_labels(prefixes_, completions, problems_).select("prefix_id", "n_samples", "n_correct", "label_source")
+
+
+@_query(f"WITH {b.SCORED} SELECT prefix_id, CASE WHEN latency BETWEEN 0 AND 1 THEN latency END AS score, CASE WHEN NOT latency BETWEEN 0 AND 1 THEN 'not a score' END AS error FROM scored")
+def checked_scores(spark, d):
+    found = experiments.checked_scores(b.scored(spark, d).select("prefix_id", F.col("latency").alias("score")))
+    return found.select("prefix_id", "score", F.substring("error", 1, 11).alias("error"))
+
+
+@_query(f"WITH {b.RESULT_ROWS}, u AS (SELECT problem_id, seq, error, CASE WHEN k % 3 = 2 THEN 2 ELSE k % 3 END AS run_no FROM result_rows) SELECT problem_id, seq, error, run_no AS run FROM u QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY (coalesce(error, '') <> ''), run_no DESC, seq DESC) = 1")
+def merge_pilot(spark, d):
+    """Three runs by a third of the rows each, the last of which is the destination."""
+    r = b.result_rows(spark, d).withColumn("run", F.col("k") % 3).select("problem_id", "seq", "error", "run")
+    return experiments.merge_pilot(r.where("run = 2"), [r.where("run = 0"), r.where("run = 1")], ("problem_id",))
+
+
+@_query(f"WITH {b.SCORED} SELECT count(*) FILTER (label) AS solved, sum(calls)::BIGINT AS calls, round(sum(usd), 6) AS usd, count(*) FILTER (label) >= 1 AND sum(calls) <= 20 AND sum(usd) <= 0.01 AS passed FROM scored")
+def smoke_summary(spark, d):
+    return experiments.smoke_summary(b.scored(spark, d).withColumnRenamed("label", "correct")).select("solved", "calls", *r6("usd"), "passed")
 
 
 @_query("SELECT o_custkey AS problem_id, count(*) FILTER (o_orderkey % 3 = 0) AS generator_calls, coalesce(sum(o_orderkey % 50) FILTER (o_orderkey % 3 = 0), 0)::BIGINT AS prompt_tokens, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0) AS judge_calls, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 = 0) AS judge_cache_hits, "
-        "coalesce(sum(o_orderkey % 50) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0), 0)::BIGINT AS judge_tokens FROM orders GROUP BY o_custkey")
+        "coalesce(sum(o_orderkey % 50) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0), 0)::BIGINT AS judge_tokens, sum(o_orderkey % 5)::BIGINT AS expansions, max(o_orderkey % 17) AS max_depth FROM orders GROUP BY o_custkey")
 def ledger(spark, d):
     o = F.col("o_orderkey")
-    calls = b.table(spark, d, "orders").select(F.col("o_custkey").alias("problem_id"), F.when(o % 3 == 0, "generator").otherwise("judge").alias("kind"), (o % 4 == 0).alias("cache_hit"), (o % 50).cast("long").alias("prompt_tokens"), F.lit(8).cast("long").alias("completion_tokens"), F.lit(0.5).alias("usd"))
-    return experiments.ledger(calls).select("problem_id", "generator_calls", "prompt_tokens", "judge_calls", "judge_cache_hits", "judge_tokens")
+    calls = b.table(spark, d, "orders").select(F.col("o_custkey").alias("problem_id"), F.when(o % 3 == 0, "generator").otherwise("judge").alias("kind"), (o % 4 == 0).alias("cache_hit"), (o % 50).cast("long").alias("prompt_tokens"), F.lit(8).cast("long").alias("completion_tokens"), F.lit(0.5).alias("usd"), (o % 5).alias("expansions"), (o % 17).alias("depth"))
+    return experiments.ledger(calls).select("problem_id", "generator_calls", "prompt_tokens", "judge_calls", "judge_cache_hits", "judge_tokens", "expansions", "max_depth")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import analysis, budget, candidates, rows, sampling, search, stats, tree, votes
+from marlstone.operators import analysis, budget, candidates, rows, sampling, stats, tree, votes
 
 
 def test_latest_success_and_merge(spark):
@@ -96,41 +96,41 @@ def test_nearest_and_paired(spark):
     assert {r.method_id: r.nearest for r in analysis.nearest_by_compute(t, base).collect()} == {"a": "y", "b": "x"}
 
 
-TOY = "Start at 0. Each step adds 1, 2 or 5 to the running total. Reach exactly 13 and put the final total in \\boxed{}."
-
-
-@pytest.mark.parametrize(("seed", "sims", "k", "alpha", "answer"), [(0, 32, 3, None, "13"), (1, 32, 4, None, "13"), (2, 24, 3, 0.3, "17")])
-def test_search_on_the_toy_task(seed, sims, k, alpha, answer):
-    s = search.Search(TOY, search.ToyBackend(seed), search.SearchSettings(n_simulations=sims, k=k, dirichlet_alpha=alpha, seed=seed))
-    s.run()
-    node = s.root
-    while node.children and not node.terminal:
-        node = max(enumerate(node.children), key=lambda e: (e[1].visits, e[1].total / e[1].visits if e[1].visits else 0, e[1].prior, -e[0]))[1]
-    assert s.root.visits == sims and node.answer == answer
-    todo = [s.root]
-    while todo:
-        n = todo.pop()
-        assert n.pending == 0 and (not n.children or n.terminal or n.visits == 1 + sum(c.visits for c in n.children))
-        todo += n.children
-
-
-def test_search_table_and_failures(spark):
-    class Broken(search.ToyBackend):
-        def judge(self, problem, steps, options):
-            if "bad" in problem:
-                raise RuntimeError("no judge")
-            return super().judge(problem, steps, options)
-
-    p = spark.createDataFrame([("a", TOY), ("b", "bad")], "problem_id string, question string")
-    nodes = search.search_all(p, search.SearchSettings(n_simulations=16, k=3), Broken)
-    assert nodes.where("problem_id = 'b'").select("error").collect()[0][0].startswith("RuntimeError")
-    t = nodes.where("error is null").withColumnRenamed("problem_id", "tree_id").cache()
-    wave = search.search_all(p.limit(1), search.SearchSettings(n_simulations=16, k=3, wave=4))
-    assert wave.where("parent_id is null").first()["N"] == 16
-    path = tree.most_visited_path(t).orderBy("depth").collect()
-    assert [r.depth for r in path] == list(range(len(path))) and path[0].node_id == 0
-    assert {(r.node_id, r.pre) for r in tree.preorder(t).collect()} == {(n.node_id, n.node_id) for n in t.collect()}
-    assert tree.tree_counts(t).first().n_nodes == t.count() and votes.value_vote(t, F.trim).count() == 1
+def test_stored_samples_methods_and_runs(spark, tmp_path):
+    from marlstone.operators import experiments as ex
+
+    drawn = [("p1", 0, "3", 0.1, 5), ("p1", 1, "4", 0.9, 6), ("p1", 2, "3", 0.2, 7), ("p2", 0, None, 0.5, 1), ("p2", 1, "x", 0.4, 1), ("p3", 0, "3", 0.3, 2), ("p9", 0, "3", 0.3, 2)]
+    samples = spark.createDataFrame(drawn, "problem_id string, i int, answer string, score double, tokens long")
+    problems = spark.createDataFrame([("p1", "q", "3"), ("p2", "q", "x"), ("p3", "q", "3"), ("p4", "q", "3")], "problem_id string, question string, answer string")
+    g = ex.stored_generator(samples)
+    got = {r.problem_id: r for r in ex.run_method(ex.vote_method(g, 2), problems).collect()}
+    assert (got["p1"].answer, got["p1"].correct, got["p1"].compute_tokens) == ("3", True, 11) and got["p2"].answer == "x" and got["p2"].correct
+    assert [got[p].error for p in ("p3", "p4")] == ["1 stored samples, fewer than 2", "0 stored samples, fewer than 2"] and not got["p3"].correct
+    best = {r.problem_id: r.answer for r in ex.run_method(ex.best_method(g, ex.stored_judge, 2), problems).collect()}
+    assert best == {"p1": "4", "p2": None, "p3": None, "p4": None}
+    made, skipped = ex.build_methods(["cot", "sc:2", "tz"], g, None)
+    assert [m.method_id for m in made] == ["cot", "sc[n=2]"] and set(skipped) == {"tz"}
+    path = str(tmp_path / "rows")
+    rows_, why = ex.run_methods(made, problems, path, token_cap=3, blocks=3)
+    assert why and rows_.count() < 8
+    rows_, why = ex.run_methods(made, problems, path, blocks=3)
+    assert why is None and rows_.count() == 8 and rows_.groupBy("problem_id", "method_id").count().where("count > 1").count() == 0
+    again, _ = ex.run_methods(made, problems, path, blocks=3)
+    assert sorted(r.seq for r in again.collect()) == sorted(r.seq for r in rows_.collect())
+    with pytest.raises(ValueError, match="twice"):
+        ex.run_methods(made, problems.unionByName(problems), path)
+
+
+def test_scores_and_pilot_runs(spark):
+    from marlstone.operators import experiments as ex
+
+    scores = spark.createDataFrame([("a", 0.0, None), ("b", 1.0, None), ("c", 1.5, None), ("d", float("nan"), None), ("e", None, None), ("f", 0.5, "down")], "id string, score double, error string")
+    got = {r.id: (r.score, r.error) for r in ex.checked_scores(scores).collect()}
+    assert got == {"a": (0.0, None), "b": (1.0, None), "c": (None, "not a score: 1.5"), "d": (None, "not a score: NaN"), "e": (None, "not a score: null"), "f": (0.5, "down")}
+    runs = [spark.createDataFrame(r, "prefix_id string, seq int, error string, v string") for r in ([("a", 1, None, "s1"), ("b", 1, "bad", "s1"), ("c", 1, None, "s1"), ("c", 2, None, "s1 later")], [("a", 1, None, "s2"), ("b", 1, None, "s2")], [("a", 9, "bad", "d"), ("d", 1, "bad", "d")])]
+    assert {r.prefix_id: r.v for r in ex.merge_pilot(runs[2], runs[:2], ("prefix_id",)).collect()} == {"a": "s2", "b": "s2", "c": "s1 later", "d": "d"}
+    smoke = spark.createDataFrame([(True, 10, 0.004), (False, 10, 0.004)], "correct boolean, calls long, usd double")
+    assert ex.smoke_summary(smoke).first().passed and not ex.smoke_summary(smoke.unionByName(smoke)).first().passed and not ex.smoke_summary(smoke.limit(0)).first().passed
 
 
 def test_sources(spark, tmp_path):
