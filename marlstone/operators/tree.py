@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.probability import puct_score, q_effective, q_value
-from marlstone.functions.text import preview
+from marlstone.functions.text import preview, shorten
 from marlstone.sources.shared import Written
 
 
@@ -54,24 +54,159 @@ def selection_path(nodes: DataFrame, c_puct: float = 1.5) -> DataFrame:
     return walk(nodes, select_children(nodes, c_puct))
 
 
-def paths_to_root(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(tree_id, node_id of the leaf, path from the root to it, value) of `leaves` (tree_id, node_id, value)."""
-    up = Written(nodes.select("tree_id", F.col("node_id").alias("at"), "parent_id"), "up")
-    level, done = Written(leaves.select("tree_id", "node_id", F.array("node_id").alias("path"), F.col("node_id").alias("at"), "value"), "paths"), []
-    while level.df.limit(1).count():
-        step = Written(level.df.join(up.df, ["tree_id", "at"]), "paths")
-        level.drop()
-        done.append(step.df.where("parent_id is null").select("tree_id", "node_id", "path", "value"))
-        level = Written(step.df.where("parent_id is not null").select("tree_id", "node_id", F.concat(F.array("parent_id"), "path").alias("path"), F.col("parent_id").alias("at"), "value"), "paths")
-    done.append(level.df.select("tree_id", "node_id", "path", "value"))
-    up.drop()
-    return reduce(DataFrame.unionByName, done)
-
-
-def backup(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Adds the simulations of `paths` (tree_id, nodes of the path, value): a visit and the value for each node on a path. Sums commute, so a batch is exact."""
-    added = paths.select("tree_id", F.explode("path").alias("node_id"), "value").groupBy("tree_id", "node_id").agg(F.count("*").alias("dn"), F.sum("value").alias("dw"))
-    return nodes.join(added, ["tree_id", "node_id"], "left").withColumn("N", F.col("N") + F.coalesce("dn", F.lit(0))).withColumn("W", F.col("W") + F.coalesce("dw", F.lit(0.0))).drop("dn", "dw")
+def broken_links(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, fault) of nodes that aren't where they say: of a parent that is absent, not a level below it, a second root, an id twice.
+
+    A tree without these is whole: depths fall by one at each step up, so every path ends at its root, and no cycle can be.
+    """
+    slim = nodes.select("tree_id", "node_id", "parent_id", "depth")
+    above = slim.select("tree_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("above"), F.lit(True).alias("there")).distinct()
+    linked = slim.where("parent_id is not null").join(above, ["tree_id", "parent_id"], "left")
+    fault = F.when(F.col("there").isNull(), "its parent is absent").when(F.coalesce(F.col("depth") != F.col("above") + 1, F.lit(True)), "it isn't a level below its parent")
+    wrong = linked.select("tree_id", "node_id", fault.alias("fault")).where("fault is not null")
+    roots = slim.where("parent_id is null").groupBy("tree_id").agg(F.count("*").alias("c"), F.max("node_id").alias("node_id"), F.max("depth").alias("depth"))
+    wrong_roots = roots.where("c > 1 or depth <> 0").select("tree_id", "node_id", F.when(F.col("c") > 1, "a second root").otherwise("a root below the top").alias("fault"))
+    twice = slim.groupBy("tree_id", "node_id").count().where("count > 1").select("tree_id", "node_id", F.lit("its id occurs twice").alias("fault"))
+    return wrong.unionByName(wrong_roots).unionByName(twice)
+
+
+def _whole(nodes: DataFrame) -> int:
+    """The depth of trees without broken links; an error otherwise."""
+    found = broken_links(nodes).orderBy("tree_id", "node_id").limit(3).collect()  # for the message
+    if found:
+        raise ValueError("broken trees: " + "; ".join(f"{r.tree_id}/{r.node_id}: {r.fault}" for r in found))
+    return nodes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+
+
+def sums_below(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(tree_id, node_id, values): each value added up over a node and all below it. Give nodes that are cheap to read again.
+
+    From the deepest level up: a level's sums are its own values and those of its children, one shuffle and one
+    written table a level; no path is built, so a node's cost doesn't grow with its depth. Trees with broken links are an error.
+    """
+    names, depth = list(values), _whole(nodes)
+    own = Written(nodes.select("tree_id", "node_id", "parent_id", "depth", *[v.alias(k) for k, v in values.items()]), "own")
+    below, levels = None, []
+    for d in range(depth, -1, -1):
+        here = own.df.where(F.col("depth") == d).select("tree_id", "node_id", "parent_id", *names)
+        if below is not None:
+            children = below.df.select("tree_id", F.col("parent_id").alias("node_id"), *names)
+            both = here.unionByName(children.withColumn("parent_id", F.lit(None).cast(here.schema["parent_id"].dataType)))
+            summed = both.groupBy("tree_id", "node_id").agg(*[F.sum(k).alias(k) for k in names], F.max("parent_id").alias("parent_id"))
+            here = summed.select("tree_id", "node_id", "parent_id", *names)
+        below = Written(here, "level")
+        levels.append(below.df.select("tree_id", "node_id", *names))
+    own.drop()
+    return reduce(DataFrame.unionByName, levels)
+
+
+def backup(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Adds simulations that ended at `leaves` (tree_id, node_id, value; one row each): a visit and the value for each node from the leaf to the root. Sums commute, so a batch is exact."""
+    ended = leaves.groupBy("tree_id", "node_id").agg(F.count("*").alias("own_n"), F.sum("value").alias("own_w"))
+    told = Written(nodes.select("tree_id", "node_id", "parent_id", "depth").join(ended, ["tree_id", "node_id"], "left"), "told")
+    added = sums_below(told.df, {"dn": F.coalesce("own_n", F.lit(0)), "dw": F.coalesce("own_w", F.lit(0.0))})
+    return nodes.join(added, ["tree_id", "node_id"]).withColumn("N", F.col("N") + F.col("dn")).withColumn("W", F.col("W") + F.col("dw")).drop("dn", "dw")
+
+
+def shown(nodes: DataFrame, max_depth: int | None = None, min_visits: int = 0) -> DataFrame:
+    """The nodes with `hidden`: whether the node or one above it has fewer visits than asked for or lies too deep; and `top`: whether it is the first hidden one on its path. A root is always shown.
+
+    From the top down, a level of all trees at a time.
+    """
+    depth = _whole(nodes)
+    own = F.col("N") < min_visits
+    own = (own | (F.col("depth") > max_depth) if max_depth is not None else own) & F.col("parent_id").isNotNull()
+    slim = Written(nodes.select("tree_id", "node_id", "parent_id", "depth", own.alias("own")), "nodes")
+    level, levels = Written(slim.df.where("depth = 0").select("tree_id", "node_id", F.lit(False).alias("hidden"), F.lit(False).alias("top")), "shown"), []
+    for d in range(1, depth + 1):
+        levels.append(level.df)
+        above = level.df.select("tree_id", F.col("node_id").alias("parent_id"), F.col("hidden").alias("above"))
+        level = Written(slim.df.where(F.col("depth") == d).join(above, ["tree_id", "parent_id"]).select("tree_id", "node_id", (F.col("own") | F.col("above")).alias("hidden"), (F.col("own") & ~F.col("above")).alias("top")), "shown")
+    levels.append(level.df)
+    slim.drop()
+    return nodes.join(reduce(DataFrame.unionByName, levels), ["tree_id", "node_id"])
+
+
+def view_counts(nodes: DataFrame, max_depth: int | None = None, min_visits: int = 0) -> DataFrame:
+    """(tree_id, n_shown, n_hidden, hidden_children, largest_hidden): nodes shown and hidden, the hidden nodes whose parents are shown, and the size of the largest subtree among theirs."""
+    seen = Written(shown(nodes, max_depth, min_visits), "shown")
+    sizes = sums_below(seen.df, {"size": F.lit(1)})
+    both = seen.df.select("tree_id", "node_id", "hidden", "top").join(sizes, ["tree_id", "node_id"])
+    return both.groupBy("tree_id").agg(F.count_if(~F.col("hidden")).alias("n_shown"), F.count_if("hidden").alias("n_hidden"), F.count_if("top").alias("hidden_children"), F.coalesce(F.max(F.when(F.col("top"), F.col("size"))), F.lit(0)).alias("largest_hidden"))
+
+
+def label(step_chars: int = 80) -> Column:
+    """One line about a node: visits, value, prior but for the root, its judged value, its answer where it is terminal, and the beginning of its step."""
+    q = F.format_string("%.3f", F.bround(q_value(F.col("N"), F.col("W")), 3))
+    prior = F.when(F.col("parent_id").isNotNull(), F.concat(F.lit("  P="), F.format_string("%.2f", F.bround("prior", 2)))).otherwise("")
+    value = F.when(F.col("value").isNull(), "-   ").otherwise(F.format_string("%.2f", F.bround("value", 2)))
+    answer = F.when(F.col("terminal"), F.concat(F.lit("  [T] "), F.coalesce("final_answer", F.lit("(no answer)")))).otherwise("")
+    step = shorten(F.coalesce("step", F.lit("")), step_chars)
+    return F.concat(F.lit("N="), F.rpad(F.col("N").cast("string"), F.greatest(F.lit(3), F.length(F.col("N").cast("string"))), F.lit(" ")), F.lit(" Q="), q, prior, F.lit("  v="), value, answer, F.lit("  "), F.when(step == "", "(root)").otherwise(step))
+
+
+def tree_lines(nodes: DataFrame, max_depth: int | None = None, min_visits: int = 0, step_chars: int = 80) -> DataFrame:
+    """(tree_id, at, depth, line): the shown nodes in preorder (`at` sorts them), children by falling visits and prior, and after a node's shown children a line for how many are hidden."""
+    seen = Written(shown(nodes, max_depth, min_visits), "shown")
+    rank = F.row_number().over(Window.partitionBy("tree_id", "parent_id").orderBy(F.col("N").desc(), F.col("prior").desc(), "child_pos")) - 1
+    ordered = Written(seen.df.where("not hidden").withColumn("child_pos", rank.cast("int")), "ordered")
+    places = Written(positions(ordered.df), "places")
+    lines = ordered.df.join(places.df, ["tree_id", "node_id"]).select("tree_id", "at", "depth", label(step_chars).alias("line"))
+    counted = seen.df.where("top").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"), F.min("depth").alias("depth"))
+    more = counted.join(places.df, ["tree_id", "node_id"]).select("tree_id", F.array_append("at", F.lit((1 << 31) - 1)).alias("at"), "depth", F.concat(F.lit("... "), F.col("n").cast("string"), F.lit(" hidden")).alias("line"))
+    return lines.unionByName(more)
+
+
+#: Fields of a nested dump besides its children.
+_NODE = "step string, N long, Q double, prior double, value double, terminal boolean, final_answer string"
+#: Levels that one job flattens.
+LEVELS_AT_ONCE = 8
+
+
+def flatten(trees: DataFrame) -> DataFrame:
+    """Nodes of nested dumps (tree_id, raw: JSON of a node with `children`): tree_id, node_id (places from the root, as `0.2.1`), parent_id, child_pos, depth and the fields of a node; W is N * Q.
+
+    Dumps are parsed once, into variants; LEVELS_AT_ONCE levels are unnested in a job, and their last one is written and goes on.
+    Trees whose raw is null or no JSON object have no nodes.
+    """
+    root = F.try_parse_json("raw")
+    level = trees.select("tree_id", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("child_pos"), F.lit(0).alias("depth"), root.alias("node")).where(F.schema_of_variant("node").startswith("OBJECT"))
+    fields = [f.split() for f in _NODE.split(", ")]
+    out = []
+    while True:
+        for _ in range(LEVELS_AT_ONCE):
+            here = level.select("tree_id", "node_id", "parent_id", "child_pos", "depth", *[F.try_variant_get("node", f"$.{name}", kind).alias(name) for name, kind in fields])
+            out.append(here)
+            children = level.select("tree_id", F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.posexplode(F.try_variant_get("node", "$.children", "array<variant>")).alias("child_pos", "node"))
+            level = children.select("tree_id", F.concat("parent_id", F.lit("."), F.col("child_pos").cast("string")).alias("node_id"), "parent_id", "child_pos", "depth", "node")
+        left = Written(level.withColumn("node", F.to_json("node")), "level")
+        level = left.df.withColumn("node", F.parse_json("node"))
+        if not left.df.limit(1).count():
+            break
+    nodes = reduce(DataFrame.unionByName, out)
+    return nodes.withColumn("W", F.col("N") * F.col("Q")).withColumn("virtual_loss", F.lit(0))
+
+
+def nest(nodes: DataFrame) -> DataFrame:
+    """(tree_id, raw): the trees as nested JSON, children in their order; from the deepest level up, so each text is written once a level."""
+    depth = _whole(nodes)
+    q = q_value(F.col("N"), F.col("W"))
+    own = Written(nodes.select("tree_id", "node_id", "parent_id", "child_pos", "depth", F.to_json(F.struct("step", "N", q.alias("Q"), "prior", "value", "terminal", "final_answer"), {"ignoreNullFields": "false"}).alias("text")), "own")
+    below = None
+    for d in range(depth, -1, -1):
+        here = own.df.where(F.col("depth") == d)
+        children = F.lit("[]")
+        if below is not None:
+            lists = below.df.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("child_pos", "raw"))).alias("c"))
+            here = here.join(lists, ["tree_id", "node_id"], "left")
+            children = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("c", lambda x: x["raw"]), ","), F.lit("")), F.lit("]"))
+        raw = F.concat(F.expr("substring(text, 1, length(text) - 1)"), F.lit(',"children":'), children, F.lit("}"))
+        level = Written(here.select("tree_id", "parent_id", "child_pos", raw.alias("raw")), "nested")
+        if below is not None:
+            below.drop()
+        below = level
+    own.drop()
+    return below.df.select("tree_id", "raw")
 
 
 def tree_counts(nodes: DataFrame) -> DataFrame:

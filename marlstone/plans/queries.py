@@ -609,8 +609,25 @@ SELECT tree_id, node_id, N + coalesce(dn, 0) AS N, round(W + coalesce(dw, 0), 4)
 def backup(spark, d):
     """A simulation for each leaf of a value above 0.5, along its whole path."""
     t = Written(b.tree(spark, d), "tree").df
-    paths = tree.paths_to_root(t, t.where("terminal and value > 0.5").select("tree_id", "node_id", "value"))
-    return tree.backup(t, paths).select("tree_id", "node_id", "N", F.round("W", 4).alias("W"))
+    return tree.backup(t, t.where("terminal and value > 0.5").select("tree_id", "node_id", "value")).select("tree_id", "node_id", "N", F.round("W", 4).alias("W"))
+
+
+@_query(f"""WITH {b.TREE}, t AS MATERIALIZED (SELECT tree_id, node_id, parent_id, depth, N FROM tree), h3 AS (SELECT c.tree_id, c.node_id, c.parent_id, true AS hid, false AS top FROM t c WHERE depth = 3),
+h2 AS (SELECT tree_id, node_id, parent_id, N < 12 AS own FROM t WHERE depth = 2), h1 AS (SELECT tree_id, node_id, N < 12 AS own FROM t WHERE depth = 1),
+j AS (SELECT c.tree_id, c.node_id, c.own OR p.own AS hid, c.own AND NOT p.own AS top, 1 + (SELECT count(*) FROM t z WHERE z.tree_id = c.tree_id AND z.parent_id = c.node_id) AS size FROM h2 c JOIN h1 p ON p.tree_id = c.tree_id AND p.node_id = c.parent_id),
+a AS (SELECT tree_id, hid, top, size FROM j UNION ALL SELECT h1.tree_id, own, own, 1 + (SELECT sum(size) FROM j JOIN t z ON z.tree_id = j.tree_id AND z.node_id = j.node_id WHERE z.tree_id = h1.tree_id AND z.parent_id = h1.node_id) FROM h1 UNION ALL SELECT tree_id, false, false, 0 FROM t WHERE depth = 0
+  UNION ALL SELECT h3.tree_id, true, NOT j.hid, 1 FROM h3 JOIN j ON j.tree_id = h3.tree_id AND j.node_id = h3.parent_id)
+SELECT tree_id, count(*) FILTER (NOT hid) AS n_shown, count(*) FILTER (hid) AS n_hidden, count(*) FILTER (top) AS hidden_children, coalesce(max(size) FILTER (top), 0)::BIGINT AS largest_hidden FROM a GROUP BY tree_id""")
+def tree_view(spark, d):
+    """Down to depth 2, nodes of 12 visits or more."""
+    return tree.view_counts(Written(b.tree(spark, d), "tree").df, max_depth=2, min_visits=12)
+
+
+@_query(f"WITH {b.TREE} SELECT tree_id, child_pos, depth, step, N, round(prior, 6) AS prior, round(value, 6) AS value, terminal, final_answer FROM tree")
+def tree_round_trip(spark, d):
+    """The trees as nested JSON, and flattened again; child_pos of roots is 0 either way."""
+    nodes = tree.flatten(Written(tree.nest(Written(b.tree(spark, d), "tree").df), "raw").df)
+    return nodes.select("tree_id", "child_pos", "depth", "step", "N", *r6("prior", "value"), "terminal", "final_answer")
 
 
 # Probabilities.
