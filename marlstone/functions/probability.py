@@ -57,6 +57,35 @@ def choice_priors(probabilities: Column, n: Column) -> Column:
     return F.when(n == 1, F.array(F.lit(1.0))).when(probabilities.isNotNull(), looked_up).otherwise(F.raise_error(F.lit("the judge gave no distribution")))
 
 
+# Multiplier, increment and modulus of the generator that orders options.
+ORDER_BY = (6364136223846793005, 1, 1 << 64)
+
+
+def option_order(state: Column, n: Column) -> Column:
+    """The order in which n options are shown for a judge's state: array<int>, order[i] the option at place i; a Fisher-Yates shuffle by a 64-bit congruential generator seeded by the state's SHA-256, so the same for the same text anywhere.
+
+    Products pass 64 bits; they are taken by halves of the generator's state, exactly, in decimals. Null for a null state, empty without options.
+    """
+    wide = lambda x: F.lit(str(x)).cast("decimal(38,0)")
+    multiplier, increment, modulus = ORDER_BY
+    half = wide(1 << 32)
+
+    def following(s: Column) -> Column:
+        low, high = (s % half).cast("decimal(10,0)"), F.floor(s / half).cast("decimal(10,0)")
+        by = F.lit(str(multiplier)).cast("decimal(19,0)")
+        upper = ((high * by) % half).cast("decimal(10,0)") * F.lit(1 << 32).cast("decimal(10,0)")
+        return (((low * by).cast("decimal(38,0)") + upper.cast("decimal(38,0)") + wide(increment)) % wide(modulus)).cast("decimal(38,0)")
+
+    def swapped(acc: Column, i: Column) -> Column:
+        s = following(acc["s"])
+        return F.struct(s.alias("s"), F.get(F.transform(F.array((s % (i + 1)).cast("int")), lambda j: F.transform(acc["order"], lambda x, k: F.when(k == i, F.get(acc["order"], j)).when(k == j, F.get(acc["order"], i)).otherwise(x))), F.lit(0)).alias("order"))
+
+    seed = F.conv(F.substring(F.sha2(state, 256), 1, 16), 16, 10).cast("decimal(38,0)")
+    start = F.struct(seed.alias("s"), F.sequence(F.lit(0), n - 1).cast("array<int>").alias("order"))
+    order = F.when(n <= 1, F.slice(F.array(F.lit(0)), 1, n)).otherwise(F.aggregate(F.sequence(n - 1, F.lit(1), F.lit(-1)), start, swapped)["order"])
+    return F.when(state.isNotNull(), order)
+
+
 def unshuffle(values: Column, order: Column) -> Column:
     """order[i] is the candidate shown at place i; the values in the candidates' own order."""
     return F.transform(F.sequence(F.lit(1), F.size(values)), lambda k: F.get(values, (F.array_position(order, k - 1) - 1).cast("int")))

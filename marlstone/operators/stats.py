@@ -171,6 +171,28 @@ def cost_latency(rows: DataFrame) -> DataFrame:
     return rows.agg(F.sum("usd").alias("usd"), F.sum("calls").alias("calls"), F.sum("hits").alias("hits"), F.coalesce(F.try_divide(F.sum("usd"), F.sum("calls")), F.lit(0.0)).alias("usd_per_call"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
+#: Size of quantile sketches, and the rank error they keep to (of the normalised rank, with 99% confidence).
+SKETCH_K, RANK_ERROR = 400, 0.0075
+
+
+def sketched_quantiles(rows: DataFrame, value: str, shares: list[float], groups: list[str] | tuple[str, ...] = (), k: int = SKETCH_K) -> DataFrame:
+    """(groups, n, q: array of the quantiles) by KLL sketches, which are of bounded size and merge, so that a group of any size needs no state that grows with its values; a quantile's rank is off by about RANK_ERROR. Groups without a value have none."""
+    sketch = rows.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+    return sketch.where("n > 0").select(*groups, "n", F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(x)) for x in shares]).alias("q"))
+
+
+def rank_errors(rows: DataFrame, value: str, shares: list[float], groups: list[str] | tuple[str, ...] = (), k: int = SKETCH_K) -> DataFrame:
+    """(groups, share, error): how far the rank of a sketched quantile is from what was asked for; a value that is repeated has a range of ranks."""
+    told = sketched_quantiles(rows, value, shares, groups, k).select(*groups, "n", F.posexplode("q").alias("at", "q"))
+    asked = rows.where(F.col(value).isNotNull()).select(*[F.col(g).alias(f"of_{g}") for g in groups], F.col(value).cast("double").alias("v"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    counted = asked.join(F.broadcast(told), same).groupBy(*groups, "at").agg(F.max("n").alias("n"), F.count_if(F.col("v") < F.col("q")).alias("below"), F.count_if(F.col("v") <= F.col("q")).alias("upto"))
+    share = F.get(F.array(*[F.lit(x) for x in shares]), F.col("at"))
+    return counted.select(*groups, share.alias("share"), F.greatest(F.lit(0.0), F.col("below") / F.col("n") - share, share - F.col("upto") / F.col("n")).alias("error"))
+
+
 def coverage(prefixes: DataFrame, labels: DataFrame, scores: DataFrame) -> DataFrame:
     n = lambda df, name: df.select("prefix_id").distinct().agg(F.count("*").alias(name))
     out = n(prefixes, "n_prefixes").crossJoin(n(labels, "n_labelled")).crossJoin(n(scores, "n_scored"))

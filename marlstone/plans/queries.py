@@ -706,6 +706,34 @@ def cost_estimate(spark, d):
 
 # Search.
 
+@_query(f"""WITH RECURSIVE {b.CALLS}, o AS (SELECT seq, run, estimate, row_number() OVER (PARTITION BY run ORDER BY us, seq) AS rn FROM calls),
+f(run, rn, seq, held, admitted) AS (SELECT DISTINCT run, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, false FROM o UNION ALL SELECT o.run, o.rn, o.seq, f.held + CASE WHEN f.held + o.estimate <= 5000 THEN o.estimate ELSE 0 END, f.held + o.estimate <= 5000 FROM f JOIN o ON o.run = f.run AND o.rn = f.rn + 1)
+SELECT seq, admitted FROM f WHERE rn > 0""")
+def admit_in_order(spark, d):
+    """A rejected call reserves nothing, so smaller ones after it may still fit."""
+    return budget.admit_in_order(b.calls(spark, d), 5000.0, ["run"], ["us", "seq"]).select("seq", "admitted")
+
+
+def _swap(i: int) -> str:
+    m, c, _ = probability.ORDER_BY
+    return f"(s{i + 1} * {m}::UHUGEINT + {c}) % 18446744073709551616::UHUGEINT AS s{i}, (s{i} % {i + 1})::INT AS j{i}, list_transform(range(4), lambda k: CASE WHEN k = {i} THEN p{i + 1}[j{i} + 1] WHEN k = j{i} THEN p{i + 1}[{i + 1}] ELSE p{i + 1}[k + 1] END) AS p{i}"
+
+
+@_query(f"SELECT p_partkey, array_to_string(p1, ',') AS shown, true AS restored FROM (SELECT p_partkey, ('0x' || substr(sha256(p_name), 1, 16))::UBIGINT::UHUGEINT AS s4, [0, 1, 2, 3] AS p4, {_swap(3)}, {_swap(2)}, {_swap(1)} FROM part)")
+def option_order(spark, d):
+    """Four options of each part in the order of its name's digest, and back."""
+    p = b.table(spark, d, "part").withColumn("order", probability.option_order(F.col("p_name"), F.lit(4)))
+    own = F.array(*[F.concat("p_name", F.lit(x)) for x in "abcd"])
+    shown = F.transform("order", lambda k: F.get(own, k))
+    return p.select("p_partkey", F.array_join("order", ",").alias("shown"), (probability.unshuffle(shown, F.col("order")) == own).alias("restored"))
+
+
+@_query(f"WITH {b.SCORED} SELECT variant, q AS share, true AS within FROM (SELECT DISTINCT variant FROM scored), (SELECT unnest([0.05, 0.5, 0.95]::DOUBLE[]) AS q)")
+def sketched_quantiles(spark, d):
+    """Ranks of sketched latencies are within the stated error of those asked for."""
+    return stats.rank_errors(b.scored(spark, d), "latency", [0.05, 0.5, 0.95], ["variant"]).select("variant", "share", (F.col("error") <= stats.RANK_ERROR).alias("within"))
+
+
 # Methods over problems, from stored samples: orders are problems, their lines samples.
 
 _STORED = f"""WITH {b.SAMPLES}, toyp AS (SELECT o_orderkey AS problem_id, CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'R' END AS gold FROM orders), hv AS (SELECT problem_id, count(*) AS have FROM samples GROUP BY problem_id)"""

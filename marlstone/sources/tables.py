@@ -29,6 +29,37 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RESULT_SCHEMA) -> D
     return rows.where("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
 
 
+def in_file_order(spark: SparkSession, path: str, schema: str = PROBLEM_SCHEMA) -> DataFrame:
+    """Rows of JSON lines with `place`, which sorts them as they stand: by file, by the split of the file, and by place in the split.
+
+    A split is read by one task from its first line on, so nothing is counted or sorted to know the order, and the
+    first rows by `place` are the same for any number of splits and tasks. Blank and unreadable lines are left out.
+    """
+    kinds = StructType.fromDDL(schema)
+    if not exists(spark, path):
+        return spark.createDataFrame([], StructType([*kinds.fields]).add("place", StructType.fromDDL("file string, split long, line long")))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    parsed = F.from_json("value", StructType.fromDDL(schema + ", _corrupt_record string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).select("value", place.alias("place")).where("trim(value) <> ''").select(parsed.alias("r"), "place")
+    return rows.where("r._corrupt_record is null").select("r.*", "place").drop("_corrupt_record")
+
+
+def problem_set(problems: DataFrame, name: str, n: int | None = None, levels: tuple[int, ...] | None = None, order: str = "place") -> DataFrame:
+    """The problems of a set by its name: `math500`, `aime`, `aime2024` or `all`, of the levels asked for; the first n as they stand. An unknown name is an error."""
+    source = F.col("source")
+    known = {"all": F.lit(True), "math500": source == "math500", "math_train": source == "math_train", "aime": source.startswith("aime")}
+    if name not in known and not (name.startswith("aime") and name[4:].isdigit()):
+        raise ValueError(f"{name!r} is no problem set")
+    out = problems.where(known.get(name, source == name))
+    out = out.where(F.col("level").isin(*levels)) if levels is not None else out
+    return out if n is None else out.orderBy(order).limit(n)
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: str, **aggregates) -> DataFrame:
+    """Groups with their aggregates and `seen`, the least `order` of their rows: sorted by it, groups stand as they first came."""
+    return rows.groupBy(*keys).agg(*[c.alias(k) for k, c in aggregates.items()], F.min(order).alias("seen"))
+
+
 def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
