@@ -562,6 +562,69 @@ def expression_equality(spark, d):
     return p.select("p_partkey", algebra.expressions_equal(filled(0), filled(1)).alias("equal"), answers.is_equivalent(filled(0), filled(1)).alias("same"))
 
 
+# Prompts and views of texts.
+
+_EDGE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_STATE = f"'PROBLEM:' || chr(10) || problem_id || chr(10) || chr(10) || 'SOLUTION SO FAR:' || chr(10) || array_to_string(list_transform(steps, lambda x, i: 'Step ' || i || ': ' || trim(x, {_EDGE}) || chr(10) || chr(10)), '')"
+
+
+@_query(f"WITH {b.TRACES} SELECT problem_id, md5(rtrim({_STATE}, {_EDGE})) AS state, array_to_string(list_transform(steps[1:26], lambda x, i: chr((64 + i)::INT) || '. ' || length(x)), chr(10)) AS options, 'Solve: ' || problem_id AS prompt, "
+        "sha256('{\"model\":\"m' || n_steps % 2 || '\",\"prompt_version\":\"v1\",\"request\":{\"questions\":\"q' || n_steps || '\",\"state\":\"' || problem_id || '\"}}') AS key FROM traces")
+def judge_prompts(spark, d):
+    t = b.traces(spark, d)
+    options = F.transform(F.slice("steps", 1, 26), lambda x: F.concat(F.lit(" "), F.length(x).cast("string"), F.lit("\n")))
+    n = F.col("n_steps")
+    key = text.cache_key(F.col("problem_id"), F.concat(F.lit("q"), n.cast("string")), F.concat(F.lit("m"), (n % 2).cast("string")), F.lit("v1"))
+    return t.select("problem_id", F.md5(text.judge_state(F.col("problem_id"), F.col("steps"))).alias("state"), text.lettered_options(options).alias("options"), text.fill_prompt("Solve: {problem}", F.col("problem_id")).alias("prompt"), key.alias("key"))
+
+
+# Four characters a token; the first step stays, and as many of the last as fit.
+@_query(f"""WITH {b.TRACES}, t AS (SELECT problem_id, n_steps, length(steps[1]) AS first, list_transform(steps, lambda x: length(x)) AS sizes, 4 * 150 AS lim FROM traces),
+k AS (SELECT *, lim - length(problem_id) - first - 200 AS room, list_reverse(sizes[2:]) AS back FROM t),
+c AS (SELECT *, coalesce(len(list_filter(range(1, len(back) + 1), lambda i: list_sum(back[1:i]) <= room)), 0) AS kept FROM k)
+SELECT problem_id, (CASE WHEN n_steps <= 2 OR length(problem_id) + list_sum(sizes) <= lim OR n_steps - 1 - kept <= 0 THEN n_steps ELSE kept + 2 END)::INT AS n_shown, NOT (n_steps <= 2 OR length(problem_id) + list_sum(sizes) <= lim OR n_steps - 1 - kept <= 0) AS truncated FROM c""")
+def truncated_states(spark, d):
+    shown = b.traces(spark, d).withColumn("shown", text.truncate_state(F.col("problem_id"), F.col("steps"), 150))
+    return shown.select("problem_id", F.size("shown").alias("n_shown"), F.coalesce(F.get("shown", F.lit(1)).rlike(r"^\[\.\.\. \d+ steps omitted \.\.\.\]$"), F.lit(False)).alias("truncated"))
+
+
+@_query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')) AS escaped FROM pages")
+def escaped_pages(spark, d):
+    return b.table(spark, d, "pages").select("page_id", F.md5(text.escape_html(F.col("html"))).alias("escaped"))
+
+
+@_query(r"SELECT doc_id, contains(t, '\boxed{') OR contains(lower(t), 'final answer') AS ends_search, regexp_matches(t, '\\(fbox|boxed)([^A-Za-z]|$)') OR regexp_matches(lower(t), 'final\s+answer') AS states_answer FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' \boxed 5' WHEN 1 THEN ' \boxed{5}' WHEN 2 THEN ' Final  answer: 5' WHEN 3 THEN ' final answer 5' ELSE ' \boxedfive' END AS t FROM documents)")
+def answer_predicates(spark, d):
+    """Of documents that end in different forms of an answer: whether a search ends there, and whether an answer is stated."""
+    ends = F.get(F.array(*[F.lit(x) for x in (" \\boxed 5", " \\boxed{5}", " Final  answer: 5", " final answer 5", " \\boxedfive")]), (F.col("doc_id") % 5).cast("int"))
+    t = F.concat("text", ends)
+    return b.table(spark, d, "documents").select("doc_id", text.is_final_step(t).alias("ends_search"), text.has_final_answer(t).alias("states_answer"))
+
+
+@_query("SELECT p_partkey, p_size = p_partkey % 50 AS agree FROM part")
+def answers_agree(spark, d):
+    p = b.table(spark, d, "part")
+    return p.select("p_partkey", text.answers_agree(F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit(".0$")), F.concat(F.lit("x = "), (F.col("p_partkey") % 50).cast("string"))).alias("agree"))
+
+
+@_query(f"WITH {b.SCORED} SELECT prefix_id, variant FROM scored WHERE problem_id IN (SELECT source FROM documents GROUP BY source HAVING max(n_chars) > 20000)")
+def prefixes_of_problems(spark, d):
+    some = b.table(spark, d, "documents").groupBy(F.col("source").alias("problem_id")).agg(F.max("n_chars").alias("m")).where("m > 20000")
+    return experiments.prefixes_of_problems(b.scored(spark, d).select("prefix_id", "variant"), some)
+
+
+@_query(f"WITH {b.SCORED} SELECT prefix_id, 0::BIGINT AS n_samples, label::BIGINT AS n_correct, label::DOUBLE AS soft, label AS hard, 'terminal' AS label_source FROM scored WHERE terminal")
+def terminal_labels(spark, d):
+    return analysis.terminal_labels(b.scored(spark, d).where("terminal"), F.col("label"))
+
+
+@_query(f"WITH {b.RESULT_ROWS}, price(method, usd) AS (VALUES ('click', 0.042), ('view', 0.0), ('purchase', 1.5)) SELECT seq, round(compute_tokens * coalesce(price.usd, 0.3) / 1e6, 12) AS usd FROM result_rows LEFT JOIN price USING (method)")
+def usd_by_route(spark, d):
+    """Dollars by the price of each route; routes without one of their own have 0.3 a million tokens."""
+    price = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in (("click", 0.042), ("view", 0.0), ("purchase", 1.5)) for x in pair]), F.col("method")), F.lit(0.3))
+    return b.result_rows(spark, d).select("seq", F.round(probability.usd(F.col("compute_tokens"), price), 12).alias("usd"))
+
+
 # Trees.
 
 _Q = "CASE WHEN N + virtual_loss = 0 THEN 0 ELSE W / (N + virtual_loss) END"
@@ -585,6 +648,13 @@ def most_visited_path(spark, d):
     return tree.most_visited_path(Written(b.tree(spark, d), "tree").df)
 
 
+@_query(_PUCT + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, parent_id ORDER BY score DESC, prior DESC, child_pos) AS rn FROM sc) WHERE rn = 1),
+path AS (SELECT tree_id, 0 AS depth, node_id, terminal FROM tree WHERE parent_id IS NULL UNION ALL SELECT p.tree_id, p.depth + 1, s.node_id, s.terminal FROM path p JOIN best s ON s.tree_id = p.tree_id AND s.parent_id = p.node_id WHERE NOT p.terminal)
+SELECT tree_id, depth, node_id FROM path""")
+def selection_path(spark, d):
+    return tree.selection_path(Written(b.tree(spark, d), "tree").df)
+
+
 @_query(f"WITH {b.TREE} SELECT tree_id, count(*) AS n_nodes, count(*) FILTER (terminal) AS n_terminals, max(depth)::INT AS max_depth FROM tree GROUP BY tree_id")
 def tree_counts(spark, d):
     return tree.tree_counts(b.tree(spark, d))
