@@ -9,6 +9,7 @@ from marlstone.functions.probability import log_distance
 from marlstone.functions.text import year_of
 from marlstone.operators import stats
 from marlstone.operators.rows import compute_tokens, failed, problem_set_differences
+from marlstone.operators.sampling import hash_sample
 
 #: Order of methods in tables; others follow by name.
 METHOD_ORDER = ("cot", "sc", "bon", "tz_self", "tz_prm", "tz", "c31b")
@@ -96,6 +97,22 @@ def audit(rows: DataFrame) -> DataFrame:
     return rows.groupBy("method").agg(F.count("*").alias("n"), F.count_if(failed(F.col("error"))).alias("n_errors"), F.countDistinct("problem_id").alias("n_problems"))
 
 
+def audit_sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows without an error to look at by hand, those of the smallest hashes of (seed, problem, method)."""
+    key = F.concat_ws("|", "problem_id", "method")
+    return hash_sample(rows.where(~failed(F.col("error"))).withColumn("audit_key", key), n, seed, "audit_key").drop("audit_key")
+
+
+#: Shares of right traces that a pilot should have, for its prefixes to be neither all good nor all bad.
+TRACE_ACCURACY = (0.4, 0.7)
+
+
+def trace_sanity(traces: DataFrame) -> DataFrame:
+    """`trace_stats` with a `warning` where the share of right traces is out of TRACE_ACCURACY; null without traces."""
+    lo, hi = TRACE_ACCURACY
+    return stats.trace_stats(traces).withColumn("warning", F.when(~F.col("accuracy").between(lo, hi), F.concat(F.lit("accuracy "), F.format_string("%.3f", F.bround("accuracy", 3)), F.lit(f" is not in [{lo}, {hi}]"))))
+
+
 def diagnostics(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Mean, maximum and number of rows that have them, for each field of the search statistics."""
     return rows.groupBy("method").agg(F.count("*").alias("n"), *[c for f in fields for c in (F.avg(f).alias(f"mean_{f}"), F.max(f).alias(f"max_{f}"), F.count(f).alias(f"with_{f}"))])

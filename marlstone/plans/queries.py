@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import algebra, answers, probability, text
 from marlstone.operators import analysis, budget, candidates, experiments, resample, rows, sampling, stats, tree, votes
 from marlstone.plans import bindings as b
+from marlstone.sources import reports
 from marlstone.sources.shared import Written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,7 @@ def _query(sql: str | None = None):
         name = f.__name__.rstrip("_")
         _QUERIES[name] = f
         if sql:
-            _SQL[name] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if "boot_rank" in sql else sql
+            _SQL[name] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if "boot_rank" in sql and "RECURSIVE" not in sql else sql
         return f
 
     return register
@@ -258,6 +259,30 @@ def main_table(spark, d):
     return t.select("method_id", "method", "n", "n_errors", *r6("accuracy", "mean_tokens", "mean_wall_time"), F.round("usd", 9).alias("usd"), *r6("lo", "hi"), "vs", *r6("diff", "diff_lo", "diff_hi", "p_value", "compute_ratio"))
 
 
+_PERCENT = "CASE WHEN {c} IS NULL THEN 'n/a' ELSE printf('%{s}.1f', round_even({c} * 100, 1)) END"
+
+
+def _pct(c: str, s: str = "") -> str:
+    return _PERCENT.format(c=c, s=s)
+
+
+@_query(_SQL["main_table"].replace("SELECT p.*, ci.lo", ", mt AS (SELECT p.*, ci.lo", 1) + f""") SELECT method_id, n::VARCHAR AS n, {_pct('accuracy')} || '%' AS accuracy, printf('%.0f', round_even(mean_tokens, 0)) AS tokens, coalesce(vs, '') AS vs, CASE WHEN vs IS NULL THEN '' ELSE {_pct('diff', '+')} || ' pp' END AS difference, CASE WHEN vs IS NULL THEN '' ELSE printf('%.2fx', round_even(compute_ratio, 2)) END AS compute FROM mt""")
+def main_table_text(spark, d):
+    t = reports.main_table_text(main_table(spark, d))
+    return t.select("method_id", "n", F.substring_index("accuracy", " ", 1).alias("accuracy"), "tokens", "vs", F.substring_index("difference", " [", 1).alias("difference"), "compute")
+
+
+@_query(f"WITH {b.LATEST} SELECT problem_id, method, seq FROM latest WHERE coalesce(error, '') = '' ORDER BY sha256('7:' || problem_id || '|' || method), problem_id || '|' || method LIMIT 40")
+def audit_sample(spark, d):
+    return analysis.audit_sample(latest(spark, d), 40, 7).select("problem_id", "method", "seq")
+
+
+@_query(f"WITH {b.TRACES}, t AS (SELECT n_steps % 3 = 0 AS ok FROM traces) SELECT count(*) AS n, CASE WHEN avg(ok::INT) NOT BETWEEN 0.4 AND 0.7 THEN 'accuracy ' || printf('%.3f', round_even(avg(ok::INT), 3)) || ' is not in [0.4, 0.7]' END AS warning FROM t")
+def trace_sanity(spark, d):
+    t = b.traces(spark, d).withColumn("trace_correct", F.col("n_steps") % 3 == 0).withColumn("final_answer", F.lit("x"))
+    return analysis.trace_sanity(t).select("n", "warning")
+
+
 # Calibration.
 
 _AUC = """bys AS (SELECT {g}, score, sum(label::INT) AS pos, sum(1 - label::INT) AS neg FROM scored GROUP BY ALL),
