@@ -21,10 +21,14 @@ _OPERATORS = {
 }
 
 
+# imported with this module, so that where one can't be, whoever imports this learns it at once
+_MODULES = {name: import_module(f"marlstone.llm.{module}") for name, module in _OPERATORS.items()}
+
+
 def queries() -> dict:
-    return {name: getattr(import_module(f"marlstone.llm.{module}"), name) for name, module in _OPERATORS.items()}
+    return {name: getattr(module, name) for name, module in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"marlstone.llm.{module}"), "ORACLE", None) for name, module in _OPERATORS.items()}
+    found = {name: getattr(module, "ORACLE", None) for name, module in _MODULES.items()}
     return {name: sql for name, sql in found.items() if sql}
