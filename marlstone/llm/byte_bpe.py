@@ -20,7 +20,6 @@ import base64
 import hashlib
 import heapq
 import json
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,28 +206,17 @@ _BLOCK = pa.schema([("rows", pa.binary()), ("words", pa.list_(pa.list_(pa.int64(
 _BLOCK_FIELDS = "rows binary, words array<array<bigint>>, long array<array<int>>, numbers binary, lengths binary"
 
 
-#: Numbers of known words in a Python worker, by the name of what was broadcast; kept for later tasks.
-_KNOWN: dict[str, dict[str, int]] = {}
-
-
-def _known_numbers(name: str, words) -> dict[str, int]:
-    if name not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[name] = {w: k for k, w in enumerate(words.value)}
-    return _KNOWN[name]
-
-
 def _blocks(docs: DataFrame, shared, words: list[str], pattern: str, keep: list[str], block_chars: int) -> DataFrame:
     """One row for each block of documents: the kept columns, the words to be folded, the ids of long words, and the documents' words by number."""
     # white space as Unicode has it, not as Python
-    name, given = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(words)
+    given = docs.sparkSession.sparkContext.broadcast(words)
     cut = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(cut)
         by_byte = np.array([shared.value[bytes([k])] for k in range(256)], np.int64)
-        known, vocabulary = _known_numbers(name, given), max(shared.value.values()) + 1
+        known, vocabulary = {w: k for k, w in enumerate(given.value)}, max(shared.value.values()) + 1
         for batch in batches:
             texts, begin = batch.column("b_text"), 0
             while begin < batch.num_rows:
@@ -246,6 +234,10 @@ def _blocks(docs: DataFrame, shared, words: list[str], pattern: str, keep: list[
                 begin += len(lengths)
                 del numbers, sequences, short
                 yield out
+        # workers stay for later stages, which don't need the words; another partition loads them again
+        known.clear()
+        if getattr(given, "_path", None):
+            vars(given).pop("_value", None)
 
     return docs.mapInArrow(run, _BLOCK_FIELDS)
 

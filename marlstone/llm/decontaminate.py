@@ -33,6 +33,8 @@ SHARE = 20
 #: Bytes of text in a block, and words of the benchmark in a part.
 BLOCK_BYTES = 24 << 20
 PART_WORDS = 4_000_000
+#: Bytes of text in a block of the pipeline's stage, whose workers share an executor with what earlier stages left.
+STAGE_BLOCK_BYTES = 8 << 20
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 
@@ -274,7 +276,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     docs = doc_columns(docs)
-    return doc_columns(match_benchmark(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns)).where("not contaminated"))
+    return doc_columns(match_benchmark(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), block_bytes=STAGE_BLOCK_BYTES).where("not contaminated"))
 
 
 def oracle(docs: str = "documents") -> str:
