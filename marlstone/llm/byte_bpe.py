@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marlstone.llm.common import table, tidy
+from marlstone.llm.common import give_back, table, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text in a block; longest word that the fold takes.
@@ -271,6 +271,8 @@ def known_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared
             sizes.append(np.diff(edges)[new])
     if ids:
         out.put(np.concatenate(ids), np.concatenate(sizes))
+    del got, ids, sizes
+    give_back()
     return list(numbers), out
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import doc_columns, table, tidy
+from marlstone.llm.common import doc_columns, give_back, table, tidy
 
 #: Bounds of the sample that the classifier is fitted on.
 MAX_POSITIVE = 20_000
@@ -182,4 +182,5 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier rejects go."""
     docs = doc_columns(docs)
     model = train(docs, table(spark, sf_dir, "labels"))
+    give_back()
     return doc_columns(score_documents(docs, model, keep=tuple(docs.columns)).where("predicted = 1"))
