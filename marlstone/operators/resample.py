@@ -26,48 +26,78 @@ N_BOOT = 1000
 #: Multipliers of seed, draw, lo and hi, and the finalizer of 32-bit hashes (fixed values).
 MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 FINAL = (0x85EBCA6B, 0xC2B2AE35)
-#: Counts up to which a binomial count is a sum over hashes; beyond it numpy's sampler gives it, seeded by the place.
-BY_HASH = 2048
+#: Counts up to which the hashes of many counts are made step by step together; of a greater one they are made by themselves.
+STEPS = 2048
+#: Numbers that a step takes at once, so that they stay in the cache.
+BLOCK = 1 << 15
 #: Numbers of a counts matrix that are made at once.
 AT_ONCE = 1 << 21
 
 _U32, _U64 = np.uint32, np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U32(16))) * _U32(FINAL[0])
-    x = (x ^ (x >> _U32(13))) * _U32(FINAL[1])
-    return x ^ (x >> _U32(16))
+def _mix(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """The 32-bit finalizer of x, in its place."""
+    spare = np.empty_like(x) if spare is None else spare
+    for shift, factor in ((16, FINAL[0]), (13, FINAL[1]), (16, None)):
+        np.bitwise_xor(x, np.right_shift(x, _U32(shift), out=spare), out=x)
+        if factor:
+            np.multiply(x, _U32(factor), out=x)
+    return x
+
+
+def _hits(key: np.ndarray, share: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of the hashes of (key, 0), (key, 1), ... (key, counts - 1) are below the share; all flat."""
+    out = np.zeros(len(counts), np.int64)
+    x, spare, below = np.empty(BLOCK, _U32), np.empty(BLOCK, _U32), np.empty(BLOCK, bool)
+    places = np.arange(BLOCK, dtype=_U32) * _U32(MIX[0])
+    for k in np.flatnonzero(counts > STEPS):
+        for begin in range(0, int(counts[k]), BLOCK):
+            m = min(BLOCK, int(counts[k]) - begin)
+            np.add(places[:m], _U32((int(key[k]) + begin * MIX[0]) & 0xFFFFFFFF), out=x[:m])
+            out[k] += np.count_nonzero(np.less(_mix(x[:m], spare[:m]), share[k], out=below[:m]))
+    few = np.flatnonzero((counts > 0) & (counts <= STEPS))
+    for begin in range(0, len(few), BLOCK):
+        # greatest counts first, so those that go on are always the first ones
+        at = few[begin:begin + BLOCK]
+        at = at[np.argsort((STEPS - counts[at]).astype(np.uint16), kind="stable")]
+        keys, shares = key[at], share[at]
+        going = len(at) - np.cumsum(np.bincount(counts[at]))
+        found, some = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint8)
+        for j in range(len(going) - 1):
+            m = going[j]
+            np.add(keys[:m], _U32(j * MIX[0] & 0xFFFFFFFF), out=x[:m])
+            np.less(_mix(x[:m], spare[:m]), shares[:m], out=below[:m])
+            some[:m] += below[:m].view(np.uint8)
+            if j % 255 == 254:
+                found += some
+                some[:] = 0
+        out[at] = found + some
+    return out
 
 
 def _lower(counts: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, seed: int) -> np.ndarray:
-    """Of counts (nodes x draws), how many fall on lo..mid of lo..hi."""
+    """Of counts (nodes x draws), how many fall on lo..mid of lo..hi: one for each hash whose product with hi - lo is below (mid - lo) << 32."""
     nodes, draws = counts.shape
     key = seed * MIX[0] + np.arange(draws, dtype=_U64) * _U64(MIX[1])
     key = _mix((key[None, :] + (lo.astype(_U64) * _U64(MIX[2]))[:, None] + (hi.astype(_U64) * _U64(MIX[3]))[:, None]).astype(_U32)).ravel()
-    flat = counts.ravel()
-    by_hash = np.where(flat <= BY_HASH, flat, 0)
-    of = np.repeat(np.arange(len(flat)), by_hash)
-    j = np.arange(len(of)) - np.repeat(np.cumsum(by_hash) - by_hash, by_hash)
-    u = _mix(key[of] + j.astype(_U32) * _U32(MIX[0])).astype(_U64)
-    row = of // draws
-    hit = u * (hi - lo).astype(_U64)[row] < ((mid - lo).astype(_U64) << _U64(32))[row]
-    out = np.bincount(of[hit], minlength=len(flat)).reshape(nodes, draws)
-    for k in np.flatnonzero((counts > BY_HASH).any(1)):
-        many = counts[k] > BY_HASH
-        place = np.random.Generator(np.random.Philox(key=np.array([seed, int(lo[k]) << 32 | int(hi[k])], _U64)))
-        out[k, many] = place.binomial(counts[k, many], (mid[k] - lo[k]) / (hi[k] - lo[k]))
-    return out
+    width = (hi - lo).astype(_U64)
+    share = ((((mid - lo).astype(_U64) << _U64(32)) + width - _U64(1)) // width).astype(_U32)
+    return _hits(key, np.repeat(share, draws), counts.ravel()).reshape(nodes, draws)
+
 
+def counts_of(ranks: np.ndarray, n: int, n_boot: int = N_BOOT, seed: int = 0, top: dict | None = None) -> np.ndarray:
+    """How often each draw of n out of n takes each of the sorted, different ranks (ranks x draws).
 
-def counts_of(ranks: np.ndarray, n: int, n_boot: int = N_BOOT, seed: int = 0) -> np.ndarray:
-    """How often each draw of n out of n takes each of the sorted, different ranks (ranks x draws)."""
+    `top` holds the splits of the widest ranges for other ranks of the same n, at most about 4,096 of them.
+    """
+    wide = max(STEPS, n >> 11)
     lo, hi, counts = np.zeros(1, np.int64), np.full(1, n, np.int64), np.full((1, n_boot), n, np.int64)
     while (hi - lo > 1).any():
         open_ = hi - lo > 1
         a, z, c = lo[open_], hi[open_], counts[open_]
         mid = (a + z) // 2
-        left = _lower(c, a, mid, z, seed)
+        left = _kept_lower(c, a, mid, z, seed, wide, top) if top is not None else _lower(c, a, mid, z, seed)
         los, his, cs = np.concatenate([lo[~open_], a, mid]), np.concatenate([hi[~open_], mid, z]), np.concatenate([counts[~open_], left, c - left])
         wanted = np.searchsorted(ranks, los) < np.searchsorted(ranks, his)
         order = np.argsort(los[wanted], kind="stable")
@@ -75,18 +105,34 @@ def counts_of(ranks: np.ndarray, n: int, n_boot: int = N_BOOT, seed: int = 0) ->
     return counts
 
 
+def _kept_lower(counts: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, seed: int, wide: int, top: dict) -> np.ndarray:
+    """_lower, with the splits of ranges of more than `wide` ranks kept in `top`."""
+    places = list(zip(lo.tolist(), hi.tolist()))
+    new = np.array([p not in top for p in places])
+    left = np.empty_like(counts)
+    left[new] = _lower(counts[new], lo[new], mid[new], hi[new], seed)
+    for k, p in enumerate(places):
+        if not new[k]:
+            left[k] = top[p]
+        elif p[1] - p[0] > wide:
+            top[p] = left[k].astype(np.int32 if counts[k].max() < 1 << 31 else np.int64)
+    return left
+
+
 class _Counts:
-    """Counts by cluster, those asked for last being kept."""
+    """Counts by cluster; those asked for last are kept, and the widest splits of the last n."""
 
     def __init__(self, n_boot: int, seed: int):
-        self.n_boot, self.seed, self.last = n_boot, seed, None
+        self.n_boot, self.seed, self.last, self.n, self.top = n_boot, seed, None, None, {}
 
     def __call__(self, ranks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(counts of the different ranks, place of each rank in them)."""
         different, at = np.unique(ranks, return_inverse=True)
         asked = (n, different.tobytes())
         if self.last is None or self.last[0] != asked:
-            self.last = asked, counts_of(different, n, self.n_boot, self.seed).astype(np.float64)
+            if self.n != n:
+                self.n, self.top = n, {}
+            self.last = asked, counts_of(different, n, self.n_boot, self.seed, self.top).astype(np.float64)
         return self.last[1], at
 
 

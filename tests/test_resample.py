@@ -22,6 +22,44 @@ def test_counts_add_up_and_ranks_can_be_asked_for_alone(n, seed, data):
     assert (resample.counts_of(some, n, 20, seed) == whole[some]).all()
 
 
+def counts_by_definition(n, draws, seed):
+    """A hash at a time, as the SQL has it."""
+    def mix(x):
+        x = (x ^ x >> 16) * resample.FINAL[0] & 0xFFFFFFFF
+        x = (x ^ x >> 13) * resample.FINAL[1] & 0xFFFFFFFF
+        return x ^ x >> 16
+
+    s, d, a, z = resample.MIX
+    out = np.zeros((n, draws), int)
+    for b in range(draws):
+        open_ = [(0, n, n)]
+        while open_:
+            lo, hi, c = open_.pop()
+            if hi - lo == 1:
+                out[lo, b] = c
+                continue
+            key, mid = mix(seed * s + b * d + lo * a + hi * z & 0xFFFFFFFF), (lo + hi) // 2
+            left = sum(mix(key + j * s & 0xFFFFFFFF) * (hi - lo) < (mid - lo) << 32 for j in range(c))
+            open_ += [(lo, mid, left), (mid, hi, c - left)]
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 2049, 5000])
+def test_counts_are_those_of_hashes_at_any_size(n):
+    want = counts_by_definition(n, 3, 5)
+    assert (resample.counts_of(np.arange(n), n, 3, 5) == want).all()
+    counts = resample._Counts(3, 5)
+    for ranks in (np.arange(n // 2), np.arange(n // 2, n), np.arange(0, n, 7)):  # from splits that are kept
+        assert (counts(ranks, n)[0] == want[ranks]).all()
+
+
+def test_long_counts_in_several_blocks(monkeypatch):
+    want = resample.counts_of(np.arange(700), 700, 4)
+    monkeypatch.setattr(resample, "STEPS", 30)
+    monkeypatch.setattr(resample, "BLOCK", 64)
+    assert (resample.counts_of(np.arange(700), 700, 4) == want).all()
+
+
 @pytest.mark.parametrize("n", [2, 4, 37, 5000])
 def test_counts_are_multinomial(n):
     counts = resample.counts_of(np.arange(n), n, 400)
