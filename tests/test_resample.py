@@ -60,6 +60,12 @@ def test_long_counts_in_several_blocks(monkeypatch):
     assert (resample.counts_of(np.arange(700), 700, 4) == want).all()
 
 
+def test_cutoff_split_takes_no_digits_of_other_sets_for_years(spark):
+    rows = [("m", "2001", "math500", True), ("m", "aime-2025-1", "aime", True), ("m", "3", "aime2019", False), ("m", "1950", "aime2024", True), ("m", "x", "aime", True)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "method string, problem_id string, source string, correct boolean, error string")
+    assert {(r.after_cutoff, r.n, r.accuracy) for r in analysis.cutoff_split(df, 2024, n_boot=20).collect()} == {(True, 2, 1.0), (False, 1, 0.0)}
+
+
 @pytest.mark.parametrize("n", [2, 4, 37, 5000])
 def test_counts_are_multinomial(n):
     counts = resample.counts_of(np.arange(n), n, 400)
