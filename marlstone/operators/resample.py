@@ -6,8 +6,9 @@ that a draw falls on ranks lo..hi, those that fall on the lower half are a binom
 each draw's counts add up to n, and no table of indices exists. All draws of a cluster are one array.
 
 Statistics of a draw that are functions of sums (means, ratios, calibration, moments) are sums of arrays, combined in
-each task before they meet. Those that go by order (AUROC, quantiles) sort the rows once, not once a draw:
-rows are dealt by range, a task adds up its own stretch, and what lies before it is an offset for each draw.
+each task before they meet. AUROC sorts the rows once, not once a draw: rows are dealt by range, a task adds up its own
+stretch, and what lies before it is an offset for each draw. Quantiles count ranges of values, then the values of the
+ranges that matter.
 """
 
 from __future__ import annotations
@@ -208,12 +209,12 @@ def bootstrap(rows: DataFrame, sums: dict[str, Column], statistic: Column, group
     return draw_sums(rows, sums, groups, cluster, n_boot, seed).select(*groups, "b", statistic.alias(name))
 
 
-def _in_order(rows: DataFrame, groups: list[str], cluster: str, by: str, kept: list[str]) -> DataFrame:
-    """The rows with the rank of their cluster, dealt and sorted by (group, by)."""
+def _in_order(rows: DataFrame, groups: list[str], cluster: str, by: str, kept: list[str], order: str = "boot_by") -> DataFrame:
+    """The rows with the rank of their cluster and `by` as boot_by, dealt and sorted by (group, order)."""
     clusters = ranked(rows.select(*groups, cluster).distinct(), groups, cluster).select(F.col("boot_key").alias("k"), F.col(cluster).alias("boot_cluster"), "boot_rank", "boot_n")
     keyed = rows.withColumn("boot_key", _key(groups))
     both = keyed.join(clusters, (F.col("boot_key") == F.col("k")) & F.col(cluster).eqNullSafe(F.col("boot_cluster")))
-    return both.select("boot_key", "boot_n", "boot_rank", F.col(by).cast("double").alias("boot_by"), *kept).repartitionByRange("boot_key", "boot_by").sortWithinPartitions("boot_key", "boot_by")
+    return both.select("boot_key", "boot_n", "boot_rank", F.col(by).cast("double").alias("boot_by"), *kept).repartitionByRange("boot_key", order).sortWithinPartitions("boot_key", order)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], columns: list[str], n_boot: int, seed: int) -> Iterator[tuple[str, float, np.ndarray]]:
@@ -287,39 +288,78 @@ def auroc(rows: DataFrame, groups: list[str] | tuple[str, ...], score: str = "sc
     return _groups_of(_whole_area(stretches, ["boot_key"]), rows, groups)
 
 
-def _totals(n_boot: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Rows of a group up to which its values aren't told apart by ranges; shares of the rows, from the quantile asked for, at which the ranges end.
+FEW_ROWS = 1024
+DISTANCES = [4.0 ** -k for k in range(1, 13)]
+
+
+def _range_totals(n_boot: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by rank -> (boot_key, boot_range, b, c): how many rows of a range of values each draw has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, np.ndarray] = {}
-        for key, _, (c,) in _stretches(batches, ["c"], n_boot, seed):
-            found[key] = found.get(key, 0) + c
-        for key, x in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n_boot), pa.array(np.arange(n_boot, dtype=np.int32)), pa.array(x.astype(np.int64))], ["boot_key", "b", "c"])
+        counts, held, found = _Counts(n_boot, seed), None, {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for at, x in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([held] * n_boot), pa.array(np.full(n_boot, at, np.int32)), pa.array(np.arange(n_boot, dtype=np.int32)), pa.array(x)], ["boot_key", "boot_range", "b", "c"])
+
+        for batch in batches:
+            ranges, copies = batch.column("boot_range").to_numpy(), batch.column("c").to_numpy().astype(np.float64)
+            for key, some, weights, at in _weighted(batch, counts):
+                if key != held:
+                    yield from out()
+                    held, found = key, {}
+                for r in np.unique(ranges[some]).tolist():
+                    own = ranges[some] == r
+                    found[r] = found.get(r, 0) + (copies[some][own] @ weights[at[own]]).astype(np.int64)
+        yield from out()
+
+    return run
+
+
+def _weighted(batch: pa.RecordBatch, counts: _Counts) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, places in the batch, counts of their different clusters, place of each in them), by stretches of ranks."""
+    if batch.num_rows:
+        ranks, step = batch.column("boot_rank").to_numpy(), max(1, AT_ONCE // counts.n_boot)
+        for key, n, places in _runs(batch):
+            places = places[np.argsort(ranks[places], kind="stable")]
+            for k in range(0, len(places), step):
+                yield key, places[k:k + step], *counts(ranks[places[k:k + step]], n)
+
+
+def _value_weights(n_boot: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by rank -> (boot_key, boot_range, boot_by, w): how many rows of a value each draw has, as 64-bit integers; values of a batch are added up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts(n_boot, seed)
+        for batch in batches:
+            ranges, values, copies = (batch.column(c).to_numpy() for c in ("boot_range", "boot_by", "c"))
+            for key, some, weights, at in _weighted(batch, counts):
+                order = np.lexsort((values[some], ranges[some]))
+                some, at = some[order], at[order]
+                x = (weights[at] * copies[some, None]).astype(np.int64)
+                first = np.flatnonzero((np.diff(values[some], prepend=np.nan) != 0) | (np.diff(ranges[some], prepend=-1) != 0))
+                x = np.add.reduceat(x, first, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(first)), pa.array(ranges[some[first]], pa.int32()), pa.array(values[some[first]]), pa.array([y.tobytes() for y in x], pa.binary())], ["boot_key", "boot_range", "boot_by", "w"])
 
     return run
 
 
-def _order_statistics(q: float, n_boot: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stretches, each after a row of what lies before it -> (boot_key, b, value): the shares of the order statistics that lie in it."""
+def _order_statistics(q: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ranges of values in order, each after a row of what lies before it -> (boot_key, b, value): the shares of the order statistics that lie in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-        def data() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                told = batch.filter(batch.column("boot_before").is_valid())
-                for key, x, n in zip(told.column("boot_key"), told.column("boot_before"), told.column("boot_total"), strict=True):
-                    before[key.as_py()] = x.values.to_numpy(), n.values.to_numpy()
-                yield batch.filter(batch.column("boot_before").is_null())
-
-        for key, value, (c,) in _stretches(data(), ["c"], n_boot, seed):
-            low, total = before[key]
-            high = low + c.astype(np.int64)
-            before[key] = high, total
-            at = (total - 1) * q
-            first = np.floor(at)
-            for end, share in ((first, 1 - (at - first)), (first + 1, at - first)):
-                b = np.flatnonzero((low <= end) & (end < high) & (share > 0))
-                if len(b):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(b)), pa.array(b.astype(np.int32)), pa.array(share[b] * value)], ["boot_key", "b", "value"])
+        low = total = None
+        for batch in batches:
+            for key, value, w, before, of in zip(*(batch.column(c) for c in ("boot_key", "boot_by", "w", "boot_before", "boot_total")), strict=True):
+                if before.is_valid:
+                    low, total = before.values.to_numpy(), of.values.to_numpy()
+                    at = (total - 1) * q
+                    first = np.floor(at)
+                    continue
+                high = low + np.frombuffer(w.as_py(), np.int64)
+                for end, share in ((first, 1 - (at - first)), (first + 1, at - first)):
+                    b = np.flatnonzero((low <= end) & (end < high) & (share > 0))
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(b)), pa.array(b.astype(np.int32)), pa.array(share[b] * value.as_py())], ["boot_key", "b", "value"])
+                low = high
 
     return run
 
@@ -327,21 +367,29 @@ def _order_statistics(q: float, n_boot: int, seed: int) -> Callable[[Iterator[pa
 def bootstrap_quantile(rows: DataFrame, value: str, q: float, groups: list[str] | tuple[str, ...], cluster: str, n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
     """(groups, b, value): the quantile q by linear interpolation of each draw of whole clusters; rows without the value are left out.
 
-    Rows are sorted once for all draws: a first pass counts the stretches, a second one finds in which of
-    them the order statistics of each draw lie.
+    Rows lie by clusters, so that counts are made once for neighbouring ranks. A first pass counts a draw's rows in
+    ranges of values, narrow ones about the quantile; a second one has the values of those ranges in which an
+    order statistic of any draw lies, about the square root of the rows. Where the ranges end changes no result.
     """
     groups = list(groups)
     own = rows.where(F.col(value).isNotNull()).groupBy(*groups, cluster, F.col(value).alias("boot_value")).agg(F.count("*").alias("c"))
-    ordered = Written(_in_order(own, groups, cluster, "boot_value", ["c"]).withColumn("boot_key", F.concat(F.spark_partition_id(), F.lit(" "), "boot_key")), "ordered")
-    dealt = lambda df: df.repartition("boot_key").sortWithinPartitions("boot_key", "boot_by")  # noqa: E731  a stretch whole in a task
-    totals = Written(dealt(ordered.df).mapInArrow(_totals(n_boot, seed), "boot_key string, b int, c long"), "totals")
-    whole, part = F.substring_index("boot_key", "{", 1), F.expr("substring(boot_key, instr(boot_key, '{'))")
-    w = Window.partitionBy("boot_group", "b")
-    placed = totals.df.withColumn("boot_group", part).withColumn("boot_part", F.trim(whole).cast("int"))
-    before = F.coalesce(F.sum("c").over(w.orderBy("boot_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = placed.select("boot_key", "b", before.alias("x"), F.sum("c").over(w).alias("n"))
+    by_rank = Written(_in_order(own, groups, cluster, "boot_value", ["c"], "boot_rank"), "by_rank")
+    shares = sorted({min(1.0, max(0.0, q + side * x)) for x in DISTANCES for side in (-1, 1)})
+    ends = by_rank.df.groupBy(F.col("boot_key").alias("k")).agg(F.count("*").alias("boot_rows"), F.percentile_approx("boot_by", shares, 1_000_000).alias("boot_ends")).where(F.col("boot_rows") > FEW_ROWS).drop("boot_rows")
+    ranged = by_rank.df.join(F.broadcast(ends), F.col("boot_key") == F.col("k"), "left").withColumn("boot_range", F.coalesce(F.size(F.filter("boot_ends", lambda x: x < F.col("boot_by"))), F.lit(0)))
+    ranged = Written(ranged.select("boot_key", "boot_n", "boot_rank", "boot_by", "c", F.when(F.col("boot_ends").isNull(), 0).otherwise(F.col("boot_range")).alias("boot_range")), "ranged").df
+    totals = ranged.mapInArrow(_range_totals(n_boot, seed), "boot_key string, boot_range int, b int, c long")
+    totals = totals.groupBy("boot_key", "boot_range", "b").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy("boot_key", "b")
+    before = F.coalesce(F.sum("c").over(w.orderBy("boot_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.floor((F.col("n") - 1) * F.lit(float(q)))
+    within = lambda at: (at >= F.col("x")) & (at < F.col("x") + F.col("c"))
+    each = totals.select("boot_key", "boot_range", "b", "c", before.alias("x"), F.sum("c").over(w).alias("n")).withColumn("has", within(first) | within(first + 1))
     in_draw_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("b", c))), lambda y: y[c])
-    told = each.groupBy("boot_key").agg(in_draw_order("x").alias("boot_before"), in_draw_order("n").alias("boot_total"))
-    both = dealt(ordered.df.unionByName(told.withColumn("boot_by", F.lit(None).cast("double")), allowMissingColumns=True))  # nulls first
-    shares = both.mapInArrow(_order_statistics(q, n_boot, seed), "boot_key string, b int, value double")
-    return _groups_of(shares.withColumn("boot_key", part).groupBy("boot_key", "b").agg(F.sum("value").alias("value")), rows, groups)
+    told = each.groupBy("boot_key", "boot_range").agg(F.max("has").alias("has"), in_draw_order("x").alias("boot_before"), in_draw_order("n").alias("boot_total")).where("has").drop("has")
+    told = Written(told, "told").df
+    asked = ranged.join(told.select("boot_key", "boot_range"), ["boot_key", "boot_range"], "left_semi").select("boot_key", "boot_n", "boot_rank", "boot_by", "c", "boot_range")
+    weights = asked.mapInArrow(_value_weights(n_boot, seed), "boot_key string, boot_range int, boot_by double, w binary")
+    both = weights.unionByName(told.withColumn("boot_by", F.lit(None).cast("double")), allowMissingColumns=True).repartition("boot_key", "boot_range").sortWithinPartitions("boot_key", "boot_range", "boot_by")  # nulls first
+    found = both.select("boot_key", "boot_by", "w", "boot_before", "boot_total").mapInArrow(_order_statistics(q), "boot_key string, b int, value double")
+    return _groups_of(found.groupBy("boot_key", "b").agg(F.sum("value").alias("value")), rows, groups)

@@ -131,6 +131,18 @@ def test_statistics_of_draws_equal_those_of_copied_rows(spark, parts):
     same(found, {k: float(np.corrcoef([r[2] for r in v], [r[4] for r in v])[0, 1]) for k, v in copies.items()})
 
 
+@pytest.mark.parametrize("few", [0, 5])
+def test_quantiles_by_ranges_of_values(spark, monkeypatch, few):
+    rng = random.Random(6)
+    rows = rows_of(rng, 40, 200) + [("ties", f"p{k}", 0.5, True, 0.25 if k % 3 else rng.random()) for k in range(90)]
+    df = spark.createDataFrame(rows, "grp string, problem_id string, score double, label boolean, soft double").repartition(3)
+    monkeypatch.setattr(resample, "FEW_ROWS", few)
+    copies = drawn(rows, B)
+    for q in (0.5, 0.0, 0.93, 1.0):
+        found = {(r.grp, r.b): r.value for r in resample.bootstrap_quantile(df, "soft", q, ["grp"], "problem_id", n_boot=B).collect()}
+        same(found, {k: float(np.quantile([r[4] for r in v], q)) for k, v in copies.items()})
+
+
 def test_null_group_and_all_draws_of_few_problems(spark):
     df = spark.createDataFrame([("a", "p", True)] + [("b", f"p{k}", k % 2 == 0) for k in range(4)] + [(None, "p", False)], "m string, problem_id string, correct boolean")
     means = stats.bootstrap_means(df, "correct", ["m"], "problem_id").groupBy("m").count().collect()
