@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections import deque
+from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
+from json.decoder import scanstring
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marlstone.functions.probability import puct_score, q_effective, q_value
 from marlstone.functions.text import preview, shorten
@@ -159,54 +167,148 @@ def tree_lines(nodes: DataFrame, max_depth: int | None = None, min_visits: int =
 
 #: Fields of a nested dump besides its children.
 _NODE = "step string, N long, Q double, prior double, value double, terminal boolean, final_answer string"
-#: Levels that one job flattens.
-LEVELS_AT_ONCE = 8
+#: Nodes of a dump that are handed on at once.
+NODES_AT_ONCE = 4096
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _refuse(_: str) -> None:
+    raise ValueError("no JSON number")
+
+
+def _once(pairs: list[tuple]) -> None:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("a key occurs twice")
+
+
+_READ = json.JSONDecoder(parse_constant=_refuse, object_pairs_hook=_once).raw_decode
+
+
+def cut_dump(text: str) -> Iterator[tuple[str, str | None, int, int, str]]:
+    """(node_id, parent_id, child_pos, depth, JSON of the node without its children) of a nested dump, each node after those below it; nothing if it is no object, a ValueError where it is no JSON.
+
+    Beside the text, only the nodes on the way to the present one are held.
+    """
+    def after(at: int, mark: str = "") -> int:
+        at = _SPACE.match(text, at).end()
+        if not mark:
+            return at
+        if not text.startswith(mark, at):
+            raise ValueError(f"{mark} is missing at {at}")
+        return _SPACE.match(text, at + 1).end()
+
+    at = after(0)
+    if not text.startswith("{", at):
+        return
+    # id, parent's id, place, own members, keys, children so far, whether its list is open
+    way, at = [["0", None, 0, [], set(), 0, False]], at + 1
+    while way:
+        node, at = way[-1], after(at)
+        if node[6]:
+            if text.startswith("]", at):
+                node[6], at = False, at + 1
+                continue
+            at = after(at, ",") if node[5] else at
+            place, name, node[5] = node[5], f"{node[0]}.{node[5]}", node[5] + 1
+            if text.startswith("{", at):
+                way.append([name, node[0], place, [], set(), 0, False])
+                at += 1
+            else:
+                end = _READ(text, at)[1]
+                yield name, node[0], place, len(way), text[at:end]
+                at = end
+        elif text.startswith("}", at):
+            way.pop()
+            yield node[0], node[1], node[2], len(way), "{" + ",".join(node[3]) + "}"
+            at += 1
+        else:
+            at = after(at, ",") if node[4] else at
+            if not text.startswith('"', at):
+                raise ValueError(f"a key is missing at {at}")
+            key, end = scanstring(text, at + 1, True)
+            begin = after(end, ":")
+            if key in node[4]:
+                raise ValueError("a key occurs twice")
+            node[4].add(key)
+            if key == "children" and text.startswith("[", begin):
+                node[6], at = True, begin + 1
+            else:
+                end = _READ(text, begin)[1]
+                node[3].append(text[at:end])
+                at = end
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            text = batch.column("raw")[k].as_py() or ""
+            try:
+                deque(cut_dump(text), maxlen=0)  # a text that ends badly has no nodes
+            except (ValueError, RecursionError):
+                continue
+            for some in batched(cut_dump(text), NODES_AT_ONCE):
+                tree = batch.column("tree_id").take(pa.array([k] * len(some)))
+                if batch.num_columns > 2:
+                    name, parent, pos, depth = (batch.column(c)[k].as_py() for c in ("node_id", "parent_id", "child_pos", "depth"))
+                    some = [(f"{name}{i[1:]}", f"{name}{p[1:]}", c, n + depth, t) if p else (name, parent, pos, depth, t) for i, p, c, n, t in some]
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*some), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([tree, *columns], ["tree_id", "node_id", "parent_id", "child_pos", "depth", "node"])
 
 
 def flatten(trees: DataFrame) -> DataFrame:
     """Nodes of nested dumps (tree_id, raw: JSON of a node with `children`): tree_id, node_id (places from the root, as `0.2.1`), parent_id, child_pos, depth and the fields of a node; W is N * Q.
 
-    Dumps are parsed once, into variants; LEVELS_AT_ONCE levels are unnested in a job, and their last one is written and goes on.
+    A dump is cut into its nodes from front to back, so no tree of it is in memory beside its text, and it may nest to any depth; Spark reads the fields.
+    Pieces as `nest` makes them keep the place of their top node, and the nodes below it are named after it.
     Trees whose raw is null or no JSON object have no nodes.
     """
-    root = F.try_parse_json("raw")
-    level = trees.select("tree_id", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("child_pos"), F.lit(0).alias("depth"), root.alias("node")).where(F.schema_of_variant("node").startswith("OBJECT"))
-    fields = [f.split() for f in _NODE.split(", ")]
-    out = []
-    while True:
-        for _ in range(LEVELS_AT_ONCE):
-            here = level.select("tree_id", "node_id", "parent_id", "child_pos", "depth", *[F.try_variant_get("node", f"$.{name}", kind).alias(name) for name, kind in fields])
-            out.append(here)
-            children = level.select("tree_id", F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.posexplode(F.try_variant_get("node", "$.children", "array<variant>")).alias("child_pos", "node"))
-            level = children.select("tree_id", F.concat("parent_id", F.lit("."), F.col("child_pos").cast("string")).alias("node_id"), "parent_id", "child_pos", "depth", "node")
-        left = Written(level.withColumn("node", F.to_json("node")), "level")
-        level = left.df.withColumn("node", F.parse_json("node"))
-        if not left.df.limit(1).count():
-            break
-    nodes = reduce(DataFrame.unionByName, out)
+    cut = StructType([trees.schema["tree_id"], *StructType.fromDDL("node_id string, parent_id string, child_pos int, depth int, node string").fields])
+    places = [c for c in ("node_id", "parent_id", "child_pos", "depth") if "node_id" in trees.columns]
+    level = trees.select("tree_id", *[F.col(c).cast(kind).alias(c) for c, kind in zip(places, ("string", "string", "int", "int"))], "raw").mapInArrow(_cut, cut).withColumn("node", F.try_parse_json("node"))
+    nodes = level.select("tree_id", "node_id", "parent_id", "child_pos", "depth", *[F.try_variant_get("node", f"$.{name}", kind).alias(name) for name, kind in (f.split() for f in _NODE.split(", "))])
     return nodes.withColumn("W", F.col("N") * F.col("Q")).withColumn("virtual_loss", F.lit(0))
 
 
-def nest(nodes: DataFrame) -> DataFrame:
-    """(tree_id, raw): the trees as nested JSON, children in their order; from the deepest level up, so each text is written once a level."""
+#: Nodes of a piece of a dump, at most, where trees are dumped in pieces.
+PIECE = 1 << 12
+
+
+def nest(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(tree_id, raw): the trees as nested JSON, children in their order; from the deepest level up, so each text is written once a level.
+
+    A whole tree is one value. With `most`, dumps come in pieces of at most so many nodes instead: (tree_id, node_id, parent_id, child_pos,
+    depth, raw), where a node with more below it is a piece without children, and each of its children the top of another one.
+    """
     depth = _whole(nodes)
     q = q_value(F.col("N"), F.col("W"))
     own = Written(nodes.select("tree_id", "node_id", "parent_id", "child_pos", "depth", F.to_json(F.struct("step", "N", q.alias("Q"), "prior", "value", "terminal", "final_answer"), {"ignoreNullFields": "false"}).alias("text")), "own")
-    below = None
+    top, pieces = ["tree_id", "node_id", "parent_id", "child_pos", "depth", "raw"], []
+    below, text = None, F.expr("substring(text, 1, length(text) - 1)")
     for d in range(depth, -1, -1):
         here = own.df.where(F.col("depth") == d)
-        children = F.lit("[]")
-        if below is not None:
-            lists = below.df.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("child_pos", "raw"))).alias("c"))
-            here = here.join(lists, ["tree_id", "node_id"], "left")
-            children = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("c", lambda x: x["raw"]), ","), F.lit("")), F.lit("]"))
-        raw = F.concat(F.expr("substring(text, 1, length(text) - 1)"), F.lit(',"children":'), children, F.lit("}"))
-        level = Written(here.select("tree_id", "parent_id", "child_pos", raw.alias("raw")), "nested")
-        if below is not None:
-            below.drop()
+        if below is None:
+            level = Written(here.select(*top[:-1], F.concat(text, F.lit(',"children":[]}')).alias("raw"), F.lit(1).cast("long").alias("size")), "nested")
+        else:
+            given = below.df
+            sizes = given.groupBy("tree_id", "parent_id").agg((F.sum("size") + 1).alias("size"))
+            if most is not None:
+                large = Written(sizes.where(F.col("size") > most), "large").df  # few, as each has many nodes below it
+                pieces.append(given.join(F.broadcast(large.drop("size")), ["tree_id", "parent_id"], "left_semi").select(*top))
+                given = given.join(F.broadcast(large.drop("size")), ["tree_id", "parent_id"], "left_anti")
+            # grouped, not joined: the lists are as large as the trees, however small their files are
+            given = given.select("tree_id", F.col("parent_id").alias("node_id"), F.struct("child_pos", "raw").alias("child"), "size")
+            both = here.select("tree_id", "node_id", F.struct("parent_id", "child_pos", "depth", "text").alias("own")).unionByName(given, allowMissingColumns=True)
+            if most is not None:
+                both = both.unionByName(large.select("tree_id", F.col("parent_id").alias("node_id"), (F.col("size") - 1).alias("size")), allowMissingColumns=True)
+            lists = both.groupBy("tree_id", "node_id").agg(F.max("own").alias("own"), F.array_sort(F.collect_list("child")).alias("c"), (F.coalesce(F.sum("size"), F.lit(0)) + 1).alias("size")).where("own is not null")
+            here = lists.select("tree_id", "node_id", "own.*", "size", F.flatten(F.transform("c", lambda x: F.array(F.lit(","), x["raw"]))).alias("pieces"))
+            raw = F.array_join(F.concat(F.array(text, F.lit(',"children":[')), F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0))), F.array(F.lit("]}"))), "")
+            level = Written(here.select(*top[:-1], raw.alias("raw"), "size"), "nested")
+            if most is None:
+                below.drop()
         below = level
     own.drop()
-    return below.df.select("tree_id", "raw")
+    return below.df.select("tree_id", "raw") if most is None else reduce(DataFrame.unionByName, pieces, below.df.select(*top))
 
 
 def tree_counts(nodes: DataFrame) -> DataFrame:

@@ -720,8 +720,8 @@ def tree_view(spark, d):
 
 @_query(f"WITH {b.TREE} SELECT tree_id, child_pos, depth, step, N, round(prior, 6) AS prior, round(value, 6) AS value, terminal, final_answer FROM tree")
 def tree_round_trip(spark, d):
-    """The trees as nested JSON, and flattened again; child_pos of roots is 0 either way."""
-    nodes = tree.flatten(Written(tree.nest(Written(b.tree(spark, d), "tree").df), "raw").df)
+    """The trees as nested JSON in pieces, as a tree may be larger than a task, and flattened again; child_pos of roots is 0 either way."""
+    nodes = tree.flatten(tree.nest(Written(b.tree(spark, d), "tree").df, tree.PIECE))
     return nodes.select("tree_id", "child_pos", "depth", "step", "N", *r6("prior", "value"), "terminal", "final_answer")
 
 

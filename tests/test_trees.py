@@ -106,6 +106,28 @@ def test_nested_dumps_round_trip(spark, nodes, trees):
     assert [(r.tree_id, r.N) for r in tree.flatten(odd).collect()] == [("w", 1)]
 
 
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_dumps_in_pieces(spark, nodes, most):
+    pieces = tree.nest(nodes, most).cache()
+    whole = tree.flatten(tree.nest(nodes))
+    flat = tree.flatten(pieces)
+    of = [F.col(c) for c in ("tree_id", "child_pos", "depth", "step", "N", "Q", "prior", "value", "terminal", "final_answer")]
+    assert sorted(map(repr, flat.select(of).collect())) == sorted(map(repr, whole.select(of).collect()))
+    assert tree.broken_links(flat).count() == 0
+    assert max(r.raw.count('"step"') for r in pieces.collect()) <= most
+    assert most < 1000 or pieces.count() == nodes.select("tree_id").distinct().count()
+
+
+def test_dumps_are_cut_in_place(spark):
+    raw = ' {"N": 2 , "children" : [ {"step": "a,]}\\"", "N":1,"children":[]} , 7, {"x":{"children":[1]}, "prior":0.25} ], "Q": 1e0, "step":"\\u00e9"} '
+    assert [(i, p, k, d, json.loads(t)) for i, p, k, d, t in tree.cut_dump(raw)] == [("0.0", "0", 0, 1, {"step": 'a,]}"', "N": 1}), ("0.1", "0", 1, 1, 7), ("0.2", "0", 2, 1, {"x": {"children": [1]}, "prior": 0.25}), ("0", None, 0, 0, {"N": 2, "Q": 1.0, "step": "\u00e9"})]
+    deep = "".join('{"N":%d,"children":[' % k for k in range(1500)) + "]}" * 1500
+    bad = ["", '{"N":1', '{"N":1,}', '{"N":1,"N":2}', '{"N":NaN}', '{"children":[1,]}', '{"children":[{"N":1}', '{"N" 1}', '{,"N":1}', "{N:1}"]
+    df = spark.createDataFrame([("deep", deep), *[(f"bad{k}", x) for k, x in enumerate(bad)]], "tree_id string, raw string")
+    flat = tree.flatten(df)
+    assert flat.groupBy("tree_id").agg(F.count("*").alias("n"), F.max("N").alias("m"), F.max("depth").alias("d")).collect() == [("deep", 1500, 1499, 1499)]
+
+
 def test_broken_links_are_told(spark, nodes):
     slim = [("t", "r", None, 0), ("t", "a", "r", 1), ("t", "b", "gone", 2), ("t", "c", "d", 2), ("t", "d", "c", 2), ("t", "r2", None, 0), ("u", "r", None, 0), ("u", "r", None, 0), ("v", "r", None, 3)]
     df = spark.createDataFrame(slim, "tree_id string, node_id string, parent_id string, depth int")
