@@ -8,14 +8,13 @@ optional; neighbours that repeat become a repeated group; texts that differ beco
 align with wrappers in the same way, so each partition makes partial wrappers of its hosts, and these
 are combined in two steps (by host and salt, then by host); no group of pages ever meets in one task.
 
-A slot keeps the texts that stood in it, each with digests of the pages that had it there; so texts that
-are the same on every page are told even among neighbours that vary. Pages of the same main text are one
-page, whatever their menus. A text that stands in one slot in more than half of the host's different pages,
-and at least LEAST of them, is part of the template. A host keeps the least digests of its pages, and slots the texts
-of those pages alone, so a wrapper is bounded and the same for any order of pages; the share is
-exact up to SAMPLE different pages, and of so many taken by hash beyond.
-
-A page is then matched with its host's wrapper. The texts within its article, except those in menus,
+Wrappers hold no texts. Once a host's wrapper is known, every page is matched with it, and each text with its
+slot is counted over all pages of the host, by a shuffle; so texts that are the same on every page are told
+even among neighbours that vary. Pages of the same main text are one page, whatever their menus. A text that
+stands in one slot in more than half of the host's different pages, and at least LEAST of them, is part of the
+template; the share is exact for any number of pages, and at most two such texts a text of the average page are kept.
+
+A page is then matched with its host's wrapper again. The texts within its article, except those in menus,
 headers, footers, sidebars, notices, adverts, forms and comments, are its main text; where it has no
 article, all texts outside such elements are. Texts of the template go, but an article keeps its prose (PROSE),
 and keeps all where more than half of it is also that of other pages: then these are copies of
@@ -31,10 +30,12 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -63,8 +64,8 @@ _PARTS = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 TEMPLATE_SHARE = 0.5
 #: Different pages that show a template, outside of articles and inside, where two or three may well say the same.
 LEAST, LEAST_IN_ARTICLE = 2, 4
-#: Digests of page contents that a host and each of its texts keep.
-SAMPLE = 128
+#: Shapes of a host's pages that a task remembers, to align equal ones once.
+SHAPES = 200
 #: Depth to which wrappers describe pages; no text nested deeper is told to be of the template. Menus, forms and articles are told at any depth.
 WRAPPER_DEPTH = 150
 #: Elements of a repeated group, at most.
@@ -154,8 +155,8 @@ def _clean(text: str) -> str:
     return " ".join(html_module.unescape(text).split())
 
 
-# A wrapper item is a list: ["t", optional, {text: digests of the pages that have it here}] or ["e", optional, repeated, label, never, items].
-# A repeated group of several elements is ["g", optional, items].
+# A wrapper item is a list: ["t", optional] or ["e", optional, repeated, label, never, items]; a repeated group of several
+# elements is ["g", optional, items]. A settled slot is ["t", optional, number, texts of the template].
 
 
 def digest(text: str | None) -> int:
@@ -167,22 +168,20 @@ def _form(text: str) -> str:
     return text if len(text) <= 60 else f"\0{digest(text):x}"
 
 
-def least(a: list[int], b: list[int]) -> list[int]:
-    """The SAMPLE least of two sorted lists of digests."""
-    if len(b) == 1 and a and (b[0] in a or len(a) >= SAMPLE and b[0] > a[-1]):
-        return a
-    return sorted({*a, *b})[:SAMPLE]
+def _says(text: str) -> bool:
+    """Whether a text isn't white space alone."""
+    return bool(text.strip()) and ("&" not in text or bool(_clean(text)))
 
 
-def infer(element: Element, page: int | None = 0, depth: int = WRAPPER_DEPTH) -> list:
-    """The wrapper items of one page's element; `page` is the digest of the page, None if its texts needn't be kept."""
-    items = []
+def infer(element: Element, depth: int = WRAPPER_DEPTH) -> list:
+    """The wrapper items of one page's element."""
+    items: list = []
     for child in element.children if depth else ():
         if isinstance(child, str):
-            if text := _clean(child):
-                items.append(["t", 0, {} if page is None else {_form(text): [page]}])
+            if _says(child):
+                items.append(["t", 0])
         else:
-            items.append(["e", 0, 0, child.label, int(child.never), [] if child.never else infer(child, page, depth - 1)])
+            items.append(["e", 0, 0, child.label, int(child.never), [] if child.never else infer(child, depth - 1)])
     return fold(items)
 
 
@@ -220,10 +219,7 @@ def _merge(a: list, b: list) -> list:
     """Of two items with the same key."""
     optional = a[1] | b[1]
     if a[0] == "t":
-        both = dict(a[2])
-        for text, pages in b[2].items():
-            both[text] = least(both[text], pages) if text in both else pages
-        return ["t", optional, both]
+        return ["t", optional]
     if a[0] == "g":
         return ["g", optional, align(a[2], b[2])]
     return ["e", optional, a[2] | b[2], a[3], a[4], align(a[5], b[5])]
@@ -300,35 +296,31 @@ def has_article(page: Element) -> bool:
     return False
 
 
-def pruned(items: list, pages: set[int]) -> list:
-    """The items with the texts and digests of `pages` alone."""
-    for item in items:
-        if item[0] == "t":
-            kept = ((text, [p for p in of if p in pages]) for text, of in item[2].items())
-            item[2] = {text: of for text, of in kept if of}
-        else:
-            pruned(item[-1], pages)
-    return items
+def settle(items: list, texts: list[tuple[int, str, int]]) -> list:
+    """The items with numbered slots, each with those of `texts` (slot, text, pages that have it there) that belong to the template."""
+    by_slot: dict[int, list] = {}
+    for slot, text, n in texts:
+        by_slot.setdefault(slot, []).append((text, n))
+    numbers = count()
 
+    def settled(items: list, article: bool) -> list:
+        out, few = [], LEAST_IN_ARTICLE if article else LEAST
+        for item in items:
+            if item[0] == "t":
+                slot = next(numbers)
+                out.append(["t", item[1], slot, sorted(text for text, n in by_slot.get(slot, ()) if n >= few)])
+            else:
+                out.append([*item[:-1], settled(item[-1], article or item[0] == "e" and item[3].split(".")[0] in ARTICLE)])
+        return out
 
-def settle(items: list, pages: list[int], article: bool = False) -> list:
-    """Of the items, those with texts of the template, each slot with a list of them."""
-    out, every, few = [], set(pages), LEAST_IN_ARTICLE if article else LEAST
-    for item in items:
-        if item[0] == "t":
-            texts = sorted(text for text, of in item[2].items() if (n := len(every.intersection(of))) >= few and n > TEMPLATE_SHARE * len(pages))
-            if texts:
-                out.append(["t", item[1], texts])
-        elif inner := settle(item[-1], pages, article or item[0] == "e" and item[3].split(".")[0] in ARTICLE):
-            out.append([*item[:-1], inner])
-    return out
+    return settled(items, False)
 
 
 class Level:
     """The items of a settled wrapper's element by their keys, so that a child's item is found at once."""
 
     def __init__(self, items: list):
-        self.by: dict[str, list[tuple[int, frozenset | Level]]] = {}
+        self.by: dict[str, list[tuple[int, tuple[int, frozenset] | Level]]] = {}
         self._add(items, None)
 
     def _add(self, items: list, place: int | None) -> None:
@@ -337,9 +329,9 @@ class Level:
             if item[0] == "g":
                 self._add(item[2], at)
             else:
-                self.by.setdefault(_key(item), []).append((at, frozenset(item[2]) if item[0] == "t" else Level(item[5])))
+                self.by.setdefault(_key(item), []).append((at, (item[2], frozenset(item[3])) if item[0] == "t" else Level(item[5])))
 
-    def find(self, key: str, begin: int) -> tuple[frozenset | Level | None, int]:
+    def find(self, key: str, begin: int) -> tuple[tuple[int, frozenset] | Level | None, int]:
         """The first item of the key from `begin` on, else from the start, and where it is."""
         found = self.by.get(key)
         if not found:
@@ -352,8 +344,8 @@ class Level:
 _NOTHING = Level([])
 
 
-def _texts(page: Element, wrapper: Level, article: bool) -> tuple[str, int, int]:
-    """The main text without texts of the template, and the characters kept and dropped."""
+def _texts(page: Element, wrapper: Level, article: bool, seen: set[tuple[int, str]] | None = None) -> tuple[str, int, int]:
+    """The main text without texts of the template, and the characters kept and dropped; `seen` gets (slot, text) of each text that a template could have."""
     blocks: list[str] = []
     held: list[str] = []
     kept = dropped = 0
@@ -377,8 +369,10 @@ def _texts(page: Element, wrapper: Level, article: bool) -> tuple[str, int, int]
             continue
         item, open_[-1][2] = items.find("#" if isinstance(child, str) else child.label, at)
         if isinstance(child, str):
+            if seen is not None and item is not None and not prose:
+                seen.add((item[0], _form(text)))
             if inside:
-                if item is not None and not prose and _form(text) in item:
+                if item is not None and not prose and item[1] and _form(text) in item[1]:
                     dropped += len(text)
                 else:
                     kept += len(text)
@@ -400,79 +394,119 @@ def extract(page: Element, wrapper: Level = _NOTHING) -> str:
     return text
 
 
-def _combine(wrappers: Iterator[list]) -> list:
-    """Of wrappers as [digests, items]."""
-    out = None
-    for pages, items in wrappers:
-        if out is None:
-            out = [pages, items]
-        else:
-            every = least(out[0], pages)
-            out = [every, pruned(align(out[1], items), set(every))]
-    return out or [[], []]
+def add_page(found: list, html: str | None, shapes: set[str] | None = None) -> list:
+    """A host's [texts of the template, items] with the items of one more page; texts are counted once all pages are in. `shapes` has the pages that need no aligning."""
+    items = infer(parse(html))
+    if shapes is not None:
+        if (shape := repr(items)) in shapes:
+            return found
+        shapes.add(shape)
+    return [found[0], align(found[1], items) if found[1] else items]
 
 
-def add_page(found: list, html: str | None) -> list:
-    """A host's [digests, items] with one more page; texts of pages beyond the least digests aren't kept."""
-    page = parse(html)
-    number = digest(extract(page))
-    pages = least(found[0], [number]) if found[0] else [number]
-    full = len(pages) == SAMPLE and number not in pages
-    items = infer(page, None if full else number)
-    items = align(found[1], items) if found[0] else items
-    # what digests have fallen out leave behind goes once a round of pages
-    return [pages, pruned(items, set(pages)) if len(pages) == SAMPLE and not full else items]
+def _hosts(url_col: str) -> Column:
+    return F.coalesce(url_host(F.col(url_col)), F.lit(""))
 
 
-def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, settled wrapper as JSON): one row for each host of `pages`; pages without a host share the empty one."""
+def host_shapes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper's items as JSON): one row for each host of `pages`; pages without a host share the empty one."""
 
     @tidy
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
+        shapes: dict[str, set[str]] = {}
         for batch in batches:
-            for host, text in zip(batch.column("w_host"), batch.column("w_html")):
-                host = host.as_py() or ""
-                found[host] = add_page(found.get(host, [[], []]), text.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], ["host", "wrapper"])
-
-    def some(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(_combine(map(json.loads, sorted(rows["wrapper"]))))]})
-
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pages, items = _combine(map(json.loads, sorted(rows["wrapper"])))
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(settle(items, pages))]})
-
-    parts = pages.select(url_host(F.col(url_col)).alias("w_host"), F.col(html_col).alias("w_html")).mapInArrow(partial, "host string, wrapper string")
+            for host, text in zip(batch.column("w_host").to_pylist(), batch.column("w_html"), strict=True):
+                known = shapes.setdefault(host, set())
+                found[host] = add_page(found.get(host, [[], []]), text.as_py(), known)
+                if len(known) > SHAPES:
+                    known.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(items) for _, items in found.values()], pa.string())], ["host", "wrapper"])
+
+    def merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        items = reduce(align, map(json.loads, sorted(set(rows["wrapper"]))))
+        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(items)]})
+
+    parts = pages.select(_hosts(url_col).alias("w_host"), F.col(html_col).alias("w_html")).mapInArrow(partial, "host string, wrapper string")
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    return parts.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string").groupBy("host").applyInPandas(whole, "host string, wrapper string")
+    return parts.groupBy("host", "salt").applyInPandas(merged, "host string, wrapper string").groupBy("host").applyInPandas(merged, "host string, wrapper string")
 
 
-def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The columns in `keep` and `text` for every row; null, empty and broken html gives what text it has, the empty string at least. Repeated rows stay repeated."""
-    wrappers = Written(host_wrappers(pages, url_col, html_col), "wrappers")
+def with_wrappers(pages: DataFrame, wrappers: Written, keep: tuple[str, ...], url_col: str, html_col: str) -> DataFrame:
+    """The columns in `keep`, w_host, w_html and w_wrapper for every row."""
     small = (wrappers.df.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
-    rows = pages.select(*keep, url_host(F.col(url_col)).alias("w_host"), F.col(html_col).alias("w_html"))
-    side = wrappers.df.select(F.col("host").alias("w_key"), F.col("wrapper").alias("w_wrapper"))
+    rows = pages.select(*keep, _hosts(url_col).alias("w_host"), F.col(html_col).alias("w_html"))
+    side = wrappers.df.select(F.col("host").alias("w_of"), F.col("wrapper").alias("w_wrapper"))
     if small:
-        joined = rows.join(F.broadcast(side), rows["w_host"] == side["w_key"], "left")
+        joined = rows.join(F.broadcast(side), rows["w_host"] == side["w_of"], "left")
     else:  # hosts of many pages are spread by a salt
         rows = rows.withColumn("w_salt", F.pmod(F.xxhash64("w_html"), F.lit(SALTS)))
         side = side.withColumn("w_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(side, (rows["w_host"] == side["w_key"]) & (rows["w_salt"] == side["w_s"]), "left")
+        joined = rows.join(side, (rows["w_host"] == side["w_of"]) & (rows["w_salt"] == side["w_s"]), "left")
+    return joined.select(*keep, "w_host", "w_html", "w_wrapper")
+
+
+class _Levels(dict):
+    """Levels of wrappers by their JSON; of those whose slots aren't settled without texts."""
+
+    def __init__(self, settled: bool):
+        self.settled = settled
+
+    def __missing__(self, source: str) -> Level:
+        if len(self) >= 1000:
+            self.clear()
+        items = json.loads(source)
+        self[source] = level = Level(items if self.settled else settle(items, []))
+        return level
+
+
+@tidy
+def _slot_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w_host, w_html, w_wrapper) -> (host, slot, text, page): the texts in each page's slots, and a row of slot -1 for the page; `page` is the digest of its main text."""
+    levels = _Levels(False)
+    for batch in batches:
+        found: set[tuple[str, int, str, int]] = set()
+        for host, html, wrapper in zip(*(batch.column(c) for c in ("w_host", "w_html", "w_wrapper")), strict=True):
+            page, seen = parse(html.as_py()), set()
+            text, _, _ = _texts(page, levels[wrapper.as_py() or "[]"], has_article(page), seen)
+            name, number = host.as_py(), digest(text) - (1 << 63)
+            found.add((name, -1, "", number))
+            found.update((name, slot, form, number) for slot, form in seen)
+        columns = zip(*found, strict=True) if found else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["host", "slot", "text", "page"])
+
+
+@tidy
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [json.dumps(settle(json.loads(wrapper), [(t["slot"], t["text"], t["n"]) for t in texts or ()])) for wrapper, texts in zip(batch.column("wrapper").to_pylist(), batch.column("texts").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], ["host", "wrapper"])
+
+
+def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Written:
+    """(host, settled wrapper as JSON), the texts of slots counted over every page."""
+    shapes = Written(host_shapes(pages, url_col, html_col), "shapes")
+    texts = with_wrappers(pages, shapes, (), url_col, html_col).mapInArrow(_slot_texts, "host string, slot int, text string, page long").distinct()
+    counts = Written(texts.groupBy("host", "slot", "text").agg(F.count("*").alias("n")).where((F.col("slot") < 0) | (F.col("n") >= LEAST)), "counts")
+    different = counts.df.where("slot < 0").select("host", F.col("n").alias("pages"))
+    told = counts.df.where("slot >= 0").join(different, "host").where(F.col("n") > F.lit(TEMPLATE_SHARE) * F.col("pages"))
+    told = told.groupBy("host").agg(F.collect_list(F.struct("slot", "text", "n")).alias("texts"))
+    out = Written(shapes.df.join(told, "host", "left").select("host", "wrapper", "texts").mapInArrow(_settled, "host string, wrapper string"), "wrappers")
+    shapes.drop()
+    counts.drop()
+    return out
+
+
+def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The columns in `keep` and `text` for every row; null, empty and broken html gives what text it has, the empty string at least. Repeated rows stay repeated."""
+    joined = with_wrappers(pages, host_wrappers(pages, url_col, html_col), keep, url_col, html_col)
     schema = StructType([*pages.select(*keep).schema.fields, *StructType.fromDDL("text string").fields])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Level] = {}
+        levels = _Levels(True)
         for batch in batches:
-            texts = []
-            for page, wrapper in zip(batch.column("w_html"), batch.column("w_wrapper")):
-                source = wrapper.as_py() or "[]"
-                if source not in known:
-                    known.clear() if len(known) >= 1000 else None
-                    known[source] = Level(json.loads(source))
-                texts.append(extract(parse(page.as_py()), known[source]))
+            texts = [extract(parse(page.as_py()), levels[wrapper.as_py() or "[]"]) for page, wrapper in zip(batch.column("w_html"), batch.column("w_wrapper"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], schema.names)
 
     return joined.select(*keep, "w_html", "w_wrapper").mapInArrow(run, schema)

@@ -498,6 +498,18 @@ def test_template_texts_are_a_share_of_different_pages(spark):
     assert [got[40 + k] for k in range(300)] == [f"Page {k}\ntext {k}" for k in range(300)]
 
 
+def test_templates_are_counted_over_every_page_of_a_host(spark):
+    from marlstone.llm import wrapper_html as wh
+
+    n = 600
+    share = lambda k, mark: f"<div>{mark}</div>" * k
+    pages = [("http://a.com", f"<h1>Page {k}</h1>{share(k < n // 2, 'Half')}<h2>part</h2>{share(k <= n // 2, 'More')}<p>text {k}</p>") for k in range(n)]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in wh.extract_main_text(df).collect()}
+    # exactly half isn't more than half, and one page more is; "part" stands on all
+    assert all(got[k] == f"Page {k}\n" + "Half\n" * (k < n // 2) + f"text {k}" for k in range(n))
+
+
 def test_wrappers_choose_the_slots_of_articles(spark):
     from marlstone.llm import wrapper_html as wh
 
