@@ -22,6 +22,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ PART = 4_000_000
 #: Words of a block of the corpus, and keys that a task holds before it sends them on.
 BLOCK_WORDS = 1 << 17
 HELD_KEYS = 1 << 20
+#: Words of all languages together that a task holds with their hashes, or with their counts.
+HELD_WORDS = 1 << 17
 #: Slots of a chunk of counts, and chunks that a task holds.
 CHUNK = 1 << 14
 HELD_CHUNKS = 256
@@ -155,17 +158,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, word, n), a word perhaps several times."""
     counts: dict[str, Counter] = {}
 
-    def rows() -> pa.RecordBatch:
-        found = [(lang, w, n) for lang, c in counts.items() for w, n in c.items() if w != b"."]
-        return _batch(*(list(x) for x in zip(*found, strict=True)) if found else ([], [], []), names=["lang", "word", "n"], kinds=[pa.string(), pa.binary(), pa.int64()])
+    def rows() -> Iterator[pa.RecordBatch]:
+        while counts:
+            lang, c = counts.popitem()
+            c.pop(b".", None)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(c)), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["lang", "word", "n"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
             counts.setdefault(lang, Counter()).update(tokens(text.as_py()))
-            if sum(map(len, counts.values())) > 200_000:
-                yield rows()
-                counts.clear()
-    yield rows()
+            if sum(map(len, counts.values())) > HELD_WORDS:
+                yield from rows()
+    yield from rows()
 
 
 def _encoded(salt: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -176,9 +180,6 @@ def _encoded(salt: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             self[b"."] = 0
 
         def __missing__(self, word: bytes) -> int:
-            if len(self) > 300_000:
-                self.clear()
-                self[b"."] = 0
             self[word] = h = xxhash.xxh64_intdigest(self.start + word, 42)
             return h
 
@@ -194,6 +195,9 @@ def _encoded(salt: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 h = hashes.get(lang) or hashes.setdefault(lang, Hashes(lang))
                 ws = tokens(text.as_py())
+                if sum(map(len, hashes.values())) > HELD_WORDS:
+                    hashes.clear()
+                    h = hashes[lang] = Hashes(lang)
                 held.append(np.fromiter(map(h.__getitem__, ws), _U, len(ws)))
                 held.append(np.zeros(1, _U))
                 n += len(ws)
@@ -206,6 +210,14 @@ def _encoded(salt: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _chained(*steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Steps one after the other in one Python worker; each mapInArrow has a worker of its own for every task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return reduce(lambda rows, step: step(rows), steps, batches)
+
+    return run
+
+
 def _looked_up(k: int, of, share: int, shares: int, offset: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks (s1, prior, found): found gets the slots of those keys that the broadcast part `of` has; after the last part the block becomes one of level k."""
     @tidy
@@ -396,13 +408,14 @@ class _Search:
             raise ValueError("a level has more than 2^31 phrases")
         return made, offsets
 
-    def blocks(self, k: int, before: DataFrame, made: Written, offsets: list[int]) -> Written:
-        """The corpus at level k, a pass for each part of its hash."""
+    def blocks(self, k: int, before: DataFrame, made: Written, offsets: list[int], *steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Written:
+        """The corpus at level k, a pass for each part of its hash; `steps` make blocks of `before`."""
         parts, now = len(offsets) - 1, None
         for share in range(parts):
             row = made.df.where(F.col("part") == share).select("hash").first()
             of = self.spark.sparkContext.broadcast(pickle.loads(row[0]) if row else PerfectHash(np.zeros(0, _U)))  # noqa: S301
-            after = Written((now.df if now else before).mapInArrow(_looked_up(k, of, share, parts, offsets[share]), _FOUND), "blocks")
+            look = _looked_up(k, of, share, parts, offsets[share])
+            after = Written(now.df.mapInArrow(look, _FOUND) if now else before.mapInArrow(_chained(*steps, look), _FOUND), "blocks")
             if now:
                 now.drop()
             now = after
@@ -413,7 +426,7 @@ class _Search:
         """(slot, f), arrays being added by groups of tasks first."""
         binned = blocks.df.mapInArrow(_binned, "chunk long, counts binary").withColumn("branch", F.spark_partition_id() % BRANCHES)
         some = binned.repartition("chunk", "branch").drop("branch").mapInArrow(_added, "chunk long, counts binary")
-        return some.repartition("chunk").mapInArrow(_added, "chunk long, counts binary").mapInArrow(_chunk_slots, "slot long, f long")
+        return some.repartition("chunk").mapInArrow(_chained(_added, _chunk_slots), "slot long, f long")
 
     def keys_of(self, made: Written, offsets: list[int]) -> DataFrame:
         return made.df.select("part", "hash").mapInArrow(_slot_keys(offsets), "slot long, key long")
@@ -425,7 +438,7 @@ class _Search:
         one = self.keys_of(made, offsets).join(frequent, "key").select("slot", F.col("n").alias("f"), "lang", F.col("word").alias("phrase"))
         none = F.array().cast("array<long>")
         out = [Written(one.select("*", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("sfx"), none.alias("firsts"), none.alias("rests")), "level")]
-        blocks = self.blocks(1, self.docs.mapInArrow(_encoded(self.salt), _FOUND), made, offsets)
+        blocks = self.blocks(1, self.docs, made, offsets, _encoded(self.salt))
         made.drop()
         for k in range(2, LONGEST + 1):
             dealt = blocks.df.mapInArrow(_dealt(k, self.least, self.shards), "shard int, keys binary, counts binary")

@@ -241,3 +241,21 @@ def test_products_beyond_64_bits_are_exact(spark):
     a, n, left, right = 9_000_000_000_000, 20_000_000_000_000, 10_000_000_000_001, 9_999_999_999_999
     got = spark.range(1).select(F.call_function("div", _product(F.lit(1000 * a), F.lit(n)), _product(F.lit(left), F.lit(right)))).first()[0]
     assert got == 1000 * a * n // (left * right)
+
+
+def test_words_held_by_a_task_are_bounded_over_all_languages():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from marlstone.llm import phrases
+
+    rows = [(f"l{k % 20}", " ".join(f"w{j}x{k}" for j in range(3000))) for k in range(200)]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([text])], ["lang", "text"]) for lang, text in rows])
+    for step in (phrases._encoded(""), phrases._count_words):
+        tracemalloc.start()
+        for _ in step(batches()):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30e6  # 600,000 words
