@@ -20,11 +20,12 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,7 +55,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
-    """Ranks of joined pairs of tokens by cuckoo hashing: (a << 16 | b) << 16 | rank, in the first table at its key modulo the table's size or in the second at its."""
+    """Ranks of joined pairs of tokens by cuckoo hashing: (a << 16 | b) << 16 | rank, in the first table at its key (the entry without the rank) modulo the table's odd size or in the second at its."""
     keys = {ranks[p[:k]] << 16 | ranks[p[k:]]: r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
     size = 2 * len(keys) | 1
     while True:
@@ -62,7 +63,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
         for entry in (k << 16 | r for k, r in keys.items()):
             for kick in range(500):
                 t = tables[kick & 1]
-                at = (entry >> 16) % len(t)
+                at = (entry & ~NO_RANK) % len(t)
                 t[at], entry = entry, t[at]
                 if entry == VACANT:
                     break
@@ -88,9 +89,8 @@ class RankMap:
 
         An entry XOR the key leaves the rank if the entry is the key's, and more than any rank if not.
         """
-        key = F.shiftleft(a, 16).bitwiseOR(b)
-        entries = [tables[t][key % F.lit(size)].bitwiseXOR(F.shiftleft(key, 16)) for t, size in enumerate(self.sizes)]
-        return F.least(*entries, F.lit(NO_RANK).cast("bigint"))
+        entries = lambda key: [tables[t][key % F.lit(size)].bitwiseXOR(key) for t, size in enumerate(self.sizes)]
+        return _let(F.shiftleft(a, 32).bitwiseOR(F.shiftleft(b, 16)), lambda key: F.least(*entries(key), F.lit(NO_RANK).cast("bigint")))
 
 
 def _let(value: Column, body) -> Column:
@@ -206,7 +206,7 @@ _BLOCK = pa.schema([("rows", pa.binary()), ("words", pa.list_(pa.list_(pa.int64(
 _BLOCK_FIELDS = "rows binary, words array<array<bigint>>, long array<array<int>>, numbers binary, lengths binary"
 
 
-def _blocks(docs: DataFrame, shared, words: list[str], pattern: str, keep: list[str], block_chars: int) -> DataFrame:
+def _blocks(docs: DataFrame, shared, words: Words, pattern: str, keep: list[str], block_chars: int) -> DataFrame:
     """One row for each block of documents: the kept columns, the words to be folded, the ids of long words, and the documents' words by number."""
     # white space as Unicode has it, not as Python
     given = docs.sparkSession.sparkContext.broadcast(words)
@@ -216,7 +216,7 @@ def _blocks(docs: DataFrame, shared, words: list[str], pattern: str, keep: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(cut)
         by_byte = np.array([shared.value[bytes([k])] for k in range(256)], np.int64)
-        known, vocabulary = {w: k for k, w in enumerate(given.value)}, max(shared.value.values()) + 1
+        known, vocabulary = given.value.numbers(), max(shared.value.values()) + 1
         for batch in batches:
             texts, begin = batch.column("b_text"), 0
             while begin < batch.num_rows:
@@ -242,38 +242,63 @@ def _blocks(docs: DataFrame, shared, words: list[str], pattern: str, keep: list[
     return docs.mapInArrow(run, _BLOCK_FIELDS)
 
 
-def known_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared, pattern: str, text_col: str = "text") -> tuple[list[str], Known]:
+class Words:
+    """Different words, their bytes one after the other."""
+
+    def __init__(self, data: bytes, ends: np.ndarray):
+        self.data, self.ends = data, ends
+
+    def numbers(self) -> dict[str, int]:
+        ends = self.ends.tolist()
+        return {self.data[a:b].decode(): k for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))}
+
+
+NO_WORDS = Words(b"", np.zeros(1, np.int32))
+_PACKED_FIELDS = "hashes binary, data binary, sizes binary, ids binary, counts binary"
+
+
+def _packed(byte_of: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(words, coded) of blocks -> the words' hashes, bytes and lengths and their ids and numbers of ids, each as the bytes of one array."""
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, coded in zip(batch.column("words"), batch.column("coded"), strict=True):
+                if len(words):
+                    ends, edges = (x.values.offsets.to_numpy() for x in (words, coded))
+                    data = byte_of[words.values.flatten().to_numpy()].tobytes()
+                    ends = ends - ends[0]
+                    hashes = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), np.uint64, len(words))
+                    parts = hashes, data, np.diff(ends).astype(np.int32), coded.values.flatten().to_numpy().astype(np.uint16), np.diff(edges).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in parts], ["hashes", "data", "sizes", "ids", "counts"])
+
+    return run
+
+
+def known_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared, pattern: str, text_col: str = "text") -> tuple[Words, Known]:
     """The words of about COMMON_TEXTS different texts, chosen by their hash, with the ids that Spark folds; it only saves folding them in each block.
 
     Copies share a hash, so texts are made distinct, map-side first; a group of copies counts once in what reaches the driver.
+    There words stay bytes in arrays. Of words that several blocks have, and of such as share a hash, one is kept; a block folds the other itself.
     """
     out = Known(ranks)
     share = min(1.0, COMMON_TEXTS / max(1, docs.count()))
     few = docs.select(F.col(text_col).alias("b_text")).where(F.length("b_text") <= COMMON_CHARS).where(F.pmod(F.xxhash64("b_text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct()
-    got = _blocks(few, shared, [], pattern, [], BLOCK_CHARS).select("words", folded.alias("coded"))
-    got = got.select(*[F.col(c).cast("array<array<int>>").alias(c) for c in ("words", "coded")]).toArrow()
     byte_of = np.zeros(out.vocabulary, np.uint8)
     for k in range(256):
         byte_of[ranks[bytes([k])]] = k
-    numbers: dict[str, int] = {}
-    ids, sizes = [], []
-    for words, coded in zip(got["words"], got["coded"]):
-        if len(words):
-            ends = words.values.offsets.to_numpy()
-            data = byte_of[words.values.flatten().to_numpy()].tobytes()
-            ends = ends - ends[0]
-            here = [data[a:b].decode() for a, b in zip(ends[:-1], ends[1:])]
-            new = [k for k, w in enumerate(here) if w not in numbers]
-            numbers.update(zip((here[k] for k in new), range(len(numbers), len(numbers) + len(new))))
-            edges, flat = coded.values.offsets.to_numpy().astype(np.int64), coded.values.flatten().to_numpy()
-            edges = edges - edges[0]
-            ids.append(_strung(flat, edges, np.array(new, np.int64))[0])
-            sizes.append(np.diff(edges)[new])
-    if ids:
-        out.put(np.concatenate(ids), np.concatenate(sizes))
-    del got, ids, sizes
+    coded = _blocks(few, shared, NO_WORDS, pattern, [], BLOCK_CHARS).select("words", folded.alias("coded"))
+    got = coded.mapInArrow(_packed(byte_of), _PACKED_FIELDS).toArrow()
+    if not len(got):
+        return NO_WORDS, out
+    hashes, data, sizes, ids, counts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in got[c]]) for c, kind in (("hashes", np.uint64), ("data", np.uint8), ("sizes", np.int32), ("ids", np.uint16), ("counts", np.int32)))
+    kept = np.sort(np.unique(hashes, return_index=True)[1])
+    starts = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+    data, ends = _strung(data, starts(sizes), kept)
+    out.put(_strung(ids, starts(counts), kept)[0], counts[kept])
+    words = Words(data.tobytes(), ends)
+    del got, hashes, data, sizes, ids, counts
     give_back()
-    return list(numbers), out
+    return words, out
 
 
 def _strung(ids: np.ndarray, edges: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

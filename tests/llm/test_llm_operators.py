@@ -339,6 +339,24 @@ def test_byte_bpe_folds_copies_once_beforehand(spark, monkeypatch):
     assert seen == [2, 301] and len(got) == 301 and len({r.ids_sha256 for r in got}) == 2
 
 
+def test_byte_bpe_sends_bytes_of_known_words_to_the_driver(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from marlstone.llm import byte_bpe as bb
+
+    ranks, taken = bb.load_ranks(public_tokenizers.path(bb.RANKS)), []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "toArrow", lambda self, run=frame.toArrow: (taken.append(run(self)), taken[-1])[1])
+    rng, ranked = random.Random(9), bb.RankMap(ranks)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(200)) for _ in range(40)]
+    folded = bb._let(ranked.literal, lambda tables: F.transform("words", lambda w: bb.encode_word(ranked, tables, w)))
+    words, known = bb.known_words(documents(spark, texts + texts[:20]), ranks, folded, spark.sparkContext.broadcast(ranks), public_tokenizers.PATTERN)
+    numbers = words.numbers() if hasattr(words, "numbers") else {w: k for k, w in enumerate(words)}
+    assert sum(t.nbytes for t in taken) < 45 * len(numbers) and len(numbers) > 5000
+    for word, k in random.Random(1).sample(sorted(numbers.items()), 300):
+        assert known.ids[known.edges[k]:known.edges[k + 1]].tolist() == bb.merge_long(word.encode(), ranks)
+
+
 # Media.
 
 @pytest.mark.parametrize("compression", [1, 5, 8, 32773])
