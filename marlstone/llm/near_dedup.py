@@ -18,18 +18,21 @@ add to it (B). x is linked to c iff w(x) = 4|A| + 3|B| <= |c|, and x to y iff th
 (w(x) + w(y) - |c|) / 7 elements of A and B; as one of a remaining pair isn't linked to c, that is more than
 w(y) / 7 of the other's. So the two meet in a short prefix of these elements by rising frequency, of which
 copies changed in different places share nothing, and a join over the prefixes finds every linked pair
-without listing the others. Classes that share less than half with the centre are joined by prefixes of
-their full sets. So no link that banding can see is lost, and no group is paired with itself.
+without listing the others. Frequencies are counted by buckets of a bounded table that every task gets, so
+elements outside the prefixes are never joined. Classes that share less than half with the centre are joined
+by prefixes of their full sets, with each other and with those that aren't linked to the centre. So no link that banding can see is lost, and no group is paired with itself.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,8 @@ CENTRES = 3
 FEW = 32
 #: Members of a centre that meet one copy of the centre's set.
 SHARE_OF_CENTRE = 2000
+#: Buckets by which the elements of crowded bands are counted; a power of two.
+BUCKETS = 1 << 18
 #: Bytes of a written key list up to which it is broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -205,23 +210,24 @@ class _Job:
                 .select("c", "x", "root", "w", "nc", "near", F.size("elements").alias("n"), F.when(F.col("near"), F.concat("lacks", "adds")).alias("delta"), "elements"))
         told = Written(told, "told")
         links = Written(told.df.where("w <= nc and x <> c").select(F.greatest("x", "c").alias("a"), F.least("x", "c").alias("b")).distinct(), "linked")
-        # near the centre: by what a class lacks and adds
-        state = F.struct("root", "w", "nc", F.size("delta").alias("n"))
-        rare = _rare(told.df.where("near").select("c", "x", state.alias("s"), "delta"), "delta")
-        prefix = lambda df, t: _prefix(df, F.col("s.n") - t + 1)
-        apart = F.col("s.w") > F.col("s.nc")
-        own = F.floor(F.col("s.w") / 7) + 1
-        against_linked = F.greatest(F.lit(1), F.ceil((F.col("s.w") - F.col("s.nc")) / 7))
-        loose, held = prefix(rare.df.where(apart), own), prefix(rare.df.where(~apart), own)
-        found = [_meet(loose, loose, F.col("p.x") < F.col("q.x")), _meet(held, prefix(rare.df.where(apart), against_linked), F.lit(True))]
-        # far from it: by the full sets
+        # near the centre: by what a class lacks and adds; those linked to it are in one component and needn't meet each other
+        near = told.df.where("near").select("c", "x", "root", "w", "nc", F.size("delta").alias("n"), F.col("delta").alias("elements"))
+        apart, held = near.where("w > nc"), near.where("w <= nc")
+        own = F.floor(F.col("w") / 7) + 1
+        against_linked = F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("nc")) / 7))
+        of_apart, of_held = _frequencies(apart), _frequencies(held)
+        found = [Written(_prefix(rows, F.col("n") - t + 1, of_apart, other, least), "prefixes")
+                 for rows, t, other, least in ((apart, own, of_apart, 2), (held, own, of_apart, 1), (apart, against_linked, of_held, 1))]
+        # far from it: by the full sets; by the triangle inequality no class that is linked to the centre is linked to one that shares less than half with it
         far = told.df.where("not near").select("c").distinct()
-        whole = told.df.join(far, "c", "left_semi").select("c", "x", F.struct("root", "near", "n").alias("s"), "elements")
-        of_sets = _rare(whole, "elements", F.max(~F.col("s.near")))
-        prefixes = Written(_prefix(of_sets.df, F.col("s.n") - F.ceil(F.col("s.n") * PERCENT / 100) + 1), "prefixes")
-        found.append(_meet(prefixes.df.where("not s.near"), prefixes.df, F.col("q.s.near") | (F.col("p.x") < F.col("q.x"))))
-        pairs = Written(found[0].unionByName(found[1]).unionByName(found[2]).distinct(), "pairs")
-        for w in (sets, told, rare, of_sets, prefixes):
+        whole = told.df.where("not near or w > nc").join(far, "c", "left_semi").select("c", "x", "root", "near", "n", "elements")
+        of_far = _frequencies(whole.where("not near"))
+        for side in ("not near", "near"):
+            found.append(Written(_prefix(whole.where(side), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1, of_far, of_far, 1), "prefixes"))
+        loose, held, against, outer, inner = (w.df for w in found)
+        met = [_meet(loose, loose, F.col("p.x") < F.col("q.x")), _meet(held, against, F.lit(True)), _meet(outer, outer, F.col("p.x") < F.col("q.x")), _meet(outer, inner, F.lit(True))]
+        pairs = Written(reduce(DataFrame.unionByName, met).distinct(), "pairs")
+        for w in (sets, told, *found):
             w.drop()
         return links, pairs
 
@@ -264,22 +270,53 @@ class _Job:
         return found
 
 
-def _rare(rows: DataFrame, elements: str, wanted: Column | None = None) -> Written:
-    """rows (c, x, s, elements) -> (c, x, s, found): the elements that at least two rows of a centre have (and for which the aggregate `wanted` holds), rising by how many have them."""
-    each = rows.select("c", "x", "s", F.explode(elements).alias("e"))
-    counts = each.groupBy("c", "e").agg(F.count("*").alias("f"), (F.lit(True) if wanted is None else wanted).alias("wanted")).where("f > 1 and wanted").select("c", "e", "f")
-    return Written(each.join(counts, ["c", "e"]).groupBy("c", "x", "s").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("found")), "rare")
+def _buckets(centre: bytes, elements: np.ndarray) -> np.ndarray:
+    return (_mix(elements ^ np.frombuffer(centre, np.uint64, 1)) & _U(BUCKETS - 1)).astype(np.intp)
 
 
-def _prefix(rare: DataFrame, length: Column) -> DataFrame:
-    """(c, x, s, e) of the first `length` elements of each row, those that `rare` left out (s.n counts them) being the first."""
-    left = length.cast("int") - (F.col("s.n") - F.size("found"))
-    return rare.select("c", "x", "s", F.explode(F.slice("found.e", F.lit(1), F.greatest(F.lit(0), left))).alias("e"))
+def _elements(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return batch.column("elements")[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+@tidy
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            bucket, n = np.unique(np.concatenate([_buckets(c.as_py(), _elements(batch, k)) for k, c in enumerate(batch.column("c"))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"])
+
+
+def _frequencies(rows: DataFrame) -> Broadcast:
+    """How many of the rows (c, elements) have an element, by buckets of (c, element): at least its number, more where elements share a bucket. At most BUCKETS pairs reach the driver."""
+    got = rows.select("c", "elements").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(out)
+
+
+def _prefix(rows: DataFrame, length: Column, order: Broadcast, other: Broadcast, least: int) -> DataFrame:
+    """(c, x, root, e) of the first `length` elements of each row, rising by `order`, less those that fewer than `least` rows of `other` have.
+
+    Any order of elements will do that is the same in all rows of a centre, so rough frequencies lose nothing.
+    """
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [np.zeros(0, np.uint64)]
+            for k, (c, n) in enumerate(zip(batch.column("c"), batch.column("length"), strict=True)):
+                e = _elements(batch, k)
+                bucket = _buckets(c.as_py(), e)
+                at = np.lexsort((e, order.value[bucket]))[:max(0, n.as_py())]
+                first.append(e[at[other.value[bucket[at]] >= least]])
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(e) for e in first[1:]]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("c", "x", "root")), pa.array(np.concatenate(first).view(np.int64))], ["c", "x", "root", "e"])
+
+    return rows.select("c", "x", "root", "elements", length.cast("int").alias("length")).mapInArrow(run, "c binary, x binary, root binary, e long")
 
 
 def _meet(p: DataFrame, q: DataFrame, condition: Column) -> DataFrame:
     """Pairs (a, b) of different roots that have an element of a centre in both."""
-    both = p.alias("p").join(q.alias("q"), (F.col("p.c") == F.col("q.c")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.s.root") != F.col("q.s.root")) & condition)
+    both = p.alias("p").join(q.alias("q"), (F.col("p.c") == F.col("q.c")) & (F.col("p.e") == F.col("q.e")) & (F.col("p.root") != F.col("q.root")) & condition)
     return both.select(F.greatest("p.x", "q.x").alias("a"), F.least("p.x", "q.x").alias("b"))
 
 

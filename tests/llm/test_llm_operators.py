@@ -222,6 +222,25 @@ def test_crowded_bands_equal_brute_force(spark, monkeypatch):
     assert 300 < singles < len(texts) and max(made) < 12 * len(texts)  # far from the 500,000 pairs of the copies
 
 
+def test_crowded_bands_join_few_of_their_elements(spark, monkeypatch):
+    from marlstone.llm import near_dedup
+
+    made = {}
+
+    class Counted(near_dedup.Written):
+        def __init__(self, df, label):
+            super().__init__(df, label)
+            if label in ("told", "rare", "prefixes"):
+                size = next((F.size(c) for c in ("elements", "found") if c in self.df.columns), F.lit(1))
+                made[label] = made.get(label, 0) + (self.df.agg(F.sum(size)).first()[0] or 0)
+
+    monkeypatch.setattr(near_dedup, "Written", Counted)
+    texts = crowd(random.Random(12), 400)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert got == matrix_components(texts)
+    assert 10_000 < made["told"] and made.get("rare", 0) + made["prefixes"] < made["told"] / 2
+
+
 def test_near_duplicates_with_null_ids_repeats_and_nothing(spark):
     from marlstone.llm import near_dedup
 
