@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 Texts are cut by the tokenizer's pattern where they lie, in blocks of documents; a block becomes one
-row that holds its distinct words, and for each document the sequence of its words by number. Spark
+row that holds its distinct words with the ranks of their neighbouring bytes, and for each document the sequence of its words by number. Spark
 then folds the ranked merges over the byte array of each distinct word: an `aggregate` merges the
 best-ranked neighbours, leftmost first, until none is left. The rank map is a literal: two arrays
 addressed by the key of a pair of tokens (cuckoo hashing), as a lookup in a map literal would be
@@ -37,10 +37,12 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 8 << 20
 WORD_BYTES = 256
 NO_RANK = 65535
+#: Bits of a state that are a token's id.
+ID = 0xFFFF
 #: About how many texts, and of what length at most, give the words that are folded beforehand; so what is broadcast is bounded.
 COMMON_TEXTS, COMMON_CHARS = 12_000, 16_000
 #: Entry of the rank map where no pair is.
-VACANT = 1 << 62
+VACANT = 1 << 49
 #: Documents strung together at a time.
 STRUNG = 256
 LATIN = "ISO-8859-1"
@@ -57,7 +59,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """Ranks of joined pairs of tokens by cuckoo hashing: (a << 16 | b) << 16 | rank, in the first table at its key (the entry without the rank) modulo the table's odd size or in the second at its."""
     keys = {ranks[p[:k]] << 16 | ranks[p[k:]]: r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
-    size = 2 * len(keys) | 1
+    size = 9 * len(keys) // 8 | 1  # loads below a half
     while True:
         tables = [[VACANT] * size, [VACANT] * (size + 2)]
         for entry in (k << 16 | r for k, r in keys.items()):
@@ -94,18 +96,31 @@ class RankMap:
 
 
 def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value), with value computed once: a fold over nothing. (An element of `transform` would have the type of the whole body derived anew for each row.)"""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
+
+
+def byte_states(data: bytes, ends: np.ndarray, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """What `encode_word` starts from, for words given as their bytes one after the other: ids by byte, ranks of joined bytes by pair of bytes."""
+    b = np.frombuffer(data, np.uint8)
+    rank = np.full(len(b), NO_RANK, np.int64)
+    rank[:-1] = pairs[b[:-1], b[1:]]
+    rank[ends[1:] - 1] = NO_RANK
+    return rank << 40 | (np.arange(len(b)) - np.repeat(ends[:-1], np.diff(ends))) << 16 | ids[b]
+
+
+def byte_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    return np.array([[ranks.get(bytes([a, b]), NO_RANK) for b in range(256)] for a in range(256)], np.int64)
 
 
 def encode_word(ranks: RankMap, tables: Column, word: Column) -> Column:
-    """array<bigint> of token ids of a word given as the ids of its single bytes.
+    """array<bigint> whose lower 16 bits are the token ids of a word given as the states of its single bytes (`byte_states`).
 
     The state is one number for each token: the rank of its join with the next << 40 | its first
     byte's place << 16 | its id. The least of them is the next merge, leftmost among equal ranks.
     """
     wide = lambda n: F.lit(n).cast("bigint")
-    token = lambda e: e.bitwiseAND(wide(0xFFFF))
+    token = lambda e: e.bitwiseAND(wide(ID))
     ranked = lambda a, b: F.shiftleft(ranks.pair(tables, a, b), 40)
     none = F.array().cast("array<bigint>")
 
@@ -119,8 +134,7 @@ def encode_word(ranks: RankMap, tables: Column, word: Column) -> Column:
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda least: F.when(least >= wide(NO_RANK << 40), s).otherwise(_let(F.array_position(s, least).cast("int"), lambda k: merge(s, least, k))))
 
-    start = F.transform(word, lambda x, i: ranked(x, F.get(word, i + 1)).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x))
-    return F.transform(F.aggregate(F.sequence(F.lit(2), F.size(word)), start, step), token)
+    return F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step)
 
 
 def decode_ids(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -187,10 +201,10 @@ class _Numbers(dict):
         self[word] = -1 - k
         return -1 - k
 
-    def bytes_by_id(self, ids: np.ndarray) -> pa.Array:
-        """The words to be folded, as arrays of the ids of their bytes."""
+    def states(self, ids: np.ndarray, pairs: np.ndarray) -> pa.Array:
+        """The words to be folded, as arrays of the states of their bytes."""
         ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, self.short), np.int32, len(self.short)))])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[np.frombuffer(b"".join(self.short), np.uint8)], pa.int64()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(byte_states(b"".join(self.short), ends, ids, pairs), pa.int64()))
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -215,7 +229,7 @@ def _blocks(docs: DataFrame, shared, words: Words, pattern: str, keep: list[str]
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(cut)
-        by_byte = np.array([shared.value[bytes([k])] for k in range(256)], np.int64)
+        by_byte, pairs = np.array([shared.value[bytes([k])] for k in range(256)], np.int64), byte_pairs(shared.value)
         known, vocabulary = given.value.numbers(), max(shared.value.values()) + 1
         for batch in batches:
             texts, begin = batch.column("b_text"), 0
@@ -228,7 +242,7 @@ def _blocks(docs: DataFrame, shared, words: Words, pattern: str, keep: list[str]
                     sequences.append(np.fromiter(map(numbers.__getitem__, found), np.int32))
                     lengths.append(len(sequences[-1]))
                 rows = batch.select(keep).slice(begin, len(lengths))
-                short = numbers.bytes_by_id(by_byte)
+                short = numbers.states(by_byte, pairs)
                 out = pa.RecordBatch.from_arrays([pa.array([_ipc(rows)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short), pa.array([numbers.long], pa.list_(pa.list_(pa.int32()))),
                                                   pa.array([np.concatenate(sequences).tobytes()], pa.binary()), pa.array([np.array(lengths, np.int32).tobytes()], pa.binary())], schema=_BLOCK)
                 begin += len(lengths)
@@ -265,10 +279,10 @@ def _packed(byte_of: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             for words, coded in zip(batch.column("words"), batch.column("coded"), strict=True):
                 if len(words):
                     ends, edges = (x.values.offsets.to_numpy() for x in (words, coded))
-                    data = byte_of[words.values.flatten().to_numpy()].tobytes()
+                    data = byte_of[words.values.flatten().to_numpy() & ID].tobytes()
                     ends = ends - ends[0]
                     hashes = np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), np.uint64, len(words))
-                    parts = hashes, data, np.diff(ends).astype(np.int32), coded.values.flatten().to_numpy().astype(np.uint16), np.diff(edges).astype(np.int32)
+                    parts = hashes, data, np.diff(ends).astype(np.int32), (coded.values.flatten().to_numpy() & ID).astype(np.uint16), np.diff(edges).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in parts], ["hashes", "data", "sizes", "ids", "counts"])
 
     return run
@@ -330,7 +344,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                 flat, edges, total = [known.value.ids], [known.value.edges], known.value.edges[-1]
                 for part in (batch.column("long")[k].values, batch.column("coded")[k].values):
                     offsets = part.offsets.to_numpy().astype(np.int64) if len(part) else np.zeros(1, np.int64)
-                    flat.append(part.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.int32))
+                    flat.append((part.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False) & ID).astype(np.int32))
                     edges.append(offsets[1:] - offsets[0] + total)
                     total += offsets[-1] - offsets[0]
                 folded_from = sum(map(len, edges[:-1])) - 1

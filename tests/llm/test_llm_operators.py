@@ -619,3 +619,14 @@ def test_benchmark_matches_give_phrases_and_proximity(spark):
             got = [tuple(r) for r in dc.benchmark_matches(docs, benchmark, span, block_bytes=bound).collect()]
             assert sorted(got) == sorted(want) and {k for *_, k in want} == {"phrase", "near"}
     assert dc.benchmark_matches(empty(spark), benchmark).count() == 0
+
+
+def test_byte_bpe_rank_map_is_small_and_whole():
+    import public_tokenizers
+    from marlstone.llm import byte_bpe as bb
+
+    ranks = bb.load_ranks(public_tokenizers.path(bb.RANKS))
+    first, second = bb.pair_table(ranks)
+    pairs = {ranks[p[:k]] << 32 | ranks[p[k:]] << 16: r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
+    assert all(min(first[k % len(first)] ^ k, second[k % len(second)] ^ k) == r for k, r in pairs.items())
+    assert len(first) + len(second) < 2.5 * len(pairs)  # each task reads it anew
