@@ -34,7 +34,7 @@ SHARE = 20
 BLOCK_BYTES = 24 << 20
 PART_WORDS = 4_000_000
 #: Bytes of text in a block of the pipeline's stage, whose workers share an executor with what earlier stages left.
-STAGE_BLOCK_BYTES = 8 << 20
+STAGE_BLOCK_BYTES = 1 << 20
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 

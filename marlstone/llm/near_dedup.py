@@ -136,6 +136,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 coarse.append(None)
                 keys.append(None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(coarse, pa.list_(pa.int8())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tk", "fp", "n", "sketch", "bands"])
+    _HASHES.clear()  # workers stay for later stages
 
 
 @tidy
@@ -143,6 +144,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["fp", "elements"])
+    _HASHES.clear()
 
 
 def _text_key(text: Column) -> Column:

@@ -630,3 +630,12 @@ def test_byte_bpe_rank_map_is_small_and_whole():
     pairs = {ranks[p[:k]] << 32 | ranks[p[k:]] << 16: r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks}
     assert all(min(first[k % len(first)] ^ k, second[k % len(second)] ^ k) == r for k, r in pairs.items())
     assert len(first) + len(second) < 2.5 * len(pairs)  # each task reads it anew
+
+
+def test_near_dedup_leaves_no_words_in_workers():
+    import pyarrow as pa
+    from marlstone.llm import near_dedup
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "tk": [1], "text": ["one two three four five six"]})
+    assert sum(b.num_rows for b in near_dedup._signatures(iter([batch]))) == 1 and not near_dedup._HASHES
+    assert sum(b.num_rows for b in near_dedup._sets(iter([batch]))) == 1 and not near_dedup._HASHES
