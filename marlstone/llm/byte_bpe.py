@@ -35,6 +35,8 @@ from marlstone.llm.common import give_back, table, tidy
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text in a block; longest word that the fold takes.
 BLOCK_CHARS = 8 << 20
+#: Characters of text in a block of the pipeline's stage, whose workers share an executor with what earlier stages left.
+STAGE_BLOCK_CHARS = 2 << 20
 WORD_BYTES = 256
 NO_RANK = 65535
 #: Bits of a state that are a token's id.
@@ -181,25 +183,31 @@ class Known:
 
 
 class _Numbers(dict):
-    """Numbers of a block's words in order of appearance; known words get -1 - their number there, words beyond WORD_BYTES go on from these."""
+    """Numbers of a block's words in order of appearance."""
 
-    def __init__(self, ranks: dict[bytes, int], known: dict[str, int], vocabulary: int):
-        self.ranks, self.known, self.base, self.vocabulary, self.short, self.long = ranks, known, len(known), vocabulary, [], []
+    def __init__(self):
+        self.short, self.long = [], []
 
     def __missing__(self, word: str) -> int:
-        if (k := self.known.get(word)) is None:
-            data = word.encode()
-            if (rank := self.ranks.get(data)) is not None:
-                k = self.base + rank
+        self[word] = k = len(self)
+        return k
+
+    def settle(self, ranks: dict[bytes, int], known: Words, vocabulary: int) -> np.ndarray:
+        """By number so far the final one, from 0 for the words to be folded; known words get -1 - their number there, those of one token and then those beyond WORD_BYTES go on from these."""
+        words = [word.encode() for word in self]
+        self.clear()
+        base, out = len(known.hashes), -1 - known.find(words)
+        for k in np.flatnonzero(out == 0).tolist():
+            data = words[k]
+            if (rank := ranks.get(data)) is not None:
+                out[k] = -1 - base - rank
             elif len(data) > WORD_BYTES:
-                self.long.append(merge_long(data, self.ranks))
-                k = self.base + self.vocabulary + len(self.long) - 1
+                self.long.append(merge_long(data, ranks))
+                out[k] = -base - vocabulary - len(self.long)
             else:
                 self.short.append(data)
-                self[word] = len(self.short) - 1
-                return len(self.short) - 1
-        self[word] = -1 - k
-        return -1 - k
+                out[k] = len(self.short) - 1
+        return out
 
     def states(self, ids: np.ndarray, pairs: np.ndarray) -> pa.Array:
         """The words to be folded, as arrays of the states of their bytes."""
@@ -230,11 +238,11 @@ def _blocks(docs: DataFrame, shared, words: Words, pattern: str, keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(cut)
         by_byte, pairs = np.array([shared.value[bytes([k])] for k in range(256)], np.int64), byte_pairs(shared.value)
-        known, vocabulary = given.value.numbers(), max(shared.value.values()) + 1
+        vocabulary = max(shared.value.values()) + 1
         for batch in batches:
             texts, begin = batch.column("b_text"), 0
             while begin < batch.num_rows:
-                numbers, sequences, lengths, size = _Numbers(shared.value, known, vocabulary), [], [], 0
+                numbers, sequences, lengths, size = _Numbers(), [], [], 0
                 while begin + len(lengths) < batch.num_rows and size < block_chars:
                     text = texts[begin + len(lengths)].as_py() or ""
                     size += len(text)
@@ -242,14 +250,14 @@ def _blocks(docs: DataFrame, shared, words: Words, pattern: str, keep: list[str]
                     sequences.append(np.fromiter(map(numbers.__getitem__, found), np.int32))
                     lengths.append(len(sequences[-1]))
                 rows = batch.select(keep).slice(begin, len(lengths))
+                sequences = numbers.settle(shared.value, given.value, vocabulary)[np.concatenate(sequences)]
                 short = numbers.states(by_byte, pairs)
                 out = pa.RecordBatch.from_arrays([pa.array([_ipc(rows)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short), pa.array([numbers.long], pa.list_(pa.list_(pa.int32()))),
-                                                  pa.array([np.concatenate(sequences).tobytes()], pa.binary()), pa.array([np.array(lengths, np.int32).tobytes()], pa.binary())], schema=_BLOCK)
+                                                  pa.array([sequences.tobytes()], pa.binary()), pa.array([np.array(lengths, np.int32).tobytes()], pa.binary())], schema=_BLOCK)
                 begin += len(lengths)
                 del numbers, sequences, short
                 yield out
         # workers stay for later stages, which don't need the words; another partition loads them again
-        known.clear()
         if getattr(given, "_path", None):
             vars(given).pop("_value", None)
 
@@ -257,17 +265,30 @@ def _blocks(docs: DataFrame, shared, words: Words, pattern: str, keep: list[str]
 
 
 class Words:
-    """Different words, their bytes one after the other."""
-
-    def __init__(self, data: bytes, ends: np.ndarray):
-        self.data, self.ends = data, ends
+    """Different words by rising hash, their bytes one after the other; a worker looks them up by the hashes, which take far less memory than a dict of strings."""
+
+    def __init__(self, data: bytes, ends: np.ndarray, hashes: np.ndarray):
+        self.data, self.ends, self.hashes = data, ends, hashes
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 if it isn't among these."""
+        out = np.full(len(words), -1, np.int32)
+        if len(words) and len(self.hashes):
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            same = np.flatnonzero(self.hashes[at] == hashes)
+            at = at[same]
+            for k, n, a, b in zip(same.tolist(), at.tolist(), self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True):
+                if self.data[a:b] == words[k]:
+                    out[k] = n
+        return out
 
     def numbers(self) -> dict[str, int]:
         ends = self.ends.tolist()
         return {self.data[a:b].decode(): k for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))}
 
 
-NO_WORDS = Words(b"", np.zeros(1, np.int32))
+NO_WORDS = Words(b"", np.zeros(1, np.int32), np.zeros(0, np.uint64))
 _PACKED_FIELDS = "hashes binary, data binary, sizes binary, ids binary, counts binary"
 
 
@@ -305,11 +326,11 @@ def known_words(docs: DataFrame, ranks: dict[bytes, int], folded: Column, shared
     if not len(got):
         return NO_WORDS, out
     hashes, data, sizes, ids, counts = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in got[c]]) for c, kind in (("hashes", np.uint64), ("data", np.uint8), ("sizes", np.int32), ("ids", np.uint16), ("counts", np.int32)))
-    kept = np.sort(np.unique(hashes, return_index=True)[1])
+    hashes, kept = np.unique(hashes, return_index=True)
     starts = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
     data, ends = _strung(data, starts(sizes), kept)
     out.put(_strung(ids, starts(counts), kept)[0], counts[kept])
-    words = Words(data.tobytes(), ends)
+    words = Words(data.tobytes(), ends, hashes)
     del got, hashes, data, sizes, ids, counts
     give_back()
     return words, out
@@ -365,10 +386,10 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
     return coded.mapInArrow(strung, out)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The columns in `keep`, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to) for every row."""
     ranks = load_ranks(ranks_path)
-    coded = encode_documents(docs, ranks, pattern, keep)
+    coded = encode_documents(docs, ranks, pattern, keep, block_chars=block_chars)
     return coded.select(*keep, F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(decode_ids(F.col("token_ids"), ranks), 256).alias("decoded_sha256"))
 
 
@@ -382,4 +403,4 @@ def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The last stage: what op7 returns, for the documents that are left."""
     import public_tokenizers
 
-    return round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, block_chars=STAGE_BLOCK_CHARS)

@@ -26,6 +26,13 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(*DOC_COLUMNS)
 
 
+def with_text(docs: DataFrame, keep: tuple[str, ...], text_col: str, name: str) -> tuple[DataFrame, str]:
+    """The columns in `keep` with the text, and the text's name there: `name`, or its own if it is in `keep`, so that a text goes to Python once."""
+    if text_col in keep:
+        return docs.select(*keep), text_col
+    return docs.select(*keep, F.col(text_col).alias(name)), name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

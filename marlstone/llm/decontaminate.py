@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import doc_columns, table, tidy
+from marlstone.llm.common import doc_columns, table, tidy, with_text
 
 WINDOW = 13
 #: Share of a document's words in matches from which it counts as contaminated: 1 / SHARE.
@@ -201,6 +201,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(p) for p in benchmark_parts(benchmark)]
     schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(FIELDS).fields])
+    given, text = with_text(docs, keep, text_col, "c_text")
 
     def results(documents: list[list[bytes]]) -> list[pa.Array]:
         found = _matches(documents, [p.value for p in parts])
@@ -212,18 +213,18 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("c_text").cast(pa.binary())
+            texts = batch.column(text).cast(pa.binary())
             begin = 0
             while begin < batch.num_rows:
                 block, size = [], 0
                 while begin + len(block) < batch.num_rows and size < block_bytes:
-                    text = texts[begin + len(block)].as_py()
-                    size += len(text or b"")
-                    block.append(words(text))
+                    read = texts[begin + len(block)].as_py()
+                    size += len(read or b"")
+                    block.append(words(read))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begin, len(block)) for c in keep), *results(block)], schema.names)
                 begin += len(block)
 
-    return docs.select(*keep, F.col(text_col).alias("c_text")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, span: int = 2 * WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import doc_columns, give_back, table, tidy
+from marlstone.llm.common import doc_columns, give_back, table, tidy, with_text
 
 #: Bounds of the sample that the classifier is fitted on.
 MAX_POSITIVE = 20_000
@@ -161,15 +161,16 @@ def score_documents(docs: DataFrame, model: Classifier, keep: tuple[str, ...] =
     """The columns in `keep`, `score` and `predicted` for every row, repeated rows included. Null and empty texts get the score of an all-zero text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    given, text = with_text(docs, keep, "text", "q_text")
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.scores(feature_matrix(batch.column("q_text").cast(pa.binary()).to_pylist()))
+            scores = shared.value.scores(feature_matrix(batch.column(text).cast(pa.binary()).to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("q_text")).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -639,3 +639,37 @@ def test_near_dedup_leaves_no_words_in_workers():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "tk": [1], "text": ["one two three four five six"]})
     assert sum(b.num_rows for b in near_dedup._signatures(iter([batch]))) == 1 and not near_dedup._HASHES
     assert sum(b.num_rows for b in near_dedup._sets(iter([batch]))) == 1 and not near_dedup._HASHES
+
+
+def test_texts_go_to_python_once(spark, monkeypatch):
+    from marlstone.llm import decontaminate as dc
+    from marlstone.llm import quality
+    from marlstone.llm.common import DOC_COLUMNS
+
+    sent, frame = [], type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *rest, run=frame.mapInArrow: (sent.append(tuple(self.columns)), run(self, *rest))[1])
+    docs = documents(spark, ["one two three", None, "four " * 30])
+    benchmark = spark.createDataFrame([("b", "two three")], "item_id string, text string")
+    found = dc.match_benchmark(docs, benchmark, keep=DOC_COLUMNS).orderBy("doc_id").collect()
+    scored = quality.score_documents(docs, quality.Classifier(0.5), keep=DOC_COLUMNS).orderBy("doc_id").collect()
+    assert sent == [DOC_COLUMNS] * 2
+    assert [(r.text, r.n_hit) for r in found] == [("one two three", 2), (None, 0), ("four " * 30, 0)] and [r.text for r in scored] == [r.text for r in found]
+
+
+def test_byte_bpe_finds_known_words_without_a_dict():
+    import tracemalloc
+
+    import xxhash
+    from marlstone.llm import byte_bpe as bb
+
+    given = sorted((f"{k}word{k * k}".encode() for k in range(50_000)), key=xxhash.xxh64_intdigest)
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in given])])
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in given], np.uint64)
+    words = bb.Words(b"".join(given), ends, hashes)
+    tracemalloc.start()
+    assert words.find([given[7], b"", b"none", given[49_999], given[0]]).tolist() == [7, -1, -1, 49_999, 0]
+    assert tracemalloc.get_traced_memory()[1] < 100_000  # a dict of them takes 7 MB
+    tracemalloc.stop()
+    assert bb.NO_WORDS.find([b"a"]).tolist() == [-1] and words.find([]).tolist() == []
+    other = bb.Words(b"ab", np.array([0, 2]), np.array([xxhash.xxh64_intdigest(b"cd")], np.uint64))  # another word of that hash
+    assert other.find([b"cd", b"ab"]).tolist() == [-1, -1]
