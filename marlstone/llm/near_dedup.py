@@ -54,6 +54,8 @@ FEW = 32
 SHARE_OF_CENTRE = 2000
 #: Buckets by which the elements of crowded bands are counted; a power of two.
 BUCKETS = 1 << 18
+#: Ranges of buckets in which the counts of tasks are added; a power of two.
+RANGES = 64
 #: Bytes of a written key list up to which it is broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -280,19 +282,42 @@ def _elements(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("elements")[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
+def _by_range(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(range, bucket, n) of counts by bucket: a row for each range of buckets that has any."""
+    bucket = np.flatnonzero(counts)
+    each, first = np.unique(bucket // (BUCKETS // RANGES), return_index=True)
+    ends = pa.array([*first, len(bucket)], pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(each, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(counts[bucket], pa.int64()))], ["range", "bucket", "n"])
+
+
 @tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task, whatever the number of its elements at most RANGES rows."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for k, c in enumerate(batch.column("c")):
+            np.add.at(counts, _buckets(c.as_py(), _elements(batch, k)), 1)
+    yield from _by_range(counts)
+
+
+@tidy
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        if batch.num_rows:
-            bucket, n = np.unique(np.concatenate([_buckets(c.as_py(), _elements(batch, k)) for k, c in enumerate(batch.column("c"))]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["bucket", "n"])
+        np.add.at(counts, batch.column("bucket").flatten().to_numpy(), batch.column("n").flatten().to_numpy())
+    yield from _by_range(counts)
 
 
 def _frequencies(rows: DataFrame) -> Broadcast:
-    """How many of the rows (c, elements) have an element, by buckets of (c, element): at least its number, more where elements share a bucket. At most BUCKETS pairs reach the driver."""
-    got = rows.select("c", "elements").mapInArrow(_counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    """How many of the rows (c, elements) have an element, by buckets of (c, element): at least its number, more where elements share a bucket.
+
+    A task adds up its elements, then the counts of a range of buckets are added over all tasks. At most BUCKETS counts reach the driver.
+    """
+    fields = "range int, bucket array<int>, n array<long>"
+    got = rows.select("c", "elements").mapInArrow(_counted, fields).repartition("range").mapInArrow(_added, fields).toArrow()
     out = np.zeros(BUCKETS, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    for bucket, n in zip(got["bucket"].chunks, got["n"].chunks, strict=True):
+        out[bucket.flatten().to_numpy()] = n.flatten().to_numpy()
     return rows.sparkSession.sparkContext.broadcast(out)
 
 

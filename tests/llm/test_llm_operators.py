@@ -673,3 +673,21 @@ def test_byte_bpe_finds_known_words_without_a_dict():
     assert bb.NO_WORDS.find([b"a"]).tolist() == [-1] and words.find([]).tolist() == []
     other = bb.Words(b"ab", np.array([0, 2]), np.array([xxhash.xxh64_intdigest(b"cd")], np.uint64))  # another word of that hash
     assert other.find([b"cd", b"ab"]).tolist() == [-1, -1]
+
+
+def test_near_dedup_counts_are_a_row_for_each_range(spark):
+    import pyarrow as pa
+    from marlstone.llm import near_dedup as nd
+
+    rng = np.random.default_rng(5)
+    centres, sets = [b"c" * 16, b"d" * 16], [rng.integers(-1 << 63, 1 << 63, n) for n in (60_000, 0, 3, 60_000)]
+    sets[3][:50_000] = sets[0][:50_000]
+    rows = [(centres[k % 2 if k < 3 else 0], s) for k, s in enumerate(sets)]
+    batch = pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], ["c", "elements"])
+    want = np.zeros(nd.BUCKETS, np.int64)
+    for c, s in rows:
+        np.add.at(want, nd._buckets(c, s.view(np.uint64)), 1)
+    made = list(nd._counted(iter([batch, batch])))
+    assert sum(b.num_rows for b in made) <= nd.RANGES and sum(b.num_rows for b in nd._added(iter([*made, *made]))) <= nd.RANGES
+    df = spark.createDataFrame([(c, s.tolist()) for c, s in rows] * 3, "c binary, elements array<long>").repartition(5)
+    assert (nd._frequencies(df).value == 3 * want).all() and not nd._frequencies(df.limit(0)).value.any()
